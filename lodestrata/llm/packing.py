@@ -33,7 +33,7 @@ from .common import stored, table
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words kept per worker; the cache is emptied when it is full, which costs time and changes nothing.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 _HELD: dict[str, object] = {}
 
@@ -78,6 +78,8 @@ def encoder(path: str):
     def encode(text: str) -> bytes:
         if _SEPARATORS.search(text):
             return words.ids(text)
+        if text.isascii() and "<|" not in text:  # the tokenizer lower-cases all but special tokens
+            text = text.lower()
         return b"".join(map(words.__getitem__, text.split()))
 
     return encode

@@ -47,7 +47,7 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
 
     names = [f.name for f in df.schema]
 
-    def shuffle_bucket(group, rows: pd.DataFrame) -> pd.DataFrame:
+    def shuffle_bucket(group: tuple[np.int64, ...], rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group[0])
         raw = [as_bytes(x) for x in rows[text]]
         rows = rows.assign(size=[len(x) + 1 for x in raw], text_crc32=[zlib.crc32(x) for x in raw])
