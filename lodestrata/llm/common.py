@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,9 @@ _U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    context = spark.sparkContext
+    if context.master.startswith("local["):  # Python workers of this machine find the package wherever they start;
+        context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # a cluster installs it
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
