@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import hyperminhash, packing, sharding, suffix_dedup
 
 QUERIES = {
+    "op6_hyperminhash": hyperminhash.query,
     "op8_external_shuffle": sharding.query,
     "op9_exact_complement_packing": packing.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
