@@ -95,9 +95,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of all texts in order, and each text's number of words.
 
+    With ``heads``, each word's row also has hashes of its first so many bytes; a word that is no longer repeats itself.
     A word is a longest run of bytes outside ``breaks``. The hash is a polynomial over the word's bytes, taken from
     prefix sums, so the cost is a few passes over the bytes whatever the words are.
     """
@@ -110,7 +111,11 @@ def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES) -> tuple[np.nda
     np.cumsum(CODES[raw] * up[: len(raw)], out=sums[1:])
     ends = np.cumsum([len(t) + 1 for t in texts])
     count = np.diff(np.searchsorted(start, ends), prepend=0) if texts else np.zeros(0, np.int64)
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U)), count
+    words = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    if not heads:
+        return words, count
+    cut = [np.where(end - start > k, mixed((sums[np.minimum(start + k, end)] - sums[start]) * down[start] ^ ODD[k]), words) for k in heads]
+    return np.stack([words, *cut], axis=1), count
 
 
 def slabs(items: list, size, most: int = 1 << 20):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, packing, sharding, suffix_dedup
+from . import hyperminhash, packing, sharding, suffix_dedup, toxicity
 
 QUERIES = {
     "op6_hyperminhash": hyperminhash.query,
+    "op7_factorization_machine": toxicity.query,
     "op8_external_shuffle": sharding.query,
     "op9_exact_complement_packing": packing.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
