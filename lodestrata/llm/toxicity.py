@@ -161,9 +161,8 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by the number of features
 
     @F.pandas_udf("double")
-    def score(batches):
-        for text in batches:
-            yield pd.Series(held.value.scores(terms(list(text))))
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(held.value.scores(terms(list(text))))
 
     return docs.withColumn("toxicity", score("text"))
 
