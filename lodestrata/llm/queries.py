@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, packing, sharding, suffix_dedup, toxicity
+from . import hyperminhash, packing, preference, sharding, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_preference_pairs": preference.query,
+    "op4_poisson_mix": source_mix.query,
     "op6_hyperminhash": hyperminhash.query,
     "op7_factorization_machine": toxicity.query,
     "op8_external_shuffle": sharding.query,
@@ -12,4 +14,7 @@ QUERIES = {
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_preference_pairs": preference.ORACLE_SQL,
+    "op4_poisson_mix": source_mix.ORACLE_SQL,
+}
