@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, packing, preference, sharding, source_mix, suffix_dedup, toxicity
+from . import hyperminhash, iblt, licenses, multi_index, packing, preference, sharding, source_mix, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_preference_pairs": preference.query,
+    "op2_license_scan": licenses.query,
+    "op3_bloom_fingerprints": iblt.query,
     "op4_poisson_mix": source_mix.query,
+    "op5_multi_index_search": multi_index.query,
     "op6_hyperminhash": hyperminhash.query,
     "op7_factorization_machine": toxicity.query,
     "op8_external_shuffle": sharding.query,
@@ -16,5 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_preference_pairs": preference.ORACLE_SQL,
+    "op2_license_scan": licenses.query,
+    "op3_bloom_fingerprints": iblt.query,
     "op4_poisson_mix": source_mix.ORACLE_SQL,
 }
