@@ -1,4 +1,4 @@
-"""What several operators of this package share: tables in the shared folder, size-checked joins, vectorised word hashing."""
+"""What several operators of this package share: tables in the shared folder, vectorised word hashing."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only if it was counted and holds no more bytes than this.
 BROADCAST_BYTES = 32 << 20
+#: What goes to Python at once: texts may be long, and each batch is held several times over.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
 
 _U = np.uint64
 
@@ -20,6 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     context = spark.sparkContext
     if context.master.startswith("local["):  # Python workers of this machine find the package wherever they start;
         context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # a cluster installs it
+    for key, most in ARROW.items():
+        spark.conf.set(key, most)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,12 +7,13 @@ bucket). Empty buckets borrow from full ones by a seeded probe order, so that sh
 1. Signatures: one pass over the texts. Documents with equal sets collapse into one class (128-bit set hash, partial
    aggregation), so groups of copies cost one row from here on.
 2. Banding: 42 bands of 6 compressed registers. Classes at similarity 0.8 share no band with probability 3e-6.
-3. Stars: in each bucket every class is paired with the bucket's smallest. A pair's similarity is estimated from the
+3. Stars: in each bucket every class is paired with the bucket's leader, the class that meets most others in all its
+   buckets (what a group of near copies was made from, as it is nearer to each copy than they are to each other). A pair's similarity is estimated from the
    registers, corrected for compressed registers that agree by chance; pairs that could still reach the threshold
    (five standard errors) are confirmed on the full sets.
-4. Completion: a bucket that still holds several components gets the pairs between its largest component and the rest,
-   and among the rest, confirmed in the same way. Pairs inside a component can't change the result, and the pairs of a
-   group of near copies are never listed. Nothing is capped.
+4. Completion: buckets that still hold several components are joined to families. In a family all documents outside
+   its largest component are compared with all of it, in blocks of bounded size, by exact intersection counts; each task
+   gives the links that connect components, and no pair is ever a row. Nothing is capped.
 5. Components of the confirmed links, mapped back to all documents.
 
 Null, empty and white-space texts have an empty set and link with nothing. Rows that repeat a doc_id are one document if
@@ -23,14 +24,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_stored, joined, mixed, shingle_hashes, slabs, stored, table, word_hashes
+from .common import as_bytes, drop_stored, mixed, shingle_hashes, slabs, stored, table, word_hashes
 from .components import components
 
 _U = np.uint64
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
+#: Completion compares blocks of documents whose weights (shingles and a constant) sum to about this.
+ROW_WEIGHT, BLOCK_WEIGHT, COLUMNS = 256, 400_000, 2048
 #: Probability that two different values of a bucket compress to the same register: they need equal leading zeros (1/3)
 #: and equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -158,13 +161,88 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(joined(docs.select("doc_id", "text"), ids, "doc_id", "left_semi", 24).dropDuplicates(["doc_id"]), "texts")
+    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long"), "confirmed")
     drop_stored(texts)
     return out
 
 
+def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components that share a bucket: as many as connect what the links at hand leave
+    apart, out of all that there are. See step 4."""
+    placed = shared.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).where("lo < hi").select("key", "first")
+    open_ = stored(placed.join(open_keys, "key"), "open")
+    # who might belong together: an estimate from registers is no proof against a link, so all of a family are compared
+    family = components(open_.select(F.col("first").alias("a"), F.col("id").alias("b")).union(open_.select("id", "c")))
+    row = open_.select("id", "c").distinct().join(family, "id").join(classes.select("id", (F.col("n_shingles") + ROW_WEIGHT).alias("w")), "id")
+    row = stored(row.select(F.col("component").alias("family"), "id", "c", "w"), "family")
+    drop_stored(open_)
+    parts = row.groupBy("family", "c").agg(F.sum("w").alias("w"))
+    main = parts.groupBy("family").agg(F.max(F.struct("w", "c")).alias("m"), F.sum("w").alias("all"))
+    blocks = lambda w: F.greatest(F.ceil(w / F.lit(BLOCK_WEIGHT)), F.lit(1)).cast("int")
+    row = row.join(main.select("family", F.col("m.c").alias("main"), blocks(F.col("all")).alias("n_all"), blocks(F.col("all") - F.col("m.w")).alias("n_rest")), "family")
+    pick = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    as_every = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda i: F.struct(i.alias("rest"), pick(F.col("n_all")).alias("every"), F.lit(1).alias("side")))
+    as_rest = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda i: F.struct(pick(F.col("n_rest")).alias("rest"), i.alias("every"), F.lit(0).alias("side")))
+    sent = row.withColumn("t", F.explode(F.concat(as_every, F.when(F.col("c") == F.col("main"), F.slice(as_rest, 1, 0)).otherwise(as_rest))))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(row.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    tasks = sent.select("id", "c", "family", "t.*").join(texts, "id")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        sets = list(shingle_sets(list(rows["text"]), width))
+        ids, c, side = (rows[k].to_numpy() for k in ("id", "c", "side"))
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        common = intersections([sets[i] for i in x], [sets[i] for i in y])
+        size = np.array([len(s) for s in sets])
+        union = size[x][:, None] + size[y][None, :] - common
+        i, j = np.nonzero((100 * common >= percent * union) & (c[x][:, None] != c[y][None, :]))
+        root: dict[int, int] = {}
+
+        def find(k: int) -> int:
+            while root.get(k, k) != k:
+                root[k] = k = root.get(root[k], root[k])
+            return k
+
+        out = []
+        for u, v in zip(x[i].tolist(), y[j].tolist(), strict=True):
+            p, q = find(int(c[u])), find(int(c[v]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out.append((int(ids[u]), int(ids[v])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    return stored(tasks.groupBy("family", "rest", "every").applyInPandas(compare, "a long, b long"), "completed")
+
+
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``x`` with all of ``y``, as products of membership matrices over the
+    members that both sides have."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not x or not y:
+        return out.astype(np.int64)
+    flat = [np.concatenate(s) for s in (x, y)]
+    owner = [np.repeat(np.arange(len(s)), [len(e) for e in s]) for s in (x, y)]
+    names = np.intersect1d(*flat)
+    code = []
+    for k in (0, 1):
+        at = np.searchsorted(names, flat[k])
+        hit = (at < len(names)) & (names[np.minimum(at, max(len(names) - 1, 0))] == flat[k]) if len(names) else np.zeros(len(at), bool)
+        order = np.argsort(at[hit], kind="stable")
+        code.append((at[hit][order], owner[k][hit][order]))
+    for low in range(0, len(names), COLUMNS):
+        part = []
+        for k, n in ((0, len(x)), (1, len(y))):
+            a, b = np.searchsorted(code[k][0], (low, low + COLUMNS))
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[code[k][1][a:b], code[k][0][a:b] - low] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out.astype(np.int64)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     least = percent / 100
@@ -185,21 +263,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), BANDS), "key": keys.ravel()})
 
     bands = classes.select("id", "registers").mapInPandas(band, "id long, key long")
-    leaders = bands.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("_most")).where("leader < _most").drop("_most")
-    shared = stored(bands.join(leaders, "key"), "bands")  # only buckets of two classes or more
-    stars = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    crowds = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(bands.join(crowds, "key"), "bands")  # only buckets of two classes or more
+    company = shared.groupBy("id").agg(F.sum("n").alias("company"))
+    leaders = shared.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("m")).select("key", (-F.col("m.id")).alias("leader"))
+    shared = stored(shared.join(leaders, "key"), "led")
+    stars = shared.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _confirmed(_possible(stars, classes, least), docs, width, percent)
 
     groups = stored(components(links), "groups")
-    placed = shared.select("id", "key").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    open_ = stored(placed.join(mixed_keys, "key"), "open")
-    sizes = open_.groupBy("key", "c").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("c").alias("main"))).alias("m")).select("key", "m.main")
-    rest = open_.join(largest, "key").where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"))
-    cross = rest.join(open_, "key").where("c <> cx").select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    more = _confirmed(_possible(cross, classes, least), docs, width, percent)
+    more = _completed(shared, groups, classes, docs, width, percent)
     if not more.isEmpty():
         groups = stored(components(links.union(more)), "groups")
 
@@ -209,7 +282,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component = component.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     drop_stored(shared)
-    drop_stored(open_)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
