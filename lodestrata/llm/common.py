@@ -10,8 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if it was counted and holds no more bytes than this.
-BROADCAST_BYTES = 32 << 20
 #: What goes to Python at once: texts may be long, and each batch is held several times over.
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
 
@@ -55,14 +53,6 @@ def drop_stored(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def joined(big: DataFrame, small: DataFrame, on: str, how: str, row_bytes: int) -> DataFrame:
-    """Join a stored ``small`` side: broadcast if its counted rows times ``row_bytes`` stay under BROADCAST_BYTES,
-    else a shuffled join. Both give the same rows."""
-    if small.count() * row_bytes <= BROADCAST_BYTES:
-        small = F.broadcast(small)
-    return big.join(small, on, how)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> _U(33))

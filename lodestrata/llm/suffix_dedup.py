@@ -29,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CODES, as_bytes, joined, mixed, powers, slabs, stored, table
+from .common import CODES, as_bytes, mixed, powers, slabs, stored, table
 
 _U = np.uint64
-LENGTH, KGRAM = 100, 20
+LENGTH, KGRAM = 100, 32
 #: Bytes of ranges that one suffix array takes, and distinct ranges of an anchor that stay in one slab.
 SLAB, CROWDED = 2 << 20, 8192
 #: Texts are searched for anchors in parts that share length - 1 bytes, so that places fit these many bits.
@@ -156,9 +156,24 @@ def _ranges(docs: DataFrame, length: int, kgram: int) -> DataFrame:
             for slab in slabs(rows, lambda r: len(r[2])):
                 owner, start, windows, anchor, content = anchored_ranges([r[2] for r in slab], length, kgram)
                 ids, at = (np.array([r[k] for r in slab], np.int64) for k in (0, 1))
-                yield pd.DataFrame({"doc_id": ids[owner], "start": at[owner] + start, "windows": windows.astype(np.int32), "anchor": anchor, "content": content})
-
-    return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, start long, windows int, anchor long, content long")
+                ids, start = ids[owner], at[owner] + start
+                again = _again(ids, start, windows, anchor, content)
+                # what is known to repeat needs no company: it goes anywhere
+                anchor[again] = mixed((ids * 31 + start)[again].view(_U)).view(np.int64)
+                yield pd.DataFrame({"doc_id": ids, "start": start, "windows": windows.astype(np.int32), "anchor": anchor, "content": content, "again": again})
+
+    return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, start long, windows int, anchor long, content long, again boolean")
+
+
+def _again(ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Which ranges equal one at an earlier place among those given."""
+    order = np.lexsort((start, ids, windows, content, anchor))
+    a, c, w = anchor[order], content[order], windows[order]
+    head = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])))[: len(order)])
+    first = np.repeat(order[head], np.diff(np.append(head, len(order))))
+    out = np.zeros(len(order), bool)
+    out[order] = (ids[order] != ids[first]) | (start[order] != start[first])
+    return out
 
 
 def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
@@ -208,19 +223,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
     digests = texts.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
     heads = digests.groupBy("digest", "n").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_most")).where("head < _most")
     copies = stored(digests.join(heads, ["digest", "n"]).where("doc_id <> head").select("doc_id").distinct(), "copies")
-    once = joined(texts, copies, "doc_id", "left_anti", 16)
+    once = texts.join(copies, "doc_id", "left_anti")
 
-    by_anchor = Window.partitionBy("anchor")
+    by_anchor = Window.partitionBy("anchor", "again")
     found = _ranges(once, length, kgram).repartition("anchor")
-    found = found.withColumn("_n", F.rank().over(Window.partitionBy("anchor", "content", "windows").orderBy("doc_id", "start")))
-    found = found.withColumn("_all", F.count("*").over(by_anchor)).where("_all > 1")
+    found = found.withColumn("_n", F.rank().over(Window.partitionBy("anchor", "again", "content", "windows").orderBy("doc_id", "start")))
     found = found.withColumn("_kinds", F.sum(F.when(F.col("_n") == 1, 1).otherwise(0)).over(by_anchor))
+    found = found.withColumn("_n", F.when(F.col("again"), 2).otherwise(F.col("_n")))
     found = stored(found.where("_n > 1 or _kinds > 1").select("doc_id", "start", "windows", "anchor", "_n", "_kinds"), "ranges")
 
     # the first of each kind, where an anchor has several kinds, goes to the suffix arrays
     wanted = found.where("_n = 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", (F.col("_kinds") > CROWDED).alias("crowded"))).alias("ranges"))
-    wanted = stored(wanted, "wanted")
-    size = wanted.agg(F.sum(F.size("ranges"))).first()[0] or 0
 
     def cut(batches):
         for batch in batches:
@@ -237,8 +250,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
                         rows.append((r["anchor"], doc_id, start, raw[start : start + windows + length - 1]))
             yield pd.DataFrame(rows, columns=["key", "doc_id", "start", "bytes"])
 
-    rows = max(1, wanted.count())
-    strings = joined(once, wanted, "doc_id", "inner", 16 + 32 * size // rows).select("doc_id", "text", "ranges")
+    strings = once.join(wanted, "doc_id").select("doc_id", "text", "ranges")
     strings = strings.mapInPandas(cut, "key long, doc_id long, start long, bytes binary")
     spans = _sorted_slabs(strings, length).union(found.where("_n > 1").select("doc_id", "start", "windows"))
     packed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("start") * F.lit(1 << 20) + F.col("windows"))).alias("spans"))
@@ -258,9 +270,8 @@ def _covered(n: int, spans, length: int) -> np.ndarray:
 def _marked(docs: DataFrame, length: int, kgram: int) -> DataFrame:
     """``docs`` with _copy (its text is an earlier document's) and _spans."""
     spans, copies = repeated_spans(docs, length, kgram)
-    total = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    flags = joined(docs.withColumn("doc_id", F.col("doc_id").cast("long")), copies.withColumn("_copy", F.lit(True)), "doc_id", "left", 24)
-    return joined(flags, spans.withColumnRenamed("spans", "_spans"), "doc_id", "left", 24 + 8 * total // max(1, spans.count()))
+    found = copies.select("doc_id", F.lit(True).alias("_copy"), F.lit(None).cast("array<bigint>").alias("_spans")).union(spans.select("doc_id", F.lit(None), "spans"))
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left")
 
 
 def _kept_bytes(raw: bytes, copy, spans, length: int, whole_characters: bool = False) -> tuple[bytes, int, int]:
