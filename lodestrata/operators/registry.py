@@ -53,12 +53,15 @@ class InvalidFolder(RegistryError):
     pass
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
+
+
 def _schema(text: str) -> T.StructType:
     """'name type!, ...': an exclamation mark is NOT NULL."""
     fields = []
     for part in text.split(","):
         name, kind = part.split()
-        fields.append(T.StructField(name, T._parse_datatype_string(kind.rstrip("!")), not kind.endswith("!")))
+        fields.append(T.StructField(name, _TYPES[kind.rstrip("!")], not kind.endswith("!")))
     return T.StructType(fields)
 
 

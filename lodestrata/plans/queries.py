@@ -1,6 +1,231 @@
-"""Registered queries of the engine and the SQL they are checked against."""
+"""Registered queries of the engine, each over its whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestrata.functions import ids, text
+from lodestrata.operators import diff, embed, evaluate, registry, retrieve, segment
+from lodestrata.settings import Settings
+from lodestrata.sources.convert import convert_text
+
+from . import tables as t
+from .oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+SETTINGS = Settings()
+
+
+def child_windows(spark: SparkSession, d: str) -> DataFrame:
+    cut = t.files(spark, d).select("doc_id", F.posexplode(segment.windows(F.col("text"), SETTINGS.child_size, SETTINGS.child_overlap)).alias("child_index", "text"))
+    return cut.select("doc_id", F.col("child_index").cast("long").alias("child_index"), "text")
+
+
+def parent_ids(spark: SparkSession, d: str) -> DataFrame:
+    return t.files(spark, d).select("doc_id", ids.parent_id(F.col("file_name"), F.lit(0)).alias("parent_id"))
+
+
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    cut = t.markdown(spark, d).select("doc_id", F.posexplode(segment.sections(F.col("markdown"))).alias("i", "s"))
+    return cut.select("doc_id", F.col("i").cast("long").alias("section"), F.col("s.label").alias("label"), F.col("s.text").alias("text"))
+
+
+def merged_sections(spark: SparkSession, d: str) -> DataFrame:
+    cut = t.markdown(spark, d).select("doc_id", segment.sections(F.col("markdown")).alias("s")).select("doc_id", F.posexplode(segment.merged(F.col("s"), SETTINGS.merge_below)).alias("i", "m"))
+    return cut.select("doc_id", F.col("i").cast("long").alias("parent"), F.col("m.label").alias("label"), F.col("m.text").alias("text"))
+
+
+def packed_pieces(spark: SparkSession, d: str) -> DataFrame:
+    pieces = t.files(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")).select("doc_id", F.posexplode(segment.packed(F.col("text"), SETTINGS.split_above)).alias("i", "text"))
+    return pieces.select("doc_id", F.col("i").cast("long").alias("piece"), "text")
+
+
+def parents(spark: SparkSession, d: str) -> DataFrame:
+    return segment.parents(t.markdown(spark, d), SETTINGS)
+
+
+def children(spark: SparkSession, d: str) -> DataFrame:
+    return segment.children(parents(spark, d), SETTINGS)
+
+
+def fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    packed = t.files(spark, d).select("doc_id", ids.pack_fingerprint(F.sha2(F.col("text").cast("binary"), 256), F.octet_length("text")).alias("packed"))
+    parsed = ids.parse_fingerprint(F.col("packed"))
+    return packed.select("doc_id", "packed", parsed["digest"].alias("digest"), parsed["size"].alias("size_bytes"))
+
+
+def type_gate(spark: SparkSession, d: str) -> DataFrame:
+    kind = text.file_type("file_name")
+    return t.files(spark, d).select("doc_id", kind.alias("file_type"), kind.isin(*SETTINGS.supported_types).alias("supported"))
+
+
+def conversion_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    found = convert_text(F.col("file_type"), F.col("text").cast("binary"), SETTINGS)
+    return t.files(spark, d).select("doc_id", found.alias("c")).select("doc_id", "c.outcome", "c.markdown", "c.reason")
+
+
+def change_report(spark: SparkSession, d: str) -> DataFrame:
+    return diff.detect_changes(t.on_disk(spark, d), t.registered(spark, d), ("workspace_id",))
+
+
+def change_counts(spark: SparkSession, d: str) -> DataFrame:
+    return change_report(spark, d).groupBy("workspace_id", "change").agg(F.count("*").alias("n"))
+
+
+def removed_sweep(spark: SparkSession, d: str) -> DataFrame:
+    return diff.by_change(change_report(spark, d), diff.REMOVED).select("workspace_id", "file_name", "document_id")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    done = diff.sync_results(change_report(spark, d), t.conversions(spark, d), ("workspace_id",))
+    return done.select(F.concat_ws("/", "workspace_id", "file_name").alias("id"), F.col("workspace_id").alias("sync_run_id"), "document_id", "file_name", "result", "reason")
+
+
+def sync_items(spark: SparkSession, d: str) -> DataFrame:
+    return _items(spark, d)
+
+
+def run_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.run_counters(_items(spark, d))
+
+
+def run_history(spark: SparkSession, d: str) -> DataFrame:
+    runs = t.load(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").cast("string").alias("started_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("string")).alias("finished_at"))
+    return evaluate.run_history(runs)
+
+
+def run_detail(spark: SparkSession, d: str) -> DataFrame:
+    runs = t.workspaces(spark, d).select("id")
+    detail = evaluate.with_details(runs, _items(spark, d), "sync_run_id", ["file_name", "result"], ["file_name"], "items")
+    return detail.select("id", F.array_join(F.transform("items", lambda i: F.concat_ws("=", i["file_name"], i["result"])), ";").alias("items"))
+
+
+def _registry(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    runs = t.workspaces(spark, d)
+    return {
+        "workspace": runs.select("id", F.col("id").alias("name"), F.lit("/").alias("folder_path"), "legal_flag", F.lit(None).cast("timestamp").alias("created_at")),
+        "document": t.registered(spark, d).withColumn("last_synced_at", F.lit(None).cast("timestamp")),
+        "sync_run": runs.select("id", F.col("id").alias("workspace_id"), F.lit(None).cast("timestamp").alias("started_at"), F.lit(None).cast("timestamp").alias("finished_at"), *[F.lit(0).alias(r) for r in evaluate.RESULTS]),
+        "sync_item": _items(spark, d),
+    }
+
+
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that are left of each table when the legal workspaces go."""
+    left = registry.cascaded(_registry(spark, d), "workspace", t.workspaces(spark, d).where("legal_flag"))
+    counts = [df.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in left.items()]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.union(c)
+    return out
+
+
+def set_null(spark: SparkSession, d: str) -> DataFrame:
+    """The history when failed documents are deleted: it stays, without its references."""
+    tables = _registry(spark, d)
+    left = registry.cascaded(tables, "document", tables["document"].where("status = 'failed'"))
+    return left["sync_item"].select("id", "document_id", "result")
+
+
+def upsert(spark: SparkSession, d: str) -> DataFrame:
+    """The registry after changed and new files were taken in."""
+    changes = change_report(spark, d).where(F.col("change").isin(diff.NEW, diff.CHANGED))
+    fresh = changes.select(
+        F.coalesce("document_id", F.concat(F.lit("n"), "file_name")).alias("id"), "workspace_id", "file_name", "file_type", ids.pack_fingerprint(F.col("digest"), F.col("size_bytes")).alias("content_hash"),
+        F.lit(None).cast("int").alias("page_count"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("last_synced_at"),
+    )
+    return registry.upserted(_registry(spark, d)["document"], fresh).select("id", "workspace_id", "file_name", "content_hash", "status")
+
+
+def workspace_names(spark: SparkSession, d: str) -> DataFrame:
+    named = t.load(spark, d, "customer").select("c_custkey", F.concat(F.lit(" \t"), F.substring("c_name", 1, 200), F.lit("\n ")).alias("name"))
+    return registry.valid_names(named).select("c_custkey", "name", "valid")
+
+
+def prefixed(spark: SparkSession, d: str) -> DataFrame:
+    some = t.load(spark, d, "benchmark").where(F.length(text.strip("text")) > 0)
+    return some.select("item_id", embed.passage(F.col("text")).alias("passage"), embed.query(F.col("text")).alias("query"))
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    vectors = t.load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("string").alias("workspace_id"), F.col("embedding").alias("dense"))
+    return vectors.where(F.col("chunk_id") % 20 == 0).withColumnRenamed("chunk_id", "query_id"), vectors
+
+
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    hits = retrieve.dense_top_k(*_vectors(spark, d), SETTINGS.top_k)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    return t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("workspace_id"), "text")
+
+
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    chunks = t.files(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("workspace_id"), "text")
+    hits = retrieve.bm25_top_k(_questions(spark, d), chunks, SETTINGS.top_k, SETTINGS)
+    return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    chunks = t.embedded(spark, d)
+    queries = chunks.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "workspace_id", "text", "dense")
+    return queries, chunks, retrieve.hybrid_top_k(queries, chunks, settings=SETTINGS)
+
+
+def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d)[2].select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def _parents_of(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Chunks under a parent for each source of a workspace."""
+    named = chunks.withColumn("parent_id", F.concat_ws("/", "workspace_id", "source"))
+    rows = named.select("workspace_id", "parent_id", F.col("source").alias("source_file"), F.upper("source").alias("section_label"), F.col("parent_id").alias("text")).distinct()
+    return named, rows
+
+
+def parent_fetch(spark: SparkSession, d: str) -> DataFrame:
+    _, chunks, hits = _hybrid(spark, d)
+    named, rows = _parents_of(chunks)
+    return retrieve.with_parents(hits, named, rows).select("query_id", "workspace_id", "parent_id", F.col("rank").cast("long").alias("rank"), "section_label")
+
+
+def answers(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the best rank over a score bound become sources; queries without one are refused."""
+    queries, vectors = _vectors(spark, d)
+    named, rows = _parents_of(vectors.withColumn("source", F.concat(F.lit("s"), F.floor(F.col("chunk_id") / 100))))
+    good = retrieve.dense_top_k(queries, vectors, SETTINGS.top_k).where((F.col("score") > 0.45) & (F.col("chunk_id") != F.col("query_id")))
+    spaces = vectors.select(F.col("workspace_id").alias("id"), (F.col("workspace_id") == "1").alias("legal_flag")).distinct()
+    tries = queries.select("query_id", F.lit(0).alias("attempt"), F.col("query_id").cast("string").alias("search"))
+    out = retrieve.answers(queries, retrieve.with_parents(good, named, rows), tries, spaces)
+    sources = F.array_join(F.transform("sources", lambda s: s["file_name"]), ";")
+    return out.select("query_id", "kind", "refusal", sources.alias("sources"), F.array_join("searched", ";").alias("searched"), "disclaimer", F.col("retries").cast("long").alias("retries"))
+
+
+def evaluation_summary(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.evaluation_summary(t.evaluations(spark, d))
+    return out.select("eval_run_id", F.round("groundedness", 6).alias("groundedness"), F.round("relevancy", 6).alias("relevancy"), F.col("refusal_pass").cast("long").alias("refusal_pass"), F.col("refusal_total").cast("long").alias("refusal_total"))
+
+
+def release_gate(spark: SparkSession, d: str) -> DataFrame:
+    out = evaluate.release_gate(t.evaluations(spark, d), SETTINGS)
+    return out.select("eval_run_id", F.round("groundedness", 6).alias("groundedness"), "all_sourced", "passed", F.array_join("failing", ",").alias("failing"))
+
+
+def latency(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.latency(t.load(spark, d, "documents").select((F.col("n_chars") / 100.0).cast("double").alias("seconds")))
+
+
+def workspace_cap(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.over_cap(t.registered(spark, d), SETTINGS)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
+        run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
+        latency, workspace_cap,
+    )
+}

@@ -75,7 +75,7 @@ def plain_windows(text, size, overlap):
 def texts(seed, n):
     rng = random.Random(seed)
     bits = ["# One", "## Two  ", "### Trois", "#### four", "#tag", "``` py", "~~~", "  ```", "word", "été", "", "", " ", "x" * 30, "\U0001f600 end", "a\x0cb", "##\xa0Titre", " # no"]
-    ends = ["\n", "\n", "\n", "\r\n", "\x85", " "]
+    ends = ["\n", "\n", "\n", "\r\n", "\x85", "\u2028"]
     return ["".join(rng.choice(bits) + rng.choice(ends) for _ in range(rng.randint(0, 25))) for _ in range(n)]
 
 
