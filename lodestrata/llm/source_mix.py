@@ -76,7 +76,9 @@ def replicated(docs: DataFrame, weights: DataFrame | None = None, alpha: float =
         drawn = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
     u = _uniform(F.lit(seed), F.col("doc_id"))
     # the draw is worked out below the explode, so that texts are replicated last
-    count = drawn.withColumn("_u", u).withColumn("_n", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).where("_n > 0").drop("_cdf", "_source", "_u")
+    # the inverse is the number of sums under the uniform number: its place among them, once sorted in
+    place = F.array_position(F.sort_array(F.concat("_cdf", F.array(u))), u)
+    count = drawn.withColumn("_n", (place - 1).cast("int")).where("_n > 0").drop("_cdf", "_source")
     copies = count.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("copy")).cast("binary")))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
