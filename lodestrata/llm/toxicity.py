@@ -7,7 +7,8 @@ group's name). Terms in fewer than ``min_rows`` training rows, and terms whose
 label counts are within ``least_surprise`` standard errors of chance, have no weights: they would only add noise.
 
 Training: at most ``max_rows`` labelled rows, those with the least seeded hash of doc_id (so the sample is uniform,
-repeatable and bounded whatever the size), reduced to hashed terms on the executors. Only hashed terms and labels come
+repeatable and bounded whatever the size), reduced to hashed terms on the executors; of rows with equal terms one is
+used, or a copied document would teach its own words. Only hashed terms and labels come
 to the driver, which fits by AdaGrad. Rows of each class weigh so that classes balance; the intercept is then set so
 that 0.5 is the cut with the best F1 on rows of the sample held back from fitting.
 
@@ -30,7 +31,7 @@ from .common import NOT_TERM, as_bytes, slabs, table, word_hashes
 FEATURES, FACTORS = 1 << 18, 4
 #: Besides whole words, their first so many bytes are terms: insults are inflected and compounded.
 HEADS = (4, 5)
-MAX_ROWS, MIN_ROWS, SEED = 20_000, 5, 7
+MAX_ROWS, MIN_ROWS, SEED = 12_000, 5, 7
 
 _U = np.uint64
 
@@ -74,7 +75,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, min_rows: int = MIN_ROWS, least_surprise: float = 4.0, epochs: int = 15, rate: float = 0.2, decay: float = 2e-3, seed: int = SEED) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, min_rows: int = MIN_ROWS, least_surprise: float = 7.0, epochs: int = 15, rate: float = 0.2, decay: float = 2e-3, seed: int = SEED) -> Machine:
     """AdaGrad on the logistic loss, rows of both classes weighing the same in sum."""
     rng = np.random.default_rng(seed)
     common, toxic = np.zeros(features), np.zeros(features)
@@ -152,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     wanted = wanted.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows)
     # max_rows ids at most: small whatever the tables hold
-    found = _hashed(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    found = _hashed(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")).toPandas().drop_duplicates("doc_id").sort_values("doc_id").drop_duplicates("terms")
     return fit([np.frombuffer(x, "<i4") for x in found["terms"]], found["label"].to_numpy(np.float64))
 
 
