@@ -22,6 +22,11 @@ class SyncInProgress(RegistryError):
     pass
 
 
+_PARENT = "parent_index int, parent_id string, section_label string"
+_KEYS = "workspace_id string, source_file string"
+STORED = {"parents": f"{_PARENT}, text string, {_KEYS}", "children": f"{_PARENT}, child_index int, text string, dense array<float>, {_KEYS}"}
+
+
 @dataclass
 class ChunkStore:
     """Parents and children, partitioned by workspace and file, so that a file's rows are replaced as one unit."""
@@ -30,7 +35,7 @@ class ChunkStore:
     path: str
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(STORED[name]).parquet(f"{self.path}/{name}")
 
     def parents(self, workspace_id: str) -> DataFrame:
         return self._read("parents").where(F.col("workspace_id") == workspace_id)
