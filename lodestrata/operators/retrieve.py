@@ -49,11 +49,13 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def postings(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """workspace_id, chunk_id, term, tf, length: what the sparse index holds. Counting stays inside each chunk's row."""
-    with_terms = chunks.select("workspace_id", "chunk_id", terms(F.col(text)).alias("_t")).withColumn("length", F.size("_t"))
-    pairs = F.transform(F.array_distinct("_t"), lambda t: F.struct(t.alias("term"), (F.size("_t") - F.size(F.array_remove("_t", t))).alias("tf")))
-    return with_terms.select("workspace_id", "chunk_id", "length", F.explode(pairs).alias("p")).select("workspace_id", "chunk_id", "p.term", "p.tf", "length")
+def postings(chunks: DataFrame, wanted: DataFrame | None = None, text: str = "text") -> DataFrame:
+    """workspace_id, chunk_id, term, tf, length: what the sparse index holds, or its part for ``wanted`` (workspace_id,
+    term) alone, which is picked before anything is counted."""
+    words = chunks.select("workspace_id", "chunk_id", terms(F.col(text)).alias("_t")).select("workspace_id", "chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
+    if wanted is not None:
+        words = words.join(wanted, ["workspace_id", "term"], "left_semi")
+    return words.groupBy("workspace_id", "chunk_id", "term", "length").agg(F.count("*").alias("tf"))
 
 
 def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
@@ -64,7 +66,7 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, settings: Settings
     asked = queries.select("query_id", "workspace_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     sizes = chunks.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
     wanted = asked.select("workspace_id", "term").distinct()
-    found = postings(chunks).join(wanted, ["workspace_id", "term"], "left_semi")
+    found = postings(chunks, wanted)
     frequency = found.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
     idf = frequency.join(sizes, "workspace_id").select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))

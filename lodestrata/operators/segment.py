@@ -36,26 +36,36 @@ def sections(markdown: Column) -> Column:
     Fences toggle, whatever their kind; one that never closes swallows the rest. A heading stays as the label alone.
     Sections without text vanish, and text before the first heading has no label.
     """
-    start = F.struct(_empty("array<struct<label:string,lines:array<string>>>").alias("done"), F.lit(None).cast("string").alias("label"), _empty("array<string>").alias("body"), F.lit(False).alias("fenced"))
+    def cut(every: Column) -> Column:
+        # the label of each line that is a heading outside fences, and an empty string for all other lines
+        named = F.transform(every, lambda x: F.when(x.startswith("#"), heading(x)).otherwise(""))
+        return _let(F.when(F.exists(every, _may_fence), F.zip_with(named, _fenced(every), lambda x, inside: F.when(inside, "").otherwise(x))).otherwise(named), lambda labels: split(every, labels))
 
-    def step(s: Column, line: Column) -> Column:
-        def known(label: Column) -> Column:
-            cut = ~s["fenced"] & (label != "")
-            closed = F.concat(s["done"], F.array(F.struct(s["label"].alias("label"), s["body"].alias("lines"))))
-            return F.struct(
-                F.when(cut, closed).otherwise(s["done"]).alias("done"), F.when(cut, label).otherwise(s["label"]).alias("label"),
-                F.when(cut, _empty("array<string>")).otherwise(F.concat(s["body"], F.array(line))).alias("body"),
-                F.when(is_fence(line), ~s["fenced"]).otherwise(s["fenced"]).alias("fenced"),
-            )
+    def split(every: Column, labels: Column) -> Column:
+        n = F.size(every)
+        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(labels, i) != "")
+        return _let(heads, lambda h: F.transform(F.concat(F.array(F.lit(-1)), h), lambda at, k: section(every, labels, at, F.coalesce(F.get(h, k), n))))
 
-        return _let(heading(line), known)
+    def section(every: Column, labels: Column, at: Column, end: Column) -> Column:
+        label = F.when(at >= 0, F.get(labels, F.greatest(at, F.lit(0))))
+        return F.struct(label.alias("label"), strip(F.array_join(F.slice(every, at + 2, end - at - 1), "\n")).alias("text"))
 
-    def finish(s: Column) -> Column:
-        every = F.concat(s["done"], F.array(F.struct(s["label"].alias("label"), s["body"].alias("lines"))))
-        joined = F.transform(every, lambda x: F.struct(x["label"].alias("label"), strip(F.array_join(x["lines"], "\n")).alias("text")))
-        return F.filter(joined, lambda x: x["text"] != "")
+    return F.when(markdown.isNull(), _empty(_SECTIONS)).otherwise(F.filter(_let(lines(markdown), cut), lambda x: x["text"] != ""))
+
+
+def _may_fence(line: Column) -> Column:
+    return line.contains("```") | line.contains("~~~")
+
+
+def _fenced(every: Column) -> Column:
+    """Whether each line lies inside a fence; only worked out for documents that have fences."""
+    start = F.struct(F.lit(False).alias("inside"), _empty("array<boolean>").alias("all"))
+
+    def step(s: Column, line: Column) -> Column:
+        turn = F.when(_may_fence(line), is_fence(line)).otherwise(False)
+        return F.struct(F.when(turn, ~s["inside"]).otherwise(s["inside"]).alias("inside"), F.concat(s["all"], F.array(s["inside"])).alias("all"))
 
-    return F.when(markdown.isNull(), _empty(_SECTIONS)).otherwise(F.aggregate(lines(markdown), start, step, finish))
+    return F.aggregate(every, start, step, lambda s: s["all"])
 
 
 def merged_label(labels: Column) -> Column:
