@@ -17,14 +17,20 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: Every character that Unicode or Python takes as white space.
+WHITE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def strip(c: Column | str) -> Column:
     """Without Unicode white space at either end."""
-    return F.regexp_replace(_col(c), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def lines(c: Column | str) -> Column:
     """The lines of a text at any Unicode line boundary. An end of line at the very end leaves an empty last item."""
-    return F.split(_col(c), _LINE_END)
+    c = _col(c)
+    # plain newlines split without a regex
+    return F.when(c.rlike(r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), F.split(c, _LINE_END)).otherwise(F.split(c, "\n"))
 
 
 def unix_newlines(c: Column | str) -> Column:
