@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from pathlib import Path
 
 import numpy as np
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What goes to Python at once: texts may be long, and each batch is held several times over.
-ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
 _U = np.uint64
 
@@ -112,7 +116,23 @@ def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES, heads: tuple[in
     return np.stack([words, *cut], axis=1), count
 
 
-def slabs(items: list, size, most: int = 1 << 20):
+def frugal(function):
+    """A function for mapInPandas that hands memory back at the end of its partition: workers are kept, and what one
+    stage leaves in them would add up to what the next needs."""
+
+    def partition(batches):
+        try:
+            yield from function(batches)
+        finally:
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return partition
+
+
+def slabs(items: list, size, most: int = 1 << 18):
     """Runs of items of about ``most`` bytes, one item at least."""
     out, total = [], 0
     for x in items:

@@ -27,13 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_stored, mixed, shingle_hashes, slabs, stored, table, word_hashes
+from .common import as_bytes, drop_stored, frugal, mixed, shingle_hashes, slabs, stored, table, word_hashes
 from .components import components
 
 _U = np.uint64
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
 #: Completion compares blocks of documents whose weights (shingles and a constant) sum to about this.
-ROW_WEIGHT, BLOCK_WEIGHT, COLUMNS = 256, 400_000, 2048
+ROW_WEIGHT, BLOCK_WEIGHT, COLUMNS = 256, 200_000, 2048
 #: Probability that two different values of a bucket compress to the same register: they need equal leading zeros (1/3)
 #: and equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_a": a, "set_b": b, "registers": regs})
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(sign, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frugal(sign), schema)
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -144,7 +144,7 @@ def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb"))
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(sift, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(frugal(sift), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(compare, "a long, b long"), "confirmed")
+    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(frugal(compare), "a long, b long"), "confirmed")
     drop_stored(texts)
     return out
 
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                 keys = band_keys(np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(-1, BUCKETS))
                 yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), BANDS), "key": keys.ravel()})
 
-    bands = classes.select("id", "registers").mapInPandas(band, "id long, key long")
+    bands = classes.select("id", "registers").mapInPandas(frugal(band), "id long, key long")
     crowds = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(bands.join(crowds, "key"), "bands")  # only buckets of two classes or more
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))

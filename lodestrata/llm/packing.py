@@ -29,14 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import frugal, slabs, stored, table
 
 CAPACITY, END_ID = 4096, 1
-#: Distinct words kept per worker; the cache is emptied when it is full, which costs time and changes nothing.
-CACHED_WORDS = 1_000_000
-
-_HELD: dict[str, object] = {}
-
+#: Distinct words in each of the two generations that a task keeps. When the young one is full it becomes the old one, so
+#: words that come up again stay and rare ones go; that costs time and changes nothing.
+CACHED_WORDS = 300_000
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -44,45 +42,80 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """Word -> its ids as little-endian bytes. Words are independent: the tokenizer drops white space before merging."""
+class _Words:
+    """Word -> its ids as little-endian bytes. Words are independent: the tokenizer drops white space before merging.
+
+    New words of a text are encoded in one call, and told apart by their places in it."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        out = self.ids(word)
-        if len(word) < 64:
-            self[word] = out
-        return out
+    def learn(self, new: list[str]) -> None:
+        if len(self.known) >= CACHED_WORDS:
+            self.known, self.old = {}, self.known
+        for w in new:
+            if w in self.old:
+                self.known[w] = self.old[w]
+        if self.old:
+            new = [w for w in new if w not in self.old]
+        if not new:
+            return
+        plain = [w for w in new if w.isalpha()]  # one piece each to the tokenizer: its last token says so
+        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
+        ids = np.array(found, "<u4")
+        ends = np.flatnonzero(self.ending[ids]) + 1
+        if len(ends) == len(plain):
+            new = [w for w in new if not w.isalpha()]
+            self._keep(plain, ids, ends)
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        at = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+        self._keep(new, np.array(found.ids, "<u4"), np.searchsorted(at, np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)))
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        raw, cuts = ids.tobytes(), (4 * ends).tolist()
+        self.known.update(zip(words, [raw[i:j] for i, j in zip([0, *cuts], cuts, strict=False)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [None if _SEPARATORS.search(t) else _even(t).split() for t in texts]
+        every = set().union(*filter(None, split))
+        while new := every.difference(self.known):
+            self.learn(list(new))
+        return [self.ids(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
+
+
+def _even(text: str) -> str:
+    """The text with fewer different words, where its ids stay the same: marks that stand alone are words of their own to
+    the tokenizer, which lower-cases all but special tokens."""
+    if _JOINED.search(text):
+        return text
+    try:
+        text.encode("latin-1")  # in these characters lower case is one to one and needs no normal form
+        text = text.lower()
+    except UnicodeEncodeError:
+        pass
+    return text.replace(".", " .").replace(",", " ,")
 
 
 #: White space to str.split, but characters like any other to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Marks next to marks: the tokenizer may join them, or find a special token.
+_JOINED = re.compile(r"[^\w\s][^\w\s]|_")
 
 
 def encoder(path: str):
-    """text -> its ids as little-endian unsigned 32-bit bytes, the same as encoding the whole text at once."""
-    if path not in _HELD:
-        _HELD[path] = _Words(path)
-    words = _HELD[path]
-
-    def encode(text: str) -> bytes:
-        if _SEPARATORS.search(text):
-            return words.ids(text)
-        if text.isascii() and "<|" not in text:  # the tokenizer lower-cases all but special tokens
-            text = text.lower()
-        return b"".join(map(words.__getitem__, text.split()))
-
-    return encode
+    """texts -> their ids as little-endian unsigned 32-bit bytes, the same as encoding each whole text at once. All that
+    it holds goes with it."""
+    words = _Words(path)
+    return lambda texts: [ids for slab in slabs(texts, len) for ids in words.encode(slab)]
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -93,8 +126,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
         encode = encoder(path)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = (encode(text) if isinstance(text, str) else b"") + end
+            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+            for doc_id, ids in zip(batch["doc_id"], encode(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
@@ -102,7 +136,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
             yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frugal(cut), schema)
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -132,6 +166,17 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
         good = low[(free[low] > 0) & (free[gap - low] > (low * 2 == gap))]
         return (int(gap - good[0]), int(good[0])) if len(good) else None
 
+    def thirds(gap: int):
+        """Lengths that a pair sum may complete to ``gap``, longest first. After a few tries the sums of all pairs are
+        worked out as one set of bits, and only lengths whose complement is in it are tried."""
+        free = (np.flatnonzero(left[1:gap] > 0)[::-1] + 1).tolist()
+        yield from free[:8]
+        bits = sum(1 << b for b in free)
+        sums = 0
+        for b in free:
+            sums |= bits << b
+        yield from (b for b in free[8:] if sums >> (gap - b) & 1)
+
     open_gaps: dict[tuple[int, ...], int] = defaultdict(int)
     take((capacity,))
     for a in range(capacity - 1, 0, -1):
@@ -141,11 +186,7 @@ def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[in
                 continue
             if (two := pair(gap, (a,))) and take((a, *two)):
                 continue
-            for b in np.flatnonzero(left[1:gap] > 0)[::-1] + 1:
-                b = int(b)
-                if left[b] > (b == a) and (two := pair(gap - b, (a, b))) and take((a, b, *two)):
-                    break
-            else:
+            if not any(left[b] > (b == a) and (two := pair(gap - b, (a, b))) and take((a, b, *two)) for b in thirds(gap)):
                 break
     # best fit: a sequence with room is a pattern whose count is how many there are
     gaps: list[int] = []
@@ -222,7 +263,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> Data
             yield batch.drop(columns=["_rank", "_bucket"]).assign(sequence_id=sequence, offset=offset)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(place, f"{fields}, sequence_id long, offset long")
+    return ranked.mapInPandas(frugal(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CODES, as_bytes, mixed, powers, slabs, stored, table
+from .common import as_bytes, CODES, frugal, mixed, powers, slabs, stored, table
 
 _U = np.uint64
 LENGTH, KGRAM = 100, 32
@@ -162,7 +162,7 @@ def _ranges(docs: DataFrame, length: int, kgram: int) -> DataFrame:
                 anchor[again] = mixed((ids * 31 + start)[again].view(_U)).view(np.int64)
                 yield pd.DataFrame({"doc_id": ids, "start": start, "windows": windows.astype(np.int32), "anchor": anchor, "content": content, "again": again})
 
-    return docs.select("doc_id", "text").mapInPandas(find, "doc_id long, start long, windows int, anchor long, content long, again boolean")
+    return docs.select("doc_id", "text").mapInPandas(frugal(find), "doc_id long, start long, windows int, anchor long, content long, again boolean")
 
 
 def _again(ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -212,7 +212,7 @@ def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return strings.repartition("key").sortWithinPartitions("key").mapInPandas(sort_slabs, "doc_id long, start long, windows int")
+    return strings.repartition("key").sortWithinPartitions("key").mapInPandas(frugal(sort_slabs), "doc_id long, start long, windows int")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +251,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
             yield pd.DataFrame(rows, columns=["key", "doc_id", "start", "bytes"])
 
     strings = once.join(wanted, "doc_id").select("doc_id", "text", "ranges")
-    strings = strings.mapInPandas(cut, "key long, doc_id long, start long, bytes binary")
+    strings = strings.mapInPandas(frugal(cut), "key long, doc_id long, start long, bytes binary")
     spans = _sorted_slabs(strings, length).union(found.where("_n > 1").select("doc_id", "start", "windows"))
     packed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("start") * F.lit(1 << 20) + F.col("windows"))).alias("spans"))
     return stored(packed, "spans"), copies
@@ -303,7 +303,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     marked = _marked(docs.select("doc_id", "text"), length, kgram)
-    return marked.select("doc_id", "text", "_copy", "_spans").mapInPandas(report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return marked.select("doc_id", "text", "_copy", "_spans").mapInPandas(frugal(report), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NOT_TERM, as_bytes, slabs, table, word_hashes
+from .common import as_bytes, frugal, NOT_TERM, slabs, table, word_hashes
 
 FEATURES, FACTORS = 1 << 18, 4
 #: Besides whole words, their first so many bytes are terms: insults are inflected and compounded.
@@ -122,6 +122,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
     check = np.flatnonzero(held) if held.any() and labels[held].max() == 1 else fitted
     raw = machine.raw([rows[i] for i in check])
     machine.intercept -= best_cut(raw, labels[check])
+    machine.weights, machine.factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
     return machine
 
 
@@ -145,7 +146,7 @@ def _hashed(texts: DataFrame) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [t.astype("<i4").tobytes() for t in terms(list(batch["text"]))]})
 
-    return texts.select("doc_id", "label", "text").mapInPandas(reduce, "doc_id long, label int, terms binary")
+    return texts.select("doc_id", "label", "text").mapInPandas(frugal(reduce), "doc_id long, label int, terms binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
