@@ -17,9 +17,7 @@ QUERIES = {
     "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {
+ORACLE_SQL = {
     "op1_preference_pairs": preference.ORACLE_SQL,
-    "op2_license_scan": licenses.query,
-    "op3_bloom_fingerprints": iblt.query,
     "op4_poisson_mix": source_mix.ORACLE_SQL,
 }
