@@ -18,13 +18,13 @@ from lodestrata.settings import Settings
 FEW_QUERIES, SALTS = 256, 64
 
 
-def _met(queries: DataFrame, chunks: DataFrame, salt_on: str) -> DataFrame:
-    """Every query with every chunk of its workspace; ``_salt`` spreads what follows."""
+def _met(queries: DataFrame, chunks: DataFrame, salt_on: str, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """Every query with every chunk of equal ``keys``; ``_salt`` spreads the chunks, and what follows."""
     salted = chunks.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int"))
-    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
-        return salted.join(F.broadcast(queries), "workspace_id")
     spread = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(spread, ["workspace_id", "_salt"])
+    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
+        spread = F.broadcast(spread)
+    return salted.join(spread, [*keys, "_salt"])
 
 
 def top(hits: DataFrame, k: int, by: Column, tie: str, salt: str | None = None) -> DataFrame:
@@ -133,7 +133,8 @@ def ask(
 
 def route_workspace(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The workspace whose ``k`` best chunks have the largest sum of scores, for queries (query_id, dense) without one."""
-    every = queries.crossJoin(F.broadcast(chunks.select("workspace_id").distinct())) if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES else queries.join(chunks.select("workspace_id").distinct())
-    asked = every.select(F.struct("query_id", "workspace_id").alias("query_id"), "workspace_id", "dense")
-    sums = dense_top_k(asked, chunks, k).groupBy("query_id").agg(F.sum("score").alias("score")).select("query_id.*", "score")
+    q = queries.select(F.col("query_id").alias("_id"), F.col("dense").alias("_q"))
+    met = _met(q, chunks.select("chunk_id", "workspace_id", "dense"), "chunk_id", ())
+    scored = met.select(F.struct(F.col("_id").alias("query_id"), "workspace_id").alias("query_id"), "chunk_id", "_salt", dot(F.col("_q"), F.col("dense")).alias("score"))
+    sums = top(scored, k, F.col("score"), "chunk_id", "_salt").groupBy("query_id").agg(F.sum("score").alias("score")).select("query_id.*", "score")
     return top(sums, 1, F.round("score", 9), "workspace_id").select("query_id", "workspace_id", "score")
