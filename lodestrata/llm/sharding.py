@@ -8,6 +8,7 @@ deals records out so that counts differ by one at most (law ``rows``). A rerun o
 The number of buckets follows the bytes: ``total / bucket_bytes``. Their counts (a few bytes a bucket) are the only
 thing the driver sees. Null texts have size 1 and crc 0. Rows that repeat a doc_id get places of their own; rows equal
 in id and text go to the same bucket. An empty table gives no rows; other columns ride along untouched.
+Where one has the name of an added column, that one gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, table
+from .common import as_bytes, free_name, table
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 16 << 20
 
@@ -45,21 +46,20 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
     counts = {int(b): int(n) for b, n in df.groupBy(spread(n_buckets)).count().collect()}
     first = np.concatenate(([0], np.cumsum([counts.get(b, 0) for b in range(n_buckets)])))
 
+    added = T.StructType([T.StructField(free_name(df.columns, f.name), f.dataType) for f in _ADDED])
     names = [f.name for f in df.schema]
 
     def shuffle_bucket(group: tuple[np.int64, ...], rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(group[0])
         raw = [as_bytes(x) for x in rows[text]]
-        rows = rows.assign(size=[len(x) + 1 for x in raw], text_crc32=[zlib.crc32(x) for x in raw])
-        rows = rows.sort_values([key, "text_crc32", "size"], kind="stable").reset_index(drop=True)
-        rows = rows.iloc[fisher_yates(len(rows), seed ^ (bucket + 1) << 20)].reset_index(drop=True)
+        crc, size = np.array([zlib.crc32(x) for x in raw], np.int64), np.array([len(x) + 1 for x in raw], np.int64)
+        order = pd.DataFrame({"key": rows[key], "crc": crc, "size": size}).reset_index(drop=True).sort_values(["key", "crc", "size"], kind="stable").index.to_numpy()
+        order = order[fisher_yates(len(rows), seed ^ (bucket + 1) << 20)]
         position = first[bucket] + np.arange(len(rows))
-        return rows.assign(position=position, shard=(position % shards).astype(np.int32), slot=position // shards)[[*names, *_ADDED.names]]
+        new = dict(zip(added.names, (size[order], crc[order], position, (position % shards).astype(np.int32), position // shards), strict=True))
+        return rows.iloc[order].reset_index(drop=True).assign(**new)[[*names, *added.names]]
 
-    clash = {"size", "text_crc32", "position", "shard", "slot"} & set(names)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)}: the operator adds these names")
-    return df.groupBy(spread(n_buckets).alias("_bucket")).applyInPandas(shuffle_bucket, T.StructType([*df.schema.fields, *_ADDED.fields]))
+    return df.groupBy(spread(n_buckets).alias(free_name(df.columns, "_bucket"))).applyInPandas(shuffle_bucket, T.StructType([*df.schema.fields, *added.fields]))
 
 
 _ADDED = T.StructType([T.StructField("size", T.LongType()), T.StructField("text_crc32", T.LongType()), T.StructField("position", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])

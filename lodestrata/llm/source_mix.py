@@ -11,7 +11,7 @@ small, and else joined on salted keys, so a source with a third of all rows is s
 
 Null sources are a source of their own; null and empty texts have the size of their terminator, 1 byte. Rows that repeat
 a doc_id get the same count. Sources without a weight get none of the mix. An empty table gives no rows. Other columns
-ride along; a column named ``copy`` or ``shuffle_key`` is an error, as the operator adds these.
+ride along; where one is called ``copy`` or ``shuffle_key``, the operator's column gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 
 SEED, ALPHA = 11, 0.7
 #: Sources that may be broadcast, and the parts that a source is dealt to beyond that.
@@ -63,25 +63,23 @@ def repetition_rates(docs: DataFrame, weights: DataFrame | None = None, alpha: f
 
 def replicated(docs: DataFrame, weights: DataFrame | None = None, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, source and any other columns) as often as drawn, with copy (from 1) and shuffle_key."""
-    clash = {"copy", "shuffle_key"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename the columns {sorted(clash)}: the operator adds these names")
-    table_ = repetition_rates(docs, weights, alpha).select(F.col("source").alias("_source"), _cdf(F.col("rate")).alias("_cdf"))
-    table_ = stored(table_, "rates")
-    same = F.col("source").eqNullSafe(F.col("_source"))
-    if table_.count() <= FEW_SOURCES:
-        drawn = docs.join(F.broadcast(table_), same)
+    name = {x: free_name(docs.columns, x) for x in ("copy", "shuffle_key", "_source", "_cdf", "_n", "_salt", "_part")}
+    rates = repetition_rates(docs, weights, alpha).select(F.col("source").alias(name["_source"]), _cdf(F.col("rate")).alias(name["_cdf"]))
+    rates = stored(rates, "rates")
+    same = F.col("source").eqNullSafe(F.col(name["_source"]))
+    if rates.count() <= FEW_SOURCES:
+        drawn = docs.join(F.broadcast(rates), same)
     else:
-        salted = table_.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        drawn = docs.withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("_part") == F.col("_salt"))).drop("_part", "_salt")
-    u = _uniform(F.lit(seed), F.col("doc_id"))
-    # the draw is worked out below the explode, so that texts are replicated last
+        salted = rates.withColumn(name["_salt"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        parted = docs.withColumn(name["_part"], F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+        drawn = parted.join(salted, same & (F.col(name["_part"]) == F.col(name["_salt"])))
     # the inverse is the number of sums under the uniform number: its place among them, once sorted in
-    place = F.array_position(F.sort_array(F.concat("_cdf", F.array(u))), u)
-    count = drawn.withColumn("_n", (place - 1).cast("int")).where("_n > 0").drop("_cdf", "_source")
-    copies = count.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
-    keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col("copy")).cast("binary")))
-    return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    u = _uniform(F.lit(seed), F.col("doc_id"))
+    place = F.array_position(F.sort_array(F.concat(F.col(name["_cdf"]), F.array(u))), u)
+    count = drawn.withColumn(name["_n"], (place - 1).cast("int")).where(F.col(name["_n"]) > 0).select(*docs.columns, name["_n"])
+    copies = count.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["_n"])))).drop(name["_n"])
+    keyed = copies.withColumn(name["shuffle_key"], F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col(name["copy"])).cast("binary")))
+    return keyed.repartition(F.col(name["shuffle_key"])).sortWithinPartitions(name["shuffle_key"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

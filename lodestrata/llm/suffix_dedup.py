@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, CODES, frugal, mixed, powers, slabs, stored, table
+from .common import as_bytes, CODES, free_name, frugal, mixed, powers, slabs, stored, table
 
 _U = np.uint64
 LENGTH, KGRAM = 100, 32
@@ -267,11 +267,12 @@ def _covered(n: int, spans, length: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def _marked(docs: DataFrame, length: int, kgram: int) -> DataFrame:
-    """``docs`` with _copy (its text is an earlier document's) and _spans."""
+def _marked(docs: DataFrame, length: int, kgram: int) -> tuple[DataFrame, str, str]:
+    """``docs`` with two columns more, and their names: whether its text is an earlier document's, and its spans."""
     spans, copies = repeated_spans(docs, length, kgram)
-    found = copies.select("doc_id", F.lit(True).alias("_copy"), F.lit(None).cast("array<bigint>").alias("_spans")).union(spans.select("doc_id", F.lit(None), "spans"))
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left")
+    copy, own = free_name(docs.columns, "_copy"), free_name(docs.columns, "_spans")
+    found = copies.select("doc_id", F.lit(True).alias(copy), F.lit(None).cast("array<bigint>").alias(own)).union(spans.select("doc_id", F.lit(None), "spans"))
+    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left"), copy, own
 
 
 def _kept_bytes(raw: bytes, copy, spans, length: int, whole_characters: bool = False) -> tuple[bytes, int, int]:
@@ -302,7 +303,7 @@ def removal_report(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
                 rows.append((doc_id, len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    marked = _marked(docs.select("doc_id", "text"), length, kgram)
+    marked, _, _ = _marked(docs.select("doc_id", "text"), length, kgram)
     return marked.select("doc_id", "text", "_copy", "_spans").mapInPandas(frugal(report), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -313,8 +314,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -
     def cut(text: pd.Series, copy: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or not (c is True or s is not None) else _kept_bytes(as_bytes(t), c, s, length, True)[0].decode("utf-8", "surrogatepass") for t, c, s in zip(text, copy, spans, strict=True)])
 
-    marked = _marked(docs, length, kgram)
-    return marked.withColumn("text", cut("text", "_copy", "_spans")).select(*docs.columns)
+    marked, copy, spans = _marked(docs, length, kgram)
+    return marked.withColumn("text", cut("text", copy, spans)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, frugal, NOT_TERM, slabs, table, word_hashes
+from .common import as_bytes, free_name, frugal, NOT_TERM, slabs, table, word_hashes
 
 FEATURES, FACTORS = 1 << 18, 4
 #: Besides whole words, their first so many bytes are terms: insults are inflected and compounded.
@@ -158,20 +158,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     return fit([np.frombuffer(x, "<i4") for x in found["terms"]], found["label"].to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """``docs`` with toxicity, a double from 0 to 1."""
+def scored(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:
+    """``docs`` with the score as ``name``, a double from 0 to 1; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by the number of features
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series(held.value.scores(terms(list(text))))
 
-    return docs.withColumn("toxicity", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the machine doesn't take as toxic, with the columns they came with."""
-    return scored(docs, train(docs, labels)).where("toxicity < 0.5").select(*docs.columns)
+    name = free_name(docs.columns, "toxicity")
+    return scored(docs, train(docs, labels), name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

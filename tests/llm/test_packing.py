@@ -11,16 +11,19 @@ from lodestrata.llm import packing as p
 from .fixtures import corpus, frame
 
 
-def test_word_by_word_encoding_is_that_of_whole_texts():
+def test_word_by_word_encoding_is_that_of_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(p.vocabulary_path())
-    encode = p.encoder(p.vocabulary_path())
     rng = random.Random(4)
-    odd = ["don't", "WE'LL.", "ǅ", "Σίσυφος", "ΟΔΟΣ.", "é", "́x", "İ", "a b", "x y", "½", "3.14.", "...", "!?", "​", "<|endoftext|>", "<|ENDOFTEXT|>.", "\x1c", "\x85", "ﬁ", "日本語。", "١٢٣", "a.b,c!", "'s", "x's.", "\U0001f600!", "ÀÉ.", "ẞß", "ÿŸ", "µ²", "\xad."]
+    odd = ["don't", "WE'LL.", "ǅ", "Σίσυφος", "ΟΔΟΣ.", "é", "́x", "İ", "a b", "x y", "½", "3.14.", "...", "!?", "​", "<|endoftext|>", "<|ENDOFTEXT|>.", "\x1c", "\x85", "ﬁ", "日本語。", "١٢٣", "a.b,c!", "'s", "x's.", "\U0001f600!", "ÀÉ.", "ẞß", "ÿŸ", "µ²", "\xad.", "a_.", "_", "-,", ",-"]
     texts = [t or "" for _, t in corpus(2, 40)] + ["".join(rng.choice(odd) + rng.choice(["", " ", "  ", "\n"]) for _ in range(12)) for _ in range(300)]
-    for t, ids in zip(texts, encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    for cached in (300_000, 20):
+        monkeypatch.setattr(p, "CACHED_WORDS", cached)
+        with p.encoder(p.vocabulary_path()) as encode:
+            found = encode(texts)
+        for t, ids in zip(texts, found, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -50,10 +53,11 @@ def test_packed_documents_rebuild(spark):
     found = packed.toPandas().sort_values(["sequence_id", "offset"])
     ends = found.groupby("sequence_id")["length"].cumsum()
     assert (ends - found["length"] == found["offset"]).all() and ends.max() <= 64
-    whole = p.encoder(p.vocabulary_path())
     want = Counter()
-    for i, t in rows:
-        ids = whole([t or ""])[0] + b"\1\0\0\0"
+    with p.encoder(p.vocabulary_path()) as encode:
+        whole = encode([t or "" for _, t in rows])
+    for (i, _), ids in zip(rows, whole, strict=True):
+        ids += b"\1\0\0\0"
         for k, at in enumerate(range(0, len(ids), 256)):
             want[(i, k, at // 4, len(ids[at : at + 256]) // 4, zlib.crc32(ids[at : at + 256]))] += 1
     assert Counter(map(tuple, found[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))) == want

@@ -8,7 +8,8 @@ from .fixtures import corpus, frame
 
 def test_stages_in_order(spark, tmp_path):
     rows = corpus(11, 60)
-    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    clashing = {c: F.lit("own") for c in ("copy", "toxicity", "_copy", "_spans", "shuffle_key", "kept", "_had", "_source")}
+    frame(spark, rows).withColumns(clashing).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 0) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, texts = docs.columns, {i: t for i, t in rows}
@@ -16,6 +17,7 @@ def test_stages_in_order(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == columns
         kept = out.collect()
+        assert all(r[c] == "own" for r in kept for c in clashing)
         before = {r.doc_id for r in docs.select("doc_id").collect()}
         assert {r.doc_id for r in kept} <= before
         if name == "toxicity":
