@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import hyperminhash, packing, source_mix, suffix_dedup, toxicity
-from lodestrata.llm.common import stored, table
+from lodestrata.llm.common import free_name, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 100 bytes or more that occur earlier are cut out, to whole characters; documents of which nothing is
     left go."""
-    cut = suffix_dedup.without_repeats(docs.withColumn("_had", F.length("text")))
-    cut = cut.where("_had IS NULL OR _had = 0 OR length(text) > 0").drop("_had")
+    had = free_name(docs.columns, "_had")
+    cut = suffix_dedup.without_repeats(docs.withColumn(had, F.coalesce(F.length("text"), F.lit(0))))
+    cut = cut.where((F.col(had) == 0) | (F.length("text") > 0))
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*docs.columns)
 
 
