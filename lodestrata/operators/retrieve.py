@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.vectors import dot
 from lodestrata.settings import Settings
 
-FEW_QUERIES, SALTS = 256, 64
+FEW_QUERIES, FEW_TERMS, SALTS = 256, 100_000, 64
 
 
 def _met(queries: DataFrame, chunks: DataFrame, salt_on: str, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
@@ -65,12 +65,14 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, settings: Settings
     k1, b = settings.bm25_k1, settings.bm25_b
     asked = queries.select("query_id", "workspace_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     sizes = chunks.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
+    # a hot term's postings stay where they are if what is asked for was counted as small; else they are dealt by term
+    small = F.broadcast if asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS else lambda df: df
     wanted = asked.select("workspace_id", "term").distinct()
-    found = postings(chunks, wanted)
+    found = postings(chunks, small(wanted))
     frequency = found.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
     idf = frequency.join(sizes, "workspace_id").select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    parts = found.join(idf, ["workspace_id", "term"]).select("workspace_id", "term", "chunk_id", weight.alias("w")).join(asked, ["workspace_id", "term"])
+    parts = found.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "term", "chunk_id", weight.alias("w")).join(small(asked), ["workspace_id", "term"])
     return top(parts.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score")), k, F.round("score", 9), "chunk_id")
 
 
