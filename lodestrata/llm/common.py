@@ -12,7 +12,6 @@ from pathlib import Path
 import numpy as np
 import pyarrow
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: What goes to Python at once: texts may be long, and each batch is held several times over.
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}

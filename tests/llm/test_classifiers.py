@@ -3,7 +3,6 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lodestrata.llm import licenses, toxicity
 
