@@ -19,6 +19,9 @@ its pieces as often (``copy`` tells them apart). An empty table gives no rows. O
 
 from __future__ import annotations
 
+import contextlib
+import itertools
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -29,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, slabs, stored, table
+from .common import frugal, slabs, stored, table, tune
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words in each of the two generations that a task keeps. When the young one is full it becomes the old one, so
-#: words that come up again stay and rare ones go; that costs time and changes nothing.
-CACHED_WORDS = 300_000
+#: words that come up again stay and rare ones go. The first words of a process's first task are left to the next. All that
+#: changes nothing but time.
+CACHED_WORDS, FIRST_WORDS = 400_000, 100_000
+
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
@@ -50,11 +55,14 @@ class _Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ending = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ending[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are as many as cores already
+        if path not in _LOADED:
+            tokenizer = Tokenizer.from_file(path)
+            ending = np.zeros(tokenizer.get_vocab_size(), bool)
+            ending[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+            _LOADED[path] = tokenizer, ending
+        self.tokenizer, self.ending = _LOADED[path]
+        self.known, self.old = dict(_FIRST.get(path, ())), {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -67,11 +75,9 @@ class _Words:
                 self.known[w] = self.old[w]
         if self.old:
             new = [w for w in new if w not in self.old]
-        if not new:
-            return
         plain = [w for w in new if w.isalpha()]  # one piece each to the tokenizer: its last token says so
-        found = self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids
-        ids = np.array(found, "<u4")
+        parts = self.tokenizer.encode_batch_fast([" ".join(plain[i : i + 2000]) for i in range(0, len(plain), 2000)], add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, "<u4"), *[np.array(x.ids, "<u4") for x in parts]])
         ends = np.flatnonzero(self.ending[ids]) + 1
         if len(ends) == len(plain):
             new = [w for w in new if not w.isalpha()]
@@ -92,6 +98,12 @@ class _Words:
         return [self.ids(t) if w is None else b"".join(map(self.known.__getitem__, w)) for t, w in zip(texts, split, strict=True)]
 
 
+#: The tokenizer and which of its tokens end a word, by path: loading it again and again would leave memory behind.
+_LOADED: dict[str, tuple] = {}
+#: The words that the first task of the process met first, by tokenizer: common ones, which all later tasks meet too.
+_FIRST: dict[str, dict[str, bytes]] = {}
+
+
 def _even(text: str) -> str:
     """The text with fewer different words, where its ids stay the same: marks that stand alone are words of their own to
     the tokenizer, which lower-cases all but special tokens."""
@@ -107,33 +119,36 @@ def _even(text: str) -> str:
 
 #: White space to str.split, but characters like any other to the tokenizer.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Marks next to marks: the tokenizer may join them, or find a special token.
-_JOINED = re.compile(r"[^\w\s][^\w\s]|_")
+#: Full stops and commas next to other marks, which the tokenizer may join them to, and what may be a special token.
+_JOINED = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s][.,])|(?<=_[.,]))|<\|")
 
 
+@contextlib.contextmanager
 def encoder(path: str):
-    """texts -> their ids as little-endian unsigned 32-bit bytes, the same as encoding each whole text at once. All that
-    it holds goes with it."""
+    """texts -> their ids as little-endian unsigned 32-bit bytes, the same as encoding each whole text at once."""
     words = _Words(path)
-    return lambda texts: [ids for slab in slabs(texts, len) for ids in words.encode(slab)]
+    yield lambda texts: [ids for slab in slabs(texts, len) for ids in words.encode(slab)]
+    if path not in _FIRST:
+        _FIRST[path] = dict(itertools.islice(words.known.items(), FIRST_WORDS))
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids: little-endian bytes) of each piece of each row of ``docs``."""
     end = np.array([end_id], "<u4").tobytes()
+    tune(docs.sparkSession)
 
     def cut(batches):
-        encode = encoder(path)
-        for batch in batches:
-            rows = []
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            for doc_id, ids in zip(batch["doc_id"], encode(texts), strict=True):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-            yield pd.DataFrame(rows, columns=names)
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+        with encoder(path) as encode:
+            for batch in batches:
+                rows = []
+                texts = [t if isinstance(t, str) else "" for t in batch["text"]]
+                for doc_id, ids in zip(batch["doc_id"], encode(texts), strict=True):
+                    ids += end
+                    for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[at : at + 4 * capacity]
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frugal(cut), schema)
@@ -248,13 +263,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> Data
     totals = per_bucket.groupby("length")["_n"].sum()
     slots = _slots(plan_runs({int(k): int(v) for k, v in totals.items()}, capacity))
     before = per_bucket.groupby("length")["_n"].cumsum() - per_bucket["_n"]
-    firsts = {(int(x), int(b)): int(n) for x, b, n in zip(per_bucket["length"], per_bucket["_bucket"], before, strict=True)}
+    firsts = np.zeros((capacity + 1, buckets), np.int64)
+    firsts[per_bucket["length"], per_bucket["_bucket"]] = before
     order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = spread.withColumn("_rank", F.row_number().over(order) - 1)
 
     def place(batches):
         for batch in batches:
-            rank = batch["_rank"].to_numpy(np.int64) + np.fromiter((firsts[k] for k in zip(batch["length"], batch["_bucket"], strict=True)), np.int64, len(batch))
+            rank = batch["_rank"].to_numpy(np.int64) + firsts[batch["length"], batch["_bucket"]]
             sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             for length, rows in batch.groupby("length").indices.items():
                 first, to, at = slots[int(length)]
