@@ -19,12 +19,17 @@ ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.executio
 _U = np.uint64
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def tune(spark: SparkSession) -> None:
+    """Settings that the Python passes of this package need, made before each of them."""
     context = spark.sparkContext
     if context.master.startswith("local["):  # Python workers of this machine find the package wherever they start;
         context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # a cluster installs it
     for key, most in ARROW.items():
         spark.conf.set(key, most)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    tune(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

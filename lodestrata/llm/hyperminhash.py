@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_stored, frugal, mixed, shingle_hashes, slabs, stored, table, word_hashes
+from .common import as_bytes, drop_stored, frugal, mixed, shingle_hashes, slabs, stored, table, tune, word_hashes
 from .components import components
 
 _U = np.uint64
@@ -246,6 +246,7 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     least = percent / 100
+    tune(docs.sparkSession)
     signed = stored(signatures(docs, width), "signatures")
     full = signed.where("n_shingles > 0")
     # equal sets are one class; a doc_id that repeats with other texts is one document in several classes

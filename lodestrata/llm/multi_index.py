@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tune
 
 BITS, CHUNKS, WIDTH = 128, 16, 8
 SAMPLE, BLOCK, QUERY_BLOCK, KEEP, SEED = 20_000, 8192, 1024, 0.98, 5
@@ -130,6 +130,7 @@ def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
 def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sample: int = SAMPLE, block: int = BLOCK, id_: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest candidates found for each query."""
     schema = "query_id long, vec_id long, score double"
+    tune(candidates.sparkSession)
     every, asked = usable(candidates, id_, vector), usable(queries, id_, vector)
     drawn = every.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample).toPandas()  # ``sample`` vectors at most
     if not len(drawn):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, table
+from .common import as_bytes, free_name, table, tune
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 16 << 20
 
@@ -39,6 +39,7 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
 
 def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with size, text_crc32, position, shard and slot; rows of one bucket follow each other in their new order."""
+    tune(df.sparkSession)
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     spread = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n))
     total = df.agg(F.sum(size)).first()[0] or 0

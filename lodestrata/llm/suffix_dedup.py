@@ -23,13 +23,14 @@ lose nothing. An empty table gives no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, CODES, free_name, frugal, mixed, powers, slabs, stored, table
+from .common import as_bytes, CODES, free_name, frugal, mixed, powers, slabs, stored, table, tune
 
 _U = np.uint64
 LENGTH, KGRAM = 100, 32
@@ -218,6 +219,7 @@ def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> tuple[DataFrame, DataFrame]:
     """(doc_id, spans): start * 2**20 + windows of covered runs of the documents that have some; and (doc_id) of the
     documents whose whole text is an earlier one's."""
+    tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.where(F.octet_length("text") >= length)
     digests = texts.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
@@ -310,9 +312,14 @@ def removal_report(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
 def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
     """``docs`` with repeated passages cut out of text, to whole characters; all other columns as they were."""
 
+    def shortened(text, copy, spans):
+        if text is None or (copy is not True and spans is None):
+            return text
+        return _kept_bytes(as_bytes(text), copy, spans, length, True)[0].decode("utf-8", "surrogatepass")
+
     @F.pandas_udf("string")
-    def cut(text: pd.Series, copy: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or not (c is True or s is not None) else _kept_bytes(as_bytes(t), c, s, length, True)[0].decode("utf-8", "surrogatepass") for t, c, s in zip(text, copy, spans, strict=True)])
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        yield from frugal(lambda parts: (pd.Series([shortened(*row) for row in zip(*part, strict=True)], dtype=object) for part in parts))(batches)
 
     marked, copy, spans = _marked(docs, length, kgram)
     return marked.withColumn("text", cut("text", copy, spans)).select(*docs.columns)

@@ -19,6 +19,7 @@ source and doc_id are never inputs; other columns ride along.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, frugal, NOT_TERM, slabs, table, word_hashes
+from .common import as_bytes, free_name, frugal, NOT_TERM, slabs, table, tune, word_hashes
 
 FEATURES, FACTORS = 1 << 18, 4
 #: Besides whole words, their first so many bytes are terms: insults are inflected and compounded.
@@ -151,6 +152,7 @@ def _hashed(texts: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
     """A machine from labelled rows whose crc32(doc_id) modulo 5 isn't 0, ``max_rows`` at most."""
+    tune(docs.sparkSession)
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     wanted = wanted.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows)
     # max_rows ids at most: small whatever the tables hold
@@ -161,10 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 def scored(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:
     """``docs`` with the score as ``name``, a double from 0 to 1; a column of that name is replaced."""
     held = docs.sparkSession.sparkContext.broadcast(machine)  # its size is fixed by the number of features
+    tune(docs.sparkSession)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(held.value.scores(terms(list(text))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from frugal(lambda texts: (pd.Series(held.value.scores(terms(list(t)))) for t in texts))(batches)
 
     return docs.withColumn(name, score("text"))
 
