@@ -35,7 +35,7 @@ from .common import as_bytes, CODES, free_name, frugal, mixed, powers, slabs, st
 _U = np.uint64
 LENGTH, KGRAM = 100, 32
 #: Bytes of ranges that one suffix array takes, and distinct ranges of an anchor that stay in one slab.
-SLAB, CROWDED = 1 << 20, 8192
+SLAB, CROWDED = 1 << 19, 8192
 #: Texts are searched for anchors in parts that share length - 1 bytes, so that places fit these many bits.
 PLACE_BITS, PART = 24, 4 << 20
 
