@@ -18,7 +18,7 @@ SETTINGS = Settings()
 
 
 def child_windows(spark: SparkSession, d: str) -> DataFrame:
-    cut = t.files(spark, d).select("doc_id", F.posexplode(segment.windows(F.col("text"), SETTINGS.child_size, SETTINGS.child_overlap)).alias("child_index", "text"))
+    cut = t.spread(t.files(spark, d)).select("doc_id", F.posexplode(segment.windows(F.col("text"), SETTINGS.child_size, SETTINGS.child_overlap)).alias("child_index", "text"))
     return cut.select("doc_id", F.col("child_index").cast("long").alias("child_index"), "text")
 
 
@@ -37,7 +37,7 @@ def merged_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def packed_pieces(spark: SparkSession, d: str) -> DataFrame:
-    pieces = t.files(spark, d).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")).select("doc_id", F.posexplode(segment.packed(F.col("text"), SETTINGS.split_above)).alias("i", "text"))
+    pieces = t.spread(t.files(spark, d)).select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text")).select("doc_id", F.posexplode(segment.packed(F.col("text"), SETTINGS.split_above)).alias("i", "text"))
     return pieces.select("doc_id", F.col("i").cast("long").alias("piece"), "text")
 
 
@@ -163,7 +163,7 @@ def _questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    chunks = t.files(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("workspace_id"), "text")
+    chunks = t.spread(t.files(spark, d)).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("workspace_id"), "text")
     hits = retrieve.bm25_top_k(_questions(spark, d), chunks, SETTINGS.top_k, SETTINGS)
     return hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 

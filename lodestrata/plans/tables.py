@@ -12,6 +12,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores where its files give fewer tasks than there are: a small table may be one row group,
+    which no setting splits. Large tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 #: Extension by source and language; one source has files of a type that isn't supported.
 EXTENSION = "CASE WHEN source = 'src1' THEN 'pptx' WHEN lang = 'en' THEN 'md' WHEN lang = 'fr' THEN 'txt' WHEN lang = 'de' THEN 'docx' ELSE 'pdf' END"
 FILE_NAME = f"concat('doc-', doc_id, '.', {EXTENSION})"
@@ -58,7 +65,7 @@ def workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as markdown: its lines as paragraphs, a second-level heading before each third one."""
     body = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("## s"), i.cast("string"), F.lit("\n\n"), x)).otherwise(x)), "\n\n")
-    return files(spark, sf_dir).select("doc_id", F.col("file_name").alias("source_file"), F.concat(F.lit("# doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
+    return spread(files(spark, sf_dir)).select("doc_id", F.col("file_name").alias("source_file"), F.concat(F.lit("# doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
 
 
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
