@@ -1,7 +1,8 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by comparison with templates.
 
 Paragraphs are lines. Features are word n-grams (one to three words) that occur in the templates and hold at least one
-word that is rare in ordinary text; a paragraph is the sparse set of those it has. A softmax regression tells licence
+word that isn't a function word; a paragraph is the sparse set of those it has. They follow from the templates alone: how
+common a notice is in the documents doesn't change whether it is scored. A softmax regression tells licence
 families from ordinary text. It is trained on the templates, varied by seeded rules (words dropped, cut short, put into
 running text), against ordinary paragraphs from a bounded sample of documents and against scrambled templates, which have
 the words of a licence but not its phrases. Its probabilities are calibrated by a temperature fitted on varied templates
@@ -81,8 +82,8 @@ TEMPLATES = {
     ],
 }
 NONE, UNKNOWN = "none", "unknown"
-#: Documents whose lines stand for ordinary text in training, and words over this share of them are ordinary words.
-SAMPLE_DOCUMENTS, ORDINARY_SHARE, SEED = 400, 0.01, 3
+#: Documents whose lines stand for ordinary text in training.
+SAMPLE_DOCUMENTS, SEED = 400, 3
 
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
@@ -91,11 +92,16 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: Words too common in any English text to hint at a licence by themselves.
+_FUNCTION_WORDS = frozenset("a an and any are as at be by can for from has have if in is it its may no nor not of on one or out part that the this to under was which with you your".split())
+#: A paragraph without one of these has no feature.
+TELLING = frozenset(w for ts in TEMPLATES.values() for t in ts for w in words(t)) - _FUNCTION_WORDS
+
+
 @dataclass
 class Classifier:
     families: list[str]
     features: dict[tuple[str, ...], int]
-    rare: frozenset
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -116,7 +122,7 @@ class Classifier:
 
     def judge(self, text: list[str]) -> tuple[str, str, float, float] | None:
         """(family or unknown, likeliest family, probability, likeness to its template) of a paragraph; None if ordinary."""
-        if self.rare.isdisjoint(text):
+        if TELLING.isdisjoint(text):
             return None
         rows = self.rows(text)
         if not rows:
@@ -167,13 +173,9 @@ def train(ordinary_texts: list[str], copies: int = 40, epochs: int = 60, rate: f
     lines = [w for t in ordinary_texts for x in t.split("\n") if (w := words(x))]
     # lines that quote a template are not ordinary
     lines = [x for x in lines if not any(len(g & p) > 0.5 * len(p) for p in phrases for g in (grams(x),))] if len(lines) < 50_000 else lines
-    per_document = [set(words(t)) for t in ordinary_texts]
-    share = lambda w: sum(w in d for d in per_document) / max(1, len(per_document))
-    vocabulary = {w for f in families for t in _template_words(f) for w in t}
-    few = frozenset(w for w in vocabulary if share(w) <= ORDINARY_SHARE and w not in _FUNCTION_WORDS)
-    names = sorted({g for p in phrases for g in p if not few.isdisjoint(g)})
+    names = sorted({g for p in phrases for g in p if not TELLING.isdisjoint(g)})
     features = {g: i for i, g in enumerate(names)}
-    model = Classifier(families, features, few, np.zeros((len(names), len(families) + 1)), np.zeros(len(families) + 1), 1.0)
+    model = Classifier(families, features, np.zeros((len(names), len(families) + 1)), np.zeros(len(families) + 1), 1.0)
     rows, labels, held = [], [], []
     for k, f in enumerate(families):
         for t in _template_words(f):
@@ -216,10 +218,6 @@ def train(ordinary_texts: list[str], copies: int = 40, epochs: int = 60, rate: f
     return model
 
 
-#: Words too common in any English text to hint at a licence by themselves.
-_FUNCTION_WORDS = frozenset("a an and any are as at be by can for from has have if in is it its may no nor not of on one or out part that the this to under was which with you your".split())
-
-
 def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Classifier:
     """A classifier whose ordinary text comes from the ``sample_documents`` documents with the least hashed ids."""
     ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_documents).collect()]
@@ -236,14 +234,12 @@ def scanned(docs: DataFrame, model: Classifier) -> DataFrame:
     tune(docs.sparkSession)
 
     def scan(batches):
-        judge, rare = held.value.judge, held.value.rare
+        judge = held.value.judge
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 lines = text.split("\n") if isinstance(text, str) and text else []
-                hits = []
-                if lines and not rare.isdisjoint(_WORD.findall(text.lower())):
-                    hits = [(i, *found) for i, line in enumerate(lines) if (found := judge(words(line)))]
+                hits = [(i, *found) for i, line in enumerate(lines) if (found := judge(words(line)))]
                 rows.append((doc_id, sum(1 for x in lines if x.strip()), [dict(zip(("paragraph", "family", "likeliest", "probability", "likeness"), h, strict=True)) for h in hits]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_paragraphs", "hits"])
 

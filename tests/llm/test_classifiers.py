@@ -88,3 +88,11 @@ def test_scan_of_odd_texts(spark, model):
     assert [h.family for h in got[4].hits] == ["mit"]
     assert licenses.scanned(frame(spark, rows).where("doc_id > 9"), model).count() == 0
     licenses.train([])
+
+
+def test_a_notice_in_a_third_of_the_documents_is_found():
+    rng = random.Random(2)
+    for family, note in (("mit", licenses.TEMPLATES["mit"][0]), ("apache-2.0", licenses.TEMPLATES["apache-2.0"][0])):
+        texts = ["\n".join([" ".join(f"x{rng.randrange(500)}" for _ in range(20)), *([note] if i % 3 == 0 else [])]) for i in range(150)]
+        found = licenses.train(texts).judge(licenses.words(note))
+        assert found and found[0] == family
