@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -171,8 +172,19 @@ def train(ordinary_texts: list[str], copies: int = 40, epochs: int = 60, rate: f
     grams = lambda t: {g for n in (1, 2, 3) for g in zip(*(t[i:] for i in range(n)), strict=False)}
     phrases = [grams(t) for f in families for t in _template_words(f)]
     lines = [w for t in ordinary_texts for x in t.split("\n") if (w := words(x))]
+    holders: dict[tuple[str, ...], list[int]] = {}
+    for k, p in enumerate(phrases):
+        for g in p:
+            holders.setdefault(g, []).append(k)
+
+    def quotes(line: list[str]) -> bool:
+        if TELLING.isdisjoint(line):
+            return False
+        shared = Counter(k for g in grams(line) for k in holders.get(g, ()))
+        return any(n > 0.5 * len(phrases[k]) for k, n in shared.items())
+
     # lines that quote a template are not ordinary
-    lines = [x for x in lines if not any(len(g & p) > 0.5 * len(p) for p in phrases for g in (grams(x),))] if len(lines) < 50_000 else lines
+    lines = [x for x in lines if not quotes(x)]
     names = sorted({g for p in phrases for g in p if not TELLING.isdisjoint(g)})
     features = {g: i for i, g in enumerate(names)}
     model = Classifier(families, features, np.zeros((len(names), len(families) + 1)), np.zeros(len(families) + 1), 1.0)

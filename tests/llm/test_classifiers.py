@@ -96,3 +96,10 @@ def test_a_notice_in_a_third_of_the_documents_is_found():
         texts = ["\n".join([" ".join(f"x{rng.randrange(500)}" for _ in range(20)), *([note] if i % 3 == 0 else [])]) for i in range(150)]
         found = licenses.train(texts).judge(licenses.words(note))
         assert found and found[0] == family
+
+
+def test_lines_that_quote_a_template_are_left_out_of_large_samples_too():
+    rng = random.Random(4)
+    plain = ["\n".join(f"the work of x{rng.randrange(500)} under law" for _ in range(520)) for _ in range(100)]
+    noted = [t + "\n" + licenses.TEMPLATES["apache-2.0"][0] for t in plain]
+    assert np.array_equal(licenses.train(plain).weights, licenses.train(noted).weights)
