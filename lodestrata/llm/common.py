@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: What goes to Python at once: texts may be long, and each batch is held several times over.
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
@@ -61,6 +62,23 @@ def free_name(columns: list[str], name: str) -> str:
     return name
 
 
+def numbered_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """None if no doc_id of ``docs`` has two different texts. Else ``docs`` with doc_id replaced by a number of each
+    (doc_id, text), in the order of doc_id, and the table (number, doc_id). Null texts are empty; texts are taken as equal
+    by 128 bits of hash. Rows without a doc_id have no number."""
+    hashes = [F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))) for k in (0, 1)]
+    texts = docs.select("doc_id", hashes[0].alias("a"), hashes[1].alias("b")).where("doc_id is not null")
+    if texts.groupBy("doc_id").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in "ab"]).where("min_a < max_a or min_b < max_b").isEmpty():
+        return None
+    numbers = texts.distinct().orderBy("doc_id", "a", "b").withColumn("number", F.monotonically_increasing_id())
+    own = {x: free_name(docs.columns, f"_{x}") for x in ("id", "a", "b", "number")}
+    numbers = stored(numbers, "numbers")
+    named = numbers.select("number", "doc_id")
+    numbers = numbers.select(*[F.col(c).alias(own[x]) for x, c in (("id", "doc_id"), ("a", "a"), ("b", "b"), ("number", "number"))])
+    out = docs.join(numbers, (F.col("doc_id") == F.col(own["id"])) & (hashes[0] == F.col(own["a"])) & (hashes[1] == F.col(own["b"])), "left")
+    return stored(out.withColumn("doc_id", F.col(own["number"])).select(*docs.columns), "numbered"), named
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` once nothing reads it any more."""
     spark = df.sparkSession

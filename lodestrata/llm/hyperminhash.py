@@ -17,7 +17,7 @@ bucket). Empty buckets borrow from full ones by a seeded probe order, so that sh
 5. Components of the confirmed links, mapped back to all documents.
 
 Null, empty and white-space texts have an empty set and link with nothing. Rows that repeat a doc_id are one document if
-their texts are equal; else their links are joined. An empty table gives no rows. Other columns are ignored.
+their texts are equal; else each text links by itself, and what they link with is one component. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_stored, frugal, mixed, shingle_hashes, slabs, stored, table, tune, word_hashes
+from .common import as_bytes, drop_stored, frugal, mixed, numbered_texts, shingle_hashes, slabs, stored, table, tune, word_hashes
 from .components import components
 
 _U = np.uint64
@@ -247,13 +247,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     least = percent / 100
     tune(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    numbered = numbered_texts(docs)
+    if numbered:  # from here to the end each text of a doc_id goes by a number of its own
+        docs = numbered[0]
     signed = stored(signatures(docs, width), "signatures")
     full = signed.where("n_shingles > 0")
-    # equal sets are one class; a doc_id that repeats with other texts is one document in several classes
+    # equal sets are one class
     member = full.select("doc_id", "set_a", "set_b", "n_shingles")
     heads = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
     classes = stored(
-        full.join(heads, ["set_a", "set_b", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "registers").dropDuplicates(["id", "n_shingles"]),
+        full.join(heads, ["set_a", "set_b", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "registers").dropDuplicates(["id"]),
         "classes",
     )
 
@@ -271,17 +275,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = stored(shared.join(leaders, "key"), "led")
     stars = shared.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _confirmed(_possible(stars, classes, least), docs, width, percent)
+    by_set = member.join(heads, ["set_a", "set_b", "n_shingles"]).select("doc_id", "id")
+    if numbered:  # the texts of a doc_id belong together
+        texts = by_set.join(numbered[1].select(F.col("number").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id").select("name", "id")
+        ties = texts.join(texts.groupBy("name").agg(F.min("id").alias("first")), "name").where("first < id")
+        links = stored(links.union(ties.select("first", "id")).distinct(), "tied")
 
     groups = stored(components(links), "groups")
     more = _completed(shared, groups, classes, docs, width, percent)
     if not more.isEmpty():
         groups = stored(components(links.union(more)), "groups")
 
-    # a class's component, by its set; equal doc_ids in several classes would join them
-    by_set = member.join(heads, ["set_a", "set_b", "n_shingles"]).select("doc_id", "id")
+    # a class's component, by its set
     component = by_set.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     component = component.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    out = signed.select("doc_id", "n_shingles").join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    signed = signed.select("doc_id", "n_shingles")
+    if numbered:  # numbers are in the order of doc_ids: the least of a component is that of its least doc_id
+        names = stored(numbered[1], "names")
+        component = component.join(names.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id").join(names.select(F.col("number").alias("component_id"), F.col("doc_id").alias("head")), "component_id")
+        component = component.select(F.col("name").alias("doc_id"), F.col("head").alias("component_id")).distinct()
+        signed = signed.withColumnRenamed("doc_id", "number").join(numbered[1], "number", "left").select("doc_id", "n_shingles")
+    out = signed.join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     drop_stored(shared)
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

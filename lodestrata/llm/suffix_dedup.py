@@ -16,7 +16,8 @@ an earlier place). Only the first ``length`` bytes of suffixes matter, and that
 4. The covered places of each document are joined to its text.
 
 Every step is exact whatever k-gram hashes collide; ranges are taken as equal by 128 bits of hash. Null texts are empty.
-Rows that repeat a doc_id with the same text are one document and get the same result. Texts shorter than ``length``
+Rows that repeat a doc_id with the same text are one document and get the same result; with other texts they are
+documents of their own, next to each other in order, and each keeps or loses what its own text says. Texts shorter than ``length``
 lose nothing. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, CODES, free_name, frugal, mixed, powers, slabs, stored, table, tune
+from .common import as_bytes, CODES, free_name, frugal, mixed, numbered_texts, powers, slabs, stored, table, tune
 
 _U = np.uint64
 LENGTH, KGRAM = 100, 32
@@ -218,7 +219,7 @@ def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> tuple[DataFrame, DataFrame]:
     """(doc_id, spans): start * 2**20 + windows of covered runs of the documents that have some; and (doc_id) of the
-    documents whose whole text is an earlier one's."""
+    documents whose whole text is an earlier one's. A doc_id has one text here."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.where(F.octet_length("text") >= length)
@@ -271,10 +272,18 @@ def _covered(n: int, spans, length: int) -> np.ndarray:
 
 def _marked(docs: DataFrame, length: int, kgram: int) -> tuple[DataFrame, str, str]:
     """``docs`` with two columns more, and their names: whether its text is an earlier document's, and its spans."""
-    spans, copies = repeated_spans(docs, length, kgram)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    numbered = numbered_texts(docs)
+    rows = numbered[0] if numbered else docs
+    spans, copies = repeated_spans(rows, length, kgram)
     copy, own = free_name(docs.columns, "_copy"), free_name(docs.columns, "_spans")
     found = copies.select("doc_id", F.lit(True).alias(copy), F.lit(None).cast("array<bigint>").alias(own)).union(spans.select("doc_id", F.lit(None), "spans"))
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left"), copy, own
+    marked = rows.join(found, "doc_id", "left")
+    if numbered:  # back to the doc_id it came with
+        number, name = (free_name(marked.columns, x) for x in ("_number", "_name"))
+        names = numbered[1].select(F.col("number").alias(number), F.col("doc_id").alias(name))
+        marked = marked.join(names, F.col("doc_id") == F.col(number), "left").withColumn("doc_id", F.col(name)).drop(number, name)
+    return marked, copy, own
 
 
 def _kept_bytes(raw: bytes, copy, spans, length: int, whole_characters: bool = False) -> tuple[bytes, int, int]:

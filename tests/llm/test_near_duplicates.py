@@ -76,3 +76,11 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(100)] + [(500, 600), (600, 500), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(101)}, 500: 500, 600: 500} or got == {**{i: 0 for i in range(1, 101)}, 600: 500}
+
+
+def test_each_text_of_a_doc_id_links_and_joins_what_it_links_with(spark):
+    words = lambda x: [f"{x}{i}" for i in range(60)]
+    near = lambda x: " ".join([*words(x)[:-1], "end"])
+    rows = [(9, " ".join(words("a"))), (9, " ".join(words("b"))), (9, " ".join(words("c"))), (9, None), (3, near("a")), (12, near("b")), (20, near("c")), (30, "other words")]
+    got = {tuple(r) for r in h.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {(9, 59, 3, False), (9, 0, 3, False), (3, 59, 3, True), (12, 59, 3, False), (20, 59, 3, False), (30, 1, 30, True)}

@@ -53,3 +53,15 @@ def test_cut_texts_keep_whole_characters(spark):
     got = {r.doc_id: r for r in s.without_repeats(frame(spark, rows)).collect()}
     assert got[1].text != "" and got[3].text is None and got[2].component_id == 5
     assert got[2].text.startswith("two ") and len(got[2].text) < 30
+
+
+def test_texts_that_share_a_doc_id_keep_what_is_their_own(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    first, own, passage = text(300), text(250), text(150)
+    rows = [(1, first), (1, passage + text(20)), (2, first), (2, own), (2, passage + "..."), (3, "z"), (3, None)]
+    got = {(r.doc_id, r.n_bytes): r.n_removed for r in s.removal_report(frame(spark, rows)).collect()}
+    assert got == {(1, 300): 0, (1, 170): 0, (2, 300): 300, (2, 250): 0, (2, 153): 150, (3, 1): 0, (3, 0): 0}
+    cut = s.without_repeats(frame(spark, rows))
+    assert cut.columns == frame(spark, rows).columns
+    assert sorted((r.doc_id, r.text or "") for r in cut.collect()) == sorted([*((i, t or "") for i, t in rows[:2]), (2, ""), (2, own), (2, "..."), (3, "z"), (3, "")])
