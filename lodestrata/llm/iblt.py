@@ -16,7 +16,7 @@ linear in a text's length. Likeness is common digests over all digests; two empt
 All is array functions of the engine. Texts are shuffled once, by doc_id; what a document needs of its neighbour (a
 prefix, and digests) is sent to it, and the second join reuses the shuffle of the first.
 
-Null texts are empty. Rows that repeat a doc_id are fingerprinted each, and count as one neighbour, the one with the
+Null texts are empty. Rows without a doc_id count as one id below all others. Rows that repeat a doc_id are fingerprinted each, and count as one neighbour, the one with the
 smallest text. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -133,6 +133,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and the numbers of
     distinct paragraphs (own, the next document's) of each row. The edited text ends in a third of the next document's beginning instead of its own last third."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    if docs.where("doc_id is null").isEmpty():
+        return _fingerprints(docs)
+    # a struct of a null is no null: it has a place in the order, and equals itself in joins
+    return _fingerprints(docs.withColumn("doc_id", F.struct("doc_id"))).withColumn("doc_id", F.col("doc_id.doc_id"))
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
     near = neighbours(docs)
     once = near.where("rows > 1").isEmpty()
     placed = docs.repartition("doc_id")

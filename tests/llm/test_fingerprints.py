@@ -62,3 +62,13 @@ def test_subtraction_is_linear(spark):
     both = F.concat(iblt._members(F.col("a"), 1), iblt._members(F.col("b"), -1))
     r = df.select(iblt.sketch(both, 8).alias("x"), iblt.subtracted(iblt.sketch(iblt._members(F.col("a")), 8), iblt.sketch(iblt._members(F.col("b")), 8)).alias("y")).first()
     assert r.x == r.y
+
+
+def test_rows_without_an_id_are_one_id_below_all_others(spark):
+    rows = [(i, t) for i, t in corpus(2, 12)] + [(None, "no id\nat all"), (None, "nor here\nno id")]
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:])
+    want = iblt.fingerprints(frame(spark, [(-1 if i is None else i, t) for i, t in rows])).collect()
+    got = iblt.fingerprints(frame(spark, rows))
+    assert dict(got.dtypes)["doc_id"] == "bigint" and sorted(map(key, got.collect())) == sorted(map(key, want))
+    only = iblt.fingerprints(frame(spark, [(None, "no id")])).collect()
+    assert [(r.doc_id, r.near_next) for r in only] == [(None, 1.0)]
