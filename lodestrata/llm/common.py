@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from pathlib import Path
@@ -21,12 +22,15 @@ _U = np.uint64
 
 
 def tune(spark: SparkSession) -> None:
-    """Settings that the Python passes of this package need, made before each of them."""
+    """Settings that the Python passes of this package need, made before each of them where the session has none of its
+    own. They stay, as plans read them when they run."""
     context = spark.sparkContext
     if context.master.startswith("local["):  # Python workers of this machine find the package wherever they start;
         context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))  # a cluster installs it
+    given = spark.conf.getAll
     for key, most in ARROW.items():
-        spark.conf.set(key, most)
+        if key not in given:
+            spark.conf.set(key, most)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,10 +54,37 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if _scratch:
+        _scratch[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables of :func:`stored` made in each open :func:`scratch`.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored inside go at the end, but for the one that the caller passes to the function it gets."""
+    _scratch.append([])
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(_folders(df))
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _scratch.pop()
+        stay = [p for p in made if any(f.endswith(p.rpartition("/")[2]) for f in kept)]
+        if _scratch:
+            _scratch[-1].extend(stay)
+        for path in set(made).difference(stay):
+            _delete(spark, path)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column is called so (in whatever case)."""
     taken = {c.lower() for c in columns}
@@ -63,28 +94,35 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 def numbered_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """None if no doc_id of ``docs`` has two different texts. Else ``docs`` with doc_id replaced by a number of each
-    (doc_id, text), in the order of doc_id, and the table (number, doc_id). Null texts are empty; texts are taken as equal
-    by 128 bits of hash. Rows without a doc_id have no number."""
+    """None if every row of ``docs`` has a doc_id and no doc_id has two different texts. Else ``docs`` with doc_id replaced
+    by a number of each (doc_id, text), in the order of doc_id, rows without one last, and the table (number, doc_id).
+    Null texts are empty; texts are taken as equal by 128 bits of hash."""
     hashes = [F.xxhash64(F.lit(k), F.coalesce("text", F.lit(""))) for k in (0, 1)]
-    texts = docs.select("doc_id", hashes[0].alias("a"), hashes[1].alias("b")).where("doc_id is not null")
-    if texts.groupBy("doc_id").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in "ab"]).where("min_a < max_a or min_b < max_b").isEmpty():
+    texts = docs.select("doc_id", hashes[0].alias("a"), hashes[1].alias("b"))
+    if texts.groupBy("doc_id").agg(*[f(x).alias(f"{f.__name__}_{x}") for f in (F.min, F.max) for x in "ab"]).where("doc_id is null or min_a < max_a or min_b < max_b").isEmpty():
         return None
-    numbers = texts.distinct().orderBy("doc_id", "a", "b").withColumn("number", F.monotonically_increasing_id())
+    numbers = texts.distinct().orderBy(F.asc_nulls_last("doc_id"), "a", "b").withColumn("number", F.monotonically_increasing_id())
     own = {x: free_name(docs.columns, f"_{x}") for x in ("id", "a", "b", "number")}
     numbers = stored(numbers, "numbers")
     named = numbers.select("number", "doc_id")
     numbers = numbers.select(*[F.col(c).alias(own[x]) for x, c in (("id", "doc_id"), ("a", "a"), ("b", "b"), ("number", "number"))])
-    out = docs.join(numbers, (F.col("doc_id") == F.col(own["id"])) & (hashes[0] == F.col(own["a"])) & (hashes[1] == F.col(own["b"])), "left")
+    out = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col(own["id"])) & (hashes[0] == F.col(own["a"])) & (hashes[1] == F.col(own["b"])))
     return stored(out.withColumn("doc_id", F.col(own["number"])).select(*docs.columns), "numbered"), named
 
 
+def _folders(df: DataFrame) -> set[str]:
+    return {x.rpartition("/")[0] for x in df.inputFiles()}
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in _folders(df):
+        _delete(df.sparkSession, folder)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -123,6 +161,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+#: Words of more bytes than this are hashed by BLAKE2: polynomials of long words can be made to collide on purpose.
+LONG_WORD = 256
+
+
 def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the lower-cased (A-Z) words of all texts in order, and each text's number of words.
 
@@ -140,6 +182,8 @@ def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES, heads: tuple[in
     ends = np.cumsum([len(t) + 1 for t in texts])
     count = np.diff(np.searchsorted(start, ends), prepend=0) if texts else np.zeros(0, np.int64)
     words = mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    for i in np.flatnonzero(end - start > LONG_WORD):
+        words[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
     if not heads:
         return words, count
     cut = [np.where(end - start > k, mixed((sums[np.minimum(start + k, end)] - sums[start]) * down[start] ^ ODD[k]), words) for k in heads]
@@ -147,7 +191,7 @@ def word_hashes(texts: list[bytes], breaks: np.ndarray = SPACES, heads: tuple[in
 
 
 def frugal(function):
-    """A function for mapInPandas that hands memory back at the end of its partition: workers are kept, and what one
+    """A function for mapInArrow or mapInPandas that hands memory back at the end of its partition: workers are kept, and what one
     stage leaves in them would add up to what the next needs."""
 
     def partition(batches):
@@ -175,6 +219,16 @@ def slabs(items: list, size, most: int = 1 << 18):
         yield out
 
 
+def utf8(column: pyarrow.Array) -> list[bytes]:
+    """The texts of an Arrow column in UTF-8; nulls are empty."""
+    return [b or b"" for b in column.cast(pyarrow.binary()).to_pylist()]
+
+
+def record_batch(**columns) -> pyarrow.RecordBatch:
+    """Arrow columns as they are, and others from arrays or lists; integers never pass through floats."""
+    return pyarrow.RecordBatch.from_pydict({k: v if isinstance(v, (pyarrow.Array, pyarrow.ChunkedArray)) else pyarrow.array(v) for k, v in columns.items()})
+
+
 def as_bytes(text) -> bytes:
     """UTF-8; null is empty."""
     return b"" if text is None or text != text else text.encode("utf-8", "surrogatepass")

@@ -11,34 +11,38 @@ an earlier place). Only the first ``length`` bytes of suffixes matter, and that
 3. Suffix arrays. The ranges left are sorted in slabs of whole anchors by the difference-cover algorithm: sort the
    triples at two of three offsets, name them, recurse on the names until they are unique, and merge in the remaining
    suffixes. Adjacent suffixes are then compared for ``length`` equal
-   bytes, and each run of equal ones keeps its first place. An anchor with more distinct ranges than fit a task is
-   dealt by the hash of each window instead; equal windows still meet.
-4. The covered places of each document are joined to its text.
-
-Every step is exact whatever k-gram hashes collide; ranges are taken as equal by 128 bits of hash. Null texts are empty.
-Rows that repeat a doc_id with the same text are one document and get the same result; with other texts they are
-documents of their own, next to each other in order, and each keeps or loses what its own text says. Texts shorter than ``length``
-lose nothing. An empty table gives no rows. Other columns are ignored.
+   bytes, and each run of equal ones keeps its first place. The ranges of an anchor with more distinct ranges than a
+   slab takes are cut into their windows; equal windows then meet in an aggregation by their bytes, with partial sums,
+   and not in a task of that anchor.
+4. The covered places of each document become runs, and its text is cut by functions of the engine: texts pass through
+   Python once, for the anchors, and on their way into the suffix arrays not at all.
+
+What rests on hashes: whole texts are taken as equal by SHA-256 and their length; ranges by 128 bits of two mixed hashes
+(of their anchor and of their bytes) and their length. Which ranges meet doesn't depend on k-gram hashes being unique, and
+suffix arrays and windows compare bytes.
+
+Null texts are empty. Rows that repeat a doc_id with the same text are one document and get the same result; with other
+texts they are documents of their own, next to each other in order, and each keeps or loses what its own text says. Rows
+without a doc_id come after all others, one document for each text. Texts shorter than ``length`` lose nothing. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, CODES, free_name, frugal, mixed, numbered_texts, powers, slabs, stored, table, tune
+from .common import CODES, drop_stored, free_name, frugal, mixed, numbered_texts, powers, record_batch, slabs, stored, table, tune, utf8
 
 _U = np.uint64
 LENGTH, KGRAM = 100, 32
 #: Bytes of ranges that one suffix array takes, and distinct ranges of an anchor that stay in one slab.
-SLAB, CROWDED = 1 << 19, 8192
-#: Texts are searched for anchors in parts that share length - 1 bytes, so that places fit these many bits.
-PLACE_BITS, PART = 24, 4 << 20
+SLAB, CROWDED = 1 << 19, 2048
+#: Texts are searched for anchors in parts that share length - 1 bytes, so that places fit these many bits, and arrays
+#: over a part stay small however long a text is.
+PLACE_BITS, PART = 24, 1 << 18
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -154,17 +158,21 @@ def anchored_ranges(texts: list[bytes], length: int, kgram: int):
 def _ranges(docs: DataFrame, length: int, kgram: int) -> DataFrame:
     def find(batches):
         for batch in batches:
-            rows = [(i, at, raw[at : at + PART + length - 1]) for i, raw in zip(batch["doc_id"], map(as_bytes, batch["text"]), strict=True) for at in range(0, len(raw) - length + 1, PART)]
+            rows = [(i, at, raw[at : at + PART + length - 1]) for i, raw in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True) for at in range(0, len(raw) - length + 1, PART)]
+            found = []
             for slab in slabs(rows, lambda r: len(r[2])):
                 owner, start, windows, anchor, content = anchored_ranges([r[2] for r in slab], length, kgram)
                 ids, at = (np.array([r[k] for r in slab], np.int64) for k in (0, 1))
-                ids, start = ids[owner], at[owner] + start
-                again = _again(ids, start, windows, anchor, content)
-                # what is known to repeat needs no company: it goes anywhere
-                anchor[again] = mixed((ids * 31 + start)[again].view(_U)).view(np.int64)
-                yield pd.DataFrame({"doc_id": ids, "start": start, "windows": windows.astype(np.int32), "anchor": anchor, "content": content, "again": again})
+                found.append((ids[owner], at[owner] + start, windows, anchor, content))
+            if not found:
+                continue
+            ids, start, windows, anchor, content = map(np.concatenate, zip(*found, strict=True))
+            again = _again(ids, start, windows, anchor, content)
+            # what is known to repeat needs no company: it goes anywhere
+            anchor[again] = mixed((ids * 31 + start)[again].view(_U)).view(np.int64)
+            yield record_batch(doc_id=ids, start=start, windows=windows.astype(np.int32), anchor=anchor, content=content, again=again)
 
-    return docs.select("doc_id", "text").mapInPandas(frugal(find), "doc_id long, start long, windows int, anchor long, content long, again boolean")
+    return docs.select("doc_id", "text").mapInArrow(frugal(find), "doc_id long, start long, windows int, anchor long, content long, again boolean")
 
 
 def _again(ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -181,7 +189,7 @@ def _again(ids: np.ndarray, start: np.ndarray, windows: np.ndarray, anchor: np.n
 def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
     """(doc_id, start, windows) of runs of windows in ``strings`` (key, doc_id, start, bytes) that repeat an earlier one."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
+    def solve(rows: list[tuple[int, int, bytes]]) -> pyarrow.RecordBatch:
         rows.sort(key=lambda r: (r[0], r[1]))  # earlier strings first: places in the slab then order windows
         sizes = np.array([len(r[2]) for r in rows], np.int64)
         data = np.zeros(int(sizes.sum()) + len(rows), np.int64)
@@ -197,15 +205,13 @@ def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
         at = starts[owner] + np.arange(len(data)) - base[owner]
         rank = np.cumsum(np.diff(docs, prepend=docs[0]) != 0)[owner] * (int(at.max()) + 1) + at
         places = np.sort(repeated_windows(data, valid, rank, length))
-        if not len(places):
-            return pd.DataFrame({"doc_id": [], "start": [], "windows": []}).astype({"doc_id": "int64", "start": "int64", "windows": "int32"})
         head = np.flatnonzero((np.diff(places, prepend=-2) != 1) | (np.diff(owner[places], prepend=-1) != 0))
-        return pd.DataFrame({"doc_id": docs[owner[places[head]]], "start": at[places[head]], "windows": np.diff(np.append(head, len(places))).astype(np.int32)})
+        return record_batch(doc_id=docs[owner[places[head]]], start=at[places[head]], windows=np.diff(np.append(head, len(places))).astype(np.int32))
 
     def sort_slabs(batches):
         held, total, last = [], 0, None
         for batch in batches:
-            for key, doc_id, start, data in zip(batch["key"], batch["doc_id"], batch["start"], batch["bytes"], strict=True):
+            for key, doc_id, start, data in zip(*(batch[c].to_pylist() for c in ("key", "doc_id", "start", "bytes")), strict=True):
                 if total > SLAB and key != last:
                     yield solve(held)
                     held, total = [], 0
@@ -214,18 +220,32 @@ def _sorted_slabs(strings: DataFrame, length: int) -> DataFrame:
         if held:
             yield solve(held)
 
-    return strings.repartition("key").sortWithinPartitions("key").mapInPandas(frugal(sort_slabs), "doc_id long, start long, windows int")
+    return strings.repartition("key").sortWithinPartitions("key").mapInArrow(frugal(sort_slabs), "doc_id long, start long, windows int")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
 
+def _windows_met(strings: DataFrame, length: int) -> DataFrame:
+    """(doc_id, start, windows) of all windows of ``strings`` but the first of each content. Equal windows meet by their
+    bytes in partial sums; the join back splits what one window has too much of."""
+    at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i")
+    cut = strings.select("doc_id", "start", "bytes", at).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("bytes"))
+    first = cut.groupBy("bytes").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last").select("bytes", "first")
+    return cut.join(first, "bytes").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("windows"))
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, spans): start * 2**20 + windows of covered runs of the documents that have some; and (doc_id) of the
-    documents whose whole text is an earlier one's. A doc_id has one text here."""
+
+def repeated_runs(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
+    """(doc_id, runs): the maximal runs (start, end) of covered bytes, in order, of the documents that have some. A doc_id
+    has one text here."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = docs.where(F.octet_length("text") >= length)
-    digests = texts.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("n"))
+    digests = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"))
     heads = digests.groupBy("digest", "n").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_most")).where("head < _most")
-    copies = stored(digests.join(heads, ["digest", "n"]).where("doc_id <> head").select("doc_id").distinct(), "copies")
+    copies = stored(digests.join(heads, ["digest", "n"]).where("doc_id <> head").select("doc_id", "n").distinct(), "copies")
     once = texts.join(copies, "doc_id", "left_anti")
 
     by_anchor = Window.partitionBy("anchor", "again")
@@ -237,101 +257,68 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
 
     # the first of each kind, where an anchor has several kinds, goes to the suffix arrays
     wanted = found.where("_n = 1").groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", (F.col("_kinds") > CROWDED).alias("crowded"))).alias("ranges"))
-
-    def cut(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text, ranges in zip(batch["doc_id"], batch["text"], batch["ranges"], strict=True):
-                raw = as_bytes(text)
-                for r in ranges:
-                    start, windows = r["start"], r["windows"]
-                    if r["crowded"]:
-                        for i in range(start, start + windows):
-                            part = raw[i : i + length]
-                            rows.append((int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True), doc_id, i, part))
-                    else:
-                        rows.append((r["anchor"], doc_id, start, raw[start : start + windows + length - 1]))
-            yield pd.DataFrame(rows, columns=["key", "doc_id", "start", "bytes"])
-
-    strings = once.join(wanted, "doc_id").select("doc_id", "text", "ranges")
-    strings = strings.mapInPandas(frugal(cut), "key long, doc_id long, start long, bytes binary")
-    spans = _sorted_slabs(strings, length).union(found.where("_n > 1").select("doc_id", "start", "windows"))
-    packed = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.col("start") * F.lit(1 << 20) + F.col("windows"))).alias("spans"))
-    return stored(packed, "spans"), copies
-
-
-def _covered(n: int, spans, length: int) -> np.ndarray:
-    """Which of n bytes the spans cover."""
-    edge = np.zeros(n + 1, np.int64)
-    spans = np.asarray(spans, np.int64)
-    start, windows = spans >> 20, spans & ((1 << 20) - 1)
-    np.add.at(edge, start, 1)
-    np.add.at(edge, start + windows + length - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
-
-
-def _marked(docs: DataFrame, length: int, kgram: int) -> tuple[DataFrame, str, str]:
-    """``docs`` with two columns more, and their names: whether its text is an earlier document's, and its spans."""
+    bytes_of = lambda raw: F.transform("ranges", lambda r: F.struct(r["anchor"].alias("key"), r["start"].alias("start"), r["crowded"].alias("crowded"), F.substring(raw, (r["start"] + 1).cast("int"), r["windows"] + length - 1).alias("bytes")))
+    strings = once.join(wanted, "doc_id").select("doc_id", F.explode(_let(F.col("text").cast("binary"), bytes_of)).alias("s")).select("doc_id", "s.*")
+    spans = _sorted_slabs(strings.where("not crowded").drop("crowded"), length).union(found.where("_n > 1").select("doc_id", "start", "windows"))
+    if not found.where((F.col("_n") == 1) & (F.col("_kinds") > CROWDED)).isEmpty():
+        crowded = stored(strings.where("crowded"), "crowded")
+        spans = spans.union(_windows_met(crowded, length))
+    spans = spans.select("doc_id", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+    spans = spans.union(copies.select("doc_id", F.lit(0).cast("long"), F.col("n").cast("long")))
+    # a span that starts beyond all before it begins a run
+    along = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = spans.withColumn("_fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
+    merged = fresh.withColumn("_run", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "_run").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
+    runs = stored(merged.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
+    drop_stored(found)
+    drop_stored(copies)
+    return runs
+
+
+def _kept(raw: Column, runs: Column) -> Column:
+    """The bytes of ``raw`` outside ``runs``."""
+    begin = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
+    end = F.concat(F.transform(runs, lambda r: r["start"]), F.array(F.octet_length(raw)))
+    return F.unhex(F.array_join(F.zip_with(begin, end, lambda a, b: F.hex(F.substring(raw, a + 1, b - a))), ""))
+
+
+def _whole_characters(raw: Column, runs: Column) -> Column:
+    """``runs`` of UTF-8 bytes drawn in to characters that lie in them whole."""
+    after = lambda at: F.length(F.regexp_extract(F.hex(F.substring(raw, at + 1, F.lit(3))), "^(?:[89AB].)*", 0))
+    before = lambda at: F.length(F.regexp_extract(F.hex(F.substring(raw, at - 2, F.lit(3))), "(?:[89AB].)*$", 0))
+    return F.transform(runs, lambda r: F.struct((r["start"] + (after(r["start"]) / 2).cast("int")).alias("start"), F.when(after(r["end"]) > 0, r["end"] - 1 - (before(r["end"]) / 2).cast("int")).otherwise(r["end"]).alias("end")))
+
+
+def _marked(docs: DataFrame, length: int, kgram: int) -> tuple[DataFrame, str]:
+    """``docs`` with one column more, and its name: the runs of its text that go, or null."""
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     numbered = numbered_texts(docs)
     rows = numbered[0] if numbered else docs
-    spans, copies = repeated_spans(rows, length, kgram)
-    copy, own = free_name(docs.columns, "_copy"), free_name(docs.columns, "_spans")
-    found = copies.select("doc_id", F.lit(True).alias(copy), F.lit(None).cast("array<bigint>").alias(own)).union(spans.select("doc_id", F.lit(None), "spans"))
+    own = free_name(docs.columns, "_runs")
+    found = repeated_runs(rows, length, kgram).withColumnRenamed("runs", own)
     marked = rows.join(found, "doc_id", "left")
     if numbered:  # back to the doc_id it came with
         number, name = (free_name(marked.columns, x) for x in ("_number", "_name"))
         names = numbered[1].select(F.col("number").alias(number), F.col("doc_id").alias(name))
-        marked = marked.join(names, F.col("doc_id") == F.col(number), "left").withColumn("doc_id", F.col(name)).drop(number, name)
-    return marked, copy, own
-
-
-def _kept_bytes(raw: bytes, copy, spans, length: int, whole_characters: bool = False) -> tuple[bytes, int, int]:
-    """(bytes that stay, bytes removed, runs removed)."""
-    n = len(raw)
-    if copy is True or copy == 1:
-        return b"", n, 1
-    if spans is None or len(spans) == 0:
-        return raw, 0, 0
-    gone = _covered(n, spans, length)
-    data = np.frombuffer(raw, np.uint8)
-    if whole_characters:  # a character goes only if all its bytes do
-        lead = np.flatnonzero((data & 0xC0) != 0x80)
-        gone = np.repeat(np.logical_and.reduceat(gone, lead), np.diff(np.append(lead, n)))
-    runs = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-    return data[~gone].tobytes(), int(gone.sum()), runs
+        marked = marked.join(names, F.col("doc_id") == F.col(number)).withColumn("doc_id", F.col(name)).drop(number, name)
+    return marked, own
 
 
 def removal_report(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
-
-    def report(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text, copy, spans in zip(batch["doc_id"], batch["text"], batch["_copy"], batch["_spans"], strict=True):
-                raw = as_bytes(text)
-                kept, removed, runs = _kept_bytes(raw, copy, spans, length)
-                rows.append((doc_id, len(raw), removed, runs, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    marked, _, _ = _marked(docs.select("doc_id", "text"), length, kgram)
-    return marked.select("doc_id", "text", "_copy", "_spans").mapInPandas(frugal(report), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked, _ = _marked(docs.select("doc_id", "text"), length, kgram)
+    rows = marked.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.coalesce("_runs", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("runs"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    kept = F.when(F.size("runs") == 0, F.sha2("raw", 256)).otherwise(_let(F.col("raw"), lambda raw: F.sha2(_kept(raw, F.col("runs")), 256)))
+    return rows.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), kept.alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:
     """``docs`` with repeated passages cut out of text, to whole characters; all other columns as they were."""
-
-    def shortened(text, copy, spans):
-        if text is None or (copy is not True and spans is None):
-            return text
-        return _kept_bytes(as_bytes(text), copy, spans, length, True)[0].decode("utf-8", "surrogatepass")
-
-    @F.pandas_udf("string")
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        yield from frugal(lambda parts: (pd.Series([shortened(*row) for row in zip(*part, strict=True)], dtype=object) for part in parts))(batches)
-
-    marked, copy, spans = _marked(docs, length, kgram)
-    return marked.withColumn("text", cut("text", copy, spans)).select(*docs.columns)
+    marked, runs = _marked(docs, length, kgram)
+    cut = _let(F.col("text").cast("binary"), lambda raw: _kept(raw, _whole_characters(raw, F.col(runs))).cast("string"))
+    return marked.withColumn("text", F.when(F.col(runs).isNull(), F.col("text")).otherwise(cut)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
