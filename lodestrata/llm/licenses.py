@@ -1,21 +1,27 @@
 """Licence scan: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-Paragraphs are lines. Features are word n-grams (one to three words) that occur in the templates and hold at least one
-word that isn't a function word; a paragraph is the sparse set of those it has. They follow from the templates alone: how
-common a notice is in the documents doesn't change whether it is scored. A softmax regression tells licence
-families from ordinary text. It is trained on the templates, varied by seeded rules (words dropped, cut short, put into
-running text), against ordinary paragraphs from a bounded sample of documents and against scrambled templates, which have
-the words of a licence but not its phrases. Its probabilities are calibrated by a temperature fitted on varied templates
-held back from training.
+Paragraphs are lines. Features are word n-grams (one to three words) that occur in the templates or in the notices of
+other licences and hold at least one word that isn't a function word; a paragraph is the sparse set of those it has. They
+follow from the fixed texts alone: how common a notice is in the documents doesn't change whether it is scored. A softmax
+regression over these sparse rows has a class for each family, one for licences that are none of them (``unknown``) and
+one for ordinary text. It is trained on the templates and the other notices, varied by seeded rules (words dropped, cut
+short, put into running text), against ordinary lines from a bounded sample of the documents and against scrambled
+templates, which have the words of a licence but not its phrases.
+
+Calibration, on varied texts held back from training: a temperature fits the probabilities, and ``least`` is the
+probability of a family that one in a hundred of the held back other notices reaches.
 
 A paragraph whose probability of being ordinary is half or more is none. Else the likeliest family is confirmed if its
-calibrated probability reaches ``least`` and the paragraph follows one of its templates: the words of their common
-subsequence blocks make up ``likeness`` of the shorter of the two. What isn't confirmed is ``unknown``: it reads like a
-licence, but not like one of these.
+calibrated probability reaches ``least`` and that of ``unknown``, and the paragraph follows one of its templates: the words
+of their common blocks make up ``likeness`` of the shorter of the two, and the words that tell licences of one text apart
+(versions, and qualifiers such as Affero or NoDerivatives) are the same on both sides. What isn't confirmed is ``unknown``:
+it reads like a licence, but not like one of these. Equal probabilities go to the family that comes first in ``TEMPLATES``,
+and among a document's paragraphs to the first.
 
 Scanning is one pass over whole texts without a shuffle; paragraphs without a feature have a score that is known in
-advance. Null and empty texts have no paragraphs. Rows that repeat a doc_id are scanned each. An empty table gives no
-rows (the classifier then knows no ordinary text but scrambled templates). Other columns are ignored.
+advance. Null and empty texts have no paragraphs. Rows that repeat a doc_id are scanned each, and so are rows without one.
+An empty table gives no rows (the classifier then knows no ordinary text but scrambled templates). Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +32,11 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frugal, table, tune
+from .common import frugal, record_batch, table, tune
 
 #: Notices by which texts state their licence, by family.
 TEMPLATES = {
@@ -78,15 +84,44 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
     ],
     "proprietary": [
+        "All rights reserved.",
         "All rights reserved. No part of this work may be reproduced or distributed in any form without the prior written permission of the publisher.",
         "This software is confidential and proprietary information; unauthorized copying of this file, via any medium, is strictly prohibited.",
     ],
 }
+#: Notices of licences that are none of the families, though some share most words with one.
+OTHERS = [
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/",
+    "Licensed under the Mozilla Public License, version 1.1.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Licensed under CC BY 3.0.",
+    "Licensed under CC BY-ND 4.0.",
+    "Licensed under CC BY-NC-SA 4.0.",
+    "Licensed under CC BY-SA 3.0.",
+    "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "Licensed under the EUPL, version 1.2.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This is free software; you can redistribute it and/or modify it under the same terms as the Perl 5 programming language system itself.",
+    "Use of this software is governed by the Business Source License.",
+]
 NONE, UNKNOWN = "none", "unknown"
-#: Documents whose lines stand for ordinary text in training.
-SAMPLE_DOCUMENTS, SEED = 400, 3
+#: Documents whose lines stand for ordinary text in training, lines of theirs that are used, and characters of a line.
+SAMPLE_DOCUMENTS, SAMPLE_LINES, LINE, SEED = 400, 4000, 2000, 3
 
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_VERSION = re.compile(r"v?(\d{1,2}(?:\.\d+)*?)(?:\.0)*")
+#: Words that make another licence of the same text.
+_QUALIFIERS = frozenset("affero lesser sa sharealike nc noncommercial nd noderivatives noderivs".split())
 
 
 def words(text: str) -> list[str]:
@@ -96,17 +131,18 @@ def words(text: str) -> list[str]:
 #: Words too common in any English text to hint at a licence by themselves.
 _FUNCTION_WORDS = frozenset("a an and any are as at be by can for from has have if in is it its may no nor not of on one or out part that the this to under was which with you your".split())
 #: A paragraph without one of these has no feature.
-TELLING = frozenset(w for ts in TEMPLATES.values() for t in ts for w in words(t)) - _FUNCTION_WORDS
+TELLING = frozenset(w for t in [t for ts in TEMPLATES.values() for t in ts] + OTHERS for w in words(t)) - _FUNCTION_WORDS
 
 
 @dataclass
 class Classifier:
+    """``weights`` has a row for each feature and one more, the bias, and a column for each family, unknown and none."""
+
     families: list[str]
     features: dict[tuple[str, ...], int]
     weights: np.ndarray
-    bias: np.ndarray
-    temperature: float
-    least: float = 0.6
+    temperature: float = 1.0
+    least: float = 0.5
     likeness: float = 0.75
 
     def rows(self, text: list[str]) -> list[int]:
@@ -117,9 +153,7 @@ class Classifier:
         return sorted(found)
 
     def probabilities(self, rows: list[int]) -> np.ndarray:
-        z = (self.bias + self.weights[rows].sum(0)) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
+        return _softmax((self.weights[-1] + self.weights[rows].sum(0))[None] / self.temperature)[0]
 
     def judge(self, text: list[str]) -> tuple[str, str, float, float] | None:
         """(family or unknown, likeliest family, probability, likeness to its template) of a paragraph; None if ordinary."""
@@ -131,25 +165,46 @@ class Classifier:
         p = self.probabilities(rows)
         if p[-1] >= 0.5:
             return None
-        k = int(np.argmax(p[:-1]))
-        like = max(_likeness(text, t) for t in _template_words(self.families[k]))
-        sure = p[k] >= self.least and like >= self.likeness
+        k = int(np.argmax(p[:-2]))
+        agrees, like = max(_compared(text, t) for t in _template_words(self.families[k]))
+        sure = agrees and p[k] >= max(self.least, p[-2]) and like >= self.likeness
         return self.families[k] if sure else UNKNOWN, self.families[k], float(p[k]), like
 
 
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def _template_words(family: str) -> list[list[str]]:
     return [words(t) for t in TEMPLATES[family]]
 
 
-def _likeness(text: list[str], template: list[str]) -> float:
-    """Words in common blocks over the words of the shorter side; long texts are compared around the template's words."""
+def _marks(text: list[str]) -> tuple[set[str], set[str]]:
+    """The versions and the qualifiers among some words."""
+    return {m[1] for w in text if (m := _VERSION.fullmatch(w))}, _QUALIFIERS.intersection(text)
+
+
+def _compared(text: list[str], template: list[str]) -> tuple[bool, float]:
+    """Whether what tells licences apart is the same on both sides, and the words in common blocks over the words of the
+    shorter side; long texts are compared around the template's words."""
     own = set(template)
-    near = [i for i, w in enumerate(text) if w in own]
-    if not near:
-        return 0.0
-    part = [w for i, w in enumerate(text) if w in own or (i and text[i - 1] in own)]
-    blocks = difflib.SequenceMatcher(None, template, part, autojunk=False).get_matching_blocks()
-    return sum(b.size for b in blocks if b.size > 1) / min(len(template), max(len(text), 4))
+    near = [i for i, w in enumerate(text) if w in own or (i and text[i - 1] in own)]
+    blocks = difflib.SequenceMatcher(None, template, [text[i] for i in near], autojunk=False).get_matching_blocks()
+    blocks = [b for b in blocks if b.size > 1]
+    if not blocks:
+        return False, 0.0
+    # the part that follows the template; where that breaks off before its end, what comes instead of the rest too
+    first, last = blocks[0], blocks[-1]
+    begin, end = near[first.b], near[last.b + last.size - 1] + 1
+    if last.a + last.size < len(template):
+        end += 3
+    if first.a:
+        begin = max(0, begin - 3)
+    versions, qualifiers = _marks(text[begin:end])
+    wanted = _marks(template)
+    agrees = qualifiers == wanted[1] and (not wanted[0] or versions == wanted[0])
+    return agrees, sum(b.size for b in blocks) / min(len(template), max(len(text), 4))
 
 
 def _varied(rng: np.random.Generator, template: list[str], ordinary: list[list[str]]) -> list[str]:
@@ -165,12 +220,47 @@ def _varied(rng: np.random.Generator, template: list[str], ordinary: list[list[s
     return out
 
 
-def train(ordinary_texts: list[str], copies: int = 40, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4, seed: int = SEED) -> Classifier:
-    """A classifier from the templates and the lines of some ordinary texts."""
+class _Sparse:
+    """Rows of features in one array, each ending with the bias."""
+
+    def __init__(self, rows: list[list[int]], bias: int):
+        self.rows = [np.array([*r, bias], np.int64) for r in rows]
+
+    def sums(self, weights: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of the weights of some rows, their features, and each row's number of features."""
+        ids = np.concatenate([self.rows[i] for i in which])
+        sizes = np.array([len(self.rows[i]) for i in which])
+        return np.add.reduceat(weights[ids], np.cumsum(sizes) - sizes), ids, sizes
+
+
+def _fitted(x: _Sparse, labels: np.ndarray, rows: np.ndarray, shape: tuple[int, int], rng: np.random.Generator, epochs: int, rate: float, decay: float) -> np.ndarray:
+    """Weights by AdaGrad on the softmax loss, all classes weighing the same."""
+    weights, squares = np.zeros(shape), np.full(shape, 1e-6)
+    weight = 1 / np.bincount(labels[rows], minlength=shape[1])[labels].clip(1)
+    weight /= weight[rows].mean()
+    for _ in range(epochs):
+        for batch in np.array_split(rng.permutation(rows), max(1, len(rows) // 256)):
+            z, ids, sizes = x.sums(weights, batch)
+            error = _softmax(z)
+            error[np.arange(len(batch)), labels[batch]] -= 1
+            error *= (weight[batch] / len(batch))[:, None]
+            order = np.argsort(ids, kind="stable")
+            head = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            some = ids[order][head]
+            slope = np.add.reduceat(np.repeat(error, sizes, axis=0)[order], head) + decay * weights[some]
+            squares[some] += slope**2
+            weights[some] -= rate * slope / np.sqrt(squares[some])
+    return weights
+
+
+def train(ordinary_texts: list[str], copies: int = 40, epochs: int = 25, rate: float = 0.3, decay: float = 1e-5, seed: int = SEED) -> Classifier:
+    """A classifier from the fixed notices and the lines of some ordinary texts."""
     rng = np.random.default_rng(seed)
     families = list(TEMPLATES)
+    unknown, none = len(families), len(families) + 1
     grams = lambda t: {g for n in (1, 2, 3) for g in zip(*(t[i:] for i in range(n)), strict=False)}
-    phrases = [grams(t) for f in families for t in _template_words(f)]
+    notices = [(k, t) for k, f in enumerate(families) for t in _template_words(f)] + [(unknown, words(t)) for t in OTHERS]
+    phrases = [grams(t) for _, t in notices]
     lines = [w for t in ordinary_texts for x in t.split("\n") if (w := words(x))]
     holders: dict[tuple[str, ...], list[int]] = {}
     for k, p in enumerate(phrases):
@@ -183,79 +273,63 @@ def train(ordinary_texts: list[str], copies: int = 40, epochs: int = 60, rate: f
         shared = Counter(k for g in grams(line) for k in holders.get(g, ()))
         return any(n > 0.5 * len(phrases[k]) for k, n in shared.items())
 
-    # lines that quote a template are not ordinary
+    # lines that quote a notice are not ordinary
     lines = [x for x in lines if not quotes(x)]
     names = sorted({g for p in phrases for g in p if not TELLING.isdisjoint(g)})
-    features = {g: i for i, g in enumerate(names)}
-    model = Classifier(families, features, np.zeros((len(names), len(families) + 1)), np.zeros(len(families) + 1), 1.0)
+    model = Classifier(families, {g: i for i, g in enumerate(names)}, np.zeros((len(names) + 1, len(families) + 2)))
     rows, labels, held = [], [], []
-    for k, f in enumerate(families):
-        for t in _template_words(f):
-            for c in range(copies):
-                rows.append(model.rows(_varied(rng, t, lines) if c else t))
-                labels.append(k)
-                held.append(c % 5 == 4)
-                if c < copies // 2:  # the same words without the phrases
-                    mixed = [t[i] for i in rng.permutation(len(t))][: max(3, len(t) // 2)]
-                    rows.append(model.rows(mixed))
-                    labels.append(len(families))
-                    held.append(c % 5 == 4)
-    picked = [lines[i] for i in rng.permutation(len(lines))[:4000]]
-    rows += [model.rows(x) for x in picked]
-    labels += [len(families)] * len(picked)
-    held += [i % 5 == 4 for i in range(len(picked))]
-    x = np.zeros((len(rows), len(names)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    y, held = np.eye(len(families) + 1, dtype=np.float32)[labels], np.array(held)
-    weight = 1 / np.bincount(labels, minlength=len(families) + 1)[labels]
-    weight /= weight[~held].sum()
-    gw, gb = 1e-6, 1e-6
-    for _ in range(epochs * 5):
-        z = x[~held] @ model.weights + model.bias
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        error = (p - y[~held]) * weight[~held][:, None]
-        dw, db = x[~held].T @ error + decay * model.weights, error.sum(0)
-        gw, gb = gw + dw**2, gb + db**2
-        model.weights -= rate * dw / np.sqrt(gw)
-        model.bias -= rate * db / np.sqrt(gb)
-    z = x[held] @ model.weights + model.bias
-
-    def loss(t: float) -> float:
-        s = z / t - (z / t).max(1, keepdims=True)
-        return -float((y[held] * (s - np.log(np.exp(s).sum(1, keepdims=True)))).sum())
-
-    model.temperature = min(np.exp(np.linspace(-1.5, 1.5, 61)), key=loss)
+
+    def add(text: list[str], label: int, back: bool) -> None:
+        rows.append(model.rows(text))
+        labels.append(label)
+        held.append(back)
+
+    for k, t in notices:
+        for c in range(copies):
+            add(_varied(rng, t, lines) if c else t, k, c % 5 == 4)
+            if c < copies // 2 and len(t) > 6:  # the same words without the phrases
+                add([t[i] for i in rng.permutation(len(t))][: max(3, len(t) // 2)], none, c % 5 == 4)
+    for i, at in enumerate(rng.permutation(len(lines))[:SAMPLE_LINES]):
+        add(lines[at], none, i % 5 == 4)
+    x, labels, held = _Sparse(rows, len(names)), np.array(labels), np.array(held)
+    model.weights = _fitted(x, labels, np.flatnonzero(~held), model.weights.shape, rng, epochs, rate, decay)
+    back = np.flatnonzero(held)
+    z, y = x.sums(model.weights, back)[0], labels[back]
+    loss = lambda t: -float(np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum())
+    model.temperature = float(min(np.exp(np.linspace(-1.5, 1.5, 61)), key=loss))
+    strange = _softmax(z[y == unknown] / model.temperature)[:, :unknown].max(1)
+    model.least = float(np.clip(np.quantile(strange, 0.99), 0.5, 0.8))
     return model
 
 
-def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> Classifier:
-    """A classifier whose ordinary text comes from the ``sample_documents`` documents with the least hashed ids."""
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_documents).collect()]
-    texts = docs.where(F.col("doc_id").isin(ids)).select("doc_id", "text").limit(4 * sample_documents).collect()
-    return train([t for _, t in sorted((i, t) for i, t in texts if t)])
+def trained(docs: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS, sample_lines: int = SAMPLE_LINES) -> Classifier:
+    """A classifier whose ordinary text comes from the ``sample_documents`` documents with the least hashed ids: at most
+    ``sample_lines`` of their lines, those with the least hashes, and ``LINE`` characters of each."""
+    ids = [r[0] for r in docs.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample_documents).collect()]
+    lines = docs.where(F.col("doc_id").isin(ids)).select(F.explode(F.split("text", "\n")).alias("line")).select(F.substring("line", 1, LINE).alias("line")).distinct()
+    return train([r[0] for r in lines.orderBy(F.xxhash64(F.lit(SEED), "line"), "line").limit(sample_lines).collect()])
 
 
 _HITS = "array<struct<paragraph:int,family:string,likeliest:string,probability:double,likeness:double>>"
+_HIT = pyarrow.struct([("paragraph", pyarrow.int32()), ("family", pyarrow.string()), ("likeliest", pyarrow.string()), ("probability", pyarrow.float64()), ("likeness", pyarrow.float64())])
 
 
 def scanned(docs: DataFrame, model: Classifier) -> DataFrame:
     """doc_id, n_paragraphs, hits (paragraph from 0, family or unknown, likeliest family, probability, likeness)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the templates
+    held = docs.sparkSession.sparkContext.broadcast(model)  # its size is that of the notices
     tune(docs.sparkSession)
 
     def scan(batches):
         judge = held.value.judge
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                lines = text.split("\n") if isinstance(text, str) and text else []
-                hits = [(i, *found) for i, line in enumerate(lines) if (found := judge(words(line)))]
-                rows.append((doc_id, sum(1 for x in lines if x.strip()), [dict(zip(("paragraph", "family", "likeliest", "probability", "likeness"), h, strict=True)) for h in hits]))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_paragraphs", "hits"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frugal(scan), f"doc_id long, n_paragraphs int, hits {_HITS}")
+            counts, hits = [], []
+            for text in batch["text"].to_pylist():
+                lines = text.split("\n") if text else []
+                counts.append(sum(1 for x in lines if x.strip()))
+                hits.append([dict(zip(_HIT.names, (i, *found), strict=True)) for i, line in enumerate(lines) if (found := judge(words(line)))])
+            yield record_batch(doc_id=batch["doc_id"], n_paragraphs=pyarrow.array(counts, pyarrow.int32()), hits=pyarrow.array(hits, pyarrow.list_(_HIT)))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(scan), f"doc_id long, n_paragraphs int, hits {_HITS}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
