@@ -1,20 +1,27 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are the distinct lower-cased words of a text (runs of ASCII letters and digits and of all non-ASCII bytes) and
-their first four and five bytes, hashed to 2**18 features. The score is ``sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>)``: besides a weight for each term, the
-machine learns pairwise interactions, so that two terms can mean more, or less, together than apart (an insult next to a
-group's name). Terms in fewer than ``min_rows`` training rows, and terms whose
-label counts are within ``least_surprise`` standard errors of chance, have no weights: they would only add noise.
+their first four, five and seven bytes, hashed to 2**18 features. The score is
+``sigmoid(w0 + sum w_i + sum_{i<j} <v_i, v_j>)``: besides a weight for each term, the machine learns pairwise
+interactions, so that two terms can mean more, or less, together than apart (an insult next to a group's name).
+
+Terms that take part: those in ``min_rows`` training rows or more whose label counts are ``least_surprise`` standard
+errors or more from chance, and those of surprising pairs, however neutral each is alone. Pairs are tested among the
+``pair_terms`` commonest terms: what the first terms' weights alone leave unexplained, summed over the rows that hold both
+terms, is ``pair_surprise`` standard errors or more from chance. All terms that take part have weights and factors; the
+others would only add noise.
 
 Training: at most ``max_rows`` labelled rows, those with the least seeded hash of doc_id (so the sample is uniform,
 repeatable and bounded whatever the size), reduced to hashed terms on the executors; of rows with equal terms one is
-used, or a copied document would teach its own words. Only hashed terms and labels come
-to the driver, which fits by AdaGrad. Rows of each class weigh so that classes balance; the intercept is then set so
-that 0.5 is the cut with the best F1 on rows of the sample held back from fitting.
+used, or a copied document would teach its own words, and of rows that repeat a doc_id the one whose terms come first.
+Only hashed terms and labels come to the driver, ``max_terms`` terms of a row at most (those with the least hashes), so
+what it holds is bounded in rows and bytes; scoring uses all terms. The driver fits by AdaGrad. Rows of each class weigh so
+classes balance; the intercept is then set so that 0.5 is the cut with the best F1 of the sample's rows as scored by
+machines fitted without them (``FOLDS`` parts).
 
 Scoring: one pass over whole texts, no shuffle. Null and empty texts have no terms and get the score of the intercept
-alone. Rows that repeat a doc_id are scored each. Without labelled rows of both classes all scores are 0. Columns lang,
-source and doc_id are never inputs; other columns ride along.
+alone. Rows that repeat a doc_id are scored each, and so are rows without one. Without labelled rows of both classes all
+scores are 0. An empty table gives no rows. Columns lang, source and doc_id are never inputs; other columns ride along.
 """
 
 from __future__ import annotations
@@ -24,23 +31,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, frugal, NOT_TERM, slabs, table, tune, word_hashes
+from .common import NOT_TERM, as_bytes, free_name, frugal, record_batch, slabs, table, tune, utf8, word_hashes
 
 FEATURES, FACTORS = 1 << 18, 4
 #: Besides whole words, their first so many bytes are terms: insults are inflected and compounded.
-HEADS = (4, 5)
-MAX_ROWS, MIN_ROWS, SEED = 12_000, 5, 7
+HEADS = (4, 5, 7)
+MAX_ROWS, MIN_ROWS, SEED = 12_000, 4, 7
+#: Terms of a training row, terms among which pairs are tested, steps of fitting, and parts that find the cut.
+MAX_TERMS, PAIR_TERMS, STEPS, FOLDS = 4096, 2048, 720, 4
 
 _U = np.uint64
 
 
-def terms(texts: list) -> list[np.ndarray]:
-    """The distinct hashed terms of each text, sorted."""
+def terms(texts: list[bytes]) -> list[np.ndarray]:
+    """The distinct hashed terms of each text (UTF-8), sorted."""
     out = []
-    for slab in slabs([as_bytes(t) for t in texts], len):
+    for slab in slabs(texts, len):
         words, counts = word_hashes(slab, NOT_TERM, HEADS)
         ids = (words >> _U(64 - 18)).astype(np.int32)
         at = 0
@@ -76,31 +86,68 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, min_rows: int = MIN_ROWS, least_surprise: float = 7.0, epochs: int = 15, rate: float = 0.2, decay: float = 2e-3, seed: int = SEED) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, min_rows: int = MIN_ROWS, least_surprise: float = 5.5, pair_surprise: float = 8.0, pair_terms: int = PAIR_TERMS, steps: int = STEPS, seed: int = SEED) -> Machine:
     """AdaGrad on the logistic loss, rows of both classes weighing the same in sum."""
     rng = np.random.default_rng(seed)
+    if not len(labels) or labels.min() == labels.max():
+        return Machine(-40.0, np.zeros(features), np.zeros((features, factors)))
     common, toxic = np.zeros(features), np.zeros(features)
     for r, y in zip(rows, labels, strict=True):
         common[r] += 1
         toxic[r] += y
-    base = labels.mean() if len(labels) else 0.0
+    base = labels.mean()
     surprise = np.abs(toxic - base * common) / np.sqrt(np.maximum(base * (1 - base) * common, 1e-9))
     keep = (common >= min_rows) & (surprise >= least_surprise)
+    every, fold = np.arange(len(rows)), rng.integers(0, FOLDS, len(rows))
+    linear = _fitted([r[keep[r]] for r in rows], labels, every, Machine(0.0, np.zeros(features), np.zeros((features, 1))), rng, steps)
+    linear.intercept -= np.log((1 - base) / base)  # classes were balanced
+    some = np.argsort(-common, kind="stable")[:pair_terms]
+    keep[_paired(rows, labels - linear.scores([r[keep[r]] for r in rows]), some[common[some] >= max(min_rows, 20)], features, pair_surprise)] = True
     rows = [r[keep[r]] for r in rows]
-    machine = Machine(0.0, np.zeros(features), np.where(keep[:, None], rng.normal(0, 0.01, (features, factors)), 0.0))
-    if not len(labels) or labels.min() == labels.max():
-        return Machine(-40.0, machine.weights, np.zeros((features, factors)))
-    held = rng.random(len(rows)) < 0.15
-    fitted = np.flatnonzero(~held)
-    if labels[fitted].min() == labels[fitted].max():
-        fitted = np.arange(len(rows))
+    first = np.where(keep[:, None], rng.normal(0, 0.05, (features, factors)), 0.0)
+    grown = lambda which: _fitted(rows, labels, which, Machine(0.0, np.zeros(features), first.copy()), rng, steps)
+    # each fold is scored by a machine that hasn't seen it; 0.5 is put where these scores are cut best
+    raw = np.zeros(len(rows))
+    for k in range(FOLDS):
+        own, others = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
+        if len(own) and len(others) and labels[others].min() < labels[others].max():
+            raw[own] = grown(others).raw([rows[i] for i in own])
+    machine = grown(every)
+    machine.intercept -= best_cut(raw, labels)
+    machine.weights, machine.factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
+    return machine
+
+
+def _paired(rows: list[np.ndarray], rest: np.ndarray, some: np.ndarray, features: int, least: float) -> np.ndarray:
+    """The terms among ``some`` that form a pair with a surprising sum of ``rest`` over the rows that hold both."""
+    place = np.full(features, -1)
+    place[some] = np.arange(len(some))
+    own = [p[p >= 0] for p in (place[r] for r in rows)]
+    sums, squares = (np.zeros((len(some), len(some)), np.float32) for _ in range(2))
+    for at in range(0, len(rows), 1024):
+        part = own[at : at + 1024]
+        x = np.zeros((len(part), len(some)), np.float32)
+        x[np.repeat(np.arange(len(part)), [len(p) for p in part]), np.concatenate(part)] = 1
+        r = rest[at : at + 1024].astype(np.float32)[:, None]
+        sums += x.T @ (x * r)
+        squares += x.T @ (x * r**2)
+    odd = np.abs(sums) >= least * np.sqrt(squares + 0.25)
+    np.fill_diagonal(odd, False)
+    return some[odd.any(1)]
+
+
+def _fitted(rows: list[np.ndarray], labels: np.ndarray, fitted: np.ndarray, machine: Machine, rng: np.random.Generator, steps: int, rate: float = 0.2, decay: float = 2e-3) -> Machine:
+    features, factors = machine.factors.shape
     share = labels[fitted].mean()
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     gw, gv, g0 = np.full(features, 1e-6), np.full((features, factors), 1e-6), 1e-6
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(fitted), max(1, len(fitted) // 128)):
+    per_epoch = max(1, len(fitted) // 128)
+    for _ in range(-(-steps // per_epoch)):
+        for batch in np.array_split(rng.permutation(fitted), per_epoch):
             own = [rows[i] for i in batch]
             error = (machine.scores(own) - labels[batch]) * weight[batch] / len(batch)
+            g0 += error.sum() ** 2
+            machine.intercept -= rate * error.sum() / np.sqrt(g0)
             sizes = np.array([len(r) for r in own])
             some = np.flatnonzero(sizes)
             if not len(some):
@@ -108,31 +155,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
             ids, back = np.unique(np.concatenate([own[i] for i in some]), return_inverse=True)
             head = np.cumsum(sizes[some]) - sizes[some]
             per = np.repeat(error[some], sizes[some])
-            v = machine.factors[ids]
-            total = np.repeat(np.add.reduceat(v[back], head), sizes[some], axis=0)
             dw = np.bincount(back, per, len(ids)) + decay * machine.weights[ids] / len(batch)
-            dv = np.zeros_like(v)
-            np.add.at(dv, back, per[:, None] * (total - v[back]))
-            dv += decay * v / len(batch)
             gw[ids] += dw**2
-            gv[ids] += dv**2
-            g0 += error.sum() ** 2
+            v = machine.factors[ids]
+            if v.any():
+                total = np.repeat(np.add.reduceat(v[back], head), sizes[some], axis=0)
+                slope = per[:, None] * (total - v[back])
+                dv = np.stack([np.bincount(back, slope[:, k], len(ids)) for k in range(factors)], 1) + decay * v / len(batch)
+                gv[ids] += dv**2
+                machine.factors[ids] -= 0.3 * rate * dv / np.sqrt(gv[ids])
             machine.weights[ids] -= rate * dw / np.sqrt(gw[ids])
-            machine.factors[ids] -= 0.3 * rate * dv / np.sqrt(gv[ids])
-            machine.intercept -= rate * error.sum() / np.sqrt(g0)
-    check = np.flatnonzero(held) if held.any() and labels[held].max() == 1 else fitted
-    raw = machine.raw([rows[i] for i in check])
-    machine.intercept -= best_cut(raw, labels[check])
-    machine.weights, machine.factors = machine.weights.astype(np.float32), machine.factors.astype(np.float32)
     return machine
 
 
 def best_cut(raw: np.ndarray, labels: np.ndarray) -> float:
-    """The raw score whose cut has the best F1, halfway to the next lower score."""
+    """The raw score whose cut has the best F1, halfway to the next lower score; the lowest of several."""
     order = np.argsort(-raw, kind="stable")
     hit = np.cumsum(labels[order])
     f1 = 2 * hit / (np.arange(1, len(raw) + 1) + labels.sum())
-    k = int(np.argmax(f1))
+    k = int(np.flatnonzero(f1 == f1.max())[-1])
     return float((raw[order[k]] + raw[order[min(k + 1, len(raw) - 1)]]) / 2)
 
 
@@ -140,23 +181,26 @@ def _held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """doc_id, text, label -> label, terms (little-endian int32 bytes)."""
+def _hashed(texts: DataFrame, max_terms: int) -> DataFrame:
+    """doc_id, text, label -> doc_id, label, terms (little-endian int32 bytes)."""
 
     def reduce(batches):
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [t.astype("<i4").tobytes() for t in terms(list(batch["text"]))]})
+            yield record_batch(doc_id=batch["doc_id"], label=batch["label"], terms=pyarrow.array([t[:max_terms].astype("<i4").tobytes() for t in terms(utf8(batch["text"]))], pyarrow.binary()))
 
-    return texts.select("doc_id", "label", "text").mapInPandas(frugal(reduce), "doc_id long, label int, terms binary")
+    return texts.select("doc_id", "label", "text").mapInArrow(frugal(reduce), "doc_id long, label int, terms binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS) -> Machine:
-    """A machine from labelled rows whose crc32(doc_id) modulo 5 isn't 0, ``max_rows`` at most."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Machine:
+    """A machine from labelled rows whose crc32(doc_id) modulo 5 isn't 0, ``max_rows`` at most. A doc_id with several
+    labels counts as toxic if one of them says so."""
     tune(docs.sparkSession)
-    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     wanted = wanted.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows)
     # max_rows ids at most: small whatever the tables hold
-    found = _hashed(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")).toPandas().drop_duplicates("doc_id").sort_values("doc_id").drop_duplicates("terms")
+    found = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id"), max_terms)
+    # one row for each id, then one for each set of terms: partial sums before anything is sent
+    found = found.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")).groupBy("terms").agg(F.min(F.struct("doc_id", "label")).alias("m")).select("m.doc_id", "m.label", "terms").toPandas().sort_values("doc_id")
     return fit([np.frombuffer(x, "<i4") for x in found["terms"]], found["label"].to_numpy(np.float64))
 
 
@@ -167,7 +211,7 @@ def scored(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFra
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from frugal(lambda texts: (pd.Series(held.value.scores(terms(list(t)))) for t in texts))(batches)
+        yield from frugal(lambda texts: (pd.Series(held.value.scores(terms([as_bytes(x) for x in t]))) for t in texts))(batches)
 
     return docs.withColumn(name, score("text"))
 

@@ -40,6 +40,41 @@ def test_interactions_are_learned(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_pure_interactions_are_learned():
+    rng = np.random.default_rng(0)
+    for kind in ("xor", "both"):
+        rows, labels = [], []
+        for _ in range(6000):
+            own = set(rng.choice(np.arange(10, 2000), 30, replace=False).tolist())
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            own |= {1} if a else set()
+            own |= {2} if b else set()
+            rows.append(np.array(sorted(own)))
+            labels.append(float(a != b if kind == "xor" else a and b))
+        labels = np.array(labels)
+        machine = toxicity.fit(rows[:4800], labels[:4800])
+        assert ((machine.scores(rows[4800:]) >= 0.5) == (labels[4800:] == 1)).mean() >= 0.95
+        assert machine.factors[[1, 2]].any()
+
+
+def test_scores_of_the_query_are_those_of_pair_sums(spark, tmp_path):
+    rows, labels = labelled(spark, 300)
+    rows = [*rows, (2**60 + 1, "insult group"), (None, "insult group"), (None, None), (5, "another text")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    marks.write.parquet(str(tmp_path / "labels.parquet"))
+    machine = toxicity.train(spark.read.parquet(str(tmp_path / "documents.parquet")), marks)
+    want = []
+    for i, t in rows:
+        own = toxicity.terms([(t or "").encode()])[0]
+        v = machine.factors[own].astype(float)
+        raw = machine.intercept + float(machine.weights[own].astype(float).sum()) + sum(float(v[a] @ v[b]) for a in range(len(own)) for b in range(a + 1, len(own)) if v[a].any() and v[b].any())
+        score = 1 / (1 + np.exp(-np.clip(raw, -40, 40)))
+        want.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 5 == 0, round(score, 4), int(score >= 0.5)))
+    got = [(str(r.doc_id), bool(r.held_out), round(r.score, 4), r.predicted) for r in toxicity.query(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_scores_are_the_formula():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 3)))
@@ -79,6 +114,43 @@ def test_what_reads_like_a_licence_but_is_none_is_not_named(model):
         assert found is None or found[0] == licenses.UNKNOWN
 
 
+NEAR = {
+    "AGPL": "This file is part of it and is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+    "GPL-2": "This program is free software; you can redistribute it and/or modify it under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation.",
+    "GPL-2 short": "This work is licensed under the GNU General Public License, version 2.",
+    "MPL 1.1": "Licensed under the Mozilla Public License, version 1.1.",
+    "MPL 1.1 long": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/1.1/.",
+    "CC BY 3.0": "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    "CC BY 3.0 short": "Licensed under CC BY 3.0.",
+    "CC BY-ND": "This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License.",
+    "CC BY-NC-ND": "Licensed under CC BY-NC-ND 4.0.",
+    "ISC": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Apache 1.1": "Licensed under the Apache License, Version 1.1.",
+}
+
+
+@pytest.mark.parametrize("name", NEAR)
+def test_near_misses_are_unknown(model, name):
+    found = model.judge(licenses.words(NEAR[name]))
+    assert found and found[0] == licenses.UNKNOWN
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_each_line_that_is_a_template_is_named(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
+    family = {t: f for f, ts in licenses.TEMPLATES.items() for t in ts}
+    want = {(r.doc_id, k, family[x]) for r in docs.where("text rlike '[Ll]icens|rights reserved'").collect() for k, x in enumerate(r.text.split("\n")) if x in family}
+    hits = licenses.scanned(docs, licenses.trained(docs)).where("size(hits) > 0").collect()
+    assert want <= {(r.doc_id, h.paragraph, h.family) for r in hits for h in r.hits} and want
+
+
+def test_ids_survive_the_scan(spark, model):
+    note = licenses.TEMPLATES["mit"][0]
+    rows = [(2**60 + 1, note), (None, note), (3, "a"), (3, note)]
+    got = sorted((str(r.doc_id), [h.family for h in r.hits]) for r in licenses.scanned(frame(spark, rows), model).collect())
+    assert got == [(str(2**60 + 1), ["mit"]), ("3", []), ("3", ["mit"]), ("None", ["mit"])]
+
+
 def test_scan_of_odd_texts(spark, model):
     note = licenses.TEMPLATES["mit"][0]
     rows = [(1, None), (2, ""), (3, f"hello\n\n{note}\nbye"), (3, f"hello\n\n{note}\nbye"), (4, "x " * 50_000 + note)]
