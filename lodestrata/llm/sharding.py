@@ -1,14 +1,19 @@
 """Two-pass external shuffle into shards.
 
-Pass one scatters records to memory-sized buckets by a seeded hash. Pass two loads each bucket in one task, puts it in
-canonical order, applies a Fisher-Yates shuffle seeded by the bucket, and writes. The global order is bucket after
-bucket; with the bucket counts' prefix sums each record knows its position, and position modulo the number of shards
-deals records out so that counts differ by one at most (law ``rows``). A rerun or a lost executor gives the same result.
-
-The number of buckets follows the bytes: ``total / bucket_bytes``. Their counts (a few bytes a bucket) are the only
-thing the driver sees. Null texts have size 1 and crc 0. Rows that repeat a doc_id get places of their own; rows equal
-in id and text go to the same bucket. An empty table gives no rows; other columns ride along untouched.
-Where one has the name of an added column, that one gets an underscore before its name.
+Pass one scatters records to memory-sized buckets by a seeded hash of key and text. Pass two loads each bucket in one task,
+puts it in canonical order (key, checksum, size, a hash of all columns; what ties then are equal rows), applies a
+Fisher-Yates shuffle seeded by the bucket, and writes. The global order is bucket after bucket; with the bucket counts'
+prefix sums each record knows its position, and position modulo the number of shards deals records out so that counts
+differ by one at most (law ``rows``). A rerun or a lost executor gives the same result.
+
+The number of buckets follows the bytes: ``total / bucket_bytes``. A bucket that is over ``CROWDED`` times that size without
+its largest row means that rows repeat in key and text; all rows then are written once and scattered by their place in that
+table too, so that no bucket holds more than its share (and a rerun is the same for the same partitions). Bucket counts are a table of their own: prefix sums run in parts of
+``RUN`` buckets, and only one number for each part comes to the driver.
+
+Null texts have size 1 and crc 0. Rows without a key, and rows that repeat one, get places of their own. An empty table
+gives no rows; other columns ride along untouched, in their own types. Where one has the name of an added column, that one
+gets an underscore before its name.
 """
 
 from __future__ import annotations
@@ -16,14 +21,16 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, table, tune
+from .common import free_name, stored, table, tune, utf8
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 16 << 20
+CROWDED, RUN = 4, 4096
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -37,38 +44,62 @@ def fisher_yates(n: int, seed: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _positions(sizes: DataFrame) -> DataFrame:
+    """bucket, first: how many rows the buckets before each hold. ``sizes``: (bucket, n)."""
+    parts = sizes.withColumn("part", F.floor(F.col("bucket") / RUN))
+    totals = sorted(tuple(r) for r in parts.groupBy("part").agg(F.sum("n")).collect())  # one for RUN buckets
+    before = dict(zip([k for k, _ in totals], np.cumsum([0, *[n for _, n in totals]]).tolist(), strict=False))
+    starts = sizes.sparkSession.createDataFrame(list(before.items()), "part long, start long")
+    inside = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    summed = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    return summed.join(F.broadcast(starts), "part").select("bucket", (F.col("start") + F.col("inside")).alias("first"))
+
+
 def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """``df`` with size, text_crc32, position, shard and slot; rows of one bucket follow each other in their new order."""
     tune(df.sparkSession)
-    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
-    spread = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(n))
-    total = df.agg(F.sum(size)).first()[0] or 0
-    n_buckets = max(1, -(-total // bucket_bytes))
-    counts = {int(b): int(n) for b, n in df.groupBy(spread(n_buckets)).count().collect()}
-    first = np.concatenate(([0], np.cumsum([counts.get(b, 0) for b in range(n_buckets)])))
-
     added = T.StructType([T.StructField(free_name(df.columns, f.name), f.dataType) for f in _ADDED])
+    out = T.StructType([*df.schema.fields, *added.fields])
     names = [f.name for f in df.schema]
-
-    def shuffle_bucket(group: tuple[np.int64, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(group[0])
-        raw = [as_bytes(x) for x in rows[text]]
-        crc, size = np.array([zlib.crc32(x) for x in raw], np.int64), np.array([len(x) + 1 for x in raw], np.int64)
-        order = pd.DataFrame({"key": rows[key], "crc": crc, "size": size}).reset_index(drop=True).sort_values(["key", "crc", "size"], kind="stable").index.to_numpy()
-        order = order[fisher_yates(len(rows), seed ^ (bucket + 1) << 20)]
-        position = first[bucket] + np.arange(len(rows))
-        new = dict(zip(added.names, (size[order], crc[order], position, (position % shards).astype(np.int32), position // shards), strict=True))
-        return rows.iloc[order].reset_index(drop=True).assign(**new)[[*names, *added.names]]
-
-    return df.groupBy(spread(n_buckets).alias(free_name(df.columns, "_bucket"))).applyInPandas(shuffle_bucket, T.StructType([*df.schema.fields, *added.fields]))
+    bucket, first, tie, salt = (free_name([*names, *added.names], x) for x in ("_bucket", "_first", "_tie", "_salt"))
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
+    n_buckets = max(1, -(-(df.agg(F.sum(size)).first()[0] or 0) // bucket_bytes))
+
+    def scattered(rows: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
+        dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), *more), F.lit(n_buckets)))
+        return dealt, stored(dealt.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("most")), "buckets")
+
+    dealt, sizes = scattered(df)
+    if not sizes.where(F.col("bytes") - F.col("most") > CROWDED * bucket_bytes).isEmpty():
+        rows = stored(df, "records")
+        place = F.xxhash64(F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1), F.col("_metadata.row_index"))
+        dealt, sizes = scattered(rows.withColumn(salt, place), F.col(salt))
+    hashable = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    starts = stored(_positions(sizes), "starts").select(F.col("bucket").alias(bucket), F.col("first").alias(first))
+    ready = dealt.withColumn(tie, F.xxhash64(*hashable)).join(starts, bucket).select(*[F.col(f"`{n}`") for n in names], bucket, first, tie)
+
+    def shuffle_bucket(group: tuple, rows: pyarrow.Table) -> pyarrow.Table:
+        raw = utf8(rows[text].combine_chunks())
+        crc, n_bytes = np.array([zlib.crc32(x) for x in raw], np.int64), np.array([len(x) + 1 for x in raw], np.int64)
+        keyed = pyarrow.table([rows[key], pyarrow.array(crc), pyarrow.array(n_bytes), rows[tie]], names=["key", "crc", "size", "tie"])
+        order = pyarrow.compute.sort_indices(keyed, sort_keys=[(c, "ascending") for c in keyed.column_names]).to_numpy()
+        order = order[fisher_yates(len(raw), seed ^ (int(group[0].as_py()) + 1) << 20)]
+        position = rows[first][0].as_py() + np.arange(len(raw))
+        result = rows.select(names).take(pyarrow.array(order))
+        for name, values in zip(added.names, (n_bytes[order], crc[order], position, (position % shards).astype(np.int32), position // shards), strict=True):
+            result = result.append_column(name, pyarrow.array(values))
+        return result
+
+    return ready.groupBy(bucket).applyInArrow(shuffle_bucket, out)
 
 
 _ADDED = T.StructType([T.StructField("size", T.LongType()), T.StructField("text_crc32", T.LongType()), T.StructField("position", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """Write the shuffled records below ``path``, a folder for each shard, in slot order within each file."""
-    df.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write the shuffled records below ``path``, a folder for each shard, in slot order within each file. Each task writes
+    its own buckets' part of every shard: nothing is shuffled again, and no task holds a shard."""
+    df.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

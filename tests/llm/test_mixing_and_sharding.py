@@ -68,3 +68,29 @@ def test_shards_written_and_empty(spark, tmp_path):
     assert sharding.external_shuffle(docs.where("doc_id < 0")).count() == 0
     clash = sharding.external_shuffle(docs.withColumn("Shard", F.lit(11)).withColumn("_bucket", F.lit(1)))
     assert clash.where("Shard <> 11 or _shard > 7").count() == 0 and clash.count() == docs.count()
+
+
+def test_hot_rows_are_split_and_types_survive(spark):
+    from pyspark.sql import types as T
+
+    big = 2**60 + 1
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("rider", T.LongType()), T.StructField("m", T.MapType(T.StringType(), T.IntegerType()))])
+    rows = [(big + i, f"text {i}", big + i if i % 2 else None, {"a": i}) for i in range(40)] + [(None, "same text " * 5, None, None)] * 300 + [(7, "hot key " + str(i), 1, None) for i in range(100)]
+    docs = spark.createDataFrame(rows, schema)
+    out = sharding.external_shuffle(docs, bucket_bytes=1500)
+    found = out.collect()
+    assert sorted((str(r.doc_id), r.text, str(r.rider), str(r.m)) for r in found) == sorted((str(i), t, str(x), str(m)) for i, t, x, m in rows)
+    assert sorted(r.position for r in found) == list(range(len(rows)))
+    assert all((r.shard, r.slot) == (r.position % 8, r.position // 8) for r in found)
+    same = sorted(r.position for r in found if r.text.startswith("same"))
+    assert max(b - a for a, b in zip(same, same[1:])) < 100  # spread over all buckets
+
+
+def test_positions_over_many_runs(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 3)
+    sizes = [(b, 1 + b % 4) for b in range(0, 40, 2)]
+    got = {r.bucket: r.first for r in sharding._positions(spark.createDataFrame(sizes, "bucket long, n long")).collect()}
+    at = 0
+    for b, n in sizes:
+        assert got[b] == at
+        at += n
