@@ -10,11 +10,13 @@ whatever the corpus holds:
 
 Each step of the plan is a run "m sequences of this pattern" and uses up at least one length or gap, so the plan's size
 depends on the capacity and not on the corpus. Pieces are then dealt to runs by their rank within their length. The
-rank comes from (length, bucket) counts, prefix sums and a rank inside a bucket, so that a length which a third of all
-pieces share is ranked by many tasks.
+rank comes from (length, bucket) counts, prefix sums and a rank inside a bucket. A length has as many buckets as its
+pieces need, so that a length which most pieces share is ranked by many tasks; the driver sees one count for each length
+and for each ``ROWS`` pieces at most.
 
 Null texts are empty; an empty text is the end token alone. Rows are packed one by one, so a doc_id that repeats gives
-its pieces as often (``copy`` tells them apart). An empty table gives no rows. Other columns are ignored.
+its pieces as often, and rows without a doc_id give theirs without one. Pieces equal in all they have change places
+freely. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +31,19 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import frugal, slabs, stored, table, tune
+from .common import frugal, record_batch, slabs, stored, table, tune
 
 CAPACITY, END_ID = 4096, 1
 #: Distinct words in each of the two generations that a task keeps. When the young one is full it becomes the old one, so
 #: words that come up again stay and rare ones go. The first words of a process's first task are left to the next. All that
 #: changes nothing but time.
 CACHED_WORDS, FIRST_WORDS = 400_000, 100_000
+#: Pieces of one length that a task ranks: so many at least and at most.
+LEAST_ROWS, ROWS = 1024, 1 << 16
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -138,20 +143,22 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
     tune(docs.sparkSession)
 
     def cut(batches):
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
         with encoder(path) as encode:
             for batch in batches:
-                rows = []
-                texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-                for doc_id, ids in zip(batch["doc_id"], encode(texts), strict=True):
+                rows, pieces, starts, parts = [], [], [], []
+                for row, ids in enumerate(encode([t or "" for t in batch["text"].to_pylist()])):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-                yield pd.DataFrame(rows, columns=names)
+                        rows.append(row)
+                        pieces.append(piece)
+                        starts.append(at // 4)
+                        parts.append(ids[at : at + 4 * capacity])
+                columns = {"doc_id": batch["doc_id"].take(pyarrow.array(rows, pyarrow.int32())), "piece": pyarrow.array(pieces, pyarrow.int32()), "start": pyarrow.array(starts, pyarrow.int64())}
+                columns |= {"length": pyarrow.array([len(x) // 4 for x in parts], pyarrow.int64()), "ids_crc32": pyarrow.array(map(zlib.crc32, parts), pyarrow.int64())}
+                yield record_batch(**columns, **({"ids": pyarrow.array(parts, pyarrow.binary())} if with_ids else {}))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frugal(cut), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(cut), schema)
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -255,31 +262,46 @@ def _slots(runs: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarra
     return {x: tuple(np.array(c, np.int64) for c in zip(*rows, strict=True)) for x, rows in out.items()}
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (stored rows with doc_id, piece, length) with sequence_id and offset."""
-    spread = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = spread.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
-    per_bucket = counts.toPandas().sort_values(["length", "_bucket"])  # capacity * buckets rows at most
-    totals = per_bucket.groupby("length")["_n"].sum()
-    slots = _slots(plan_runs({int(k): int(v) for k, v in totals.items()}, capacity))
-    before = per_bucket.groupby("length")["_n"].cumsum() - per_bucket["_n"]
-    firsts = np.zeros((capacity + 1, buckets), np.int64)
-    firsts[per_bucket["length"], per_bucket["_bucket"]] = before
-    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")
+    spark = pieces.sparkSession
+    totals = {int(k): int(n) for k, n in pieces.groupBy("length").count().collect()}  # capacity rows at most
+    slots = _slots(plan_runs(totals, capacity))
+    rows = max(LEAST_ROWS, min(ROWS, sum(totals.values()) // capacity))
+    many = [(k, -(-n // rows)) for k, n in totals.items() if n > rows]
+    spread = pieces.withColumn("_bucket", F.lit(0).cast("long"))
+    if many:  # a row for a length at most
+        split = F.broadcast(spark.createDataFrame(many, "length long, _buckets long"))
+        spread = pieces.join(split, "length", "left").withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce("_buckets", F.lit(1)))).select(*pieces.columns, "_bucket")
+    firsts = {k: np.zeros(1, np.int64) for k in totals}
+    if many:
+        counts: dict[int, np.ndarray] = {k: np.zeros(n, np.int64) for k, n in many}
+        for k, bucket, n in spread.join(split, "length", "left_semi").groupBy("length", "_bucket").count().toLocalIterator():
+            counts[k][bucket] = n
+        firsts |= {k: np.cumsum(n) - n for k, n in counts.items()}
+    held = spark.sparkContext.broadcast((slots, firsts))  # the plan, and a number for each bucket
+    order = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32", "start")
     ranked = spread.withColumn("_rank", F.row_number().over(order) - 1)
+    names = pieces.columns
 
     def place(batches):
+        slots, firsts = held.value
         for batch in batches:
-            rank = batch["_rank"].to_numpy(np.int64) + firsts[batch["length"], batch["_bucket"]]
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for length, rows in batch.groupby("length").indices.items():
-                first, to, at = slots[int(length)]
-                run = np.searchsorted(first, rank[rows], "right") - 1
-                sequence[rows], offset[rows] = to[run] + rank[rows] - first[run], at[run]
-            yield batch.drop(columns=["_rank", "_bucket"]).assign(sequence_id=sequence, offset=offset)
+            length, bucket, rank = (batch[c].to_numpy() for c in ("length", "_bucket", "_rank"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            by_length = np.argsort(length, kind="stable")
+            head = np.flatnonzero(np.diff(length[by_length], prepend=-1))
+            for own in np.split(by_length, head[1:]):
+                if len(own):
+                    k = int(length[own[0]])
+                    first, to, at = slots[k]
+                    place = rank[own] + firsts[k][bucket[own]]
+                    run = np.searchsorted(first, place, "right") - 1
+                    sequence[own], offset[own] = to[run] + place - first[run], at[run]
+            yield record_batch(**{c: batch[c] for c in names}, sequence_id=sequence, offset=offset)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInPandas(frugal(place), f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(frugal(place), f"{fields}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -295,7 +317,9 @@ def sequences(docs: DataFrame, packed: DataFrame, path: str | None = None, capac
         rows = rows.sort_values("offset")
         return pd.DataFrame({"sequence_id": [key[0]], "ids": [np.frombuffer(b"".join(rows["ids"]), "<u4").astype(np.int64)]})
 
-    return packed.join(ids, ["doc_id", "piece", "ids_crc32"]).select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(glue, "sequence_id long, ids array<long>")
+    both = ids.withColumnRenamed("doc_id", "_doc_id")
+    found = packed.join(both, ["piece", "ids_crc32"]).where(F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    return found.select("sequence_id", "offset", "ids").groupBy("sequence_id").applyInPandas(glue, "sequence_id long, ids array<long>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,8 +46,11 @@ def test_exact_complements_come_first():
     assert sorted(p.plan_runs({70: 1, 30: 1, 60: 1, 25: 1, 15: 1}, 100)) == [(1, (60, 25, 15)), (1, (70, 30))]
 
 
-def test_packed_documents_rebuild(spark):
-    rows = corpus(6, 40) + [(7, "again"), (7, "again")]
+@pytest.mark.parametrize("least", [1024, 2])
+def test_packed_documents_rebuild(spark, monkeypatch, least):
+    monkeypatch.setattr(p, "LEAST_ROWS", least)
+    monkeypatch.setattr(p, "ROWS", least)
+    rows = corpus(6, 40) + [(7, "again"), (7, "again"), (2**60 + 1, "large"), (None, "no id"), (None, None)]
     docs = frame(spark, rows)
     packed = p.pack_documents(docs, capacity=64)
     found = packed.toPandas().sort_values(["sequence_id", "offset"])
@@ -60,7 +63,7 @@ def test_packed_documents_rebuild(spark):
         ids += b"\1\0\0\0"
         for k, at in enumerate(range(0, len(ids), 256)):
             want[(i, k, at // 4, len(ids[at : at + 256]) // 4, zlib.crc32(ids[at : at + 256]))] += 1
-    assert Counter(map(tuple, found[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False))) == want
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.collect()) == want
     glued = p.sequences(docs, packed, capacity=64).agg(F.sum(F.size("ids"))).first()[0]
     assert glued == found["length"].sum()
 
