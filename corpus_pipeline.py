@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm import hyperminhash, packing, source_mix, suffix_dedup, toxicity
-from lodestrata.llm.common import free_name, stored, table
+from lodestrata.llm.common import drop_stored, free_name, scratch, stored, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +21,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at similarity 0.8 or more, the smallest doc_id stays."""
-    kept = hyperminhash.near_duplicates(docs, width=5, percent=80).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """Of each group of documents linked by five-word shingles at similarity 0.8 or more, the smallest doc_id stays. Rows
+    that repeat a doc_id and its text stay once; different texts of a doc_id, or without one, are documents of their own."""
+    return hyperminhash.deduplicated(docs, width=5, percent=80)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch(spark) as keep:  # what a stage wrote on its way goes with it
+            docs = keep(stored(stage(spark, before, sf_dir), name))
+        if k:
+            drop_stored(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,23 +11,33 @@ bucket). Empty buckets borrow from full ones by a seeded probe order, so that sh
    buckets (what a group of near copies was made from, as it is nearer to each copy than they are to each other). A pair's similarity is estimated from the
    registers, corrected for compressed registers that agree by chance; pairs that could still reach the threshold
    (five standard errors) are confirmed on the full sets.
-4. Completion: buckets that still hold several components are joined to families. In a family all documents outside
-   its largest component are compared with all of it, in blocks of bounded size, by exact intersection counts; each task
-   gives the links that connect components, and no pair is ever a row. Nothing is capped.
+4. Completion: buckets that still hold several components are joined to families. Documents of a family are dealt by
+   size, so that only those meet whose sizes allow the threshold, and there all outside the largest component are compared
+   with all, in blocks of bounded size, by exact intersection counts; each task gives the links that connect components,
+   and no pair is ever a row. Nothing is capped. Work grows with the square of what is left apart in a family of one size.
 5. Components of the confirmed links, mapped back to all documents.
 
+Sets are sets of 64-bit shingle hashes (words of over 256 bytes are hashed by BLAKE2, others by polynomials), equal sets
+those with equal 128-bit hashes and sizes.
+
 Null, empty and white-space texts have an empty set and link with nothing. Rows that repeat a doc_id are one document if
-their texts are equal; else each text links by itself, and what they link with is one component. An empty table gives no rows. Other columns are ignored.
+their texts are equal; else each text links by itself, and what they link with is one component. A row without a doc_id is
+a document for each text and comes after all others: its component_id is the smallest doc_id it reaches, null if it reaches
+none, and it is kept if no other document of its component comes before it. An empty table gives no rows. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_stored, frugal, mixed, numbered_texts, shingle_hashes, slabs, stored, table, tune, word_hashes
+from .common import as_bytes, free_name, frugal, mixed, numbered_texts, record_batch, scratch, shingle_hashes, slabs, stored, table, tune, utf8, word_hashes
 from .components import components
 
 _U = np.uint64
@@ -39,9 +49,9 @@ ROW_WEIGHT, BLOCK_WEIGHT, COLUMNS = 256, 200_000, 2048
 COLLISION = 1 / 3 / (1 << MANTISSA)
 
 
-def shingle_sets(texts: list, width: int):
-    """The sorted distinct shingle hashes of each text, in order."""
-    for slab in slabs([as_bytes(t) for t in texts], len):
+def shingle_sets(texts: list[bytes], width: int):
+    """The sorted distinct shingle hashes of each text (UTF-8), in order."""
+    for slab in slabs(texts, len):
         words, counts = word_hashes(slab)
         at = 0
         for n in counts.tolist():
@@ -107,19 +117,19 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
 
     def sign(batches):
         for batch in batches:
-            sets = list(shingle_sets(list(batch["text"]), width))
+            sets = list(shingle_sets(utf8(batch["text"]), width))
             n = np.array([len(s) for s in sets], np.int64)
             some = np.flatnonzero(n)
-            regs = np.full(len(sets), None, object)
+            regs: list[bytes | None] = [None] * len(sets)
             if len(some):
-                found = registers([sets[i] for i in some])
-                regs[some] = [r.tobytes() for r in found]
+                for i, r in zip(some.tolist(), registers([sets[i] for i in some]), strict=True):
+                    regs[i] = r.tobytes()
             a = np.array([mixed(s).sum(dtype=_U) for s in sets], _U).view(np.int64)
             b = np.array([np.bitwise_xor.reduce(mixed(s ^ _U(0xA5A5A5A5))) if len(s) else 0 for s in sets], _U).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "set_a": a, "set_b": b, "registers": regs})
+            yield record_batch(doc_id=batch["doc_id"], n_shingles=n, set_a=a, set_b=b, registers=pyarrow.array(regs, pyarrow.binary()))
 
     schema = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(frugal(sign), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(sign), schema)
 
 
 def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -152,20 +162,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
 
     def compare(batches):
         for batch in batches:
-            left, right = shingle_sets(list(batch["ta"]), width), shingle_sets(list(batch["tb"]), width)
+            left, right = shingle_sets(utf8(batch["ta"]), width), shingle_sets(utf8(batch["tb"]), width)
             good = []
             for x, y in zip(left, right, strict=True):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
-            yield batch.loc[np.array(good, bool), ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pyarrow.array(good, pyarrow.bool_()))
 
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    out = stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInPandas(frugal(compare), "a long, b long"), "confirmed")
-    drop_stored(texts)
-    return out
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(frugal(compare), "a long, b long"), "confirmed")
 
 
 def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -176,9 +184,11 @@ def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: D
     open_ = stored(placed.join(open_keys, "key"), "open")
     # who might belong together: an estimate from registers is no proof against a link, so all of a family are compared
     family = components(open_.select(F.col("first").alias("a"), F.col("id").alias("b")).union(open_.select("id", "c")))
-    row = open_.select("id", "c").distinct().join(family, "id").join(classes.select("id", (F.col("n_shingles") + ROW_WEIGHT).alias("w")), "id")
-    row = stored(row.select(F.col("component").alias("family"), "id", "c", "w"), "family")
-    drop_stored(open_)
+    # a row of a size class goes to that class and the next: sizes within the threshold's ratio share one of the two
+    size = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100)) + 1e-9)
+    sized = classes.select("id", (F.col("n_shingles") + ROW_WEIGHT).alias("w"), size.alias("size"))
+    row = open_.select("id", "c").distinct().join(family, "id").join(sized, "id").withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
+    row = stored(row.select(F.struct("component", "size").alias("family"), "id", "c", "w"), "family")
     parts = row.groupBy("family", "c").agg(F.sum("w").alias("w"))
     main = parts.groupBy("family").agg(F.max(F.struct("w", "c")).alias("m"), F.sum("w").alias("all"))
     blocks = lambda w: F.greatest(F.ceil(w / F.lit(BLOCK_WEIGHT)), F.lit(1)).cast("int")
@@ -192,7 +202,7 @@ def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: D
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").reset_index(drop=True)
-        sets = list(shingle_sets(list(rows["text"]), width))
+        sets = list(shingle_sets([as_bytes(t) for t in rows["text"]], width))
         ids, c, side = (rows[k].to_numpy() for k in ("id", "c", "side"))
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         common = intersections([sets[i] for i in x], [sets[i] for i in y])
@@ -214,7 +224,7 @@ def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: D
                 out.append((int(ids[u]), int(ids[v])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return stored(tasks.groupBy("family", "rest", "every").applyInPandas(compare, "a long, b long"), "completed")
+    return stored(tasks.groupBy("family", "rest", "every").applyInPandas(compare, "a long, b long").distinct(), "completed")
 
 
 def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -243,31 +253,27 @@ def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
+def _components_of_texts(docs: DataFrame, owners: DataFrame | None, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``docs`` (doc_id, text; a doc_id has one text) -> (doc_id, n_shingles) of each row, and (doc_id, component) of those
+    with a set. ``owners`` (doc_id, owner) says which doc_ids belong together."""
     least = percent / 100
-    tune(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    numbered = numbered_texts(docs)
-    if numbered:  # from here to the end each text of a doc_id goes by a number of its own
-        docs = numbered[0]
     signed = stored(signatures(docs, width), "signatures")
     full = signed.where("n_shingles > 0")
-    # equal sets are one class
-    member = full.select("doc_id", "set_a", "set_b", "n_shingles")
-    heads = full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("id"))
-    classes = stored(
-        full.join(heads, ["set_a", "set_b", "n_shingles"]).where("doc_id = id").select("id", "n_shingles", "registers").dropDuplicates(["id"]),
-        "classes",
-    )
+    # equal sets are one class, with partial sums before the shuffle
+    keys = ["set_a", "set_b", "n_shingles"]
+    grouped = full.groupBy(*keys).agg(F.min(F.struct("doc_id", "registers")).alias("m"), F.max("doc_id").alias("last"))
+    classes = stored(grouped.select(*keys, F.col("m.doc_id").alias("id"), "m.registers", "last"), "classes")
+    # who has company in a class: the join splits a class that holds too much
+    heads = classes.where("id < last").select(*keys, F.col("id").alias("_head"))
+    by_set = full.select("doc_id", *keys).join(heads, keys, "left").select("doc_id", F.coalesce("_head", "doc_id").alias("id"))
 
     def band(batches):
         for batch in batches:
-            if len(batch):
-                keys = band_keys(np.frombuffer(b"".join(batch["registers"]), np.uint16).reshape(-1, BUCKETS))
-                yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), BANDS), "key": keys.ravel()})
+            if batch.num_rows:
+                keys = band_keys(np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint16).reshape(-1, BUCKETS))
+                yield record_batch(id=np.repeat(batch["id"].to_numpy(), BANDS), key=keys.ravel())
 
-    bands = classes.select("id", "registers").mapInPandas(frugal(band), "id long, key long")
+    bands = classes.select("id", "registers").mapInArrow(frugal(band), "id long, key long")
     crowds = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(bands.join(crowds, "key"), "bands")  # only buckets of two classes or more
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
@@ -275,29 +281,61 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = stored(shared.join(leaders, "key"), "led")
     stars = shared.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
     links = _confirmed(_possible(stars, classes, least), docs, width, percent)
-    by_set = member.join(heads, ["set_a", "set_b", "n_shingles"]).select("doc_id", "id")
-    if numbered:  # the texts of a doc_id belong together
-        texts = by_set.join(numbered[1].select(F.col("number").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id").select("name", "id")
-        ties = texts.join(texts.groupBy("name").agg(F.min("id").alias("first")), "name").where("first < id")
+    if owners is not None:  # the texts of a doc_id belong together
+        texts = by_set.join(owners, "doc_id").select("owner", "id")
+        ties = texts.join(texts.groupBy("owner").agg(F.min("id").alias("first")), "owner").where("first < id")
         links = stored(links.union(ties.select("first", "id")).distinct(), "tied")
-
     groups = stored(components(links), "groups")
     more = _completed(shared, groups, classes, docs, width, percent)
     if not more.isEmpty():
         groups = stored(components(links.union(more)), "groups")
+    component = by_set.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
+    return signed.select("doc_id", "n_shingles"), component
+
 
-    # a class's component, by its set
-    component = by_set.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
-    component = component.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    signed = signed.select("doc_id", "n_shingles")
-    if numbered:  # numbers are in the order of doc_ids: the least of a component is that of its least doc_id
-        names = stored(numbered[1], "names")
-        component = component.join(names.select(F.col("number").alias("doc_id"), F.col("doc_id").alias("name")), "doc_id").join(names.select(F.col("number").alias("component_id"), F.col("doc_id").alias("head")), "component_id")
-        component = component.select(F.col("name").alias("doc_id"), F.col("head").alias("component_id")).distinct()
-        signed = signed.withColumnRenamed("doc_id", "number").join(numbered[1], "number", "left").select("doc_id", "n_shingles")
-    out = signed.join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    drop_stored(shared)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
+    tune(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with scratch(docs.sparkSession) as keep:
+        numbered = numbered_texts(docs)
+        if not numbered:
+            sizes, component = _components_of_texts(docs, None, width, percent)
+            # rows that repeat a doc_id have one component
+            component = component.distinct().withColumnRenamed("component", "component_id")
+            out = sizes.join(component, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+            return keep(stored(out.withColumn("kept", F.col("doc_id") == F.col("component_id")), "near"))
+        # from here to the end each text of a doc_id goes by a number of its own
+        rows, names = numbered
+        first = names.where("doc_id is not null").groupBy("doc_id").agg(F.min("number").alias("owner"))
+        owners = stored(names.join(first, "doc_id", "left").select("number", "doc_id", F.coalesce("owner", "number").alias("owner")), "owners")
+        sizes, component = _components_of_texts(rows, owners.select(F.col("number").alias("doc_id"), "owner"), width, percent)
+        component = component.withColumnRenamed("doc_id", "number").join(owners.select("number", "owner"), "number").groupBy("owner").agg(F.min("component").alias("component"))
+        # numbers are in the order of doc_ids: the least of a component is of its least doc_id
+        heads = owners.select(F.col("number").alias("component"), F.col("doc_id").alias("component_id"), F.col("owner").alias("head"))
+        component = component.join(heads, "component").select("owner", "component_id", "head")
+        out = sizes.withColumnRenamed("doc_id", "number").join(owners, "number").join(component, "owner", "left")
+        own = F.coalesce("head", "owner") == F.col("owner")
+        return keep(stored(out.select("doc_id", "n_shingles", F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), own.alias("kept")), "near"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` of which each component keeps one: the row of its smallest doc_id. Of rows that repeat a
+    document, with or without a doc_id, the one with the least hash stays; texts without words stay all, but once."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    numbered = numbered_texts(docs)
+    rows, names = numbered or (docs, None)
+    # each text of a doc_id that has several is a document of its own here
+    kept = rows.join(near_duplicates(rows, width, percent).where("kept").select("doc_id"), "doc_id", "left_semi")
+    if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
+        hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+        every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        kept = kept.groupBy(F.col("doc_id").alias("_group")).agg(F.min_by(every, F.xxhash64(*hashable)).alias("_row")).select("_row.*")
+    if names is not None:
+        number, name = (free_name(kept.columns, x) for x in ("_number", "_name"))
+        own = names.select(F.col("number").alias(number), F.col("doc_id").alias(name))
+        kept = kept.join(own, F.col("doc_id") == F.col(number)).withColumn("doc_id", F.col(name))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

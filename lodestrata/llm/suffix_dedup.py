@@ -234,7 +234,8 @@ def _windows_met(strings: DataFrame, length: int) -> DataFrame:
     at = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - length)).alias("i")
     cut = strings.select("doc_id", "start", "bytes", at).select("doc_id", (F.col("start") + F.col("i")).alias("start"), F.substring("bytes", F.col("i") + 1, F.lit(length)).alias("bytes"))
     first = cut.groupBy("bytes").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last").select("bytes", "first")
-    return cut.join(first, "bytes").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("windows"))
+    # no broadcast: windows that repeat look small once compressed
+    return cut.join(first.hint("merge"), "bytes").where(F.struct("doc_id", "start") != F.col("first")).select("doc_id", "start", F.lit(1).alias("windows"))
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -> DataFrame:

@@ -53,6 +53,8 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "a b c d")]
     got = [tuple(r) for r in h.near_duplicates(frame(spark, rows[:3]), 2).collect()]
     assert sorted(got) == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)]
+    got = {tuple(r) for r in h.near_duplicates(frame(spark, rows), 2).collect()}
+    assert got == {(1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False)}
     assert h.near_duplicates(frame(spark, rows).where("doc_id > 9"), 2).count() == 0
 
 
@@ -84,3 +86,37 @@ def test_each_text_of_a_doc_id_links_and_joins_what_it_links_with(spark):
     rows = [(9, " ".join(words("a"))), (9, " ".join(words("b"))), (9, " ".join(words("c"))), (9, None), (3, near("a")), (12, near("b")), (20, near("c")), (30, "other words")]
     got = {tuple(r) for r in h.near_duplicates(frame(spark, rows), 2).collect()}
     assert got == {(9, 59, 3, False), (9, 0, 3, False), (3, 59, 3, True), (12, 59, 3, False), (20, 59, 3, False), (30, 1, 30, True)}
+
+
+def test_rows_without_a_doc_id_and_large_ids(spark):
+    words = lambda x: [f"{x}{i}" for i in range(60)]
+    near = lambda x: " ".join([*words(x)[:-1], "end"])
+    big = 2**60 + 1
+    rows = [(None, " ".join(words("a"))), (None, near("a")), (None, "alone here"), (None, None), (big, " ".join(words("b"))), (None, near("b")), (big + 1, "something else")]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in h.near_duplicates(frame(spark, rows), 2).collect())
+    alone = [x for x in got if x[0] == "None" and x[2] == "None" and x[1] == 59]
+    assert len(alone) == 2 and sorted(x[3] for x in alone) == [False, True]
+    rest = [x for x in got if x not in alone]
+    assert rest == sorted([("None", 1, "None", True), ("None", 0, "None", True), (str(big), 59, str(big), True), ("None", 59, str(big), False), (str(big + 1), 1, str(big + 1), True)])
+    kept = h.deduplicated(frame(spark, rows + rows + [(big, "another text of it")]), 2)
+    assert kept.columns == frame(spark, rows).columns
+    texts = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+    assert [x for x in texts if not x[1].startswith("a0 ")] == sorted([("None", "alone here"), ("None", ""), (str(big), " ".join(words("b"))), (str(big + 1), "something else"), (str(big), "another text of it")])
+    assert sum(x[1].startswith("a0 ") for x in texts) == 1
+
+
+def test_texts_of_an_id_link_in_either_order(spark):
+    words = lambda x: " ".join(f"{x}{i}" for i in range(60))
+    near = lambda x: words(x) + " end"
+    rows = [(1, words("a")), (1, words("u")), (2, near("a")), (3, near("u"))]
+    for order in (rows, [rows[1], rows[0], *rows[2:]]):
+        got = {(r.doc_id, r.component_id) for r in h.near_duplicates(frame(spark, order), 2).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_long_words_that_polynomials_confuse_are_told_apart():
+    a, b = "ab", "ba"
+    for _ in range(11):
+        a, b = a + b, b + a
+    x, y = h.shingle_sets([a.encode(), b.encode()], 2)
+    assert x.tolist() != y.tolist()
