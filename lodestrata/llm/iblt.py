@@ -1,23 +1,27 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
 A text's paragraphs are its lines; a line of over ``PART`` characters is cut at sentence ends into parts of about that
-length, so that a text without line breaks can be compared too. The distinct 64-bit digests of the paragraphs go into a
+length, so that a text without line breaks can be compared too. The distinct 48-bit digests of the paragraphs go into a
 sketch: each digest is added to one cell of each of three tables, and a cell holds the number, the exclusive-or of the
-digests and the exclusive-or of their check hashes. The fingerprint is the sketch of 3 x 8 cells in hexadecimal. Sketches
-of two versions subtract cell by cell, what they share cancels, and peeling recovers the digests that differ: a cell with
-one digest gives it away, and taking it out of its other cells frees the next.
-
-A sketch can be peeled while it holds fewer digests than some two thirds of its cells, so texts are compared in groups:
-digests are dealt by their low bits to as many groups as keep some eight digests in each, and each group has its own
-sketch of 3 x 8 cells. Where peeling leaves a rest, the group is sketched again at 3 x 16 and at 3 x 64 cells with other
-hashes; a rest even then (two in 10**5 groups at most of those that come there) is settled by set difference. Cost is
-linear in a text's length. Likeness is common digests over all digests; two empty texts are alike (1).
-
-All is array functions of the engine. Texts are shuffled once, by doc_id; what a document needs of its neighbour (a
-prefix, and digests) is sent to it, and the second join reuses the shuffle of the first.
-
-Null texts are empty. Rows without a doc_id count as one id below all others. Rows that repeat a doc_id are fingerprinted each, and count as one neighbour, the one with the
-smallest text. An empty table gives no rows. Other columns are ignored.
+digests and the exclusive-or of their check hashes. Digests are dealt by their low bits to as many groups, a power of two, as keep four
+digests in each on average at most, and each group has cells of its own, so a fingerprint's size follows the number of
+paragraphs. It is written as the number of groups and the cells that hold something: ``groups|group.cell.n.digests.checks``.
+
+Sketches of two versions subtract cell by cell, what they share cancels, and peeling recovers the digests that differ: a
+cell with one digest gives it away, and taking it out of its other cells frees the next. Two fingerprints of different
+sizes are compared at the smaller number of groups: the groups of the larger are added up, as cells don't depend on their
+number. Where the numbers of paragraphs alone show that a fingerprint can't give back what differs, or where peeling leaves
+a rest, both texts are sketched again, larger: at as many groups as both texts' paragraphs need with 3 x 16 cells, then
+with 3 x 64; a rest even then is settled by set difference. Likeness is common digests over all digests; two empty texts
+are alike (1).
+
+All is functions and aggregations of the engine. Texts are shuffled once, by doc_id; what a document needs of its neighbour
+(a prefix, and digests) is sent to it, and cells are summed where it lies. Cost is linear in a text's length. Only pairs
+that are sketched for the third time are gathered again, from the stored result.
+
+Null texts are empty. Rows without a doc_id count as one id below all others. Rows that repeat a doc_id are fingerprinted
+each, and count as one neighbour, the one with the smallest text; rows that repeat it with the same text get the same
+result. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +32,24 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 PART = 160
-#: Cells of each of the three tables, and the ladder of sizes for comparisons.
-CELLS, LADDER = 8, (8, 16, 64)
-PER_GROUP = 8
+#: Digests that a group has on average at most, and cells of each of the three tables: of a fingerprint, and of larger sketches.
+PER_GROUP, LADDER = 4, (8, 16, 64)
+#: Numbers of the tables' first cells, whatever their size.
+STRIDE = 64
+#: A fingerprint isn't tried if numbers of paragraphs alone say that more than this differs in a group.
+HOPELESS = 10
 
-_CELL = "struct<n:bigint,k:bigint,h:bigint>"
+#: Multipliers of the hashes of a digest's halves, for the check and each table, from a fixed rule; the modulus is prime.
+PRIME = (1 << 31) - 1
+_ODD = [pow(48271, 100 + k, PRIME) for k in range(12)]
+
+_NONE = "cast(array() as array<bigint>)"
 
 
 def digests(text: Column) -> Column:
-    """The distinct 64-bit digests of a text's paragraphs."""
+    """The distinct 48-bit digests of a text's paragraphs."""
     parts = F.regexp_extract_all(text, F.lit(r"([^\n]{1,%d}[^\n.!?]*[.!?]*)" % PART), 1)
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(parts, lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 12), 16, 10).cast("bigint")))
 
 
 def _let(value: Column, body) -> Column:
@@ -46,67 +57,103 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _check(key: Column) -> Column:
-    return F.xxhash64(key, F.lit(77))
+def _hash(key: Column, which: int) -> Column:
+    """31 bits: 0 is the check, 1 to 3 are the tables'."""
+    a, b, c = _ODD[3 * which : 3 * which + 3]
+    return (F.shiftright(key, 24) * F.lit(a) + key.bitwiseAND(F.lit((1 << 24) - 1)) * F.lit(b) + F.lit(c)) % F.lit(PRIME)
 
 
-def _place(key: Column, which: int, cells: int) -> Column:
-    """The cell of ``key`` in table ``which``; each size has hashes of its own. ``cells`` is a power of two."""
-    return (F.shiftrightunsigned(F.xxhash64(key, F.lit(100 * which + cells)), 7).bitwiseAND(F.lit(cells - 1)) + which * cells).cast("int")
+def check(key: Column) -> Column:
+    return _hash(key, 0)
 
 
-def sketch(members: Column, cells: int) -> Column:
-    """The 3 * ``cells`` cells of ``members``: an array of structs s (1 or -1) and k (digest)."""
-    placed = F.transform(members, lambda d: F.struct(d["s"].alias("s"), d["k"].alias("k"), _check(d["k"]).alias("h"), F.array(*[_place(d["k"], j, cells) for j in range(3)]).alias("c")))
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
+def places(key: Column, rung: int) -> list[Column]:
+    """The cells of ``key`` in the three tables. Each size takes bits of its own of the hashes."""
+    shift = (0, 3, 7)[rung]
+    return [(F.shiftright(_hash(key, j + 1), shift).bitwiseAND(F.lit(LADDER[rung] - 1)) + j * STRIDE).cast("int") for j in range(3)]
 
-    def cell(ds: Column, i: Column) -> Column:
-        own = F.filter(ds, lambda d: d["c"][(i / cells).cast("int")] == i)
-        return F.aggregate(own, zero, lambda s, d: F.struct((s["n"] + d["s"]).alias("n"), s["k"].bitwiseXOR(d["k"]).alias("k"), s["h"].bitwiseXOR(d["h"]).alias("h")))
 
-    return _let(placed, lambda ds: F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda i: cell(ds, i)))
+def groups_of(n: Column) -> Column:
+    """How many groups ``n`` digests are dealt to: the least power of two that leaves ``PER_GROUP`` to each on average."""
+    most = F.ceil(n / PER_GROUP).cast("bigint")
+    return F.when(most <= 1, F.lit(1).cast("bigint")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(most - 1))).cast("bigint"))
 
 
-def subtracted(a: Column, b: Column) -> Column:
-    """The sketch of what two sketches of one size don't share: ``a``'s own digests count 1, ``b``'s -1."""
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+def _folded(items: Column, field: str) -> Column:
+    return F.aggregate(items, F.lit(0).cast("bigint"), lambda s, c: s.bitwiseXOR(c[field]))
 
 
-def peeled(cells: Column, size: int, rounds: int = 10) -> Column:
-    """array<struct<s, k>>: the digests that a sketch of 3 * ``size`` cells holds, or null if peeling leaves a rest."""
-    none = F.expr("cast(array() as array<struct<s:bigint,k:bigint>>)")
-    pure = lambda s: F.array_distinct(F.transform(F.filter(s["cells"], lambda c: (F.abs(c["n"]) == 1) & (_check(c["k"]) == c["h"])), lambda c: F.struct(c["n"].alias("s"), c["k"].alias("k"))))
-    placed = lambda ps: F.transform(ps, lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), _check(p["k"]).alias("h"), F.array(*[_place(p["k"], j, size) for j in range(3)]).alias("c")))
+def peeled(cells: Column, rung: int, rounds: int = 12) -> Column:
+    """array<struct<s, k>>: the digests (s: 1 of the first side, -1 of the second) that the cells (cell, n, k, h; empty ones
+    left out) of a group's subtracted sketches hold, or null if peeling leaves a rest."""
+    single = lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (check(c["k"]) == c["h"])
+    pure = lambda cs: F.array_distinct(F.transform(F.filter(cs, single), lambda c: F.struct(c["n"].alias("s"), c["k"].alias("k"), c["h"].alias("h"))))
+    shown = lambda ps: F.transform(ps, lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k")))
 
-    def without(s: Column, ps: Column) -> Column:
-        taken = lambda c, i: F.aggregate(F.filter(ps, lambda p: p["c"][(i / size).cast("int")] == i), c, lambda c, p: F.struct((c["n"] - p["s"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["h"].bitwiseXOR(p["h"]).alias("h")))
-        left = F.transform(s["cells"], taken)
-        return F.struct(left.alias("cells"), F.concat(s["got"], F.transform(ps, lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k")))).alias("got"))
+    def without(cs: Column, ps: Column) -> Column:
+        placed = F.transform(ps, lambda p: F.struct(p["s"].alias("s"), p["k"].alias("k"), p["h"].alias("h"), F.array(*places(p["k"], rung)).alias("c")))
+        take = lambda c, p: F.struct(c["cell"].alias("cell"), (c["n"] - p["s"]).alias("n"), c["k"].bitwiseXOR(p["k"]).alias("k"), c["h"].bitwiseXOR(p["h"]).alias("h"))
+        left = _let(placed, lambda qs: F.transform(cs, lambda c: F.aggregate(F.filter(qs, lambda q: F.array_contains(q["c"], c["cell"])), c, take)))
+        return F.filter(left, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
 
     def step(s: Column, _: Column) -> Column:
-        return _let(placed(pure(s)), lambda ps: F.when(F.size(ps) == 0, s).otherwise(without(s, ps)))
+        some = lambda ps: F.when(F.size(ps) == 0, s).otherwise(F.struct(without(s["cells"], ps).alias("cells"), F.concat(s["got"], shown(ps)).alias("got")))
+        return F.when(F.size(s["cells"]) == 0, s).otherwise(_let(pure(s["cells"]), some))
+
+    def all_rounds(cs: Column, ps: Column) -> Column:
+        last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(without(cs, ps).alias("cells"), shown(ps).alias("got")), step)
+        return _let(last, lambda s: F.when(F.size(s["cells"]) == 0, s["got"]))
+
+    def first_round(cs: Column, ps: Column) -> Column:
+        # what the first table holds in sum says whether the digests found are all
+        own = F.filter(cs, lambda c: c["cell"] < STRIDE)
+        total = F.aggregate(own, F.lit(0).cast("bigint"), lambda n, c: n + c["n"]) == F.aggregate(ps, F.lit(0).cast("bigint"), lambda n, p: n + p["s"])
+        whole = total & (_folded(own, "k") == _folded(ps, "k")) & (_folded(own, "h") == _folded(ps, "h"))
+        return F.when(whole, shown(ps)).otherwise(F.when(F.size(ps) > 0, all_rounds(cs, ps)))
+
+    return _let(cells, lambda cs: _let(pure(cs), lambda ps: first_round(cs, ps)))
+
+
+def _cells(sides: DataFrame, keys: list[str], rungs: dict[int, int]) -> DataFrame:
+    """``sides`` (keys, part, side 0 or 1, groups, digests) -> a row for each group that holds something: keys, part,
+    grp, cells with the numbers and exclusive-ors of both sides. ``rungs``: each part's place on the ladder."""
+    of_part = lambda pick: F.coalesce(*[F.when(F.col("part") == part, F.array(*pick(rung))) for part, rung in rungs.items()])
+    rows = sides.select(*keys, "part", "side", "groups", F.explode("digests").alias("k"))
+    rows = rows.select(*keys, "part", "side", F.col("k").bitwiseAND(F.col("groups") - 1).alias("grp"), "k", check(F.col("k")).alias("h"), F.explode(of_part(lambda rung: places(F.col("k"), rung))).alias("cell"))
+    sums = []
+    for side in (0, 1):
+        own = lambda x: F.when(F.col("side") == side, x).otherwise(F.lit(0).cast("bigint"))  # noqa: B023, E731
+        sums += [F.sum(own(F.lit(1).cast("bigint"))).alias(f"n{side}"), F.bit_xor(own(F.col("k"))).alias(f"k{side}"), F.bit_xor(own(F.col("h"))).alias(f"h{side}")]
+    cells = rows.groupBy(*keys, "part", "grp", "cell").agg(*sums)
+    return cells.groupBy(*keys, "part", "grp").agg(F.collect_list(F.struct("cell", "n0", "k0", "h0", "n1", "k1", "h1")).alias("cells"))
 
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(cells.alias("cells"), none.alias("got")), step)
-    return _let(last, lambda s: F.when(~F.exists(s["cells"], lambda c: (c["n"] != 0) | (c["k"] != 0)), s["got"]))
 
+def subtracted(cells: Column) -> Column:
+    """What the sketches of both sides don't share, without empty cells."""
+    every = F.transform(cells, lambda c: F.struct(c["cell"].alias("cell"), (c["n0"] - c["n1"]).alias("n"), c["k0"].bitwiseXOR(c["k1"]).alias("k"), c["h0"].bitwiseXOR(c["h1"]).alias("h")))
+    return F.filter(every, lambda c: (c["n"] != 0) | (c["k"] != 0) | (c["h"] != 0))
 
-def _members(keys: Column, sign: int = 1) -> Column:
-    return F.transform(keys, lambda k: F.struct(F.lit(sign).cast("bigint").alias("s"), k.alias("k")))
 
+def _differing(rungs: dict[int, int]) -> Column:
+    """How many digests of the row's group only one side has; null if peeling leaves a rest."""
+    return F.coalesce(*[F.when(F.col("part") == part, F.size(peeled(subtracted(F.col("cells")), rung))) for part, rung in rungs.items()])
 
-def fingerprint(keys: Column, cells: int = CELLS) -> Column:
-    """The sketch of digests in hexadecimal: number, digests and 32 bits of check hashes of each cell."""
-    parts = F.transform(sketch(_members(keys), cells), lambda c: F.concat(F.hex(c["n"]), F.lit("."), F.hex(c["k"]), F.lit("."), F.substring(F.lpad(F.hex(c["h"]), 16, "0"), 9, 8)))
-    return F.lower(F.array_join(parts, "-"))
 
+def _count(side: int) -> Column:
+    """Digests of one side in the row's group: all are in the first table."""
+    return F.aggregate(F.filter("cells", lambda c: c["cell"] < STRIDE), F.lit(0).cast("bigint"), lambda n, c: n + c[f"n{side}"])
 
-def differing(members: Column) -> Column:
-    """How many digests of a group (structs s, k) only one side has: sketch each side, subtract, peel, larger on failure."""
-    mine, other = F.filter(members, lambda d: d["s"] > 0), F.filter(members, lambda d: d["s"] < 0)
-    keys = lambda ds: F.transform(ds, lambda d: d["k"])
-    tries = [F.size(peeled(subtracted(sketch(_members(keys(mine)), m), sketch(_members(keys(other)), m)), m)) for m in LADDER]
-    exact = F.size(F.array_except(keys(mine), keys(other))) + F.size(F.array_except(keys(other), keys(mine)))
-    return F.coalesce(*tries, exact)
+
+def _written(side: int) -> Column:
+    """The group's part of a fingerprint."""
+    own = F.filter(F.sort_array("cells"), lambda c: c[f"n{side}"] > 0)
+    one = lambda c: F.concat_ws(".", F.col("grp").cast("string"), c["cell"].cast("string"), c[f"n{side}"].cast("string"), F.lower(F.hex(c[f"k{side}"])), F.lower(F.hex(c[f"h{side}"])))
+    return F.array_join(F.transform(own, one), " ")
+
+
+def likeness(all_: Column, diff: Column) -> Column:
+    """Common digests over all, from the sum of both sides' numbers and the number that differ."""
+    return F.when(all_ > 0, (all_ - diff) / (all_ + diff)).otherwise(F.lit(1.0))
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -139,42 +186,143 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return _fingerprints(docs.withColumn("doc_id", F.struct("doc_id"))).withColumn("doc_id", F.col("doc_id.doc_id"))
 
 
-def _fingerprints(docs: DataFrame) -> DataFrame:
+def _with_neighbour(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with what each row needs of the next document (head, other: its digests), and whether no doc_id repeats."""
     near = neighbours(docs)
     once = near.where("rows > 1").isEmpty()
     placed = docs.repartition("doc_id")
     sent = placed.join(near.hint("shuffle_hash"), placed["doc_id"] == near["id"]).select(
-        F.col("prev_id").alias("to"), F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"), digests(F.col("text")).alias("next_digests"),
+        F.col("prev_id").alias("to"), F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"), digests(F.col("text")).alias("other"),
     )
     if not once:
-        sent = sent.groupBy("to").agg(F.min(F.struct("head", "next_digests")).alias("m")).select("to", "m.*")
-    sent = sent.hint("shuffle_hash")
-    both = placed.join(sent, placed["doc_id"] == sent["to"]).withColumn("n_chars", F.length("text").cast("long"))
+        sent = sent.groupBy("to").agg(F.min(F.struct("head", "other")).alias("m")).select("to", "m.*")
+    both = placed.join(sent.hint("shuffle_hash"), placed["doc_id"] == sent["to"]).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("head", F.lit(1), cut))
-    base = both.select("doc_id", "n_chars", "text", edited.alias("edited"), "next_digests").select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), digests(F.col("text")).alias("mine"), digests(F.col("edited")).alias("edited"), "next_digests", F.xxhash64("text").alias("row"),
-    )
+    return both.select("doc_id", "n_chars", "text", edited.alias("edited"), "other", F.xxhash64("text").alias("row")), once
 
-    def dealt(other: str, pair: int) -> Column:
-        groups = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.size("mine") + F.size(other)) / PER_GROUP)))).cast("bigint")
-        one = lambda keys, s: F.transform(keys, lambda k: F.struct(F.lit(pair).alias("pair"), k.bitwiseAND(groups - 1).alias("group"), F.lit(s).cast("bigint").alias("s"), k.alias("k")))
-        return F.concat(one(F.col("mine"), 1), one(F.col(other), -1))
-
-    rows = base.select("doc_id", "row", F.explode(F.concat(dealt("edited", 0), dealt("next_digests", 1))).alias("m")).select("doc_id", "row", "m.*")
-    groups = rows.groupBy("doc_id", "row", "pair", "group").agg(F.collect_list(F.struct("s", "k")).alias("members"))
-    counted = groups.select("doc_id", "row", "pair", F.size("members").alias("all"), differing(F.col("members")).alias("diff"))
-    # members are distinct on each side: all = common * 2 + differing
-    like = lambda pair: (lambda every, diff: F.when(every > 0, (every - diff) / (every + diff)).otherwise(F.lit(1.0)))(F.sum(F.when(F.col("pair") == pair, F.col("all")).otherwise(0)), F.sum(F.when(F.col("pair") == pair, F.col("diff")).otherwise(0)))
-    found = counted.groupBy("doc_id", "row").agg(like(0).alias("near_edited"), like(1).alias("near_next")).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "near_edited", "near_next").hint("shuffle_hash")
-    # only doc_id is a key of the join: both sides lie by it already
-    out = base.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("row") >= F.col("_row")) & (F.col("row") <= F.col("_row")), "left")
-    return out.select(
-        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("mine")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        F.coalesce("near_edited", F.lit(1.0)).alias("near_edited"), F.coalesce("near_next", F.lit(1.0)).alias("near_next"),
-        F.size("mine").alias("n_paragraphs"), F.size("next_digests").alias("next_paragraphs"),
+
+#: Parts of a document's comparisons: fingerprints (which also compare if both have as many groups), the edited text where
+#: they don't, the next document by fingerprints or by larger sketches, and the third try of either.
+_PRINTS, _EDITED, _NEXT, _NEXT_LARGER, _AGAIN_EDITED, _AGAIN_NEXT = range(6)
+_RUNGS = {_PRINTS: 0, _EDITED: 0, _NEXT: 0, _NEXT_LARGER: 1}
+
+
+def _fingerprints(docs: DataFrame) -> DataFrame:
+    base, once = _with_neighbour(docs)
+    sides = base if once else base.dropDuplicates(["doc_id", "row"])
+    sides = sides.select("doc_id", "row", digests(F.col("text")).alias("mine"), digests(F.col("edited")).alias("edited"), "other")
+    n = {x: F.size(x) for x in ("mine", "edited", "other")}
+    sides = sides.select("*", *[groups_of(n[x]).alias(f"g_{x}") for x in n], groups_of(n["mine"] + n["other"]).alias("g_both"))
+    uneven = F.col("g_mine") != F.col("g_edited")
+    least = F.least("g_mine", "g_other")
+    hopeless = F.abs(n["mine"] - n["other"]) > HOPELESS * least
+    side = lambda part, which, groups, keys: F.struct(F.lit(part).alias("part") if isinstance(part, int) else part.alias("part"), F.lit(which).alias("side"), groups.alias("groups"), keys.alias("digests"))
+    part, groups = F.when(hopeless, _NEXT_LARGER).otherwise(_NEXT), F.when(hopeless, F.col("g_both")).otherwise(least)
+    fewer = F.least("g_mine", "g_edited")
+    every = F.array(
+        side(_PRINTS, 0, F.col("g_mine"), F.col("mine")), side(_PRINTS, 1, F.col("g_edited"), F.col("edited")),
+        *[side(_EDITED, k, fewer, F.when(uneven, F.col(x)).otherwise(F.expr(_NONE))) for k, x in enumerate(("mine", "edited"))],
+        side(part, 0, groups, F.col("mine")), side(part, 1, groups, F.col("other")),
     )
+    met = _cells(sides.select("doc_id", "row", F.explode(every).alias("x")).select("doc_id", "row", "x.*"), ["doc_id", "row"], _RUNGS)
+    counted = met.select("doc_id", "row", "part", "grp", _count(0).alias("n0"), _count(1).alias("n1"), _differing(_RUNGS).alias("diff"), *[F.when(F.col("part") == _PRINTS, _written(k)).alias(f"w{k}") for k in (0, 1)])
+    of = lambda parts, x: F.when(F.col("part").isin(*parts), x)
+    text = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col(f"w{k}") != "", F.struct("grp", f"w{k}")))), lambda p: p[f"w{k}"]), " ")
+    n_of = lambda parts, k: F.coalesce(F.sum(of(parts, F.col(f"n{k}"))), F.lit(0))
+    folded = counted.groupBy("doc_id", "row").agg(
+        n_of([_PRINTS], 0).alias("n_mine"), n_of([_PRINTS], 1).alias("n_edited"), n_of([_NEXT, _NEXT_LARGER], 1).alias("n_other"), text(0).alias("print_mine"), text(1).alias("print_edited"),
+        *[F.coalesce(F.sum(of(parts, F.col("diff"))), F.lit(0)).alias(f"d_{p}") for p, parts in ((0, [_PRINTS]), (1, [_EDITED]), (2, [_NEXT, _NEXT_LARGER]))],
+        *[F.coalesce(F.bool_or(of(parts, F.col("diff").isNull())), F.lit(False)).alias(f"f_{p}") for p, parts in ((0, [_PRINTS]), (1, [_EDITED]), (2, [_NEXT, _NEXT_LARGER]))],
+    ).withColumnsRenamed({"doc_id": "_id", "row": "_row"}).hint("shuffle_hash")
+    # only doc_id is a key of the join: both sides lie by it already
+    out = base.join(folded, (F.col("doc_id") == F.col("_id")) & (F.col("row") >= F.col("_row")) & (F.col("row") <= F.col("_row")), "left")
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    uneven = groups_of(zero("n_mine")) != groups_of(zero("n_edited"))
+    bad_edited, bad_next = F.coalesce(F.when(uneven, F.col("f_1")).otherwise(F.col("f_0")), F.lit(False)), F.coalesce("f_2", F.lit(False))
+    written = lambda x: F.concat(groups_of(zero(f"n_{x}")).cast("string"), F.lit("|"), F.coalesce(f"print_{x}", F.lit("")))
+    main = stored(out.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), written("mine").alias("fingerprint"), written("edited").alias("edited_fingerprint"),
+        F.when(~bad_edited, likeness(zero("n_mine") + zero("n_edited"), zero(F.when(uneven, F.col("d_1")).otherwise(F.col("d_0"))))).alias("near_edited"),
+        F.when(~bad_next, likeness(zero("n_mine") + zero("n_other"), zero("d_2"))).alias("near_next"),
+        zero("n_mine").alias("n_paragraphs"), zero("n_other").alias("next_paragraphs"),
+        F.when(bad_edited | bad_next, F.struct(digests(F.col("text")).alias("mine"), F.when(bad_edited, digests(F.col("edited"))).alias("edited"), F.when(bad_next, F.col("other")).alias("other"))).alias("again"),
+    ), "prints")
+    names = main.columns[:-1]
+    if main.where("again is not null").isEmpty():
+        return main.select(*names)
+    return main.where("again is null").select(*names).union(_again(main.where("again is not null")).select(*names))
+
+
+def _again(bad: DataFrame) -> DataFrame:
+    """``bad`` with the likeness that is missing, from sketches larger than before; what these can't give back is settled
+    by set difference."""
+    bad = stored(bad.withColumn("rid", F.monotonically_increasing_id()), "again")
+    pair = lambda part, other: F.struct(F.lit(part).alias("part"), F.col("again.mine").alias("mine"), F.col(f"again.{other}").alias("other"))
+    pairs = bad.select("rid", F.explode(F.array(pair(_AGAIN_EDITED, "edited"), pair(_AGAIN_NEXT, "other"))).alias("p")).select("rid", "p.*").where("other is not null")
+    pairs = pairs.withColumn("groups", groups_of(F.size("mine") + F.size("other")))
+    sides = pairs.select("rid", "part", "groups", F.posexplode(F.array("mine", "other")).alias("side", "digests"))
+    rungs = {_AGAIN_EDITED: 2, _AGAIN_NEXT: 2}
+    counted = _cells(sides, ["rid"], rungs).select("rid", "part", _differing(rungs).alias("diff"))
+    diff = counted.groupBy("rid", "part").agg(F.when(F.count_if(F.col("diff").isNull()) == 0, F.sum("diff")).alias("diff"))
+    exact = F.size(F.array_except("mine", "other")) + F.size(F.array_except("other", "mine"))
+    found = pairs.join(diff, ["rid", "part"], "left").select("rid", "part", likeness(F.size("mine") + F.size("other"), F.coalesce("diff", exact)).alias("like"))
+    found = found.groupBy("rid").agg(*[F.max(F.when(F.col("part") == part, F.col("like"))).alias(name) for part, name in ((_AGAIN_EDITED, "_edited"), (_AGAIN_NEXT, "_next"))])
+    joined = bad.join(found, "rid")
+    return joined.withColumn("near_edited", F.coalesce("near_edited", "_edited")).withColumn("near_next", F.coalesce("near_next", "_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _sql_hash(which: int) -> str:
+    a, b, c = _ODD[3 * which : 3 * which + 3]
+    return f"(((k >> 24) * {a} + (k & {(1 << 24) - 1}) * {b} + {c}) % {PRIME})"
+
+
+_SQL_GROUPS = f"CAST(CASE WHEN len(%s) <= {PER_GROUP} THEN 1 ELSE pow(2, length(bin(CAST(ceil(len(%s) / {PER_GROUP}.0) AS BIGINT) - 1))) END AS BIGINT)"
+
+
+def _sql_print(keys: str) -> str:
+    """CTE ``print_<keys>`` (doc_id, p) of the fingerprints of a list of digests."""
+    cell = lambda j: f"SELECT doc_id, k & (g - 1) AS grp, ({_sql_hash(j + 1)} & {LADDER[0] - 1}) + {j * STRIDE} AS cell, k, {_sql_hash(0)} AS h FROM keys_{keys}"
+    return f"""
+keys_{keys} AS (SELECT doc_id, {_SQL_GROUPS % (keys, keys)} AS g, unnest({keys}) AS k FROM digests),
+cells_{keys} AS (
+  SELECT doc_id, grp, cell, count(*) AS n, bit_xor(k) AS k, bit_xor(h) AS h
+  FROM ({" UNION ALL ".join(cell(j) for j in range(3))}) GROUP BY doc_id, grp, cell
+),
+print_{keys} AS (
+  SELECT doc_id, string_agg(grp || '.' || cell || '.' || n || '.' || lower(to_hex(k)) || '.' || lower(to_hex(h)), ' ' ORDER BY grp, cell) AS p
+  FROM cells_{keys} GROUP BY doc_id
+)"""
+
+
+def _sql_digests(text: str) -> str:
+    found = r"regexp_extract_all(%s, '([^\n]{1,%d}[^\n.!?]*[.!?]*)', 1)" % (text, PART)
+    return f"list_distinct(list_transform({found}, lambda p: CAST('0x' || substr(md5(p), 1, 12) AS BIGINT)))"
+
+
+def _sql_like(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE CAST(len(list_intersect({a}, {b})) AS DOUBLE) / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) END"
+
+
+#: Likeness is a set comparison here, so that the sketches' way to it is checked; doc_ids must not repeat.
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+near AS (
+  SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS other FROM texts
+),
+edits AS (
+  SELECT doc_id, text, other, substring(text, 1, CAST(length(text) - length(text) // 3 AS BIGINT)) || substring(other, 1, CAST(length(text) // 3 AS BIGINT)) AS edited FROM near
+),
+digests AS (
+  SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256,
+         {_sql_digests("text")} AS mine, {_sql_digests("edited")} AS edited, {_sql_digests("other")} AS nxt
+  FROM edits
+),{_sql_print("mine")},{_sql_print("edited")}
+SELECT d.doc_id, n_chars, edited_sha256, {_SQL_GROUPS % ("d.mine", "d.mine")} || '|' || coalesce(m.p, '') AS fingerprint, {_SQL_GROUPS % ("d.edited", "d.edited")} || '|' || coalesce(e.p, '') AS edited_fingerprint,
+       {_sql_like("d.mine", "d.edited")} AS near_edited, {_sql_like("d.mine", "d.nxt")} AS near_next, CAST(len(d.mine) AS BIGINT) AS n_paragraphs, CAST(len(d.nxt) AS BIGINT) AS next_paragraphs
+FROM digests d LEFT JOIN print_mine m ON m.doc_id = d.doc_id LEFT JOIN print_edited e ON e.doc_id = d.doc_id
+"""

@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_preference_pairs": preference.ORACLE_SQL,
+    "op3_bloom_fingerprints": iblt.ORACLE_SQL,
     "op4_poisson_mix": source_mix.ORACLE_SQL,
 }

@@ -43,25 +43,100 @@ def test_one_row_repeated_rows_and_empty_table(spark):
     assert iblt.fingerprints(frame(spark, rows).where("doc_id > 10")).count() == 0
 
 
+def test_repeated_rows_are_like_single_ones(spark):
+    for rows in ([(4, "zzz"), (5, "abcdef")], [(4, "a\nb\nq"), (5, "a\nb\nc")], [(4, "zzz"), (5, "a\nb"), (6, "b\nzzz")]):
+        want = {r.doc_id: tuple(r) for r in iblt.fingerprints(frame(spark, rows)).collect()}
+        for copies in (2, 3):
+            got = iblt.fingerprints(frame(spark, rows + rows[1:2] * (copies - 1))).collect()
+            assert len(got) == len(rows) + copies - 1 and all(tuple(r) == want[r.doc_id] for r in got)
+
+
+def hashed(k, which):
+    a, b, c = iblt._ODD[3 * which : 3 * which + 3]
+    return ((k >> 24) * a + (k & 0xFFFFFF) * b + c) % iblt.PRIME
+
+
+def parsed(text, groups):
+    """The cells of a written fingerprint, its groups added up to so many."""
+    out = {}
+    for x in filter(None, text.partition("|")[2].split(" ")):
+        g, cell, n, k, h = x.split(".")
+        old = out.get((int(g) % groups, int(cell)), (0, 0, 0))
+        out[int(g) % groups, int(cell)] = old[0] + int(n), old[1] ^ int(k, 16), old[2] ^ int(h, 16)
+    return out
+
+
+def peeled(a, b):
+    """(digests of both, digests that differ) from two written fingerprints; None if peeling leaves a rest."""
+    groups = min(int(x.partition("|")[0]) for x in (a, b))
+    x, y = parsed(a, groups), parsed(b, groups)
+    cells = {}
+    for c in x.keys() | y.keys():
+        p, q = x.get(c, (0, 0, 0)), y.get(c, (0, 0, 0))
+        cells[c] = [p[0] - q[0], p[1] ^ q[1], p[2] ^ q[2]]
+    found, todo = 0, list(cells)
+    while todo:
+        c = todo.pop()
+        n, k, h = cells[c]
+        if abs(n) == 1 and hashed(k, 0) == h:
+            found += 1
+            for j in range(3):
+                at = (c[0], (hashed(k, j + 1) & 7) + 64 * j)
+                cells[at] = [cells[at][0] - n, cells[at][1] ^ k, cells[at][2] ^ h]
+                todo.append(at)
+    if any(map(any, cells.values())):
+        return None
+    return sum(v[0] for z in (x, y) for (_, cell), v in z.items() if cell < 64), found
+
+
+def test_likeness_is_that_of_the_written_fingerprints(spark):
+    rows = corpus(9, 60)
+    got = sorted(iblt.fingerprints(frame(spark, rows)).collect(), key=lambda r: -r.doc_id)
+    tried = {"edited": 0, "next": 0}
+    for k, r in enumerate(got):
+        pairs = {"edited": (r.edited_fingerprint, r.near_edited), "next": (got[(k + 1) % len(got)].fingerprint, r.near_next)}
+        for name, (other, near) in pairs.items():
+            found = peeled(r.fingerprint, other)
+            if found is not None:
+                every, diff = found
+                assert near == ((every - diff) / (every + diff) if every else 1.0)
+                tried[name] += 1
+    assert tried["edited"] > 0.9 * len(got) and tried["next"] > 0.5 * len(got)
+
+
 def test_peeling_recovers_what_differs_or_says_that_it_cannot(spark):
-    sets = [(list(range(20)), list(range(5, 22))), ([], []), ([7], []), (list(range(300)), [])]
-    df = spark.createDataFrame(sets, "a array<bigint>, b array<bigint>")
-    cells = lambda x, m: iblt.sketch(iblt._members(F.col(x)), m)
-    for m in (8, 16, 64):
-        for r in df.select("a", "b", iblt.peeled(iblt.subtracted(cells("a", m), cells("b", m)), m).alias("d")).collect():
+    sets = [(list(range(20)), list(range(5, 22))), ([], [3]), ([7], []), (list(range(300)), []), (list(range(30)), list(range(100, 130)))]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(sets)], "id int, mine array<bigint>, other array<bigint>")
+    sides = df.select("id", F.posexplode(F.array("mine", "other")).alias("side", "digests"), F.lit(1).cast("bigint").alias("groups"), F.lit(0).alias("part"))
+    for rung, size in enumerate(iblt.LADDER):
+        found = iblt._cells(sides, ["id"], {0: rung}).select("id", iblt.peeled(iblt.subtracted(F.col("cells")), rung).alias("d"))
+        for r in found.collect():
+            a, b = map(set, sets[r.id])
             if r.d is not None:
-                assert {(x.s, x.k) for x in r.d} == {(1, k) for k in set(r.a) - set(r.b)} | {(-1, k) for k in set(r.b) - set(r.a)}
+                assert {(x.s, x.k) for x in r.d} == {(1, k) for k in a - b} | {(-1, k) for k in b - a} and len(r.d) == len(a ^ b)
             else:
-                assert len(set(r.a) ^ set(r.b)) > m
-    members = F.concat(iblt._members(F.col("a"), 1), iblt._members(F.col("b"), -1))
-    assert [r.d for r in df.select(iblt.differing(members).alias("d")).collect()] == [7, 0, 1, 300]
+                assert len(a ^ b) > size
+
+
+def test_what_cannot_be_peeled_is_sketched_again_or_settled(spark, monkeypatch):
+    rows = [(i, "\n".join(f"line {i % 3} {k}" for k in range(40 + 13 * (i % 5)))) for i in range(12)]
+    want = plain(rows)
+    for ladder, hopeless in (((8, 16, 64), 10), ((8, 16, 64), 10**6), ((1, 1, 64), 10**6), ((1, 1, 1), 10**6)):
+        monkeypatch.setattr(iblt, "LADDER", ladder)
+        monkeypatch.setattr(iblt, "HOPELESS", hopeless)
+        got = iblt.fingerprints(frame(spark, rows)).collect()
+        assert {r.doc_id: (r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got} == want
+
 
+def test_query_equals_its_sql(spark):
+    import duckdb
 
-def test_subtraction_is_linear(spark):
-    df = spark.createDataFrame([([1, 2, 3, 4], [3, 4, 9])], "a array<bigint>, b array<bigint>")
-    both = F.concat(iblt._members(F.col("a"), 1), iblt._members(F.col("b"), -1))
-    r = df.select(iblt.sketch(both, 8).alias("x"), iblt.subtracted(iblt.sketch(iblt._members(F.col("a")), 8), iblt.sketch(iblt._members(F.col("b")), 8)).alias("y")).first()
-    assert r.x == r.y
+    folder = "/root/testdata/sf0.001"
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = duckdb.sql(iblt.ORACLE_SQL)
+    got = iblt.query(spark, folder)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
 def test_rows_without_an_id_are_one_id_below_all_others(spark):
