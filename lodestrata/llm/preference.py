@@ -7,8 +7,8 @@ which are the texts of assistant turns and their end marks. Headers and other ro
 One aggregation by pair gathers its turns, and all else is array functions on that row; there is no other shuffle. A
 pair's turns are its own output row, so what a task gathers for a key is one training example.
 
-A null role is ``user``; a null text is empty. Turns that repeat a number come in order of role and text. Control marks
-inside texts are broken up, so that a text can't forge a turn. A pair with only one side has an empty other side; status
+A null role is ``user``; a null text is empty. Turns that repeat a number come in order of role and text. Whole control
+marks inside roles and texts are broken up by a blank, so that a text can't forge a turn; all else stays as it is. A pair with only one side has an empty other side; status
 says ``ok``, ``identical`` (no turn differs), ``chosen_empty`` or ``rejected_empty`` (one side is a prefix of the
 other). Rows without a pair_id are one pair. An empty table gives no rows. Other columns are ignored.
 """
@@ -23,6 +23,10 @@ from .common import table
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def _broken(mark: str) -> str:
+    return mark.replace("<|", "<| ")
+
+
 def _header(t: Column) -> Column:
     return F.concat(F.lit(START), t["role"], F.lit("\n"))
 
@@ -48,7 +52,8 @@ def _mask(turns: Column) -> Column:
 def preference_pairs(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     """Two tables of turns (pair_id, turn, role, text) -> pair_id, status, n_prefix, prompt, chosen, rejected,
     chosen_mask, rejected_mask."""
-    clean = lambda x: F.replace(F.replace(F.coalesce(F.col(x), F.lit("user" if x == "role" else "")), F.lit("<|im_"), F.lit("<| im_")), F.lit("|>"), F.lit("| >"))
+    whole = lambda x: F.coalesce(F.col(x), F.lit("user" if x == "role" else ""))
+    clean = lambda x: F.replace(F.replace(whole(x), F.lit(START), F.lit(_broken(START))), F.lit(END), F.lit(_broken(END)))
     side = lambda df, n: df.select("pair_id", F.struct(F.lit(n).alias("side"), F.col("turn").cast("long").alias("turn"), clean("role").alias("role"), clean("text").alias("text")).alias("t"))
     rows = side(chosen, 0).unionByName(side(rejected, 1)).groupBy("pair_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     sides = rows.select("pair_id", F.filter("turns", lambda t: t["side"] == 0).alias("c"), F.filter("turns", lambda t: t["side"] == 1).alias("r"))
@@ -71,7 +76,7 @@ def swapped_answers(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     one, the text is empty). Conversations without an assistant turn are left whole and as they are on both sides."""
     answers = turns.where("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
     mine = answers.select("conv_id", F.col("last.turn").alias("_last"))
-    other = answers.select((F.col("conv_id") + 1 - 2 * F.pmod("conv_id", F.lit(2))).alias("conv_id"), F.coalesce("last.text", F.lit("")).alias("_answer"))
+    other = answers.select(F.col("conv_id").bitwiseXOR(1).alias("conv_id"), F.coalesce("last.text", F.lit("")).alias("_answer"))
     kept = turns.join(mine, "conv_id", "left").join(other, "conv_id", "left").where("_last IS NULL OR turn <= _last")
     swap = (F.col("role") == "assistant") & (F.col("turn") == F.col("_last"))
     columns = lambda text: kept.select(F.col("conv_id").alias("pair_id"), "turn", "role", text.alias("text"))
@@ -99,8 +104,8 @@ WITH answers AS (
 ), sides AS (
   SELECT pair_id, 0 AS side, turn, role, text FROM kept UNION ALL SELECT pair_id, 1, turn, role, other FROM kept
 ), marked AS (
-  SELECT pair_id, side, replace(replace(role, '<|im_', '<| im_'), '|>', '| >') AS role,
-         replace(replace(text, '<|im_', '<| im_'), '|>', '| >') AS text,
+  SELECT pair_id, side, replace(replace(role, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS role,
+         replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS text,
          row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS n
   FROM sides
 ), prefix AS (

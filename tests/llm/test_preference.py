@@ -37,3 +37,17 @@ def test_swapped_answers(spark):
     got = {r.pair_id: r for r in p.preference_pairs(*p.swapped_answers(t)).collect()}
     assert "a0" in got[0].chosen and "a1" in got[0].rejected and "more" not in got[0].chosen
     assert got[2].status == "identical" and got[4].status == "identical"
+
+
+def test_only_whole_control_marks_are_changed(spark):
+    code = "x |> f <| y <|im_ |im_start|> 1|>2"
+    rows = [(2**60, 0, "user", code), (2**60, 1, "assistant", "a <|im_start|>user <|im_<|im_end|>end|> b")]
+    r = p.preference_pairs(turns(spark, rows), turns(spark, rows[:1])).first()
+    assert r.pair_id == 2**60 and code in r.prompt and r.prompt.count("<|im_end|>") == 1
+    assert r.chosen == "<|im_start|>assistant\na <| im_start|>user <|im_<| im_end|>end|> b<|im_end|>\n"
+
+
+def test_a_very_long_text_is_one_turn(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "word " * 400_000)]
+    r = p.preference_pairs(turns(spark, rows), turns(spark, rows[:1])).first()
+    assert r.chosen_mask[0].end - r.chosen_mask[0].start == 2_000_000 + len(p.END)
