@@ -96,7 +96,7 @@ WITH sizes AS (
   SELECT source, pow(CAST(size AS DOUBLE), {ALPHA}) / w * s / size AS rate FROM sizes, whole
 ), steps AS (
   SELECT source, rate, k, CASE WHEN k = 0 THEN -rate ELSE ln(rate / k) END AS part
-  FROM rates, (SELECT unnest(range(0, 400)) AS k)
+  FROM rates, (SELECT unnest(range(0, (SELECT CAST(max(ceil(rate + 12 * sqrt(rate) + 30)) AS BIGINT) + 1 FROM rates))) AS k)
   WHERE k <= ceil(rate + 12 * sqrt(rate) + 30)
 ), logs AS (
   SELECT source, k, sum(part) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS lg FROM steps
