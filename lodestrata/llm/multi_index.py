@@ -15,8 +15,9 @@ Vectors are dealt to blocks of about ``block`` by hash, queries likewise, and ea
 memory; what it sends on is k rows a query. Copies of one vector, however many, are dealt over the blocks like others.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those of another length
-than the sample's commonest. Ties go to the smaller id. A row is never its own neighbour; rows that repeat a query's id
-count as the query. With no vectors the result is empty. Other columns are ignored.
+than the sample's commonest, or rows without an id. Ties go to the smaller id. A row is never its own neighbour; rows that
+repeat a query's id count as the query, whose vector is the least of theirs, and rows that repeat a candidate's id are one
+candidate, at its best score. With no vectors the result is empty. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import table, tune
 
 BITS, CHUNKS, WIDTH = 128, 16, 8
-SAMPLE, BLOCK, QUERY_BLOCK, KEEP, SEED = 20_000, 8192, 1024, 0.98, 5
+SAMPLE, BLOCK, QUERY_BLOCK, KEEP, SEED = 20_000, 16_384, 4096, 0.98, 5
 
 
 @dataclass
@@ -136,14 +137,17 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sample: int =
     if not len(drawn):
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = int(drawn["v"].map(len).mode()[0])
-    every, asked = every.where(F.size("v") == width), asked.where(F.size("v") == width)
+    every, asked = every.where(F.size("v") == width), asked.where(F.size("v") == width).groupBy("id").agg(F.min("v").alias("v"))
+    repeats = not every.groupBy("id").count().where("count > 1").isEmpty()
+    if repeats:
+        every = every.distinct()
     norm, n = every.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))), F.count("*")).first()
     codes = fit(np.stack(drawn.loc[drawn["v"].map(len) == width, "v"]), norm)
     n_blocks, n_queries = -(-n // block), max(1, -(-asked.count() // QUERY_BLOCK))
     held = candidates.sparkSession.sparkContext.broadcast(codes)  # two maps of fixed size
 
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = every.select("id", "v", F.lit(False).alias("asks"), part(n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("part"))
+    part = lambda n, *of: F.pmod(F.xxhash64("id", *of), F.lit(n)).cast("int")
+    left = every.select("id", "v", F.lit(False).alias("asks"), part(n_blocks, "v").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("part"))
     right = asked.select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), part(n_queries).alias("part"))
 
     def probe(rows: pd.DataFrame) -> pd.DataFrame:
@@ -163,11 +167,16 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sample: int =
                 found = index.within(code, radius)
             found = found[x_ids[found] != own]
             score = x[found] @ query
-            best = np.lexsort((x_ids[found], -score))[:k]
+            best = np.lexsort((x_ids[found], -score))
+            if repeats:  # each id once, at its best
+                best = best[np.sort(np.unique(x_ids[found[best]], return_index=True)[1])]
+            best = best[:k]
             out.append(pd.DataFrame({"query_id": own, "vec_id": x_ids[found[best]], "score": score[best]}))
         return pd.concat(out)
 
     found = left.unionByName(right).groupBy("block", "part").applyInPandas(probe, schema)
+    if repeats:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -47,3 +47,12 @@ def test_probing_meets_every_code_within_the_radius():
 def test_few_vectors(spark, n):
     t = table(spark, [(20 * i, [1.0, float(i)]) for i in range(n)])
     assert m.search(t, t).count() == n * max(0, n - 1)
+
+
+def test_repeated_ids_are_one_query_and_one_candidate(spark):
+    rows = [(0, [1, 0]), (0, [0, 1]), (1, [2, 0]), (1, [2, 0]), (1, [0, 3]), (2, [1, 1]), (3, [0, 0.5]), (2**60 + 1, [1, 2]), (None, [9, 9])]
+    t = table(spark, rows)
+    for block in (100, 2):
+        found = m.search(t, t.where("vec_id = 0"), k=4, block=block).collect()
+        # the query's vector is [0, 1]
+        assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, 3.0), (2, 2**60 + 1, 2.0), (3, 2, 1.0), (4, 3, 0.5)]
