@@ -1,8 +1,15 @@
-"""The registry: six tables of plain rows with the constraints of a small database, kept as versioned snapshots.
+"""The registry: tables of plain rows with the constraints of a small database, kept as versioned snapshots.
 
-A write is a transaction: it takes the lock, changes tables as DataFrames, checks every constraint, writes what changed
-to a new version, and swaps one pointer file. Readers see whole versions only. Reading never creates a registry, and a
-missing one is not an empty one.
+A write is a transaction: it takes the lock, changes tables as DataFrames, checks the constraints that the change can
+break, writes what changed, and swaps one pointer file. Rows that are only added are a new folder beside the table's old
+ones, and only they are checked, so an insert costs what it brings and not what is there; after ``PARTS`` folders a table
+is written anew. Readers see whole versions only. Reading never creates a registry, and a missing one is not an empty one.
+
+The lock names its owner. A writer that died leaves its lock behind: once that is older than ``lock_expiry_s`` the next
+writer moves it aside, and a writer that was only slow finds at its swap that the lock is no longer its own, and gives up.
+
+Besides the six tables that users see, ``chunk_file`` says which version of the chunk store holds each file's rows, so that
+store and registry switch by the same pointer.
 """
 
 from __future__ import annotations
@@ -73,36 +80,48 @@ TABLES = {
     "sync_item": _schema("id string!, sync_run_id string!, document_id string, file_name string!, result string!, reason string"),
     "eval_run": _schema("id string!, workspace_id string!, run_at timestamp!, groundedness double, relevancy double, refusal_pass int!, refusal_total int!, passed boolean!, report_path string"),
     "eval_result": _schema("id string!, eval_run_id string!, question_id string!, kind string!, groundedness double, relevancy double, passed boolean!"),
+    "chunk_file": _schema("id string!, workspace_id string!, source_file string!, version string!"),
 }
-UNIQUE = {"workspace": [["id"], ["name"]], "document": [["id"], ["workspace_id", "file_name"]], **{t: [["id"]] for t in ("sync_run", "sync_item", "eval_run", "eval_result")}}
+#: Folders that a table may consist of before it is written anew.
+PARTS = 16
+UNIQUE = {"workspace": [["id"], ["name"]], "document": [["id"], ["workspace_id", "file_name"]], "chunk_file": [["id"], ["workspace_id", "source_file"]], **{t: [["id"]] for t in ("sync_run", "sync_item", "eval_run", "eval_result")}}
 #: child table, column, parent table, and whether the child goes with its parent (else the column becomes null)
 EDGES = [
     ("document", "workspace_id", "workspace", True), ("sync_run", "workspace_id", "workspace", True), ("eval_run", "workspace_id", "workspace", True),
     ("sync_item", "sync_run_id", "sync_run", True), ("eval_result", "eval_run_id", "eval_run", True), ("sync_item", "document_id", "document", False),
+    ("chunk_file", "workspace_id", "workspace", True),
 ]
 ALLOWED = {
     ("document", "status"): ("active", "failed", "skipped", "removed"), ("sync_item", "result"): _COUNTERS, ("eval_result", "kind"): ("in_scope", "out_of_scope"),
 }
 
 
-def violations(tables: dict[str, DataFrame]) -> list[str]:
-    """What breaks a constraint, in words; each check is one aggregation or anti join."""
-    found = []
-    for name, df in tables.items():
-        for f in TABLES[name].fields:
-            if not f.nullable and not df.where(F.col(f.name).isNull()).isEmpty():
-                found.append(f"{name}.{f.name} is null")
+def violations(tables: dict[str, DataFrame], added: dict[str, DataFrame] | None = None, changed: set[str] | None = None) -> list[str]:
+    """What breaks a constraint, in words. ``changed`` names the tables to check (all by default); of those in ``added`` only
+    these rows are new. One aggregation a table, one for each key, and an anti join for each reference."""
+    found, added = [], added or {}
+    changed = set(tables) if changed is None else changed
+    for name in [t for t in tables if t in changed]:
+        df, fresh = tables[name], added.get(name)
+        rows = df if fresh is None else fresh
+        bad = {f"{name}.{f.name} is null": F.col(f.name).isNull() for f in TABLES[name].fields if not f.nullable}
+        bad |= {f"{name}.{column} is not one of {', '.join(values)}": ~F.col(column).isin(*values) for (t, column), values in ALLOWED.items() if t == name}
+        counts = rows.agg(*[F.count_if(c).alias(str(k)) for k, c in enumerate(bad.values())]).first()
+        found += [what for what, n in zip(bad, counts, strict=True) if n]
         for keys in UNIQUE[name]:
-            if not df.groupBy(*keys).count().where("count > 1").isEmpty():
+            # keys that come with the new rows, counted in the whole table
+            own = df if fresh is None else df.join(fresh.select(*keys).distinct(), keys, "left_semi")
+            if not own.groupBy(*keys).count().where("count > 1").isEmpty():
                 found.append(f"{name}({', '.join(keys)}) is not unique")
-        for (t, column), values in ALLOWED.items():
-            if t == name and not df.where(~F.col(column).isin(*values)).isEmpty():
-                found.append(f"{name}.{column} is not one of {', '.join(values)}")
     for child, column, parent, _ in EDGES:
-        if child in tables and parent in tables:
-            orphans = tables[child].where(F.col(column).isNotNull()).join(tables[parent].select(F.col("id").alias(column)), column, "left_anti")
-            if not orphans.isEmpty():
-                found.append(f"{child}.{column} points to no {parent}")
+        if child not in tables or parent not in tables:
+            continue
+        shrunk = parent in changed and parent not in added
+        if child not in changed and not shrunk:
+            continue
+        rows = tables[child] if shrunk or child not in added else added[child]
+        if not rows.where(F.col(column).isNotNull()).join(tables[parent].select(F.col("id").alias(column)), column, "left_anti").isEmpty():
+            found.append(f"{child}.{column} points to no {parent}")
     return found
 
 
@@ -150,6 +169,31 @@ def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+class Draft(dict):
+    """The tables of a transaction by name. Assigning one replaces it; :meth:`add` only adds rows."""
+
+    def __init__(self, tables: dict[str, DataFrame]):
+        super().__init__(tables)
+        self.before, self._added, self._grown = dict(tables), {}, {}
+
+    def add(self, table: str, rows: DataFrame) -> None:
+        rows = rows.select(*TABLES[table].names)
+        if self[table] is self._grown.get(table):
+            self._added[table] = self._added[table].unionByName(rows)
+        elif self[table] is self.before[table]:
+            self._added[table] = rows
+        self[table] = self[table].unionByName(rows)
+        if table in self._added:
+            self._grown[table] = self[table]
+
+    def changed(self) -> list[str]:
+        return [t for t in self if self[t] is not self.before[t]]
+
+    def added(self, table: str) -> DataFrame | None:
+        """The new rows of a table that only grew."""
+        return self._added[table] if self[table] is self._grown.get(table) else None
+
+
 class Registry:
     """Reads and writes of one registry folder."""
 
@@ -161,17 +205,27 @@ class Registry:
 
     # reading
 
-    def _pointer(self) -> dict[str, str] | None:
+    def _text(self, at) -> str:
+        stream = self._fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _write_text(self, at, text: str, overwrite: bool) -> None:
+        out = self._fs.create(at, overwrite)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _pointer(self) -> dict[str, list[str]] | None:
         at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return json.loads("".join(self.spark.sparkContext.wholeTextFiles(f"{self.path}/CURRENT").values().collect()))
+        return json.loads(self._text(at)) if self._fs.exists(at) else None
 
     def tables(self) -> dict[str, DataFrame]:
         pointer = self._pointer()
         if pointer is None:
             raise RegistryNotFound(f"there is no registry in {self.path}; a first write creates one")
-        return {t: self.spark.read.schema(s).parquet(pointer[t]) for t, s in TABLES.items()}
+        return {t: self.spark.read.schema(s).parquet(*pointer[t]) for t, s in TABLES.items()}
 
     def table(self, name: str) -> DataFrame:
         return self.tables()[name]
@@ -190,44 +244,72 @@ class Registry:
 
     # writing
 
-    @contextmanager
-    def transaction(self):
-        """Tables to change in place; all changes are stored on success, none on an error."""
-        lock, began = self._path(f"{self.path}/LOCK"), time.monotonic()
+    def _lock(self, lock, token: str) -> None:
+        began = time.monotonic()
         while True:
             try:
-                self._fs.create(lock, False).close()
-                break
-            except Exception as e:  # the file is there: another writer is at work
+                self._write_text(lock, token, False)
+                return
+            except Exception as e:  # the file is there: another writer is at work, or died at it
+                if self._stale(lock):
+                    self._fs.rename(lock, self._path(f"{self.path}/LOCK.{uuid.uuid4().hex}"))
+                    continue
                 if time.monotonic() - began > self.settings.busy_timeout_s:
                     raise RegistryBusy(f"another write to {self.path} is under way") from e
                 time.sleep(0.1)
+
+    def _stale(self, lock) -> bool:
+        try:
+            age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000
+        except Exception:  # it went meanwhile
+            return False
+        return age > self.settings.lock_expiry_s
+
+    def _owns(self, lock, token: str) -> bool:
+        return bool(self._fs.exists(lock)) and self._text(lock) == token
+
+    @contextmanager
+    def transaction(self):
+        """A :class:`Draft` to change in place; all changes are stored on success, none on an error."""
+        lock, token = self._path(f"{self.path}/LOCK"), uuid.uuid4().hex
+        self._lock(lock, token)
+        made: list[str] = []
         try:
             pointer = self._pointer()
-            before = self.tables() if pointer else {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()}
-            draft = dict(before)
+            draft = Draft(self.tables() if pointer else {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()})
             yield draft
-            changed = [t for t in TABLES if pointer is None or draft[t] is not before[t]]
+            changed = list(TABLES) if pointer is None else draft.changed()
             if changed:
-                version = uuid.uuid4().hex
-                pointer = dict(pointer or {})
-                for t in changed:
-                    pointer[t] = f"{self.path}/{t}/{version}"
-                    draft[t].select(*TABLES[t].names).coalesce(1 if pointer is None else 8).write.parquet(pointer[t])
-                found = violations({t: self.spark.read.schema(TABLES[t]).parquet(pointer[t]) for t in TABLES})
-                if found:
-                    for t in changed:
-                        self._fs.delete(self._path(pointer[t]), True)
-                    raise ConstraintViolation("; ".join(found))
-                self._swap(pointer)
+                self._store(draft, changed, dict(pointer or {}), made, lambda: self._owns(lock, token))
+        except BaseException:
+            for path in made:
+                self._fs.delete(self._path(path), True)
+            raise
         finally:
-            self._fs.delete(lock, False)
-
-    def _swap(self, pointer: dict[str, str]) -> None:
+            if self._owns(lock, token):
+                self._fs.delete(lock, False)
+
+    def _store(self, draft: Draft, changed: list[str], pointer: dict[str, list[str]], made: list[str], owner) -> None:
+        version, added = uuid.uuid4().hex, {}
+        read = lambda t, paths: self.spark.read.schema(TABLES[t]).parquet(*paths)
+        for t in changed:
+            path, rows = f"{self.path}/{t}/{version}", draft.added(t)
+            grows = rows is not None and t in pointer and len(pointer[t]) < PARTS
+            made.append(path)
+            (rows if grows else draft[t]).select(*TABLES[t].names).hint("rebalance").write.parquet(path)
+            if grows:
+                added[t] = read(t, [path])
+            pointer[t] = [*pointer[t], path] if grows else [path]
+        found = violations({t: read(t, pointer[t]) for t in TABLES}, added, set(changed))
+        if found:
+            raise ConstraintViolation("; ".join(found))
+        if not owner():
+            raise RegistryBusy(f"this write to {self.path} took so long that another one began")
+        self._swap(pointer)
+
+    def _swap(self, pointer: dict[str, list[str]]) -> None:
         fresh, at = self._path(f"{self.path}/CURRENT.{uuid.uuid4().hex}"), self._path(f"{self.path}/CURRENT")
-        out = self._fs.create(fresh, True)
-        out.write(bytearray(json.dumps(pointer).encode()))
-        out.close()
+        self._write_text(fresh, json.dumps(pointer), True)
         options = self.spark._jvm.java.lang.reflect.Array.newInstance(self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 1)
         options[0] = self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()[1]
         self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(fresh, at, options)
@@ -240,7 +322,7 @@ class Registry:
     def _insert(self, table: str, **row) -> str:
         row["id"] = row.get("id") or str(uuid.uuid4())
         with self.transaction() as draft:
-            draft[table] = draft[table].unionByName(self._rows(table, [row]))
+            draft.add(table, self._rows(table, [row]))
         return row["id"]
 
     def create_workspace(self, name: str, folder_path: str, legal_flag: bool = False) -> str:
@@ -251,7 +333,7 @@ class Registry:
             if not draft["workspace"].where(F.col("name") == name).isEmpty():
                 raise DuplicateWorkspace(f"there is a workspace called {name}")
             row = {"id": str(uuid.uuid4()), "name": name, "folder_path": folder_path, "legal_flag": legal_flag, "created_at": now()}
-            draft["workspace"] = draft["workspace"].unionByName(self._rows("workspace", [row]))
+            draft.add("workspace", self._rows("workspace", [row]))
         return row["id"]
 
     def _update_workspace(self, workspace_id: str, column: str, value) -> None:

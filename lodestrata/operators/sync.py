@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from datetime import timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import pack_fingerprint
@@ -23,51 +24,87 @@ class SyncInProgress(RegistryError):
 
 
 _PARENT = "parent_index int, parent_id string, section_label string"
-_KEYS = "workspace_id string, source_file string"
+_KEYS = "source_file string, workspace_id string, version string"
 STORED = {"parents": f"{_PARENT}, text string, {_KEYS}", "children": f"{_PARENT}, child_index int, text string, dense array<float>, {_KEYS}"}
 
 
 @dataclass
 class ChunkStore:
-    """Parents and children, partitioned by workspace and file, so that a file's rows are replaced as one unit."""
+    """Parents and children of files, in folders by workspace and version. A version is written whole before anything
+    points to it; the registry's ``chunk_file`` says which version holds a file's rows, and readers see only those. So a
+    file's old rows go the moment the registry switches, also those of a file that grew shorter or has no rows left."""
 
-    spark: SparkSession
+    registry: Registry
     path: str
 
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.schema(STORED[name]).parquet(f"{self.path}/{name}")
+    def _folder(self, name: str):
+        at = self.registry.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return at, at.getFileSystem(self.registry.spark._jsc.hadoopConfiguration())
+
+    def _read(self, name: str, workspace_id: str) -> DataFrame:
+        spark = self.registry.spark
+        at, fs = self._folder(name)
+        if not fs.exists(at):
+            rows = spark.createDataFrame([], STORED[name])
+        else:
+            rows = spark.read.schema(STORED[name]).parquet(f"{self.path}/{name}").where(F.col("workspace_id") == workspace_id)
+        files = self.registry.table("chunk_file").where(F.col("workspace_id") == workspace_id).select("workspace_id", "source_file", "version")
+        return rows.join(files, ["workspace_id", "source_file", "version"], "left_semi").drop("version")
 
     def parents(self, workspace_id: str) -> DataFrame:
-        return self._read("parents").where(F.col("workspace_id") == workspace_id)
+        return self._read("parents", workspace_id)
 
     def children(self, workspace_id: str) -> DataFrame:
-        return self._read("children").where(F.col("workspace_id") == workspace_id)
+        return self._read("children", workspace_id)
 
-    def replace(self, parents: DataFrame, children: DataFrame) -> None:
-        """Put in the rows of the files that ``parents`` and ``children`` hold; what these files had before goes, also
-        the tail that a file grown shorter leaves."""
+    def write(self, parents: DataFrame, children: DataFrame, version: str) -> DataFrame:
+        """Store rows as ``version``, which nothing points to yet: id, workspace_id, source_file, version of the files that
+        have rows, for :meth:`switched`."""
         for name, df in (("parents", parents), ("children", children)):
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("workspace_id", "source_file").parquet(f"{self.path}/{name}")
-
-    def drop(self, workspace_id: str, files: list[str]) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-        for name in ("parents", "children"):
-            for file in files:
-                at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/workspace_id={escape(workspace_id)}/source_file={escape(file)}")
-                at.getFileSystem(conf).delete(at, True)
+            if name == "children" and "dense" not in df.columns:
+                df = df.withColumn("dense", F.lit(None).cast("array<float>"))
+            df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("workspace_id", "version").parquet(f"{self.path}/{name}")
+        rows = self.registry.spark.read.schema(STORED["parents"]).parquet(f"{self.path}/parents").where(F.col("version") == version)
+        files = rows.select("workspace_id", "source_file", "version").distinct()
+        return files.select(F.sha2(F.concat_ws("\0", "workspace_id", "source_file"), 256).alias("id"), "workspace_id", "source_file", "version")
+
+    def switched(self, known: DataFrame, touched: DataFrame, files: DataFrame) -> DataFrame:
+        """The registry's ``chunk_file`` once the ``touched`` files (workspace_id, source_file) have the rows that ``files``
+        names, and no others."""
+        left = known.join(touched.select("workspace_id", "source_file").distinct(), ["workspace_id", "source_file"], "left_anti")
+        return left.select(*TABLES["chunk_file"].names).unionByName(files.select(*TABLES["chunk_file"].names))
+
+    def vacuum(self) -> int:
+        """Delete the versions that no file is in and no open sync may be writing; how many folders went."""
+        tables = self.registry.tables()
+        used = {(r.workspace_id, r.version) for r in tables["chunk_file"].select("workspace_id", "version").distinct().toLocalIterator()}
+        used |= {(r.workspace_id, r.id) for r in tables["sync_run"].where("finished_at is null").select("workspace_id", "id").toLocalIterator()}
+        unescape, gone = self.registry.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName, 0
+        for name in STORED:
+            at, fs = self._folder(name)
+            for folder in fs.globStatus(self.registry.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/workspace_id=*/version=*")) or []:
+                path = folder.getPath()
+                key = tuple(unescape(p.getName().partition("=")[2]) for p in (path.getParent(), path))
+                if key not in used:
+                    fs.delete(path, True)
+                    gone += 1
+        return gone
 
 
 def sync(registry: Registry, store: ChunkStore, workspace_id: str, encoder=None, settings: Settings = Settings(), readers=READERS) -> str:
     """Run one sync and give its id. Files whose bytes didn't change are neither converted nor segmented again. A second
-    sync of a workspace while one is under way is refused."""
+    sync of a workspace while one is under way is refused; a run that is open for longer than ``run_expiry_s`` has died, and
+    is closed."""
     spark = registry.spark
     folder = registry.get_workspace(workspace_id)["folder_path"]
     run_id, started = str(uuid.uuid4()), now()
     with registry.transaction() as draft:
+        dead = (F.col("workspace_id") == workspace_id) & F.col("finished_at").isNull() & (F.col("started_at") < F.lit(started - timedelta(seconds=settings.run_expiry_s)))
+        if not draft["sync_run"].where(dead).isEmpty():
+            draft["sync_run"] = draft["sync_run"].withColumn("finished_at", F.when(dead, F.lit(started)).otherwise(F.col("finished_at")))
         if not draft["sync_run"].where((F.col("workspace_id") == workspace_id) & F.col("finished_at").isNull()).isEmpty():
             raise SyncInProgress(f"a sync of {workspace_id} is under way")
-        draft["sync_run"] = draft["sync_run"].unionByName(registry._rows("sync_run", [{"id": run_id, "workspace_id": workspace_id, "started_at": started, **dict.fromkeys(evaluate.RESULTS, 0)}]))
+        draft.add("sync_run", registry._rows("sync_run", [{"id": run_id, "workspace_id": workspace_id, "started_at": started, **dict.fromkeys(evaluate.RESULTS, 0)}]))
     try:
         _sync(registry, store, spark, workspace_id, folder, run_id, encoder, settings, readers)
     except Exception:
@@ -91,10 +128,7 @@ def _sync(registry, store, spark, workspace_id, folder, run_id, encoder, setting
     parents, children = segment.chunk(good, settings)
     if encoder is not None:
         children = embed.embed_children(children.where("text rlike '(?U)[^\\\\s]'"), encoder, "sync", settings)
-    if not good.isEmpty():
-        store.replace(parents, children)
-    gone = [r[0] for r in results.where(F.col("result").isin("removed", "failed", "skipped")).select("file_name").collect()]  # names of one folder
-    store.drop(workspace_id, gone)
+    files = store.write(parents, children, run_id)
 
     status = F.when(F.col("result").isin("failed", "skipped", "removed"), F.col("result")).otherwise("active")
     touched = results.where("result <> 'unchanged'").join(converted.select("file_name", "page_count"), "file_name", "left").join(known.select(F.col("id").alias("document_id"), F.col("content_hash").alias("_hash"), F.col("page_count").alias("_pages")), "document_id", "left")
@@ -112,7 +146,9 @@ def _sync(registry, store, spark, workspace_id, folder, run_id, encoder, setting
     counts = evaluate.run_counters(items).select(F.col("sync_run_id").alias("id"), *[F.col(r).alias(f"_{r}") for r in evaluate.RESULTS])
     with registry.transaction() as draft:
         draft["document"] = upserted(draft["document"], fresh)
-        draft["sync_item"] = draft["sync_item"].unionByName(items)
+        draft.add("sync_item", items)
+        touched = results.where("result <> 'unchanged'").select(F.lit(workspace_id).alias("workspace_id"), F.col("file_name").alias("source_file"))
+        draft["chunk_file"] = store.switched(draft["chunk_file"], touched, files)
         run = draft["sync_run"].join(counts, "id", "left")
         own = F.col("id") == run_id
         run = run.withColumn("finished_at", F.when(own, F.lit(now())).otherwise(F.col("finished_at")))

@@ -39,6 +39,8 @@ class Settings:
     file_cap: int = 50
     # registry
     busy_timeout_s: float = 30.0
+    lock_expiry_s: float = 600.0
+    run_expiry_s: float = 6 * 3600.0
     # release gate
     gate_groundedness: float = 0.90
     gate_refusals: int = 20

@@ -50,7 +50,8 @@ def test_a_folder_over_three_syncs(spark, tmp_path):
     (folder / "b.txt").write_bytes(b"\xff\xfe")
     (folder / "c.md").write_text("  ")
     (folder / "d.xlsx").write_text("1")
-    reg, store = registry.Registry(spark, str(tmp_path / "reg"), settings), sync.ChunkStore(spark, str(tmp_path / "store"))
+    reg = registry.Registry(spark, str(tmp_path / "reg"), settings)
+    store = sync.ChunkStore(reg, str(tmp_path / "store"))
     w = reg.create_workspace("w", f"file:{folder}")
     first = sync.sync(reg, store, w, embed.HashEncoder(8), settings)
     assert counters(reg, first) == {"added": 1, "failed": 1, "skipped": 2}
@@ -75,8 +76,55 @@ def test_a_folder_over_three_syncs(spark, tmp_path):
     assert store.parents(w).count() == 0
 
 
+def test_files_that_shrink_or_lose_all_rows_leave_nothing_behind(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    settings = Settings(child_size=40, child_overlap=5, merge_below=20, split_above=60)
+    (folder / "a.md").write_text("# A\n" + "words and words\n\n" * 20)
+    (folder / "b.md").write_text("# B\nold body")
+    reg = registry.Registry(spark, str(tmp_path / "reg"), settings)
+    store = sync.ChunkStore(reg, str(tmp_path / "store"))
+    w = reg.create_workspace("w", f"file:{folder}")
+    sync.sync(reg, store, w, None, settings)
+    old = sorted(store.parents(w).select("source_file", "parent_index").collect())
+    (folder / "a.md").write_text("# A\nshort now")
+    (folder / "b.md").write_text("# only a heading\n")
+
+    def dies(*_):
+        raise OSError("the driver went away")
+
+    # at each point before the switch nothing has changed for readers
+    for where, name in ((sync.ChunkStore, "write"), (sync.ChunkStore, "switched"), (registry.Registry, "_swap")):
+        with monkeypatch.context() as m:
+            if where is registry.Registry:
+                whole, swaps = registry.Registry._swap, []
+                m.setattr(where, name, lambda self, pointer: (swaps.append(1), dies() if len(swaps) == 2 else whole(self, pointer)))
+            else:
+                m.setattr(where, name, dies)
+            with pytest.raises(OSError):
+                sync.sync(reg, store, w, None, settings)
+        assert sorted(store.parents(w).select("source_file", "parent_index").collect()) == old
+    sync.sync(reg, store, w, None, settings)
+    assert [(p.source_file, p.text) for p in store.parents(w).collect()] == [("a.md", "short now")]
+    assert store.children(w).count() == 1 and store.vacuum() > 0
+    assert [(p.source_file, p.text) for p in store.parents(w).collect()] == [("a.md", "short now")]
+
+
+def test_a_run_that_died_is_closed_in_time(spark, tmp_path):
+    reg = registry.Registry(spark, str(tmp_path / "reg"))
+    store = sync.ChunkStore(reg, str(tmp_path / "store"))
+    (tmp_path / "docs").mkdir()
+    w = reg.create_workspace("w", f"file:{tmp_path}/docs")
+    reg.insert_sync_run(w)
+    with pytest.raises(sync.SyncInProgress):
+        sync.sync(reg, store, w)
+    sync.sync(reg, store, w, settings=Settings(run_expiry_s=0.0))
+    assert reg.table("sync_run").where("finished_at is null").count() == 0
+
+
 def test_a_second_sync_is_refused_and_a_failed_one_is_closed(spark, tmp_path):
-    reg, store = registry.Registry(spark, str(tmp_path / "reg")), sync.ChunkStore(spark, str(tmp_path / "store"))
+    reg = registry.Registry(spark, str(tmp_path / "reg"))
+    store = sync.ChunkStore(reg, str(tmp_path / "store"))
     w = reg.create_workspace("w", f"file:{tmp_path}/missing")
     with pytest.raises(FileNotFoundError):
         sync.sync(reg, store, w)

@@ -56,7 +56,7 @@ def test_cascade_set_null_and_isolation(reg):
     items = {i.document_id for i in reg.table("sync_item").collect()}
     assert len(items) == 2 and None in items
     reg.delete_workspace(w)
-    assert {t: reg.table(t).count() for t in r.TABLES} == {"workspace": 1, "document": 0, "sync_run": 1, "sync_item": 1, "eval_run": 1, "eval_result": 1}
+    assert {t: reg.table(t).count() for t in r.TABLES} == {"workspace": 1, "document": 0, "sync_run": 1, "sync_item": 1, "eval_run": 1, "eval_result": 1, "chunk_file": 0}
     with pytest.raises(r.WorkspaceNotFound):
         reg.delete_workspace(w)
 
@@ -104,3 +104,33 @@ def test_upsert_replaces_by_file(spark, reg):
     with reg.transaction() as draft:
         draft["document"] = r.upserted(draft["document"], fresh)
     assert [(d.id, d.content_hash) for d in reg.list_documents(w).collect()] == [("1", "h2"), ("2", "h")]
+
+
+def test_inserts_add_folders_until_a_table_is_written_anew(reg, monkeypatch):
+    monkeypatch.setattr(r, "PARTS", 3)
+    w = reg.create_workspace("w", "/w")
+    sizes = []
+    for i in range(5):
+        reg.insert_document(w, f"{i}.md", "md", "h")
+        sizes.append(len(reg._pointer()["document"]))
+    assert sizes == [2, 3, 1, 2, 3] and reg.list_documents(w).count() == 5
+    with pytest.raises(r.ConstraintViolation):
+        reg.insert_document(w, "3.md", "md", "h")
+    assert reg.list_documents(w).count() == 5
+
+
+def test_the_lock_of_a_dead_writer_expires(spark, reg, tmp_path):
+    w = reg.create_workspace("w", "/w")
+    (tmp_path / "reg" / "LOCK").write_text("someone who died")
+    with pytest.raises(r.RegistryBusy):
+        r.Registry(spark, reg.path, Settings(busy_timeout_s=0.3)).rename_workspace(w, "x")
+    r.Registry(spark, reg.path, Settings(busy_timeout_s=0.3, lock_expiry_s=0.0)).rename_workspace(w, "x")
+    assert reg.get_workspace(w).name == "x" and not (tmp_path / "reg" / "LOCK").exists()
+
+
+def test_a_writer_whose_lock_was_taken_gives_up(spark, reg, tmp_path):
+    w = reg.create_workspace("w", "/w")
+    with pytest.raises(r.RegistryBusy), reg.transaction() as draft:
+        draft["workspace"] = draft["workspace"].withColumn("folder_path", F.lit("/slow"))
+        r.Registry(spark, reg.path, Settings(lock_expiry_s=-1.0)).rename_workspace(w, "fast")
+    assert (reg.get_workspace(w).name, reg.get_workspace(w).folder_path) == ("fast", "/w")
