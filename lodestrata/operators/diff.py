@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import parse_fingerprint
@@ -25,7 +25,7 @@ def detect_changes(scan: DataFrame, documents: DataFrame, scope: tuple[str, ...]
 
     ``scope`` names columns that both tables have (workspace_id, say) and that files never cross. Both sides meet in one
     full outer join by file name. Unreadable files keep their rows from being removed; files of a type that isn't
-    supported (any more) don't, and are also listed as unsupported by the scan. Order is for the reader to impose.
+    supported (any more) don't, and are also listed as unsupported by the scan. :func:`in_order` gives the rows' order.
     """
     keys = [*scope, "file_name"]
     present = scan.where(F.col("scan_state") != UNSUPPORTED).select(*keys, F.col("file_type").alias("_type"), "scan_state", "digest", "size_bytes")
@@ -37,6 +37,13 @@ def detect_changes(scan: DataFrame, documents: DataFrame, scope: tuple[str, ...]
     return rows.select(*keys, change.alias("change"), F.coalesce("_type", "file_type").alias("file_type"), "digest", "size_bytes", F.col("id").alias("document_id"))
 
 
+def in_order(rows: DataFrame, scope: tuple[str, ...] = (), by: tuple[str, ...] = ("file_name",), name: str = "ord") -> DataFrame:
+    """``rows`` with their place (from 0) within ``scope`` by file name in code point order: for the reader to sort by, as
+    rows of a distributed table have no order of their own."""
+    along = Window.partitionBy(*scope).orderBy(*by)
+    return rows.withColumn(name, (F.row_number().over(along) - 1).cast("long"))
+
+
 def by_change(changes: DataFrame, change: str) -> DataFrame:
     return changes.where(F.col("change") == change)
 

@@ -48,6 +48,17 @@ def release_gate(results: DataFrame, settings: Settings = Settings()) -> DataFra
     return joined.withColumn("passed", good).withColumn("failing", F.coalesce("failing", F.expr("cast(array() as array<string>)")))
 
 
+def reports(gated: DataFrame, folder: str, day: str) -> DataFrame:
+    """One report per run of :func:`release_gate`: eval_run_id, report_path (dated), body (JSON of the run's row)."""
+    path = F.concat(F.lit(f"{folder.rstrip('/')}/run_date={day}/"), "eval_run_id", F.lit(".json"))
+    return gated.select("eval_run_id", path.alias("report_path"), F.to_json(F.struct(*gated.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def write_reports(gated: DataFrame, folder: str, day: str) -> None:
+    """Append the runs' reports as JSON lines below ``folder``, by day."""
+    gated.withColumn("run_date", F.lit(day)).write.mode("append").partitionBy("run_date").json(folder)
+
+
 def latency(traces: DataFrame, column: str = "seconds") -> DataFrame:
     """Exact median and 95th percentile."""
     return traces.agg(F.percentile(column, F.lit(0.5)).alias("median"), F.percentile(column, F.lit(0.95)).alias("p95"))

@@ -8,11 +8,13 @@ both cases each task keeps its k best before anything is shuffled by query. Noth
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.vectors import dot
+from lodestrata.plans.storage import stored
 from lodestrata.settings import Settings
 
 FEW_QUERIES, FEW_TERMS, SALTS = 256, 100_000, 64
@@ -49,28 +51,62 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def postings(chunks: DataFrame, wanted: DataFrame | None = None, text: str = "text") -> DataFrame:
-    """workspace_id, chunk_id, term, tf, length: what the sparse index holds, or its part for ``wanted`` (workspace_id,
-    term) alone, which is picked before anything is counted."""
-    words = chunks.select("workspace_id", "chunk_id", terms(F.col(text)).alias("_t")).select("workspace_id", "chunk_id", F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    if wanted is not None:
-        words = words.join(wanted, ["workspace_id", "term"], "left_semi")
-    return words.groupBy("workspace_id", "chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+@dataclass
+class SparseIndex:
+    """What sparse search needs of its chunks: ``tokens`` (workspace_id, chunk_id, length, term, tf: the postings) and
+    ``sizes`` (workspace_id, n, mean). A written index also has the terms' ``bucket``, by which a query's terms are read."""
 
+    postings: DataFrame
+    sizes: DataFrame
+    written: bool = False
 
-def bm25_top_k(queries: DataFrame, chunks: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
-    """``queries`` (query_id, workspace_id, text), ``chunks`` (chunk_id, workspace_id, text) -> query_id, chunk_id, score,
-    rank. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once. Rows without a common term
-    are no hits. Only postings of terms that some query asks for go on to the joins."""
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """The postings of ``wanted`` (workspace_id, term)."""
+        rows = self.postings
+        if self.written:  # only the folders of the terms' buckets are read; there are BUCKETS at most
+            rows = rows.where(F.col("bucket").isin([r[0] for r in wanted.select(_bucket(F.col("term"))).distinct().collect()]))
+        return rows.join(wanted, ["workspace_id", "term"], "left_semi").groupBy("workspace_id", "chunk_id", "term", "length").agg(F.sum("tf").alias("tf"))
+
+
+BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def sparse_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
+    """The index of ``chunks`` (workspace_id, chunk_id, text) for the queries at hand: texts are cut into terms once, and
+    terms are only counted for chunks that a query's terms pick."""
+    tokens = stored(chunks.select("workspace_id", "chunk_id", terms(F.col(text)).alias("t")), "tokens")
+    sizes = tokens.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    return SparseIndex(tokens.select("workspace_id", "chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"), F.lit(1).cast("long").alias("tf")), sizes)
+
+
+def write_index(chunks: DataFrame, folder: str, text: str = "text") -> None:
+    """Write the postings of ``chunks`` below ``folder``, by buckets of terms, for any number of later queries."""
+    index = sparse_index(chunks, text)
+    counted = index.postings.groupBy("workspace_id", "chunk_id", "length", "term").agg(F.sum("tf").alias("tf"))
+    counted.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    index.sizes.write.parquet(f"{folder}/sizes")
+
+
+def read_index(spark: SparkSession, folder: str) -> SparseIndex:
+    return SparseIndex(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/sizes"), True)
+
+
+def bm25_top_k(queries: DataFrame, chunks: DataFrame | SparseIndex, k: int, settings: Settings = Settings()) -> DataFrame:
+    """``queries`` (query_id, workspace_id, text), ``chunks`` (chunk_id, workspace_id, text) or their index -> query_id,
+    chunk_id, score, rank. idf is ln(1 + (N - df + 0.5) / (df + 0.5)); each distinct query term counts once. Rows without a
+    common term are no hits. Only postings of terms that some query asks for go on to the joins."""
     k1, b = settings.bm25_k1, settings.bm25_b
+    index = chunks if isinstance(chunks, SparseIndex) else sparse_index(chunks)
     asked = queries.select("query_id", "workspace_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    sizes = chunks.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size(terms(F.col("text")))).alias("mean"))
     # a hot term's postings stay where they are if what is asked for was counted as small; else they are dealt by term
     small = F.broadcast if asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS else lambda df: df
-    wanted = asked.select("workspace_id", "term").distinct()
-    found = postings(chunks, small(wanted))
+    found = index.of(small(asked.select("workspace_id", "term").distinct()))
     frequency = found.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
-    idf = frequency.join(sizes, "workspace_id").select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = frequency.join(index.sizes, "workspace_id").select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
     parts = found.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "term", "chunk_id", weight.alias("w")).join(small(asked), ["workspace_id", "term"])
     return top(parts.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score")), k, F.round("score", 9), "chunk_id")
@@ -84,10 +120,10 @@ def fused_top_k(dense: DataFrame, sparse: DataFrame, k: int, settings: Settings
     return top(scored, k, F.round("score", 12), "chunk_id")
 
 
-def hybrid_top_k(queries: DataFrame, chunks: DataFrame, k: int | None = None, depth: int = 4, settings: Settings = Settings()) -> DataFrame:
-    """Dense and sparse results, ``depth`` times as deep as asked for, fused."""
+def hybrid_top_k(queries: DataFrame, chunks: DataFrame, k: int | None = None, depth: int = 4, settings: Settings = Settings(), index: SparseIndex | None = None) -> DataFrame:
+    """Dense and sparse results, ``depth`` times as deep as asked for, fused; with a written ``index``, texts aren't read."""
     k = k or settings.top_k
-    return fused_top_k(dense_top_k(queries, chunks, depth * k), bm25_top_k(queries, chunks, depth * k, settings), k, settings)
+    return fused_top_k(dense_top_k(queries, chunks, depth * k), bm25_top_k(queries, index or chunks, depth * k, settings), k, settings)
 
 
 def with_parents(hits: DataFrame, chunks: DataFrame, parents: DataFrame) -> DataFrame:
@@ -113,11 +149,26 @@ def answers(queries: DataFrame, found: DataFrame, attempts: DataFrame, workspace
     )
 
 
+def traces(queries: DataFrame, found: DataFrame, attempts: DataFrame) -> DataFrame:
+    """One row per query of what was done for it: query_id, workspace_id, searched (texts in order), files (that its sources
+    come from, by best rank), retries."""
+    files = found.groupBy("query_id", "source_file").agg(F.min("rank").alias("rank")).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source_file"))), lambda f: f["source_file"]).alias("files"))
+    searched = attempts.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("attempt", "search"))), lambda a: a["search"]).alias("searched"))
+    rows = queries.select("query_id", "workspace_id").join(searched, "query_id", "left").join(files, "query_id", "left")
+    none = F.expr("cast(array() as array<string>)")
+    return rows.select("query_id", "workspace_id", F.coalesce("searched", none).alias("searched"), F.coalesce("files", none).alias("files"), F.greatest(F.size(F.coalesce("searched", none)) - 1, F.lit(0)).alias("retries"))
+
+
+def append_traces(rows: DataFrame, folder: str) -> None:
+    rows.write.mode("append").parquet(folder)
+
+
 def ask(
     queries: DataFrame, chunks: DataFrame, parents: DataFrame, workspaces: DataFrame, search: Callable[[DataFrame, DataFrame], DataFrame],
-    grade: Callable[[DataFrame], DataFrame], reword: Callable[[DataFrame, int], DataFrame], settings: Settings = Settings(),
+    grade: Callable[[DataFrame], DataFrame], reword: Callable[[DataFrame, int], DataFrame], settings: Settings = Settings(), trace_folder: str | None = None,
 ) -> DataFrame:
-    """Search, grade, reword and search again, ``retry_ceiling`` times at most, for the queries without a good hit.
+    """Search, grade, reword and search again, ``retry_ceiling`` times at most, for the queries without a good hit. With
+    ``trace_folder``, what was done for each query is appended there.
 
     ``search(queries, chunks)`` gives hits, ``grade(hits)`` keeps the good ones, ``reword(queries, attempt)`` changes
     texts and vectors. The loop is over attempts; each handles all open queries at once."""
@@ -130,7 +181,10 @@ def ask(
         if attempt == settings.retry_ceiling or open_.isEmpty():
             break
         open_ = reword(open_, attempt + 1)
-    return answers(queries, with_parents(kept, chunks, parents), tries, workspaces)
+    found = with_parents(kept, chunks, parents)
+    if trace_folder:
+        append_traces(traces(queries, found, tries), trace_folder)
+    return answers(queries, found, tries, workspaces)
 
 
 def route_workspace(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:

@@ -208,9 +208,55 @@ questions AS (
 
 _COUNTS = ", ".join(f"CAST(count(*) FILTER (result = '{r}') AS INTEGER) AS {r}" for r in ("added", "changed", "unchanged", "failed", "removed", "skipped"))
 
+_SPACE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_NOT_SPACE = _SPACE.replace("[", "[^", 1).replace(r"\s", r"\t\n\v\f\r ")
+_STRIPPED = "trim(%s, " + " || ".join(f"chr({c})" for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)) + ")"
+
+_ROUGH = (
+    _FILES
+    + rf""",
+pieces AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM files
+),
+rough AS (
+  SELECT doc_id, string_agg(CASE i % 9 WHEN 1 THEN '##' || chr(160) || 'n' || i || chr(160) || ' ' WHEN 2 THEN '#### four ' || i WHEN 3 THEN '  ```sql' || chr(10) || x
+           WHEN 4 THEN '# may be inside ' || i WHEN 5 THEN CASE WHEN doc_id % 2 = 0 THEN '~~~' || chr(10) || x ELSE '#tag' || i END
+           WHEN 6 THEN chr(9) || '# tabbed' || chr(8195) || chr(10) || x WHEN 7 THEN '### level ' || i || chr(13) WHEN 8 THEN x || chr(8232) || '# after ' || i || chr(28) ELSE x END, chr(10) ORDER BY i) AS markdown
+  FROM pieces GROUP BY doc_id
+),
+cut AS (SELECT doc_id, regexp_split_to_array(markdown, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS every FROM rough),
+rows AS (SELECT doc_id, unnest(every) AS line, generate_subscripts(every, 1) AS n FROM cut),
+fenced AS (
+  SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '^{_SPACE}*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside
+  FROM rows
+),
+heads AS (
+  SELECT *, CASE WHEN NOT inside AND regexp_matches(line, '^#{{1,3}}{_SPACE}+.*{_NOT_SPACE}') THEN regexp_extract(line, '^#{{1,3}}{_SPACE}+(.*{_NOT_SPACE}){_SPACE}*$', 1) END AS label FROM fenced
+),
+numbered AS (SELECT *, count(label) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS k FROM heads),
+bodies AS (
+  SELECT doc_id, k, max(label) AS label, {_STRIPPED % "coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (label IS NULL), '')"} AS text FROM numbered GROUP BY doc_id, k
+)"""
+)
+
+_TRIES = f"""
+{_DENSE.strip()},
+asked AS (
+  SELECT q.vec_id AS query_id, q.label AS label, a.attempt, coalesce(o.v, q.v) AS v
+  FROM vectors q, (SELECT unnest([0, 1, 2]) AS attempt) a LEFT JOIN vectors o ON o.vec_id = q.vec_id + a.attempt WHERE q.vec_id % 20 = 0
+),
+ranked AS (
+  SELECT a.query_id, a.attempt, c.vec_id AS chunk_id, list_dot_product(a.v, c.v) AS score,
+         row_number() OVER (PARTITION BY a.query_id, a.attempt ORDER BY list_dot_product(a.v, c.v) DESC, c.vec_id) AS rank
+  FROM asked a JOIN vectors c ON c.label = a.label
+),
+good AS (SELECT query_id, attempt, 's' || CAST(floor(chunk_id / 100) AS BIGINT) AS source, min(rank) AS rank FROM ranked WHERE rank <= 5 AND score > 0.45 AND chunk_id <> query_id GROUP BY ALL),
+firsts AS (SELECT query_id, min(attempt) AS attempt FROM good GROUP BY query_id),
+named AS (SELECT query_id, string_agg(source, ';' ORDER BY rank, source) AS sources FROM good JOIN firsts USING (query_id, attempt) GROUP BY query_id)"""
+
 ORACLE_SQL = {
     "child_windows": f"WITH {_FILES}, cut AS (SELECT doc_id, {_WINDOWS} AS w FROM files WHERE text <> '') SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS child_index, unnest(w) AS text FROM cut",
-    "parent_ids": f"WITH {_FILES}, hashed AS (SELECT doc_id, {_SHA % ('file_name', "'0'")} AS h FROM files) SELECT doc_id, {_UUID} AS parent_id FROM hashed",
+    "parent_ids": f"WITH {_FILES}, hashed AS (SELECT doc_id, i AS parent_index, {_SHA % ('file_name', 'i')} AS h FROM files, (SELECT unnest(range(12)) AS i)) SELECT doc_id, parent_index, {_UUID} AS parent_id FROM hashed",
     "sections": f"WITH RECURSIVE {_MARKDOWN} SELECT doc_id, section - 1 AS section, label, text FROM sections",
     "merged_sections": f"WITH RECURSIVE {_MARKDOWN} SELECT doc_id, parent, label, text FROM merged",
     "packed_pieces": f"WITH RECURSIVE {_FILES}, keyed AS (SELECT doc_id AS key, replace(text, chr(10), chr(10) || chr(10)) AS text FROM files), {_packed('keyed')} SELECT key AS doc_id, piece, text FROM pieces",
@@ -237,10 +283,10 @@ ORACLE_SQL = {
     "upsert": f"""WITH {_CHANGES}, fresh AS (SELECT coalesce(document_id, 'n' || file_name) AS id, workspace_id, file_name, 'sha256:' || digest || ':' || size_bytes AS content_hash, 'active' AS status
         FROM changes WHERE change IN ('new', 'changed'))
       SELECT * FROM fresh UNION ALL SELECT id, workspace_id, file_name, content_hash, status FROM registered r WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.workspace_id = r.workspace_id AND f.file_name = r.file_name)""",
-    "workspace_names": "SELECT c_custkey, trim(substring(c_name, 1, 200), ' ' || chr(9) || chr(10)) AS name, length(trim(substring(c_name, 1, 200), ' ' || chr(9) || chr(10))) BETWEEN 1 AND 100 AS valid FROM customer",
+    "workspace_names": "SELECT c_custkey, trim(c_name, ' ' || chr(9) || chr(10)) AS name, length(trim(c_name, ' ' || chr(9) || chr(10))) BETWEEN 1 AND 100 AS valid FROM customer",
     "prefixed": "SELECT item_id, 'passage: ' || text AS passage, 'query: ' || text AS query FROM benchmark WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''",
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM dense",
-    "bm25_topk": f"""WITH {_FILES}, chunks AS (SELECT doc_id AS chunk_id, lang AS workspace_id, text FROM files), questions AS (SELECT item_id AS query_id, 'en' AS workspace_id, text FROM benchmark), {_bm25(5)}
+    "bm25_topk": f"""WITH {_FILES}, chunks AS (SELECT doc_id AS chunk_id, lang AS workspace_id, text FROM files), spaces AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang), questions AS (SELECT item_id || '/' || lang AS query_id, lang AS workspace_id, text FROM benchmark, spaces), {_bm25(5)}
       SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse""",
     "hybrid_topk": f"WITH {_HYBRID} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM hybrid",
     "parent_fetch": f"""WITH {_HYBRID} SELECT query_id, workspace_id, workspace_id || '/' || source AS parent_id, min(rank) AS rank, upper(source) AS section_label
@@ -256,4 +302,26 @@ ORACLE_SQL = {
       SELECT eval_run_id, round(g, 6) AS groundedness, all_sourced, coalesce(g >= 0.9, false) AND n >= 20 AND n = p AND all_sourced AS passed, failing FROM sums""",
     "latency": "SELECT quantile_cont(n_chars / 100.0::DOUBLE, 0.5) AS median, quantile_cont(n_chars / 100.0::DOUBLE, 0.95) AS p95 FROM documents",
     "workspace_cap": f"WITH {_CHANGES} SELECT workspace_id, count(*) AS files, CAST(coalesce(sum(page_count), 0) AS BIGINT) AS pages, count(*) > 50 OR coalesce(sum(page_count), 0) > 1500 AS warning FROM registered WHERE status <> 'removed' GROUP BY workspace_id",
+    "rough_sections": f"WITH {_ROUGH} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS section, label, text FROM bodies WHERE text <> ''",
+    "text_files": f"""WITH {_FILES}, seen AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'a' || chr(65279) || text ELSE text END AS text, doc_id % 5 = 3 AS bad FROM files)
+      SELECT doc_id, CASE WHEN bad THEN 'failed' WHEN {_STRIPPED % "text"} = '' THEN 'skipped' ELSE 'converted' END AS outcome, CASE WHEN NOT bad AND {_STRIPPED % "text"} <> '' THEN text END AS markdown,
+             CASE WHEN bad THEN 'this file is not UTF-8 text; save it with that encoding, and sync again' WHEN {_STRIPPED % "text"} = '' THEN 'there is no text in this file' END AS reason FROM seen""",
+    "change_list": f"WITH {_CHANGES} SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY file_name) - 1 AS ord, file_name, change FROM changes",
+    "scan_list": f"WITH {_CHANGES} SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY file_name) - 1 AS ord, file_name, scan_state FROM disk",
+    "retried_answers": f"""WITH {_TRIES} SELECT q.vec_id AS query_id, CASE WHEN f.attempt IS NULL THEN 'refusal' ELSE 'answer' END AS kind, coalesce(n.sources, '') AS sources,
+      CASE coalesce(f.attempt, 2) WHEN 0 THEN q.vec_id::VARCHAR WHEN 1 THEN q.vec_id || ';' || q.vec_id || '+1' ELSE q.vec_id || ';' || q.vec_id || '+1;' || q.vec_id || '+2' END AS searched,
+      CAST(coalesce(f.attempt, 2) AS BIGINT) AS retries FROM vectors q LEFT JOIN firsts f ON f.query_id = q.vec_id LEFT JOIN named n ON n.query_id = q.vec_id WHERE q.vec_id % 20 = 0""",
+    "traces": f"""WITH {_TRIES}, files AS (SELECT query_id, string_agg(source, ';' ORDER BY rank, source) AS files FROM good WHERE attempt = 0 GROUP BY query_id)
+      SELECT q.vec_id AS query_id, CAST(q.label AS VARCHAR) AS workspace_id, CAST(q.vec_id AS VARCHAR) AS searched, coalesce(f.files, '') AS files, CAST(0 AS BIGINT) AS retries
+      FROM vectors q LEFT JOIN files f ON f.query_id = q.vec_id WHERE q.vec_id % 20 = 0""",
+    "evaluation_reports": f"""WITH {_EVALUATIONS}, sums AS (SELECT eval_run_id, avg(groundedness) AS g, coalesce(bool_and(sourced) FILTER (inside), true) AS all_sourced, count(*) FILTER (NOT inside AND passed) AS p,
+        count(*) FILTER (NOT inside) AS n, coalesce(list(question_id ORDER BY question_id) FILTER (NOT passed OR (inside AND NOT sourced)), CAST([] AS VARCHAR[])) AS failing FROM questions GROUP BY eval_run_id)
+      SELECT eval_run_id, '/reports/run_date=2024-01-31/' || eval_run_id || '.json' AS report_path,
+             CAST(to_json({{'eval_run_id': eval_run_id, 'refusal_pass': p, 'refusal_total': n, 'all_sourced': all_sourced, 'passed': coalesce(g >= 0.9, false) AND n >= 20 AND n = p AND all_sourced, 'failing': failing}}) AS VARCHAR) AS body FROM sums""",
+    "registry_state": f"""WITH {_CHANGES}, spaces AS (SELECT source AS id, source = 'src7' AS legal, row_number() OVER (ORDER BY source) AS n, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL))
+      SELECT id, CASE WHEN n = 1 THEN id || ' renamed' ELSE id END AS name, '/' || id AS folder_path, legal OR n = 2 AS legal_flag, (SELECT count(*) FROM registered r WHERE r.workspace_id = s.id) AS documents,
+             CAST(1 AS BIGINT) AS sync_runs, (SELECT count(*) FROM items i WHERE i.sync_run_id = s.id) AS sync_items FROM spaces s WHERE n < m""",
+    "stale_tail": f"""WITH RECURSIVE {_PARENTS} SELECT source_file, CAST(parent_index AS BIGINT) AS parent_index, section_label, text FROM parents WHERE doc_id % 3 = 2
+      UNION ALL SELECT source_file, CAST(0 AS BIGINT), 'doc ' || doc_id, 'short ' || doc_id FROM markdown WHERE doc_id % 3 = 0""",
+    "embedded_passages": "SELECT item_id, CAST(32 AS BIGINT) AS width, CAST(1.0 AS DOUBLE) AS norm FROM benchmark WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''",
 }

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
-from lodestrata.operators import diff, embed, evaluate, registry, retrieve, segment
+from lodestrata.functions.vectors import norm
+from lodestrata.operators import diff, embed, evaluate, registry, retrieve, segment, sync
 from lodestrata.settings import Settings
 from lodestrata.sources.convert import convert_text
 
+from . import storage
 from . import tables as t
 from .oracle import ORACLE_SQL
 
@@ -23,7 +28,8 @@ def child_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def parent_ids(spark: SparkSession, d: str) -> DataFrame:
-    return t.files(spark, d).select("doc_id", ids.parent_id(F.col("file_name"), F.lit(0)).alias("parent_id"))
+    rows = t.files(spark, d).select("doc_id", "file_name", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("parent_index"), ids.parent_id(F.col("file_name"), F.col("i")).alias("parent_id"))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +145,7 @@ def upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def workspace_names(spark: SparkSession, d: str) -> DataFrame:
-    named = t.load(spark, d, "customer").select("c_custkey", F.concat(F.lit(" \t"), F.substring("c_name", 1, 200), F.lit("\n ")).alias("name"))
+    named = t.load(spark, d, "customer").select("c_custkey", F.concat(F.lit(" \t"), "c_name", F.lit("\n ")).alias("name"))
     return registry.valid_names(named).select("c_custkey", "name", "valid")
 
 
@@ -159,7 +165,9 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("en").alias("workspace_id"), "text")
+    """Each item, asked in each workspace."""
+    asked = t.load(spark, d, "benchmark").select("item_id", "text", F.explode(F.array(*map(F.lit, t.LANGUAGES))).alias("workspace_id"))
+    return asked.select(F.concat_ws("/", "item_id", "workspace_id").alias("query_id"), "workspace_id", "text")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -221,11 +229,124 @@ def workspace_cap(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.over_cap(t.registered(spark, d), SETTINGS)
 
 
+def rough_sections(spark: SparkSession, d: str) -> DataFrame:
+    cut = t.rough_markdown(spark, d).select("doc_id", F.posexplode(segment.sections(F.col("markdown"))).alias("i", "s"))
+    return cut.select("doc_id", F.col("i").cast("long").alias("section"), F.col("s.label").alias("label"), F.col("s.text").alias("text"))
+
+
+def text_files(spark: SparkSession, d: str) -> DataFrame:
+    """The text reader on marks, line ends and bytes of all kinds."""
+    return t.raw_bytes(spark, d).select("doc_id", convert_text(F.lit("txt"), F.col("content"), SETTINGS).alias("c")).select("doc_id", "c.outcome", "c.markdown", "c.reason")
+
+
+def change_list(spark: SparkSession, d: str) -> DataFrame:
+    return diff.in_order(change_report(spark, d), ("workspace_id",)).select("workspace_id", "ord", "file_name", "change")
+
+
+def scan_list(spark: SparkSession, d: str) -> DataFrame:
+    return diff.in_order(t.on_disk(spark, d), ("workspace_id",)).select("workspace_id", "ord", "file_name", "scan_state")
+
+
+def _good_hits(hits: DataFrame) -> DataFrame:
+    return hits.where((F.col("score") > 0.45) & (F.col("chunk_id") != F.col("query_id")))
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queries with a text, vectors under parents of a hundred, the parents, and workspaces."""
+    queries, vectors = _vectors(spark, d)
+    named, rows = _parents_of(vectors.withColumn("source", F.concat(F.lit("s"), F.floor(F.col("chunk_id") / 100))))
+    spaces = vectors.select(F.col("workspace_id").alias("id"), (F.col("workspace_id") == "1").alias("legal_flag")).distinct()
+    return queries.withColumn("text", F.col("query_id").cast("string")), named, rows, spaces
+
+
+def _reworded(vectors: DataFrame):
+    """Asks with the vector that has the next id instead (the same once there is none)."""
+
+    def reword(queries: DataFrame, attempt: int) -> DataFrame:
+        other = vectors.select((F.col("chunk_id") - attempt).alias("query_id"), F.col("dense").alias("_other"))
+        moved = queries.join(other, "query_id", "left").withColumn("dense", F.coalesce("_other", "dense")).drop("_other")
+        return moved.withColumn("text", F.concat(F.col("query_id").cast("string"), F.lit(f"+{attempt}")))
+
+    return reword
+
+
+def retried_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Queries without a good hit are reworded and asked again, twice at most."""
+    queries, chunks, parents, spaces = _asked(spark, d)
+    out = retrieve.ask(queries, chunks, parents, spaces, lambda q, c: retrieve.dense_top_k(q, c, SETTINGS.top_k), _good_hits, _reworded(chunks), SETTINGS)
+    sources = F.array_join(F.transform("sources", lambda s: s["file_name"]), ";")
+    return out.select("query_id", "kind", sources.alias("sources"), F.array_join("searched", ";").alias("searched"), F.col("retries").cast("long").alias("retries"))
+
+
+def traces(spark: SparkSession, d: str) -> DataFrame:
+    queries, chunks, parents, _ = _asked(spark, d)
+    found = retrieve.with_parents(_good_hits(retrieve.dense_top_k(queries, chunks, SETTINGS.top_k)), chunks, parents)
+    out = retrieve.traces(queries, found, queries.select("query_id", F.lit(0).alias("attempt"), F.col("text").alias("search")))
+    return out.select("query_id", "workspace_id", F.array_join("searched", ";").alias("searched"), F.array_join("files", ";").alias("files"), F.col("retries").cast("long").alias("retries"))
+
+
+def evaluation_reports(spark: SparkSession, d: str) -> DataFrame:
+    gated = evaluate.release_gate(t.evaluations(spark, d), SETTINGS)
+    gated = gated.select("eval_run_id", F.col("refusal_pass").cast("long").alias("refusal_pass"), F.col("refusal_total").cast("long").alias("refusal_total"), "all_sourced", "passed", "failing")
+    return evaluate.reports(gated, "/reports", "2024-01-31")
+
+
+def registry_state(spark: SparkSession, d: str) -> DataFrame:
+    """A registry of its own: filled, its first workspace renamed, its second flagged, its last deleted."""
+    reg = registry.Registry(spark, f"{storage.shared_folder(spark)}/registry-{uuid.uuid4().hex}", SETTINGS)
+    began = F.lit("2024-01-31 12:00:00").cast("timestamp")
+    spaces = t.workspaces(spark, d).select("id", F.col("id").alias("name"), F.concat(F.lit("/"), "id").alias("folder_path"), "legal_flag", began.alias("created_at"))
+    docs = t.registered(spark, d).where("workspace_id is not null").withColumn("last_synced_at", began)
+    runs = spaces.select("id", F.col("id").alias("workspace_id"), began.alias("started_at"), began.alias("finished_at"), *[F.lit(0).alias(r) for r in evaluate.RESULTS])
+    with reg.transaction() as draft:
+        draft.add("workspace", spaces)
+        draft.add("document", docs)
+        draft.add("sync_run", runs)
+    with reg.transaction() as draft:
+        draft.add("sync_item", _items(spark, d).where("sync_run_id is not null"))
+    known = [w.id for w in reg.list_workspaces().collect()]  # as many as sources
+    reg.rename_workspace(known[0], f"  {known[0]} renamed\u00a0")
+    reg.set_legal_flag(known[1], True)
+    reg.delete_workspace(known[-1])
+    count = lambda name, key: reg.table(name).groupBy(F.col(key).alias("id")).agg(F.count("*").alias(f"{name}s"))
+    rows = reg.list_workspaces().select("id", "name", "folder_path", "legal_flag")
+    for name, key in (("document", "workspace_id"), ("sync_run", "workspace_id"), ("sync_item", "sync_run_id")):
+        rows = rows.join(count(name, key), "id", "left").withColumn(f"{name}s", F.coalesce(f"{name}s", F.lit(0)).cast("long"))
+    return rows
+
+
+def stale_tail(spark: SparkSession, d: str) -> DataFrame:
+    """What a chunk store shows after a second version in which a third of the files got shorter and a third lost all rows."""
+    folder = f"{storage.shared_folder(spark)}/sync-{uuid.uuid4().hex}"
+    reg = registry.Registry(spark, f"{folder}/registry", SETTINGS)
+    store = sync.ChunkStore(reg, f"{folder}/store")
+    space = F.lit(reg.create_workspace("w", "/w")).alias("workspace_id")
+    first = t.markdown(spark, d)
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    short = F.concat(F.lit("# doc "), F.col("doc_id").cast("string"), F.when(third == 0, F.concat(F.lit("\n\nshort "), F.col("doc_id").cast("string"))).otherwise(F.lit("\n")))
+    second = first.where(third < 2).withColumn("markdown", short)
+    for version, files in (("1", first), ("2", second)):
+        parents_, children_ = segment.chunk(files.select(space, "source_file", "markdown"), SETTINGS)
+        made = store.write(parents_, children_, version)
+        with reg.transaction() as draft:
+            draft["chunk_file"] = store.switched(draft["chunk_file"], files.select(space, "source_file"), made)
+    known = store.parents(reg.list_workspaces().first().id)
+    return known.select("source_file", F.col("parent_index").cast("long").alias("parent_index"), "section_label", "text")
+
+
+def embedded_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all items, made and checked where their rows are."""
+    settings = replace(SETTINGS, dense_width=32)
+    rows = t.load(spark, d, "benchmark").where(F.length(text.strip("text")) > 0)
+    made = embed.embed_passages(rows, embed.HashEncoder(32), "query", settings=settings)
+    return made.select("item_id", F.size("dense").cast("long").alias("width"), F.round(norm(F.col("dense")), 5).alias("norm"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
-        latency, workspace_cap,
+        latency, workspace_cap, rough_sections, text_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages,
     )
 }

@@ -19,6 +19,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: The languages of ``documents``.
+LANGUAGES = ("de", "en", "es", "fr")
 #: Extension by source and language; one source has files of a type that isn't supported.
 EXTENSION = "CASE WHEN source = 'src1' THEN 'pptx' WHEN lang = 'en' THEN 'md' WHEN lang = 'fr' THEN 'txt' WHEN lang = 'de' THEN 'docx' ELSE 'pdf' END"
 FILE_NAME = f"concat('doc-', doc_id, '.', {EXTENSION})"
@@ -68,6 +70,30 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(files(spark, sf_dir)).select("doc_id", F.col("file_name").alias("source_file"), F.concat(F.lit("# doc "), F.col("doc_id").cast("string"), F.lit("\n\n"), body).alias("markdown"))
 
 
+def rough_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as markdown that is hard to cut: fences of both kinds (some never close), headings inside them, of
+    level four, without a space, after a tab, with no-break spaces, and lines that end in CRLF or a line separator."""
+
+    def line(x, i):
+        n = i.cast("string")
+        return (
+            F.when(i % 9 == 1, F.concat(F.lit("##\u00a0n"), n, F.lit("\u00a0 "))).when(i % 9 == 2, F.concat(F.lit("#### four "), n)).when(i % 9 == 3, F.concat(F.lit("  ```sql\n"), x))
+            .when(i % 9 == 4, F.concat(F.lit("# may be inside "), n)).when(i % 9 == 5, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("~~~\n"), x)).otherwise(F.concat(F.lit("#tag"), n)))
+            .when(i % 9 == 6, F.concat(F.lit("\t# tabbed\u2003\n"), x)).when(i % 9 == 7, F.concat(F.lit("### level "), n, F.lit("\r"))).when(i % 9 == 8, F.concat(x, F.lit("\u2028# after "), n, F.lit("\x1c")))
+            .otherwise(x)
+        )
+
+    return spread(files(spark, sf_dir)).select("doc_id", F.array_join(F.transform(F.split("text", "\n"), line), "\n").alias("markdown"))
+
+
+def raw_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the bytes of text files: with a mark at the start, CRLF, CR, a byte that isn't UTF-8, or a mark inside."""
+    text = lambda to: F.replace("text", F.lit("\n"), F.lit(to)).cast("binary")
+    kind, plain, mark = F.col("doc_id") % 5, F.col("text").cast("binary"), F.lit("\ufeff").cast("binary")
+    content = F.when(kind == 0, F.concat(mark, plain)).when(kind == 1, text("\r\n")).when(kind == 2, text("\r")).when(kind == 3, F.concat(plain, F.unhex(F.lit("FF")))).otherwise(F.concat(F.lit("a").cast("binary"), mark, plain))
+    return files(spark, sf_dir).select("doc_id", content.alias("content"))
+
+
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What converting would give: blank files are skipped, short PDF and Word files fail."""
     short = F.col("file_type").isin("pdf", "docx") & (F.length("text") < 200)

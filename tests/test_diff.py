@@ -39,3 +39,9 @@ def test_results_of_a_sync(spark):
     done = spark.createDataFrame([("a", "converted", None), ("b", "converted", None), ("c", "failed", "why"), ("d", "skipped", "empty")], "file_name string, outcome string, reason string")
     got = {r.file_name: (r.result, r.reason) for r in diff.sync_results(change, done).collect()}
     assert got == {"a": ("added", None), "b": ("changed", None), "c": ("failed", "why"), "d": ("skipped", "empty"), "e": ("unchanged", None), "f": ("removed", None), "g": ("failed", "the file was not converted")}
+
+
+def test_order_is_by_code_point_within_its_scope(spark):
+    rows = spark.createDataFrame([("w", "b"), ("w", "B"), ("w", "é"), ("w", "a10"), ("w", "a9"), ("x", "z")], "workspace_id string, file_name string")
+    got = {(r.workspace_id, r.file_name): r.ord for r in diff.in_order(rows, ("workspace_id",)).collect()}
+    assert got == {("w", "B"): 0, ("w", "a10"): 1, ("w", "a9"): 2, ("w", "b"): 3, ("w", "é"): 4, ("x", "z"): 0}

@@ -90,3 +90,25 @@ def test_ask_rewords_until_the_ceiling(spark):
 def test_routing(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id int, dense array<double>")
     assert {r.query_id: r.workspace_id for r in retrieve.route_workspace(q, chunks(spark), 2).collect()} == {1: "w", 2: "w"}
+
+
+def test_a_written_index_answers_like_the_chunks(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, f"w{i % 2}", " ".join(f"t{(i * k) % 11}" for k in range(1, 9))) for i in range(60)], "chunk_id long, workspace_id string, text string")
+    queries = spark.createDataFrame([(1, "w0", "t1 t5 t5 none"), (2, "w1", "T3, t9!"), (3, "w1", "absent"), (4, "w2", "t1")], "query_id long, workspace_id string, text string")
+    retrieve.write_index(chunks, str(tmp_path / "index"))
+    index = retrieve.read_index(spark, str(tmp_path / "index"))
+    want = sorted(tuple(r) for r in retrieve.bm25_top_k(queries, chunks, 5).collect())
+    assert sorted(tuple(r) for r in retrieve.bm25_top_k(queries, index, 5).collect()) == want and {r[0] for r in want} == {1, 2}
+    plan = retrieve.bm25_top_k(queries, index, 5)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket#" in plan  # only the terms' buckets are read
+
+
+def test_traces_are_appended(spark, tmp_path):
+    queries = spark.createDataFrame([(1, "w"), (2, "w")], "query_id long, workspace_id string")
+    found = spark.createDataFrame([(1, "b.md", 1), (1, "a.md", 2), (1, "b.md", 3)], "query_id long, source_file string, rank int")
+    tries = spark.createDataFrame([(1, 0, "q"), (1, 1, "q again")], "query_id long, attempt int, search string")
+    rows = retrieve.traces(queries, found, tries)
+    assert sorted((r.query_id, r.searched, r.files, r.retries) for r in rows.collect()) == [(1, ["q", "q again"], ["b.md", "a.md"], 1), (2, [], [], 0)]
+    for _ in range(2):
+        retrieve.append_traces(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 4

@@ -36,6 +36,20 @@ def test_caps_latency_and_details(spark):
     assert got == {"1": [("a", 1), ("b", 2)], "2": []}
 
 
+def test_reports_are_dated_files(spark, tmp_path):
+    import json
+
+    rows = [("i1", "in_scope", 0.95, None, True, True)] + [(f"o{i:02}", "out_of_scope", None, None, i > 0, None) for i in range(20)]
+    gated = evaluate.release_gate(spark.createDataFrame([("r", *x) for x in rows], RESULTS))
+    r = evaluate.reports(gated, "/reports/", "2024-01-31").first()
+    assert r.report_path == "/reports/run_date=2024-01-31/r.json"
+    body = json.loads(r.body)
+    assert body["failing"] == ["o00"] and body["passed"] is False and body["relevancy"] is None
+    for day in ("2024-01-31", "2024-02-01"):
+        evaluate.write_reports(gated, str(tmp_path / "reports"), day)
+    assert sorted(str(x.run_date) for x in spark.read.json(str(tmp_path / "reports")).collect()) == ["2024-01-31", "2024-02-01"]
+
+
 def counters(reg, run):
     r = reg.table("sync_run").where(F.col("id") == run).first()
     assert r.finished_at is not None
