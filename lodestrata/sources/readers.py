@@ -10,6 +10,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
+from . import pdf
+
 PDF_DAMAGED = "this is not a PDF file, or a damaged one; check that it opens in a reader, and sync again"
 PDF_LOCKED = "this PDF needs a password; save a copy that doesn't, and sync again"
 PDF_NO_TEXT = "this PDF holds pictures of pages and no text, so there is nothing to index"
@@ -84,45 +86,19 @@ def read_docx(data: bytes) -> Extracted:
     return Extracted("\n\n".join(b for b in blocks if b.strip()))
 
 
-_STRING = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>", re.S)
-_SHOW = re.compile(rb"(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(?:TJ|Tj|'|\")|(T\*|Td|TD|Tm|ET)", re.S)
-_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-
-
-def _pdf_string(raw: bytes) -> str:
-    if raw[:1] == b"<":
-        digits = re.sub(rb"\s", b"", raw[1:-1])
-        data = bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-    else:
-        data = re.sub(rb"\\([0-7]{1,3}|.|\n)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), raw[1:-1], flags=re.S)
-    return data[2:].decode("utf-16-be", "replace") if data[:2] == b"\xfe\xff" else data.decode("cp1252", "replace")
-
-
 def read_pdf(data: bytes) -> Extracted:
-    """The text that simple PDF files show, page by page, without a layout or font maps. A richer parser can take its
-    place in the table of readers."""
+    """Text with headings, pages in reading order. Another parser can take its place in the table of readers."""
     if b"%PDF-" not in data[:1024] or b"%%EOF" not in data[-2048:]:
         raise Unreadable(PDF_DAMAGED)
-    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<", data):
+    try:
+        file, text, pages = pdf.read(data)
+    except (pdf.Damaged, ValueError) as e:
+        raise Unreadable(PDF_DAMAGED) from e
+    if file.locked():
         raise Unreadable(PDF_LOCKED)
-    pages = len(re.findall(rb"/Type\s*/Page(?![a-zA-Z])", data))
-    out = []
-    for m in re.finditer(rb"<<(.*?)>>\s*stream\r?\n(.*?)\r?\n?endstream", data, re.S):
-        stream = m[2]
-        if b"FlateDecode" in m[1]:
-            try:
-                stream = zlib.decompressobj().decompress(stream)
-            except zlib.error as e:
-                raise Unreadable(PDF_DAMAGED) from e
-        if b"Tj" not in stream and b"TJ" not in stream:
-            continue
-        page = []
-        for shown in _SHOW.finditer(stream):
-            page.append("\n" if shown[2] else "".join(map(_pdf_string, _STRING.findall(shown[1]))))
-        out.append(re.sub(r"\n{2,}", "\n", "".join(page)).strip())
-    if not pages and not out:
+    if not pages and not text:
         raise Unreadable(PDF_DAMAGED)
-    return Extracted("\n\n".join(p for p in out if p), pages)
+    return Extracted(text, pages)
 
 
 #: Extension -> reader. A converter takes another table to use other parsers.

@@ -99,3 +99,67 @@ def test_text_columns_convert_alike(spark):
     for r in rows:
         outcome, markdown, _, reason = convert.convert_bytes("txt", data[r.i])
         assert tuple(r.r) == (outcome, markdown, reason)
+
+
+def objects(parts, root=1, extra=b""):
+    """A file of numbered objects: bytes, or (dictionary, stream)."""
+    out = [b"%PDF-1.7"]
+    for n, x in parts.items():
+        out.append(b"%d 0 obj " % n + (x if isinstance(x, bytes) else b"<< " + x[0] + b" /Length %d >> stream\n" % len(x[1]) + x[1] + b"\nendstream") + b" endobj")
+    return b"\n".join(out) + (b"\ntrailer << /Root %d 0 R " % root if root else b"\n") + extra + (b">>" if root else b"") + b"\n%%EOF\n"
+
+
+def page(text, sizes=((24, "Title"), (12, "body one")), more=b""):
+    shown = b"BT " + b" ".join(b"/F1 %d Tf 1 0 0 1 72 %d Tm (%s) Tj" % (size, 700 - 60 * k, t.encode("cp1252")) for k, (size, t) in enumerate(sizes)) + b" ET"
+    return (more, shown)
+
+
+def test_pdf_headings_follow_sizes_and_pages_their_tree():
+    parts = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [5 0 R 3 0 R] /Count 2 >>",
+        3: b"<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>", 4: page("", ((18, "Second"), (12, "the second page's text is body"), (12, "(nested \\(paren\\)) \\351"))),
+        5: b"<< /Type /Page /Parent 2 0 R /Contents [6 0 R 7 0 R] >>", 6: page("", ((24, "The Title"), (12, "some body text here"))), 7: page("", ((15, "Third level"), (12, "more of it"))),
+    }
+    found = readers.read_pdf(objects(parts))
+    assert found.pages == 2
+    assert found.text == "# The Title\n\nsome body text here\n\n### Third level\n\nmore of it\n\n## Second\n\nthe second page's text is body\n\n(nested (paren)) é"
+
+
+def test_pdf_object_streams_fonts_and_kerning():
+    chart = b"/CIDInit begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0048> <0002> <D83DDE00> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<0058> <0059005A>] endbfrange"
+    inner = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [3 0 R] /Count 1 /Resources << /Font << /F1 8 0 R >> >> >>"), (3, b"<< /Type /Page /Parent 2 0 R /Contents 9 0 R >>"), (8, b"<< /Type /Font /Subtype /Type0 /ToUnicode 10 0 R >>")]
+    body, table = b"", b""
+    for n, x in inner:
+        table += b"%d %d " % (n, len(body))
+        body += x + b" "
+    packed = zlib.compress(table + body)
+    content = b"BT /F1 10 Tf 0 -12 Td [<0001> -300 <00100011> -20 <0012>] TJ 0 -12 Td <000200200021> Tj ET"
+    parts = {20: (b"/Type /ObjStm /N 4 /First %d /Filter /FlateDecode" % len(table), packed), 9: (b"/Filter [/ASCIIHexDecode /FlateDecode]", zlib.compress(content).hex().encode() + b">"), 10: (b"", chart), 30: (b"/Type /XRef /Root 1 0 R", b"x")}
+    found = readers.read_pdf(objects(parts, root=0))
+    assert (found.text, found.pages) == ("H abc\n\U0001f600XYZ", 1)
+
+
+def test_pdf_that_is_locked_damaged_or_circular():
+    tree = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [2 0 R 3 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: page("")}
+    assert readers.read_pdf(objects(tree)).pages == 1
+    for data, reason in (
+        (objects(tree, extra=b"/Encrypt 9 0 R"), readers.PDF_LOCKED), (b"", readers.PDF_DAMAGED), (objects(tree)[:200], readers.PDF_DAMAGED),
+        (objects({**tree, 4: (b"/Filter /FlateDecode", b"not deflated")}), readers.PDF_DAMAGED), (b"%PDF-1.4\nnothing\n%%EOF", readers.PDF_DAMAGED),
+    ):
+        with pytest.raises(readers.Unreadable) as e:
+            readers.read_pdf(data)
+        assert e.value.reason == reason
+    picture = objects({**tree, 4: (b"/Filter /DCTDecode", b"jpeg")})
+    assert convert.convert_bytes("pdf", picture) == ("skipped", None, None, readers.PDF_NO_TEXT)
+
+
+def test_any_bytes_give_a_row():
+    import random
+
+    rng = random.Random(0)
+    whole = objects({1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: b"<< /Type /Page /Contents 4 0 R >>", 4: page("")})
+    for _ in range(300):
+        data = bytearray(whole)
+        for _ in range(rng.randint(1, 12)):
+            data[rng.randrange(len(data))] = rng.randrange(256)
+        assert convert.convert_bytes("pdf", bytes(data))[0] in ("converted", "failed", "skipped")
