@@ -11,10 +11,11 @@ bucket). Empty buckets borrow from full ones by a seeded probe order, so that sh
    buckets (what a group of near copies was made from, as it is nearer to each copy than they are to each other). A pair's similarity is estimated from the
    registers, corrected for compressed registers that agree by chance; pairs that could still reach the threshold
    (five standard errors) are confirmed on the full sets.
-4. Completion: buckets that still hold several components are joined to families. Documents of a family are dealt by
-   size, so that only those meet whose sizes allow the threshold, and there all outside the largest component are compared
-   with all, in blocks of bounded size, by exact intersection counts; each task gives the links that connect components,
-   and no pair is ever a row. Nothing is capped. Work grows with the square of what is left apart in a family of one size.
+4. Completion: buckets that still hold several components are joined to families. In a family all documents outside its
+   largest component meet all of it in blocks of bounded size, by their registers: pairs of different components that
+   sizes and registers don't rule out are confirmed as in step 3. A block with more such pairs than ``DENSE`` a document
+   doesn't send them on: its full sets are compared in place, by exact intersection counts, and it gives only links that
+   connect components. Nothing is capped. Work grows with the square of what is left apart in a family.
 5. Components of the confirmed links, mapped back to all documents.
 
 Sets are sets of 64-bit shingle hashes (words of over 256 bytes are hashed by BLAKE2, others by polynomials), equal sets
@@ -29,8 +30,6 @@ are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow
@@ -42,8 +41,8 @@ from .components import components
 
 _U = np.uint64
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
-#: Completion compares blocks of documents whose weights (shingles and a constant) sum to about this.
-ROW_WEIGHT, BLOCK_WEIGHT, COLUMNS = 256, 200_000, 2048
+#: Completion: documents of a block, pairs for each of them that a block may send on, and columns of a membership matrix.
+BLOCK, DENSE, COLUMNS = 512, 16, 2048
 #: Probability that two different values of a bucket compress to the same register: they need equal leading zeros (1/3)
 #: and equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -138,23 +137,27 @@ def estimated(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip((agree - COLLISION) / (1 - COLLISION), 0, 1)
 
 
+def _within_reach(agreement: np.ndarray, na: np.ndarray, nb: np.ndarray, least: float) -> np.ndarray:
+    """Whether estimates and sizes leave the threshold possible, by five standard errors."""
+    small, large = np.minimum(na, nb), np.maximum(na, nb)
+    # short sets fill few buckets, so borrowed registers repeat and tell less
+    error = np.sqrt(least * (1 - least) / np.minimum(BUCKETS, small) * 2)
+    return (agreement >= least - 5 * error) & (small >= (least - 1e-9) * large)
+
+
 def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sizes and registers don't rule the threshold out."""
 
     def sift(batches):
         for batch in batches:
-            if not len(batch):
-                continue
-            a = np.frombuffer(b"".join(batch["ra"]), np.uint16).reshape(-1, BUCKETS)
-            b = np.frombuffer(b"".join(batch["rb"]), np.uint16).reshape(-1, BUCKETS)
-            size = np.minimum(batch["na"], batch["nb"]).to_numpy(np.float64)
-            # short sets fill few buckets, so borrowed registers repeat and tell less
-            error = np.sqrt(least * (1 - least) / np.minimum(BUCKETS, size) * 2)
-            yield batch.loc[estimated(a, b) >= least - 5 * error, ["a", "b"]]
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
+                na, nb = (batch[c].to_numpy().astype(np.float64) for c in ("na", "nb"))
+                yield batch.select(["a", "b"]).filter(pyarrow.array(_within_reach(estimated(a, b), na, nb, least)))
 
     side = lambda x: classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= F.lit(least - 1e-9) * F.greatest("na", "nb"))
-    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(frugal(sift), "a long, b long")
+    return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(frugal(sift), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -182,23 +185,50 @@ def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: D
     placed = shared.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("id").alias("first")).where("lo < hi").select("key", "first")
     open_ = stored(placed.join(open_keys, "key"), "open")
-    # who might belong together: an estimate from registers is no proof against a link, so all of a family are compared
     family = components(open_.select(F.col("first").alias("a"), F.col("id").alias("b")).union(open_.select("id", "c")))
-    # a row of a size class goes to that class and the next: sizes within the threshold's ratio share one of the two
-    size = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(-math.log(percent / 100)) + 1e-9)
-    sized = classes.select("id", (F.col("n_shingles") + ROW_WEIGHT).alias("w"), size.alias("size"))
-    row = open_.select("id", "c").distinct().join(family, "id").join(sized, "id").withColumn("size", F.explode(F.array("size", F.col("size") + 1)))
-    row = stored(row.select(F.struct("component", "size").alias("family"), "id", "c", "w"), "family")
-    parts = row.groupBy("family", "c").agg(F.sum("w").alias("w"))
-    main = parts.groupBy("family").agg(F.max(F.struct("w", "c")).alias("m"), F.sum("w").alias("all"))
-    blocks = lambda w: F.greatest(F.ceil(w / F.lit(BLOCK_WEIGHT)), F.lit(1)).cast("int")
-    row = row.join(main.select("family", F.col("m.c").alias("main"), blocks(F.col("all")).alias("n_all"), blocks(F.col("all") - F.col("m.w")).alias("n_rest")), "family")
+    row = stored(open_.select("id", "c").distinct().join(family, "id").select(F.col("component").alias("family"), "id", "c"), "family")
+    parts = row.groupBy("family", "c").agg(F.count("*").alias("n"))
+    blocks = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    main = parts.groupBy("family").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("all"))
+    main = stored(main.select("family", F.col("m.c").alias("main"), blocks(F.col("all")).alias("n_all"), blocks(F.col("all") - F.col("m.n")).alias("n_rest")), "main")
+    row = row.join(main, "family")
     pick = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     as_every = F.transform(F.sequence(F.lit(0), F.col("n_rest") - 1), lambda i: F.struct(i.alias("rest"), pick(F.col("n_all")).alias("every"), F.lit(1).alias("side")))
     as_rest = F.transform(F.sequence(F.lit(0), F.col("n_all") - 1), lambda i: F.struct(pick(F.col("n_rest")).alias("rest"), i.alias("every"), F.lit(0).alias("side")))
-    sent = row.withColumn("t", F.explode(F.concat(as_every, F.when(F.col("c") == F.col("main"), F.slice(as_rest, 1, 0)).otherwise(as_rest))))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(row.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    tasks = sent.select("id", "c", "family", "t.*").join(texts, "id")
+    sent = row.withColumn("t", F.explode(F.concat(as_every, F.when(F.col("c") == F.col("main"), F.slice(as_rest, 1, 0)).otherwise(as_rest)))).select("id", "c", "family", "t.*")
+    least, keys = percent / 100, ["family", "rest", "every"]
+
+    def sift(rows: pyarrow.Table) -> pyarrow.Table:
+        ids, c, side, size = (rows[k].to_numpy() for k in ("id", "c", "side", "n_shingles"))
+        regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        y = np.flatnonzero(side == 1)
+        y = y[np.argsort(size[y], kind="stable")]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(side == 0):
+            near = y[slice(*np.searchsorted(size[y], ((least - 1e-9) * size[i], size[i] / (least - 1e-9) + 1)))]
+            near = near[c[near] != c[i]]
+            near = near[_within_reach(estimated(regs[near], regs[i]), size[near], size[i], least)]
+            a.append(np.minimum(ids[near], ids[i]))
+            b.append(np.maximum(ids[near], ids[i]))
+        a, b = np.concatenate(a), np.concatenate(b)
+        if dense := len(a) > DENSE * len(ids):
+            a, b = a[:1], b[:1]
+        where = {k: np.repeat(rows[k].to_numpy()[:1], len(a)) for k in keys}
+        return pyarrow.table({"a": a, "b": b, **where, "dense": np.full(len(a), dense)})
+
+    met = sent.join(classes.select("id", "n_shingles", "registers"), "id").groupBy(*keys).applyInArrow(sift, "a long, b long, family long, rest int, every int, dense boolean")
+    met = stored(met, "met")
+    links = _confirmed(met.where("not dense").select("a", "b").distinct(), docs, width, percent)
+    crowded = met.where("dense").select(*keys)
+    if crowded.isEmpty():
+        return links
+    sent = sent.join(crowded, keys, "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(sent.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    return links.union(stored(_compared_in_place(sent.join(texts, "id"), width, percent), "completed"))
+
+
+def _compared_in_place(tasks: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect components within each block of ``tasks`` (id, c, family, side, rest, every, text)."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id").reset_index(drop=True)
@@ -224,7 +254,7 @@ def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: D
                 out.append((int(ids[u]), int(ids[v])))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return stored(tasks.groupBy("family", "rest", "every").applyInPandas(compare, "a long, b long").distinct(), "completed")
+    return tasks.groupBy("family", "rest", "every").applyInPandas(compare, "a long, b long")
 
 
 def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:

@@ -49,6 +49,22 @@ def test_copies_of_a_base_that_are_not_near_each_other(spark):
     assert {tuple(r) for r in h.near_duplicates(frame(spark, rows), 2).collect()} == plain(rows, 2)
 
 
+@pytest.mark.parametrize(("dense", "block"), [(16, 512), (16, 3), (0, 512), (0, 4)])
+def test_links_that_no_leader_has_are_completed(spark, monkeypatch, dense, block):
+    monkeypatch.setattr(h, "DENSE", dense)
+    monkeypatch.setattr(h, "BLOCK", block)
+    rows = []
+    for group in range(3):
+        base = [f"g{group}w{i}" for i in range(200)]
+        for k in range(14):  # the first ones lie at 0.5 to 0.75 of each other; then each has a near copy
+            own = list(base)
+            own[k * 6 : k * 6 + 20 + k] = [f"g{group}k{k}x{i}" for i in range(20 + k)]
+            rows.append((1000 * group + 10 * k, " ".join(own)))
+            own[190] = "edited"
+            rows.append((1000 * group + 10 * k + 1, " ".join(own)))
+    assert {tuple(r) for r in h.near_duplicates(frame(spark, rows), 2).collect()} == plain(rows, 2)
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "A b c d"), (None, "a b c d")]
     got = [tuple(r) for r in h.near_duplicates(frame(spark, rows[:3]), 2).collect()]
