@@ -1,5 +1,6 @@
 import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestrata.llm import sharding, source_mix
@@ -94,3 +95,25 @@ def test_positions_over_many_runs(spark, monkeypatch):
     for b, n in sizes:
         assert got[b] == at
         at += n
+
+
+def test_the_query_equals_a_plain_version(spark, monkeypatch):
+    folder, bucket_bytes = "/root/testdata/sf0.001", 20_000
+    monkeypatch.setattr(sharding.external_shuffle, "__defaults__", ("doc_id", "text", sharding.SHARDS, sharding.SEED, bucket_bytes))
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    raw = {i: (t or "").encode() for i, t in docs}
+    n = -(-sum(len(x) + 1 for x in raw.values()) // bucket_bytes)
+    buckets = [[] for _ in range(n)]
+    for i, t in docs:
+        h = xxhash.xxh64_intdigest(sharding.SEED.to_bytes(4, "little"), 42)
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), h)
+        h = h if t is None else xxhash.xxh64_intdigest(raw[i], h)
+        buckets[(h - (h >> 63 << 64)) % n].append(i)
+    want, position = {}, 0
+    for b, ids in enumerate(buckets):
+        ids.sort()
+        for k in sharding.fisher_yates(len(ids), sharding.SEED ^ (b + 1) << 20):
+            want[ids[k]] = (len(raw[ids[k]]) + 1, zlib.crc32(raw[ids[k]]), "rows", position % 8, position // 8, None)
+            position += 1
+    got = sharding.query(spark, folder).collect()
+    assert n > 10 and len(got) == len(docs) and {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in got} == want
