@@ -3,16 +3,16 @@
 A text's paragraphs are its lines; a line of over ``PART`` characters is cut at sentence ends into parts of about that
 length, so that a text without line breaks can be compared too. The distinct 48-bit digests of the paragraphs go into a
 sketch: each digest is added to one cell of each of three tables, and a cell holds the number, the exclusive-or of the
-digests and the exclusive-or of their check hashes. Digests are dealt by their low bits to as many groups, a power of two, as keep four
-digests in each on average at most, and each group has cells of its own, so a fingerprint's size follows the number of
-paragraphs. It is written as the number of groups and the cells that hold something: ``groups|group.cell.n.digests.checks``.
+digests and the exclusive-or of their check hashes. Digests are dealt by their low bits to as many groups, a power of two, as keep eight
+digests in each on average at most, and each group has 3 x 64 cells of its own, so a fingerprint's size follows the number
+of paragraphs. It is written as the number of groups and the cells that hold something: ``groups|group.cell.n.digests.checks``.
 
 Sketches of two versions subtract cell by cell, what they share cancels, and peeling recovers the digests that differ: a
 cell with one digest gives it away, and taking it out of its other cells frees the next. Two fingerprints of different
 sizes are compared at the smaller number of groups: the groups of the larger are added up, as cells don't depend on their
 number. Where the numbers of paragraphs alone show that a fingerprint can't give back what differs, or where peeling leaves
-a rest, both texts are sketched again, larger: at as many groups as both texts' paragraphs need with 3 x 16 cells, then
-with 3 x 64; a rest even then is settled by set difference. Likeness is common digests over all digests; two empty texts
+a rest, both texts are sketched again, larger: at as many groups as both texts' paragraphs need, then with 3 x 128 cells in
+each; a rest even then is settled by set difference. Likeness is common digests over all digests; two empty texts
 are alike (1).
 
 All is functions and aggregations of the engine. Texts are shuffled once, by doc_id; what a document needs of its neighbour
@@ -33,11 +33,11 @@ from .common import stored, table
 
 PART = 160
 #: Digests that a group has on average at most, and cells of each of the three tables: of a fingerprint, and of larger sketches.
-PER_GROUP, LADDER = 4, (8, 16, 64)
+PER_GROUP, LADDER = 8, (64, 64, 128)
 #: Numbers of the tables' first cells, whatever their size.
-STRIDE = 64
+STRIDE = 128
 #: A fingerprint isn't tried if numbers of paragraphs alone say that more than this differs in a group.
-HOPELESS = 10
+HOPELESS = 80
 
 #: Multipliers of the hashes of a digest's halves, for the check and each table, from a fixed rule; the modulus is prime.
 PRIME = (1 << 31) - 1
@@ -58,18 +58,19 @@ def _let(value: Column, body) -> Column:
 
 
 def _hash(key: Column, which: int) -> Column:
-    """31 bits: 0 is the check, 1 to 3 are the tables'."""
+    """31 bits: 0 is for the check, 1 to 3 are for the tables."""
     a, b, c = _ODD[3 * which : 3 * which + 3]
     return (F.shiftright(key, 24) * F.lit(a) + key.bitwiseAND(F.lit((1 << 24) - 1)) * F.lit(b) + F.lit(c)) % F.lit(PRIME)
 
 
 def check(key: Column) -> Column:
-    return _hash(key, 0)
+    """16 bits. What they let pass by chance leaves a rest, and so a larger try."""
+    return _hash(key, 0).bitwiseAND(F.lit(0xFFFF))
 
 
 def places(key: Column, rung: int) -> list[Column]:
     """The cells of ``key`` in the three tables. Each size takes bits of its own of the hashes."""
-    shift = (0, 3, 7)[rung]
+    shift = (0, 6, 12)[rung]
     return [(F.shiftright(_hash(key, j + 1), shift).bitwiseAND(F.lit(LADDER[rung] - 1)) + j * STRIDE).cast("int") for j in range(3)]
 
 
@@ -190,13 +191,14 @@ def _with_neighbour(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``docs`` with what each row needs of the next document (head, other: its digests), and whether no doc_id repeats."""
     near = neighbours(docs)
     once = near.where("rows > 1").isEmpty()
-    placed = docs.repartition("doc_id")
-    sent = placed.join(near.hint("shuffle_hash"), placed["doc_id"] == near["id"]).select(
+    # where ids repeat, one may hold a third of the rows: then joins are left to split it
+    placed, near = (docs.repartition("doc_id"), near.hint("shuffle_hash")) if once else (docs, near)
+    sent = placed.join(near, placed["doc_id"] == near["id"]).select(
         F.col("prev_id").alias("to"), F.substr("text", F.lit(1), F.floor(F.col("prev_n") / 3).cast("int")).alias("head"), digests(F.col("text")).alias("other"),
     )
     if not once:
         sent = sent.groupBy("to").agg(F.min(F.struct("head", "other")).alias("m")).select("to", "m.*")
-    both = placed.join(sent.hint("shuffle_hash"), placed["doc_id"] == sent["to"]).withColumn("n_chars", F.length("text").cast("long"))
+    both = placed.join(sent.hint("shuffle_hash") if once else sent, placed["doc_id"] == sent["to"]).withColumn("n_chars", F.length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("head", F.lit(1), cut))
     return both.select("doc_id", "n_chars", "text", edited.alias("edited"), "other", F.xxhash64("text").alias("row")), once
@@ -234,9 +236,9 @@ def _fingerprints(docs: DataFrame) -> DataFrame:
         n_of([_PRINTS], 0).alias("n_mine"), n_of([_PRINTS], 1).alias("n_edited"), n_of([_NEXT, _NEXT_LARGER], 1).alias("n_other"), text(0).alias("print_mine"), text(1).alias("print_edited"),
         *[F.coalesce(F.sum(of(parts, F.col("diff"))), F.lit(0)).alias(f"d_{p}") for p, parts in ((0, [_PRINTS]), (1, [_EDITED]), (2, [_NEXT, _NEXT_LARGER]))],
         *[F.coalesce(F.bool_or(of(parts, F.col("diff").isNull())), F.lit(False)).alias(f"f_{p}") for p, parts in ((0, [_PRINTS]), (1, [_EDITED]), (2, [_NEXT, _NEXT_LARGER]))],
-    ).withColumnsRenamed({"doc_id": "_id", "row": "_row"}).hint("shuffle_hash")
-    # only doc_id is a key of the join: both sides lie by it already
-    out = base.join(folded, (F.col("doc_id") == F.col("_id")) & (F.col("row") >= F.col("_row")) & (F.col("row") <= F.col("_row")), "left")
+    ).withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    # an id that doesn't repeat is key enough: both sides lie by it already
+    out = base.join(folded.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left") if once else base.join(folded, (F.col("doc_id") == F.col("_id")) & (F.col("row") == F.col("_row")), "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
     uneven = groups_of(zero("n_mine")) != groups_of(zero("n_edited"))
     bad_edited, bad_next = F.coalesce(F.when(uneven, F.col("f_1")).otherwise(F.col("f_0")), F.lit(False)), F.coalesce("f_2", F.lit(False))
@@ -286,7 +288,7 @@ _SQL_GROUPS = f"CAST(CASE WHEN len(%s) <= {PER_GROUP} THEN 1 ELSE pow(2, length(
 
 def _sql_print(keys: str) -> str:
     """CTE ``print_<keys>`` (doc_id, p) of the fingerprints of a list of digests."""
-    cell = lambda j: f"SELECT doc_id, k & (g - 1) AS grp, ({_sql_hash(j + 1)} & {LADDER[0] - 1}) + {j * STRIDE} AS cell, k, {_sql_hash(0)} AS h FROM keys_{keys}"
+    cell = lambda j: f"SELECT doc_id, k & (g - 1) AS grp, ({_sql_hash(j + 1)} & {LADDER[0] - 1}) + {j * STRIDE} AS cell, k, {_sql_hash(0)} & 65535 AS h FROM keys_{keys}"
     return f"""
 keys_{keys} AS (SELECT doc_id, {_SQL_GROUPS % (keys, keys)} AS g, unnest({keys}) AS k FROM digests),
 cells_{keys} AS (

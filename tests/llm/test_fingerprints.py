@@ -78,15 +78,15 @@ def peeled(a, b):
     while todo:
         c = todo.pop()
         n, k, h = cells[c]
-        if abs(n) == 1 and hashed(k, 0) == h:
+        if abs(n) == 1 and hashed(k, 0) & 0xFFFF == h:
             found += 1
             for j in range(3):
-                at = (c[0], (hashed(k, j + 1) & 7) + 64 * j)
+                at = (c[0], (hashed(k, j + 1) & 63) + 128 * j)
                 cells[at] = [cells[at][0] - n, cells[at][1] ^ k, cells[at][2] ^ h]
                 todo.append(at)
     if any(map(any, cells.values())):
         return None
-    return sum(v[0] for z in (x, y) for (_, cell), v in z.items() if cell < 64), found
+    return sum(v[0] for z in (x, y) for (_, cell), v in z.items() if cell < 128), found
 
 
 def test_likeness_is_that_of_the_written_fingerprints(spark):
@@ -101,11 +101,13 @@ def test_likeness_is_that_of_the_written_fingerprints(spark):
                 every, diff = found
                 assert near == ((every - diff) / (every + diff) if every else 1.0)
                 tried[name] += 1
-    assert tried["edited"] > 0.9 * len(got) and tried["next"] > 0.5 * len(got)
+    assert tried["edited"] > 0.9 * len(got) and tried["next"] > 0.9 * len(got)
 
 
 def test_peeling_recovers_what_differs_or_says_that_it_cannot(spark):
-    sets = [(list(range(20)), list(range(5, 22))), ([], [3]), ([7], []), (list(range(300)), []), (list(range(30)), list(range(100, 130)))]
+    sets = [(list(range(20)), list(range(5, 22))), ([], [3]), ([7], []), (list(range(300)), []), (list(range(30)), list(range(100, 130))), (list(range(400)), list(range(200, 600)))]
+    key = lambda x: int(hashlib.md5(str(x).encode()).hexdigest()[:12], 16)
+    sets = [tuple([key(x) for x in side] for side in pair) for pair in sets]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(sets)], "id int, mine array<bigint>, other array<bigint>")
     sides = df.select("id", F.posexplode(F.array("mine", "other")).alias("side", "digests"), F.lit(1).cast("bigint").alias("groups"), F.lit(0).alias("part"))
     for rung, size in enumerate(iblt.LADDER):
@@ -121,7 +123,7 @@ def test_peeling_recovers_what_differs_or_says_that_it_cannot(spark):
 def test_what_cannot_be_peeled_is_sketched_again_or_settled(spark, monkeypatch):
     rows = [(i, "\n".join(f"line {i % 3} {k}" for k in range(40 + 13 * (i % 5)))) for i in range(12)]
     want = plain(rows)
-    for ladder, hopeless in (((8, 16, 64), 10), ((8, 16, 64), 10**6), ((1, 1, 64), 10**6), ((1, 1, 1), 10**6)):
+    for ladder, hopeless in (((64, 64, 128), 80), ((64, 64, 128), 0), ((8, 16, 64), 10**6), ((1, 1, 64), 10**6), ((1, 1, 1), 10**6)):
         monkeypatch.setattr(iblt, "LADDER", ladder)
         monkeypatch.setattr(iblt, "HOPELESS", hopeless)
         got = iblt.fingerprints(frame(spark, rows)).collect()
