@@ -6,7 +6,6 @@ import contextlib
 import ctypes
 import gc
 import hashlib
-import tempfile
 import uuid
 from pathlib import Path
 
@@ -15,6 +14,8 @@ import pyarrow
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.plans.storage import shared_folder
+
 #: What goes to Python at once: texts may be long, and each batch is held several times over.
 ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m", "spark.sql.execution.arrow.maxRecordsPerBatch": "2048"}
 
@@ -38,18 +39,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder for checkpoints; a temporary one only where none is set (local runs and tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="lodestrata-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession

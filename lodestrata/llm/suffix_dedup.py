@@ -246,6 +246,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
     texts = docs.where(F.octet_length("text") >= length)
     digests = texts.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").alias("n"))
     heads = digests.groupBy("digest", "n").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("_most")).where("head < _most")
+    heads = stored(heads, "heads")  # the join splits a text that too many documents share
     copies = stored(digests.join(heads, ["digest", "n"]).where("doc_id <> head").select("doc_id", "n").distinct(), "copies")
     once = texts.join(copies, "doc_id", "left_anti")
 
@@ -264,19 +265,30 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) ->
     if not found.where((F.col("_n") == 1) & (F.col("_kinds") > CROWDED)).isEmpty():
         crowded = stored(strings.where("crowded"), "crowded")
         spans = spans.union(_windows_met(crowded, length))
-    spans = spans.select("doc_id", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
-    spans = spans.union(copies.select("doc_id", F.lit(0).cast("long"), F.col("n").cast("long")))
-    # a span that starts beyond all before it begins a run
-    along = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = spans.withColumn("_fresh", (reach.isNull() | (F.col("start") > reach)).cast("int"))
-    merged = fresh.withColumn("_run", F.sum("_fresh").over(along.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "_run").agg(F.min("start").cast("int").alias("start"), F.max("end").cast("int").alias("end"))
-    runs = stored(merged.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs")), "runs")
-    drop_stored(found)
-    drop_stored(copies)
+    # start and end in one number: what is gathered for a document, and sorted by it, is eight bytes a span
+    spans = spans.select("doc_id", (F.col("start") * F.lit(1 << 31) + F.col("start") + F.col("windows") + (length - 1)).alias("span"))
+    spans = spans.union(copies.select("doc_id", F.col("n").cast("long")))
+    runs = stored(spans.groupBy("doc_id").agg(F.sort_array(F.collect_list("span")).alias("spans")).select("doc_id", _runs(F.col("spans")).alias("runs")), "runs")
+    for done in (heads, copies, found):
+        drop_stored(done)
     return runs
 
 
+def _runs(spans: Column) -> Column:
+    """Sorted spans (start * 2**31 + end) as maximal runs."""
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    first = F.struct(none.alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end"))
+    last = lambda s: F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    def step(s: Column, span: Column) -> Column:
+        start, end = F.shiftright(span, 31).cast("int"), span.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        longer = F.struct(s["done"].alias("done"), s["start"].alias("start"), F.greatest(s["end"], end).alias("end"))
+        fresh = F.struct(F.when(s["end"] < 0, s["done"]).otherwise(F.concat(s["done"], last(s))).alias("done"), start.alias("start"), end.alias("end"))
+        return F.when((s["end"] >= 0) & (start <= s["end"]), longer).otherwise(fresh)
+
+    return F.aggregate(spans, first, step, lambda s: F.concat(s["done"], last(s)))
+
+
 def _kept(raw: Column, runs: Column) -> Column:
     """The bytes of ``raw`` outside ``runs``."""
     begin = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["end"]))
