@@ -4,13 +4,13 @@ Each source gets a mean repetition rate: its target share of all bytes over its
 copies is drawn from the Poisson distribution of that mean by inversion: a uniform number from the seeded hash of its
 doc_id is looked up in the source's cumulative distribution. Counts are thus repeatable, independent of partitions, and
 right in mean for each source. Documents are exploded by their counts, and a global shuffle follows: copies go to
-partitions by a seeded hash of (doc_id, copy) and lie there in the order of that hash.
+partitions by a seeded hash of (doc_id, copy) and of their text, and lie there in the order of the seeded hash.
 
 Rates need one aggregation with partial sums; sources are few, but their table is only broadcast if it was counted as
 small, and else joined on salted keys, so a source with a third of all rows is spread in both cases.
 
 Null sources are a source of their own; null and empty texts have the size of their terminator, 1 byte. Rows that repeat
-a doc_id get the same count. Sources without a weight get none of the mix. An empty table gives no rows. Other columns
+a doc_id get the same count, and so do all rows without one. Sources without a weight get none of the mix. An empty table gives no rows. Other columns
 ride along; where one is called ``copy`` or ``shuffle_key``, the operator's column gets an underscore before its name.
 """
 
@@ -79,7 +79,8 @@ def replicated(docs: DataFrame, weights: DataFrame | None = None, alpha: float =
     count = drawn.withColumn(name["_n"], (place - 1).cast("int")).where(F.col(name["_n"]) > 0).select(*docs.columns, name["_n"])
     copies = count.withColumn(name["copy"], F.explode(F.sequence(F.lit(1), F.col(name["_n"])))).drop(name["_n"])
     keyed = copies.withColumn(name["shuffle_key"], F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"), F.col(name["copy"])).cast("binary")))
-    return keyed.repartition(F.col(name["shuffle_key"])).sortWithinPartitions(name["shuffle_key"])
+    # texts of one doc_id have one key: dealt by text too, so that an id with very many rows fills no partition
+    return keyed.repartition(F.xxhash64(name["shuffle_key"], "text")).sortWithinPartitions(name["shuffle_key"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
