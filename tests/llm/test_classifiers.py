@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import licenses, toxicity
 
@@ -175,3 +176,16 @@ def test_lines_that_quote_a_template_are_left_out_of_large_samples_too():
     plain = ["\n".join(f"the work of x{rng.randrange(500)} under law" for _ in range(520)) for _ in range(100)]
     noted = [t + "\n" + licenses.TEMPLATES["apache-2.0"][0] for t in plain]
     assert np.array_equal(licenses.train(plain).weights, licenses.train(noted).weights)
+
+
+def test_a_very_long_text_is_scored_whole(spark):
+    rng = np.random.default_rng(0)
+    machine = toxicity.Machine(-1.0, np.zeros(toxicity.FEATURES), np.zeros((toxicity.FEATURES, 2)))
+    own = toxicity.terms([b"insult"])[0]
+    machine.weights[own] = 3.0
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, 400_000).tolist())
+    docs = frame(spark, [(1, text), (2, text + " insult"), (3, None)])
+    got = {r.doc_id: r.toxicity >= 0.5 for r in toxicity.scored(docs, machine).collect()}
+    assert got == {1: False, 2: True, 3: False}
+    # what training takes of a row is bounded; scoring isn't
+    assert toxicity._hashed(docs.withColumn("label", F.lit(1)), 100).select(F.max(F.length("terms"))).first()[0] == 400

@@ -117,3 +117,13 @@ def test_the_query_equals_a_plain_version(spark, monkeypatch):
             position += 1
     got = sharding.query(spark, folder).collect()
     assert n > 10 and len(got) == len(docs) and {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in got} == want
+
+
+def test_very_long_texts_and_large_ids(spark):
+    big = 2**60 + 1
+    rows = [(big, "x" * 3_000_000), (big, "another text"), (None, "y" * 3_000_000), (5, ""), (6, None)]
+    out = sharding.external_shuffle(frame(spark, rows), bucket_bytes=1 << 20).collect()
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in out) == sorted((str(i), len(t or "") + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    mixed = source_mix.replicated(frame(spark, rows), alpha=1.0).collect()
+    texts = {(i, t) for i, t in rows}
+    assert all((r.doc_id, r.text) in texts for r in mixed) and {r.copy for r in mixed} <= set(range(1, 40))
