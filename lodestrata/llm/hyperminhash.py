@@ -43,6 +43,8 @@ _U = np.uint64
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
 #: Completion: documents of a block, pairs for each of them that a block may send on, and columns of a membership matrix.
 BLOCK, DENSE, COLUMNS = 512, 16, 2048
+#: Ids (eight bytes each) that may be broadcast to find their texts.
+FEW_IDS = 1 << 20
 #: Probability that two different values of a bucket compress to the same register: they need equal leading zeros (1/3)
 #: and equal mantissas.
 COLLISION = 1 / 3 / (1 << MANTISSA)
@@ -173,7 +175,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
             yield batch.select(["a", "b"]).filter(pyarrow.array(good, pyarrow.bool_()))
 
     pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    if ids.count() <= FEW_IDS:  # else texts are shuffled to them
+        ids = F.broadcast(ids)
     texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(frugal(compare), "a long, b long"), "confirmed")
