@@ -20,7 +20,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         # large star: each node's larger neighbours go to the smallest of its neighbourhood
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join can split a node that very many others link to
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = now.select(F.col("v").alias("u"), F.col("u").alias("w")).join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
         # small star: each node and its smaller neighbours go to the smallest of them
         large = large.where("u <> v").distinct()
@@ -29,6 +30,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         after = stored(star.select("e.u", "e.v").where("u <> v").distinct(), "links")
         same = after.count() == now.count() and after.exceptAll(now).isEmpty()
         drop_stored(now)
+        drop_stored(least)
         now = after
         if same:
             return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -113,6 +113,8 @@ class Index:
             size = end - begin
             at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
             seen[self.lists[c][at]] = True
+        if 2 * np.count_nonzero(seen) > len(seen):  # cheaper over all than over copies of most
+            return np.flatnonzero(seen & (_distances(code, self.codes) <= radius))
         found = np.flatnonzero(seen)
         return found[_distances(code, self.codes[found]) <= radius]
 
@@ -158,7 +160,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sample: int =
         order = np.argsort(ids[~asks], kind="stable")
         x, x_ids, q, q_ids = v[~asks][order], ids[~asks][order], v[asks], ids[asks]
         index = Index(held.value.encode(x, True))
-        out = []
+        askers, ids_found, scores = [], [], []
         for code, query, own in zip(held.value.encode(q, False), q, q_ids, strict=True):
             radius = held.value.radius
             found = index.within(code, radius)
@@ -171,8 +173,10 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 20, sample: int =
             if repeats:  # each id once, at its best
                 best = best[np.sort(np.unique(x_ids[found[best]], return_index=True)[1])]
             best = best[:k]
-            out.append(pd.DataFrame({"query_id": own, "vec_id": x_ids[found[best]], "score": score[best]}))
-        return pd.concat(out)
+            askers.append(np.full(len(best), own))
+            ids_found.append(x_ids[found[best]])
+            scores.append(score[best])
+        return pd.DataFrame({"query_id": np.concatenate(askers), "vec_id": np.concatenate(ids_found), "score": np.concatenate(scores)})
 
     found = left.unionByName(right).groupBy("block", "part").applyInPandas(probe, schema)
     if repeats:

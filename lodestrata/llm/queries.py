@@ -21,4 +21,6 @@ ORACLE_SQL = {
     "op1_preference_pairs": preference.ORACLE_SQL,
     "op3_bloom_fingerprints": iblt.ORACLE_SQL,
     "op4_poisson_mix": source_mix.ORACLE_SQL,
+    "op6_hyperminhash": hyperminhash.ORACLE_SQL,
+    "op10_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
 }

@@ -336,3 +336,32 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, kgram: int = KGRAM) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
+
+
+#: Every string of 100 bytes, as hexadecimal digits; doc_ids must not repeat.
+ORACLE_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, h, unnest(range(0, CAST(length(h) / 2 - 99 AS BIGINT), 256)) AS low FROM texts WHERE length(h) >= 200
+), parts AS (
+  SELECT doc_id, low, substring(h, 2 * low + 1, 710) AS h FROM starts
+), places AS (
+  SELECT doc_id, low, h, unnest(range(least(256, CAST(length(h) / 2 - 99 AS BIGINT)))) AS j FROM parts
+), strings AS (
+  SELECT doc_id, low + j AS i, row_number() OVER (PARTITION BY md5(substring(h, 2 * j + 1, 200)) ORDER BY doc_id, low + j) AS n FROM places
+), again AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM strings WHERE n > 1
+), numbered AS (
+  SELECT doc_id, i, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM again
+), runs AS (
+  SELECT doc_id, run, min(i) AS low, max(i) + 100 AS high FROM numbered GROUP BY doc_id, run
+), cut AS (
+  SELECT doc_id, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS kept_from FROM runs
+), kept AS (
+  SELECT c.doc_id, sum(high - low) AS removed, count(*) AS spans, string_agg(substring(t.h, 2 * kept_from + 1, 2 * (low - kept_from)), '' ORDER BY low) || substring(any_value(t.h), 2 * max(high) + 1) AS h
+  FROM cut c JOIN texts t ON t.doc_id = c.doc_id GROUP BY c.doc_id
+)
+SELECT t.doc_id, CAST(length(t.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(k.removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
