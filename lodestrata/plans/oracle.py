@@ -306,6 +306,10 @@ ORACLE_SQL = {
     "text_files": f"""WITH {_FILES}, seen AS (SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN 'a' || chr(65279) || text ELSE text END AS text, doc_id % 5 = 3 AS bad FROM files)
       SELECT doc_id, CASE WHEN bad THEN 'failed' WHEN {_STRIPPED % "text"} = '' THEN 'skipped' ELSE 'converted' END AS outcome, CASE WHEN NOT bad AND {_STRIPPED % "text"} <> '' THEN text END AS markdown,
              CASE WHEN bad THEN 'this file is not UTF-8 text; save it with that encoding, and sync again' WHEN {_STRIPPED % "text"} = '' THEN 'there is no text in this file' END AS reason FROM seen""",
+    "pdf_files": r"""WITH seen AS (SELECT item_id, trim(regexp_replace(text, '[^\x20-\x7E]', '?', 'g'), ' ') AS text, item_id % 3 = 2 AS broken, item_id % 5 = 1 AS locked FROM benchmark WHERE text IS NOT NULL)
+      SELECT item_id, CASE WHEN broken OR locked THEN 'failed' ELSE 'converted' END AS outcome, CASE WHEN NOT broken AND NOT locked THEN '# Item ' || item_id || chr(10) || chr(10) || text END AS markdown,
+             CASE WHEN NOT broken AND NOT locked THEN CAST(1 AS BIGINT) END AS page_count, CASE WHEN broken THEN 'this is not a PDF file, or a damaged one; check that it opens in a reader, and sync again'
+             WHEN locked THEN 'this PDF needs a password; save a copy that doesn''t, and sync again' END AS reason FROM seen""",
     "change_list": f"WITH {_CHANGES} SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY file_name) - 1 AS ord, file_name, change FROM changes",
     "scan_list": f"WITH {_CHANGES} SELECT workspace_id, row_number() OVER (PARTITION BY workspace_id ORDER BY file_name) - 1 AS ord, file_name, scan_state FROM disk",
     "retried_answers": f"""WITH {_TRIES} SELECT q.vec_id AS query_id, CASE WHEN f.attempt IS NULL THEN 'refusal' ELSE 'answer' END AS kind, coalesce(n.sources, '') AS sources,

@@ -12,7 +12,7 @@ from lodestrata.functions import ids, text
 from lodestrata.functions.vectors import norm
 from lodestrata.operators import diff, embed, evaluate, registry, retrieve, segment, sync
 from lodestrata.settings import Settings
-from lodestrata.sources.convert import convert_text
+from lodestrata.sources.convert import convert_contents, convert_text
 
 from . import storage
 from . import tables as t
@@ -239,6 +239,11 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
     return t.raw_bytes(spark, d).select("doc_id", convert_text(F.lit("txt"), F.col("content"), SETTINGS).alias("c")).select("doc_id", "c.outcome", "c.markdown", "c.reason")
 
 
+def pdf_files(spark: SparkSession, d: str) -> DataFrame:
+    """The PDF reader on files that are whole, break off, or need a password."""
+    return convert_contents(t.pdf_files(spark, d), "content", SETTINGS).select("item_id", "outcome", "markdown", F.col("page_count").cast("long").alias("page_count"), "reason")
+
+
 def change_list(spark: SparkSession, d: str) -> DataFrame:
     return diff.in_order(change_report(spark, d), ("workspace_id",)).select("workspace_id", "ord", "file_name", "change")
 
@@ -347,6 +352,6 @@ QUERIES = {
     for f in (
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
-        latency, workspace_cap, rough_sections, text_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages,
+        latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages,
     )
 }

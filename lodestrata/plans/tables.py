@@ -94,6 +94,18 @@ def raw_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("doc_id", content.alias("content"))
 
 
+def pdf_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item of ``benchmark`` as a PDF file: a title in large type, and its text, which is ASCII here. Every third file
+    breaks off, and every fifth needs a password."""
+    text = F.regexp_replace("text", r"[^\x20-\x7E]", "?")
+    escaped = F.regexp_replace(text, r"([\\()])", r"\\$1")
+    shown = F.concat(F.lit("BT /F1 24 Tf 1 0 0 1 72 720 Tm (Item "), F.col("item_id").cast("string"), F.lit(") Tj /F1 12 Tf 1 0 0 1 72 600 Tm ("), escaped, F.lit(") Tj ET"))
+    tree = "%PDF-1.4\n1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [3 0 R] /Count 1 >> endobj\n3 0 obj << /Type /Page /Parent 2 0 R /Contents 4 0 R >> endobj\n4 0 obj << /Length "
+    end = F.when(F.col("item_id") % 5 == 1, "\nendstream endobj\ntrailer << /Root 1 0 R /Encrypt 9 0 R >>\n%%EOF\n").otherwise("\nendstream endobj\ntrailer << /Root 1 0 R >>\n%%EOF\n")
+    whole = F.concat(F.lit(tree), F.length(shown).cast("string"), F.lit(" >>\nstream\n"), shown, F.when(F.col("item_id") % 3 == 2, "").otherwise(end))
+    return load(spark, sf_dir, "benchmark").where("text is not null").select("item_id", F.concat(F.lit("item-"), "item_id", F.lit(".PDF")).alias("file_name"), whole.cast("binary").alias("content"))
+
+
 def conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What converting would give: blank files are skipped, short PDF and Word files fail."""
     short = F.col("file_type").isin("pdf", "docx") & (F.length("text") < 200)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 
 import pandas as pd
+import pyarrow
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +65,21 @@ def convert_files(files: DataFrame, settings: Settings = Settings(), readers=REA
     return files.withColumn("_kind", file_type("file_name")).mapInPandas(convert, f"{fields}, {_RESULT}")
 
 
+def convert_contents(files: DataFrame, content: str = "content", settings: Settings = Settings(), readers=READERS) -> DataFrame:
+    """The same for files whose bytes are at hand, as the engine's binary source gives them: ``files`` (file_name, content
+    and any others) with outcome, markdown, page_count and reason, without the bytes."""
+    names = [c for c in files.columns if c != content]
+
+    def convert(batches):
+        for batch in batches:
+            rows = [convert_bytes(kind, bytes(data or b""), settings, readers) for kind, data in zip(batch["_kind"].to_pylist(), batch[content].to_pylist(), strict=True)]
+            found = [pyarrow.array([r[k] for r in rows], t) for k, t in enumerate((pyarrow.string(), pyarrow.string(), pyarrow.int32(), pyarrow.string()))]
+            yield pyarrow.RecordBatch.from_arrays([*(batch[c] for c in names), *found], names=[*names, "outcome", "markdown", "page_count", "reason"])
+
+    fields = ", ".join(f"`{c}` {files.schema[c].dataType.simpleString()}" for c in names)
+    return files.withColumn("_kind", file_type("file_name")).mapInArrow(convert, f"{fields}, {_RESULT}")
+
+
 def convert_text(kind: Column, content: Column, settings: Settings = Settings()) -> Column:
     """The same for text files whose bytes are a column, as one expression: struct<outcome, markdown, reason>."""
     known = kind.isin(*[k for k in ("txt", "md") if k in settings.supported_types])

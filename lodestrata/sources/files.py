@@ -24,13 +24,14 @@ class FolderNotFound(FileNotFoundError):
 
 
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """file_name, path, listed_bytes of the plain files of one folder; folders in it are not entered."""
+    """file_name, path, listed_bytes, ord of the plain files of one folder; folders in it are not entered. ``ord`` is the
+    place by name, from 0, for whoever wants the rows in order."""
     at = spark._jvm.org.apache.hadoop.fs.Path(folder)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(at) or not fs.getFileStatus(at).isDirectory():
         raise FolderNotFound(f"there is no folder {folder}")
-    rows = [(s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in fs.listStatus(at) if s.isFile()]
-    return spark.createDataFrame(rows, "file_name string, path string, listed_bytes bigint")
+    rows = sorted((s.getPath().getName(), s.getPath().toString(), s.getLen()) for s in fs.listStatus(at) if s.isFile())
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "file_name string, path string, listed_bytes bigint, ord bigint")
 
 
 def open_stream(path: str):
@@ -44,7 +45,7 @@ def open_stream(path: str):
 
 
 def scan_folder(spark: SparkSession, folder: str, settings: Settings = Settings(), opener=open_stream) -> DataFrame:
-    """file_name, path, file_type, scan_state (ok, unsupported, unreadable), digest, size_bytes, reason.
+    """file_name, path, file_type, scan_state (ok, unsupported, unreadable), digest, size_bytes, reason, ord.
 
     The size is counted from the bytes that were hashed. Only files of supported types are opened."""
     block = settings.hash_block_bytes
@@ -52,7 +53,7 @@ def scan_folder(spark: SparkSession, folder: str, settings: Settings = Settings(
     def fingerprint(batches):
         for batch in batches:
             rows = []
-            for name, path, kind in zip(batch["file_name"], batch["path"], batch["file_type"], strict=True):
+            for name, path, kind, place in zip(batch["file_name"], batch["path"], batch["file_type"], batch["ord"], strict=True):
                 digest, size, state, reason = hashlib.sha256(), 0, OK, None
                 try:
                     with opener(path) as f:
@@ -62,16 +63,16 @@ def scan_folder(spark: SparkSession, folder: str, settings: Settings = Settings(
                 except OSError as e:
                     state, reason = UNREADABLE, e.strerror or str(e)
                 good = state == OK
-                rows.append((name, path, kind, state, digest.hexdigest() if good else None, size if good else None, reason))
-            yield pd.DataFrame(rows, columns=["file_name", "path", "file_type", "scan_state", "digest", "size_bytes", "reason"]).astype({"size_bytes": "Int64"})
+                rows.append((name, path, kind, state, digest.hexdigest() if good else None, size if good else None, reason, place))
+            yield pd.DataFrame(rows, columns=["file_name", "path", "file_type", "scan_state", "digest", "size_bytes", "reason", "ord"]).astype({"size_bytes": "Int64"})
 
     listed = list_folder(spark, folder).withColumn("file_type", file_type("file_name"))
     supported = F.col("file_type").isin(*settings.supported_types)
-    read = listed.where(supported).select("file_name", "path", "file_type")
+    read = listed.where(supported).select("file_name", "path", "file_type", "ord")
     n = max(1, min(read.count(), 4 * spark.sparkContext.defaultParallelism))
-    schema = "file_name string, path string, file_type string, scan_state string, digest string, size_bytes bigint, reason string"
+    schema = "file_name string, path string, file_type string, scan_state string, digest string, size_bytes bigint, reason string, ord bigint"
     hashed = read.repartition(n, "path").mapInPandas(fingerprint, schema)
     others = listed.where(~supported).select(
-        "file_name", "path", "file_type", F.lit(UNSUPPORTED).alias("scan_state"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("size_bytes"), F.lit(UNSUPPORTED_REASON).alias("reason"),
+        "file_name", "path", "file_type", F.lit(UNSUPPORTED).alias("scan_state"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("size_bytes"), F.lit(UNSUPPORTED_REASON).alias("reason"), "ord",
     )
     return hashed.union(others)

@@ -35,7 +35,7 @@ def test_scan_keeps_every_file(spark, tmp_path):
     (tmp_path / "folder.md").mkdir()
     (tmp_path / "folder.md" / "inner.txt").write_text("not seen")
     rows = {r.file_name: r for r in files.scan_folder(spark, str(tmp_path), Settings(hash_block_bytes=1000)).collect()}
-    assert set(rows) == {"a.txt", "_b.md", ".c.md", "d.xlsx", "E.PDF", "noext"}
+    assert [r.file_name for r in sorted(rows.values(), key=lambda r: r.ord)] == [".c.md", "E.PDF", "_b.md", "a.txt", "d.xlsx", "noext"]
     for name in ("a.txt", "_b.md", ".c.md", "E.PDF"):
         data = (tmp_path / name).read_bytes()
         assert (rows[name].scan_state, rows[name].digest, rows[name].size_bytes) == ("ok", hashlib.sha256(data).hexdigest(), len(data))
@@ -163,3 +163,14 @@ def test_any_bytes_give_a_row():
         for _ in range(rng.randint(1, 12)):
             data[rng.randrange(len(data))] = rng.randrange(256)
         assert convert.convert_bytes("pdf", bytes(data))[0] in ("converted", "failed", "skipped")
+
+
+def test_contents_at_hand_convert_alike(spark):
+    whole = pdf(b"BT (Hello) Tj ET")
+    rows = [(0, "a.PDF", whole), (1, "b.txt", b"\xef\xbb\xbfx\r\ny"), (2, "c.md", None), (3, "d.xlsx", b"1"), (4, "w.docx", docx(paragraph("Head", "Heading2") + paragraph("Body")))]
+    df = spark.createDataFrame([(i, n, None if c is None else bytearray(c)) for i, n, c in rows], "ord bigint, file_name string, content binary")
+    got = sorted(tuple(r) for r in convert.convert_contents(df).collect())
+    for (i, name, content), row in zip(rows, got, strict=True):
+        kind = name.rpartition(".")[2].lower()
+        assert row == (i, name, *convert.convert_bytes(kind, content or b""))
+    assert got[4][3] == "## Head\n\nBody"
