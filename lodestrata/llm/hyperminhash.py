@@ -43,7 +43,7 @@ _U = np.uint64
 BUCKETS, BANDS, ROWS, MANTISSA = 256, 42, 6, 10
 #: Completion: documents of a block, pairs for each of them that a block may send on, and columns of a membership matrix.
 BLOCK, DENSE, COLUMNS = 512, 16, 2048
-#: Ids (eight bytes each) that may be broadcast to find their texts.
+#: Pairs or ids (sixteen bytes at most) that may be broadcast to find their texts.
 FEW_IDS = 1 << 20
 #: Probability that two different values of a bucket compress to the same register: they need equal leading zeros (1/3)
 #: and equal mantissas.
@@ -162,8 +162,8 @@ def _possible(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(frugal(sift), "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, repeats: bool, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union. ``repeats``: whether ``docs`` may repeat rows."""
 
     def compare(batches):
         for batch in batches:
@@ -174,16 +174,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> D
                 good.append(100 * both >= percent * (len(x) + len(y) - both) > 0)
             yield batch.select(["a", "b"]).filter(pyarrow.array(good, pyarrow.bool_()))
 
+    # links come as a star: many b to each a. Texts of b meet their pairs where they lie, those of a are shuffled to them
     pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    if ids.count() <= FEW_IDS:  # else texts are shuffled to them
-        ids = F.broadcast(ids)
-    texts = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(frugal(compare), "a long, b long"), "confirmed")
+    few = F.broadcast if pairs.count() <= FEW_IDS else lambda df: df
+    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"]) if repeats else docs.select("doc_id", "text")
+    of_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).join(few(pairs), "b")
+    of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(few(pairs.select("a").distinct()), "a", "left_semi")
+    return stored(of_b.join(of_a, "a").select("a", "b", "ta", "tb").mapInArrow(frugal(compare), "a long, b long"), "confirmed")
 
 
-def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: DataFrame, repeats: bool, width: int, percent: int) -> DataFrame:
     """Links (a, b) between different components that share a bucket: as many as connect what the links at hand leave
     apart, out of all that there are. See step 4."""
     placed = shared.select("key", "id").join(groups, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
@@ -222,7 +222,7 @@ def _completed(shared: DataFrame, groups: DataFrame, classes: DataFrame, docs: D
 
     met = sent.join(classes.select("id", "n_shingles", "registers"), "id").groupBy(*keys).applyInArrow(sift, "a long, b long, family long, rest int, every int, dense boolean")
     met = stored(met, "met")
-    links = _confirmed(met.where("not dense").select("a", "b").distinct(), docs, width, percent)
+    links = _confirmed(met.where("not dense").select("a", "b").distinct(), docs, repeats, width, percent)
     crowded = met.where("dense").select(*keys)
     if crowded.isEmpty():
         return links
@@ -292,6 +292,7 @@ def _components_of_texts(docs: DataFrame, owners: DataFrame | None, width: int,
     with a set. ``owners`` (doc_id, owner) says which doc_ids belong together."""
     least = percent / 100
     signed = stored(signatures(docs, width), "signatures")
+    repeats = not signed.groupBy("doc_id").count().where("count > 1").isEmpty()
     full = signed.where("n_shingles > 0")
     # equal sets are one class, with partial sums before the shuffle
     keys = ["set_a", "set_b", "n_shingles"]
@@ -313,14 +314,14 @@ def _components_of_texts(docs: DataFrame, owners: DataFrame | None, width: int,
     company = shared.groupBy("id").agg(F.sum("n").alias("company"))
     leaders = shared.join(company, "id").groupBy("key").agg(F.max(F.struct("company", (-F.col("id")).alias("id"))).alias("m")).select("key", (-F.col("m.id")).alias("leader"))
     shared = stored(shared.join(leaders, "key"), "led")
-    stars = shared.where("id <> leader").select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b")).distinct()
-    links = _confirmed(_possible(stars, classes, least), docs, width, percent)
+    stars = shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = _confirmed(_possible(stars, classes, least), docs, repeats, width, percent)
     if owners is not None:  # the texts of a doc_id belong together
         texts = by_set.join(owners, "doc_id").select("owner", "id")
         ties = texts.join(texts.groupBy("owner").agg(F.min("id").alias("first")), "owner").where("first < id")
         links = stored(links.union(ties.select("first", "id")).distinct(), "tied")
     groups = stored(components(links), "groups")
-    more = _completed(shared, groups, classes, docs, width, percent)
+    more = _completed(shared, groups, classes, docs, repeats, width, percent)
     if not more.isEmpty():
         groups = stored(components(links.union(more)), "groups")
     component = by_set.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
@@ -360,7 +361,8 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     numbered = numbered_texts(docs)
     rows, names = numbered or (docs, None)
     # each text of a doc_id that has several is a document of its own here
-    kept = rows.join(near_duplicates(rows, width, percent).where("kept").select("doc_id"), "doc_id", "left_semi")
+    gone = near_duplicates(rows, width, percent).where("not kept").select("doc_id").distinct()
+    kept = rows.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, "doc_id", "left_anti")
     if not rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         hashable = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
         every = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
