@@ -177,9 +177,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, repeats: bool, width: int, per
     # links come as a star: many b to each a. Texts of b meet their pairs where they lie, those of a are shuffled to them
     pairs = stored(pairs, "pairs")
     few = F.broadcast if pairs.count() <= FEW_IDS else lambda df: df
-    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"]) if repeats else docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text")
+    if few is not F.broadcast:  # one shuffle of all texts leaves those that matter
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = stored(texts.join(ids, "doc_id", "left_semi"), "texts")
     of_b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).join(few(pairs), "b")
     of_a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).join(few(pairs.select("a").distinct()), "a", "left_semi")
+    if repeats:
+        of_b, of_a = of_b.dropDuplicates(["a", "b"]), of_a.dropDuplicates(["a"])
     return stored(of_b.join(of_a, "a").select("a", "b", "ta", "tb").mapInArrow(frugal(compare), "a long, b long"), "confirmed")
 
 
