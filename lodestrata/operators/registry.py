@@ -300,7 +300,8 @@ class Registry:
             if grows:
                 added[t] = read(t, [path])
             pointer[t] = [*pointer[t], path] if grows else [path]
-        found = violations({t: read(t, pointer[t]) for t in TABLES}, added, set(changed))
+        # tables that are only created now are empty
+        found = violations({t: read(t, pointer[t]) for t in TABLES}, added, set(draft.changed()))
         if found:
             raise ConstraintViolation("; ".join(found))
         if not owner():
