@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hyperminhash, iblt, licenses, multi_index, packing, preference, sharding, source_mix, suffix_dedup, toxicity
+from . import byte_bpe, hyperminhash, iblt, licenses, multi_index, packing, preference, prefix_trie, sharding, source_mix, structure_repair, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_preference_pairs": preference.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_external_shuffle": sharding.query,
     "op9_exact_complement_packing": packing.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "op11_prefix_trie": prefix_trie.query,
+    "op12_byte_bpe": byte_bpe.query,
+    "op13_structure_repair": structure_repair.query,
 }
 
 ORACLE_SQL = {
@@ -23,4 +26,6 @@ ORACLE_SQL = {
     "op4_poisson_mix": source_mix.ORACLE_SQL,
     "op6_hyperminhash": hyperminhash.ORACLE_SQL,
     "op10_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+    "op11_prefix_trie": prefix_trie.ORACLE_SQL,
+    "op13_structure_repair": structure_repair.ORACLE_SQL,
 }
