@@ -2,7 +2,7 @@
 
 A batch of texts is split into pre-tokens with array operations over code points, equal pre-tokens are encoded once, and
 the ids are gathered back in text order. A pre-token that is no token itself goes through a queue of merges: each rank has a
-bucket of positions in a linked list of parts, a bitmap of three levels finds the lowest rank that has any, and entries
+bucket of positions in a linked list of parts, a bitmap of two levels finds the lowest rank that has any, and entries
 whose pair has changed since are skipped. The lowest rank goes first and the leftmost pair of it, so that ids equal those
 of the usual loop over all pairs, while a pre-token of n bytes costs n log n steps instead of n squared.
 
@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -33,50 +34,12 @@ from .common import BASE, frugal, powers, record_batch, table, tune, utf8
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Bytes of text worked on at once, and pre-tokens whose ids a worker remembers.
-SLAB, REMEMBERED = 1 << 20, 1 << 19
+SLAB, REMEMBERED = 1 << 20, 1 << 20
 
 OTHER, LETTER, NUMBER, WHITE, END = range(5)
 _CUT = re.compile(rb"[!-~](?=[ \n])")
 
 
-class RankQueue:
-    """Positions by rank. Three levels of 64-bit words say which ranks have any."""
-
-    def __init__(self, ranks: int):
-        self.low, self.mid, self.top = [0] * (ranks // 64 + 1), [0] * (ranks // 4096 + 1), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        self.low[rank >> 6] |= 1 << (rank & 63)
-        self.mid[rank >> 12] |= 1 << (rank >> 6 & 63)
-        self.top |= 1 << (rank >> 12)
-
-    def pop(self) -> tuple[int, int] | None:
-        """The lowest rank and its leftmost position; None if there is nothing."""
-        if not self.top:
-            return None
-        a = (self.top & -self.top).bit_length() - 1
-        word = self.mid[a]
-        b = a << 6 | (word & -word).bit_length() - 1
-        word = self.low[b]
-        rank = b << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[b] &= word - 1
-            if not self.low[b]:
-                self.mid[a] &= self.mid[a] - 1
-                if not self.mid[a]:
-                    self.top &= self.top - 1
-        return rank, at
-
-
 class Vocabulary:
     """Ranks of a file of lines ``base64(token) rank``."""
 
@@ -89,55 +52,88 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
         self.length = np.array([len(t) for t in tokens], np.int64)
         self.start = np.cumsum(self.length) - self.length
-        self.queue = RankQueue(len(tokens))
-        self._known: dict[bytes, list[int]] = {}
+        self.low: list[int] = [0] * (len(tokens) // 256 + 1)
+        self.buckets: dict[int, int | list[int]] = {}
+        self._known: dict[bytes, bytes] = {}
 
     def merged(self, piece: bytes) -> list[int]:
-        """Ids of a pre-token that is no token as a whole."""
-        ranks, queue, n = self.ranks, self.queue, len(piece)
+        """Ids of a pre-token that is no token as a whole.
+
+        A bucket is one position, or a heap of several. ``top`` has a bit for each word of ``low`` that isn't zero, and a
+        word one for each of 256 ranks whose bucket has a position; the least set bit of both is the lowest rank. All are
+        empty again at the end. (The queue is written out here: as calls it would take twice the time.)
+        """
+        rank_of, low, buckets, top, n = self.ranks.get, self.low, self.buckets, 0, len(piece)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that starts at each place
-        pair = [-1] * n  # rank of a part with the next one; -1: none, or no part starts here
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while (best := queue.pop()) is not None:
-            rank, i = best
-            if pair[i] != rank:
-                continue  # stale
+        pair = [rank_of(piece[i : i + 2]) for i in range(n - 1)]  # rank of a part with the next one
+        pair.append(None)
+        fresh = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
+        while True:
+            for rank, i in fresh:
+                held = buckets.get(rank)
+                if held is None:
+                    buckets[rank] = i
+                    word = rank >> 8
+                    low[word] |= 1 << (rank & 255)
+                    top |= 1 << word
+                elif type(held) is int:
+                    buckets[rank] = [held, i] if held < i else [i, held]
+                else:
+                    heapq.heappush(held, i)
+            fresh = []
+            while top:
+                some = top & -top
+                word = some.bit_length() - 1
+                bits = low[word]
+                bit = bits & -bits
+                rank = word << 8 | bit.bit_length() - 1
+                i = buckets[rank]
+                if type(i) is int:
+                    del buckets[rank]
+                    low[word] = bits = bits ^ bit
+                    if not bits:
+                        top ^= some
+                else:
+                    held = i
+                    i = heapq.heappop(held)
+                    if len(held) == 1:
+                        buckets[rank] = held[0]
+                if pair[i] == rank:  # else stale
+                    break
+            else:
+                break
             j = end[i]
             end[i] = k = end[j]
-            pair[i] = pair[j] = -1
+            pair[i] = pair[j] = None
             if k < n:
                 before[k] = i
-                new = ranks.get(piece[i : end[k]])
+                new = pair[i] = rank_of(piece[i : end[k]])
                 if new is not None:
-                    pair[i] = new
-                    queue.push(new, i)
+                    fresh.append((new, i))
             if i:
                 h = before[i]
-                new = ranks.get(piece[h:k])
-                if new is None:
-                    pair[h] = -1
-                elif pair[h] != new:
+                new = rank_of(piece[h:k])
+                if new != pair[h]:
                     pair[h] = new
-                    queue.push(new, h)
-        out, i = [], 0
+                    if new is not None:
+                        fresh.append((new, h))
+        out, i, ranks = [], 0, self.ranks
         while i < n:
-            out.append(ranks[piece[i : end[i]]])
-            i = end[i]
+            j = end[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return out
 
-    def ids(self, piece: bytes) -> list[int]:
+    def ids(self, piece: bytes) -> bytes:
+        """The ids of a pre-token, in four bytes each."""
         whole = self.ranks.get(piece)
         if whole is not None:
-            return [whole]
+            return whole.to_bytes(4, "little")
         known = self._known.get(piece)
         if known is None:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
-            known = self.merged(piece)
+            known = array("I", self.merged(piece)).tobytes()
             if len(piece) <= 64:
                 self._known[piece] = known
         return known
@@ -237,8 +233,8 @@ def encoded(texts: list[bytes], vocab: Vocabulary) -> Iterator[np.ndarray]:
         group = np.array([number.setdefault(p, len(number)) for p in every], np.int64)
         distinct = list(number)
     found = [vocab.ids(p) for p in distinct]
-    count = np.array([len(f) for f in found], np.int64)
-    flat = np.fromiter((x for f in found for x in f), np.uint32, int(count.sum()))
+    count = np.array([len(f) for f in found], np.int64) >> 2
+    flat = np.frombuffer(b"".join(found), np.uint32)
     n_ids = count[group]
     ids = flat[_ranges((np.cumsum(count) - count)[group], n_ids)]
     edge = np.r_[0, np.cumsum(n_ids)][np.r_[0, np.cumsum(pieces_of)]]
