@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import parse_fingerprint
 
+from .order import placed
+
 NEW, CHANGED, UNCHANGED, REMOVED = "new", "changed", "unchanged", "removed"
 OK, UNSUPPORTED, UNREADABLE = "ok", "unsupported", "unreadable"
 
@@ -40,8 +42,7 @@ def detect_changes(scan: DataFrame, documents: DataFrame, scope: tuple[str, ...]
 def in_order(rows: DataFrame, scope: tuple[str, ...] = (), by: tuple[str, ...] = ("file_name",), name: str = "ord") -> DataFrame:
     """``rows`` with their place (from 0) within ``scope`` by file name in code point order: for the reader to sort by, as
     rows of a distributed table have no order of their own."""
-    along = Window.partitionBy(*scope).orderBy(*by)
-    return rows.withColumn(name, (F.row_number().over(along) - 1).cast("long"))
+    return placed(rows, by, scope, name)
 
 
 def by_change(changes: DataFrame, change: str) -> DataFrame:

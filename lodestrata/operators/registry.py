@@ -5,8 +5,12 @@ break, writes what changed, and swaps one pointer file. Rows that are only added
 ones, and only they are checked, so an insert costs what it brings and not what is there; after ``PARTS`` folders a table
 is written anew. Readers see whole versions only. Reading never creates a registry, and a missing one is not an empty one.
 
-The lock names its owner. A writer that died leaves its lock behind: once that is older than ``lock_expiry_s`` the next
-writer moves it aside, and a writer that was only slow finds at its swap that the lock is no longer its own, and gives up.
+The lock names its owner, who renews it while the write lasts. A writer that died leaves its lock behind: once that is older
+than ``lock_expiry_s`` the next writer moves it aside, and a writer that was only cut off finds at its swap that the lock is
+no longer its own, and gives up.
+
+A sync run is open until it has a ``finished_at``. Whoever works at it renews a lease of its name; an open run whose lease
+has run out, or that never had one and is older than ``run_expiry_s``, has died and stands in nobody's way.
 
 Besides the six tables that users see, ``chunk_file`` says which version of the chunk store holds each file's rows, so that
 store and registry switch by the same pointer.
@@ -18,7 +22,7 @@ import json
 import time
 import uuid
 from contextlib import contextmanager
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,8 @@ from pyspark.sql import types as T
 from lodestrata.functions.text import strip
 from lodestrata.settings import Settings
 
+from .lease import Lease, age
+
 
 class RegistryError(Exception):
     """Any refusal of the registry."""
@@ -60,6 +66,10 @@ class InvalidFolder(RegistryError):
     pass
 
 
+class SyncInProgress(RegistryError):
+    """What was asked for has to wait for a sync of the workspace that is under way."""
+
+
 _TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType()}
 
 
@@ -259,11 +269,28 @@ class Registry:
                 time.sleep(0.1)
 
     def _stale(self, lock) -> bool:
-        try:
-            age = time.time() - self._fs.getFileStatus(lock).getModificationTime() / 1000
-        except Exception:  # it went meanwhile
-            return False
-        return age > self.settings.lock_expiry_s
+        old = age(self._fs, lock)  # None: it went meanwhile
+        return old is not None and old > self.settings.lock_expiry_s
+
+    # open runs
+
+    def run_lease(self, run_id: str) -> Lease:
+        """The lease of a run, made now; to be held by whoever works at it."""
+        at = self._path(f"{self.path}/leases/{run_id}")
+        self._write_text(at, run_id, True)
+        return Lease(self._fs, at, self.settings.lease_s)
+
+    def run_is_dead(self, run_id: str, started_at: datetime) -> bool:
+        old = age(self._fs, self._path(f"{self.path}/leases/{run_id}"))
+        if old is None:
+            return started_at < now() - timedelta(seconds=self.settings.run_expiry_s)
+        return old > self.settings.lease_s
+
+    def open_runs(self, runs: DataFrame, workspace_id: str) -> tuple[list[str], list[str]]:
+        """The ids of a workspace's open runs, alive and dead. There is one alive at most, and few died unnoticed."""
+        rows = runs.where((F.col("workspace_id") == workspace_id) & F.col("finished_at").isNull()).select("id", "started_at").collect()
+        dead = [r.id for r in rows if self.run_is_dead(r.id, r.started_at)]
+        return [r.id for r in rows if r.id not in dead], dead
 
     def _owns(self, lock, token: str) -> bool:
         return bool(self._fs.exists(lock)) and self._text(lock) == token
@@ -277,10 +304,11 @@ class Registry:
         try:
             pointer = self._pointer()
             draft = Draft(self.tables() if pointer else {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()})
-            yield draft
-            changed = list(TABLES) if pointer is None else draft.changed()
-            if changed:
-                self._store(draft, changed, dict(pointer or {}), made, lambda: self._owns(lock, token))
+            with Lease(self._fs, lock, self.settings.lock_expiry_s, lambda: self._owns(lock, token)):
+                yield draft
+                changed = list(TABLES) if pointer is None else draft.changed()
+                if changed:
+                    self._store(draft, changed, dict(pointer or {}), made, lambda: self._owns(lock, token))
         except BaseException:
             for path in made:
                 self._fs.delete(self._path(path), True)
@@ -360,10 +388,12 @@ class Registry:
             gone = draft[table].where(F.col("id") == id_).select("id")
             if table == "workspace" and gone.isEmpty():
                 raise WorkspaceNotFound(f"no workspace has the id {id_}")
+            if table == "workspace" and self.open_runs(draft["sync_run"], id_)[0]:
+                raise SyncInProgress(f"a sync of {id_} is under way; it has to end, or be cancelled, before the workspace can go")
             draft.update(cascaded(draft, table, gone))
 
     def delete_workspace(self, workspace_id: str) -> None:
-        """With all that belongs to it; files on disk stay."""
+        """With all that belongs to it; files on disk stay. Refused while a sync of it is under way."""
         self._delete("workspace", workspace_id)
 
     def delete_document(self, document_id: str) -> None:

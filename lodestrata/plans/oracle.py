@@ -328,4 +328,14 @@ ORACLE_SQL = {
     "stale_tail": f"""WITH RECURSIVE {_PARENTS} SELECT source_file, CAST(parent_index AS BIGINT) AS parent_index, section_label, text FROM parents WHERE doc_id % 3 = 2
       UNION ALL SELECT source_file, CAST(0 AS BIGINT), 'doc ' || doc_id, 'short ' || doc_id FROM markdown WHERE doc_id % 3 = 0""",
     "embedded_passages": "SELECT item_id, CAST(32 AS BIGINT) AS width, CAST(1.0 AS DOUBLE) AS norm FROM benchmark WHERE trim(text, ' ' || chr(9) || chr(10)) <> ''",
+    # a table function takes no path from a query: this one is for the folder that the gate runs on
+    "folder_files": """SELECT parse_filename(filename) AS file_name, sha256(content) AS digest, size AS size_bytes, row_number() OVER (ORDER BY parse_filename(filename)) - 1 AS ord
+      FROM read_blob('/root/testdata/sf0.01/*.parquet')""",
+    "sync_progress": """WITH n AS (SELECT count(*) AS n FROM benchmark), waves AS (SELECT n, unnest(range(1, greatest(1, (n + 24) // 25) + 1)) AS k FROM n)
+      SELECT 'whole' AS workspace, CAST(0 AS BIGINT) AS seq, 'scanned' AS state, CAST(0 AS BIGINT) AS done, n AS total, n AS documents FROM n
+      UNION ALL SELECT 'whole', k, 'stored', least(25 * k, n), n, n FROM waves
+      UNION ALL SELECT 'whole', (n + 24) // 25 + 1, 'finished', n, n, n FROM n
+      UNION ALL SELECT 'cut', 0, 'scanned', 0, n, least(25, n) FROM n
+      UNION ALL SELECT 'cut', 1, 'stored', least(25, n), n, least(25, n) FROM n
+      UNION ALL SELECT 'cut', 2, CASE WHEN n > 25 THEN 'cancelled' ELSE 'finished' END, least(25, n), n, least(25, n) FROM n""",
 }

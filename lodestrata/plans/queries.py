@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
 from lodestrata.functions.vectors import norm
-from lodestrata.operators import diff, embed, evaluate, registry, retrieve, segment, sync
+from lodestrata.operators import diff, embed, evaluate, jobs, order, registry, retrieve, segment, sync
 from lodestrata.settings import Settings
+from lodestrata.sources import files
 from lodestrata.sources.convert import convert_contents, convert_text
 
 from . import storage
@@ -347,11 +348,39 @@ def embedded_passages(spark: SparkSession, d: str) -> DataFrame:
     return made.select("item_id", F.size("dense").cast("long").alias("width"), F.round(norm(F.col("dense")), 5).alias("norm"))
 
 
+def folder_files(spark: SparkSession, d: str) -> DataFrame:
+    """The files of the tables' own folder, hashed where they are listed, with their places by name."""
+    rows = files.folder_files(spark, d, ("parquet",)).where("scan_state = 'ok'")
+    return order.placed(rows.select("file_name", "digest", "size_bytes"), ("file_name",))
+
+
+SYNC_WAVE = 25
+
+
+def sync_progress(spark: SparkSession, d: str) -> DataFrame:
+    """What two syncs in the background report of a folder with a file for each benchmark item, in waves of ``SYNC_WAVE``: one
+    that runs to its end, and one that is cancelled after its first wave; with the documents that each left in the registry."""
+    folder = f"{storage.shared_folder(spark)}/jobs-{uuid.uuid4().hex}"
+    t.write_files(t.load(spark, d, "benchmark").select(F.format_string("%08d.md", "item_id").alias("file_name"), "text"), f"{folder}/docs")
+    reg = registry.Registry(spark, f"{folder}/registry", SETTINGS)
+    store = sync.ChunkStore(reg, f"{folder}/store")
+    settings = replace(SETTINGS, wave_files=SYNC_WAVE)
+    stop = lambda job, row: job.cancel() if row["state"] == "stored" else None
+    for name, watch in (("whole", None), ("cut", stop)):
+        job = jobs.start_sync(reg, store, reg.create_workspace(name, f"{folder}/docs"), settings=settings, watch=watch)
+        job.wait()
+        if job.error is not None and not isinstance(job.error, sync.SyncCancelled):
+            raise job.error
+    known = reg.table("document").groupBy("workspace_id").agg(F.count("*").alias("documents"))
+    rows = jobs.progress(reg).join(reg.table("workspace").select(F.col("id").alias("workspace_id"), F.col("name").alias("workspace")), "workspace_id").join(known, "workspace_id")
+    return rows.select("workspace", "seq", "state", "done", "total", "documents")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
-        latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages,
+        latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages, folder_files, sync_progress,
     )
 }

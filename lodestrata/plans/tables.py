@@ -130,3 +130,20 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(inside, (F.pmod("n_chars", F.lit(101)) + 899) / 1000.0).cast("double").alias("groundedness"), F.when(inside, F.pmod("n_chars", F.lit(89)) / 100.0).cast("double").alias("relevancy"),
         (F.col("quality") == 1).alias("passed"), (F.col("n_chars") > 300).alias("sourced"),
     )
+
+
+def write_files(rows: DataFrame, folder: str) -> None:
+    """A file below ``folder`` for each row (file_name, text), written where the rows are."""
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        for batch in batches:
+            system.create_dir(root, recursive=True)
+            for name, text in zip(batch["file_name"], batch["text"], strict=True):
+                with system.open_output_stream(f"{root}/{name}") as out:
+                    out.write((text or "").encode())
+            yield batch[["file_name"]]
+
+    rows.mapInPandas(write, "file_name string").count()

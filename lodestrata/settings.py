@@ -40,6 +40,8 @@ class Settings:
     # registry
     busy_timeout_s: float = 30.0
     lock_expiry_s: float = 600.0
+    lease_s: float = 60.0
+    wave_files: int = 10_000
     run_expiry_s: float = 6 * 3600.0
     # release gate
     gate_groundedness: float = 0.90

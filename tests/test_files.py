@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.settings import Settings
+from lodestrata.operators import order
 from lodestrata.sources import convert, files, readers
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -55,6 +56,46 @@ def test_a_file_that_cannot_be_read_is_a_row(spark, tmp_path):
     assert rows == {"a.txt": ("ok", None), "b.txt": ("unreadable", "no entry")}
 
 
+def test_a_million_names_pass_no_driver_table(spark, tmp_path):
+    def many(folder):
+        yield from ((f"{i:07}.txt" if i % 2 else f"{i:07}.bin", f"file:/{i}", i) for i in range(1_000_000))
+
+    source = type("ManyFiles", (files.FolderFiles,), {"entries": staticmethod(many), "name": classmethod(lambda cls: "many_files")})
+    rows = files.folder_files(spark, str(tmp_path), source=source, shards=8).withColumn("task", F.spark_partition_id())
+    r = rows.agg(F.count("*").alias("n"), F.countDistinct("file_name").alias("names"), F.sum("listed_bytes").alias("bytes"), F.countDistinct("task").alias("tasks")).first()
+    assert (r.n, r.names, r.bytes, r.tasks) == (1_000_000, 1_000_000, 499_999_500_000, 8)
+
+
+def test_names_that_are_no_text_and_links_to_nothing_are_rows(spark, tmp_path):
+    import os
+
+    with open(os.fsencode(tmp_path) + b"/bad\xff.txt", "wb") as f:
+        f.write(b"x")
+    (tmp_path / "to.txt").symlink_to(tmp_path / "nothing.txt")
+    (tmp_path / "good.txt").write_text("x")
+    rows = {r.file_name: (r.scan_state, r.reason) for r in files.scan_folder(spark, f"file:{tmp_path}").collect()}
+    assert rows == {"bad\ufffd.txt": ("unreadable", files.NAME_REASON), "good.txt": ("ok", None)}
+
+
+def test_places_by_ranges_are_those_of_one_sort(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("scope"), F.lit("x").alias("extra"))
+    got = [tuple(r) for r in order.placed(rows, ("v",), ("scope",), "place").select("scope", "v", "place").collect()]
+    by = {}
+    for scope, v, _ in got:
+        by.setdefault(scope, []).append(v)
+    assert len(got) == 5000 and sorted(got, key=str) == sorted(((s, v, i) for s, vs in by.items() for i, v in enumerate(sorted(vs))), key=str)
+    assert order.placed(rows.limit(0), ("v",)).count() == 0
+    assert {(r.v, r.ord) for r in order.placed(rows, ("v",)).collect()} == {(v, i) for i, v in enumerate(sorted(v for _, v, _ in got))}
+
+
+def test_pages_follow_each_other(spark):
+    rows = spark.range(257).select((F.col("id") % 5).alias("a"), F.col("id").alias("b"))
+    seen, after = [], None
+    while page := [tuple(r) for r in order.pages(rows, ("a", "b"), 50, after).collect()]:
+        seen, after = seen + page, page[-1]
+    assert seen == sorted((i % 5, i) for i in range(257))
+
+
 def test_missing_and_empty_folders(spark, tmp_path):
     with pytest.raises(files.FolderNotFound):
         files.scan_folder(spark, str(tmp_path / "none"))

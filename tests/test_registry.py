@@ -48,7 +48,7 @@ def test_cascade_set_null_and_isolation(reg):
     w, other = reg.create_workspace("w", "/w"), reg.create_workspace("o", "/o")
     for ws in (w, other):
         d = reg.insert_document(ws, "a.md", "md", "sha256:x:1")
-        run = reg.insert_sync_run(ws, added=1)
+        run = reg.insert_sync_run(ws, finished_at=r.now(), added=1)
         reg.insert_sync_item(run, "a.md", "added", d)
         e = reg.insert_eval_run(ws, True, 0.95, 0.9, 20, 20)
         reg.insert_eval_result(e, "q1", "in_scope", True, 0.9, None)
