@@ -67,7 +67,7 @@ class SyncJob:
 
     def __init__(self, registry: Registry, store: sync.ChunkStore, workspace_id: str, encoder=None, settings: Settings = Settings(), readers=READERS, watch=None):
         self.registry, self.workspace_id, self.watch = registry, workspace_id, watch
-        self.run_id = sync.open_run(registry, workspace_id)
+        self.run_id = sync.open_run(registry, workspace_id, settings)
         self.error: BaseException | None = None
         self._seq, self._last = 0, (0, 0)
         self._asked = registry._path(f"{registry.path}/cancel/{self.run_id}")

@@ -280,16 +280,16 @@ class Registry:
         self._write_text(at, run_id, True)
         return Lease(self._fs, at, self.settings.lease_s)
 
-    def run_is_dead(self, run_id: str, started_at: datetime) -> bool:
-        old = age(self._fs, self._path(f"{self.path}/leases/{run_id}"))
+    def run_is_dead(self, run_id: str, started_at: datetime, settings: Settings | None = None) -> bool:
+        settings, old = settings or self.settings, age(self._fs, self._path(f"{self.path}/leases/{run_id}"))
         if old is None:
-            return started_at < now() - timedelta(seconds=self.settings.run_expiry_s)
-        return old > self.settings.lease_s
+            return started_at < now() - timedelta(seconds=settings.run_expiry_s)
+        return old > settings.lease_s
 
-    def open_runs(self, runs: DataFrame, workspace_id: str) -> tuple[list[str], list[str]]:
+    def open_runs(self, runs: DataFrame, workspace_id: str, settings: Settings | None = None) -> tuple[list[str], list[str]]:
         """The ids of a workspace's open runs, alive and dead. There is one alive at most, and few died unnoticed."""
         rows = runs.where((F.col("workspace_id") == workspace_id) & F.col("finished_at").isNull()).select("id", "started_at").collect()
-        dead = [r.id for r in rows if self.run_is_dead(r.id, r.started_at)]
+        dead = [r.id for r in rows if self.run_is_dead(r.id, r.started_at, settings)]
         return [r.id for r in rows if r.id not in dead], dead
 
     def _owns(self, lock, token: str) -> bool:

@@ -106,12 +106,12 @@ class Course:
             raise SyncCancelled("the sync was cancelled")
 
 
-def open_run(registry: Registry, workspace_id: str) -> str:
+def open_run(registry: Registry, workspace_id: str, settings: Settings | None = None) -> str:
     """The id of a new open run. Refused while another one of the workspace is alive; those that died are closed."""
     registry.get_workspace(workspace_id)
     run_id, started = str(uuid.uuid4()), now()
     with registry.transaction() as draft:
-        alive, dead = registry.open_runs(draft["sync_run"], workspace_id)
+        alive, dead = registry.open_runs(draft["sync_run"], workspace_id, settings)
         if alive:
             raise SyncInProgress(f"a sync of {workspace_id} is under way")
         for one in dead:
@@ -134,7 +134,7 @@ def _closed(draft, run_id: str) -> DataFrame:
 def sync(registry: Registry, store: ChunkStore, workspace_id: str, encoder=None, settings: Settings = Settings(), readers=READERS) -> str:
     """Run one sync and give its id. Files whose bytes didn't change are neither converted nor segmented again. A second
     sync of a workspace while one is under way is refused. :mod:`lodestrata.operators.jobs` runs one in the background."""
-    run_id = open_run(registry, workspace_id)
+    run_id = open_run(registry, workspace_id, settings)
     run(registry, store, workspace_id, run_id, encoder, settings, readers)
     return run_id
 
