@@ -174,13 +174,13 @@ def ask(
     texts and vectors. The loop is over attempts; each handles all open queries at once."""
     open_, kept, tries = queries, None, None
     for attempt in range(settings.retry_ceiling + 1):
-        good = grade(search(open_, chunks))
+        good = stored(grade(search(open_, chunks)), "good")  # read by what follows, and by each later attempt
         this = open_.select("query_id", F.lit(attempt).alias("attempt"), F.col("text").alias("search"))
         kept, tries = (good, this) if kept is None else (kept.unionByName(good), tries.unionByName(this))
         open_ = open_.join(good.select("query_id").distinct(), "query_id", "left_anti")
         if attempt == settings.retry_ceiling or open_.isEmpty():
             break
-        open_ = reword(open_, attempt + 1)
+        open_ = stored(reword(open_, attempt + 1), "open")
     found = with_parents(kept, chunks, parents)
     if trace_folder:
         append_traces(traces(queries, found, tries), trace_folder)

@@ -338,4 +338,24 @@ ORACLE_SQL = {
       UNION ALL SELECT 'cut', 0, 'scanned', 0, n, least(25, n) FROM n
       UNION ALL SELECT 'cut', 1, 'stored', least(25, n), n, least(25, n) FROM n
       UNION ALL SELECT 'cut', 2, CASE WHEN n > 25 THEN 'cancelled' ELSE 'finished' END, least(25, n), n, least(25, n) FROM n""",
+    "block_topk": f"""WITH {_FILES}, chunks AS (SELECT doc_id AS chunk_id, lang AS workspace_id, text FROM files), spaces AS (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang), questions AS (SELECT item_id || '/' || lang AS query_id, lang AS workspace_id, text FROM benchmark, spaces), {_bm25(5)}
+      SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse""",
+    "block_work": f"""WITH {_FILES}, held AS (SELECT DISTINCT workspace_id, block, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term
+        FROM (SELECT lang AS workspace_id, text, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16 AS block FROM files)),
+      asked AS (SELECT DISTINCT item_id || '/' || lang AS query_id, lang AS workspace_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang))
+      SELECT query_id, count(DISTINCT block) AS blocks, least(2, count(DISTINCT block)) AS probed, true AS accounted FROM asked JOIN held USING (workspace_id, term) GROUP BY query_id""",
+    "session_memory": """WITH starts AS (SELECT *, count(*) FILTER ((conv_id + turn) % 5 = 3) OVER (PARTITION BY conv_id ORDER BY turn) AS epoch FROM conversations),
+      seen AS (SELECT conv_id, turn, list(concat_ws(':', role, text)) OVER (PARTITION BY conv_id, epoch ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS memory FROM starts)
+      SELECT conv_id AS session_id, turn, CAST(coalesce(len(memory), 0) AS BIGINT) AS remembered, coalesce(array_to_string(memory, chr(10)), '') AS memory FROM seen""",
+    "clarified": f"""WITH {_DENSE}, hits AS (SELECT *, 's' || CAST(floor(chunk_id / 100) AS BIGINT) AS source FROM dense WHERE chunk_id <> query_id), vectors_of AS (SELECT vec_id, CAST(label AS VARCHAR) AS w FROM vectors),
+      named AS (SELECT h.*, v.w || '/' || h.source AS parent_id FROM hits h JOIN vectors_of v ON v.vec_id = h.chunk_id),
+      parents AS (SELECT query_id, parent_id, max(score) AS score FROM named GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, parent_id) AS n FROM parents),
+      two AS (SELECT query_id, max(score) FILTER (n = 1) AS a, max(score) FILTER (n = 2) AS b, max(parent_id) FILTER (n = 2) AS reply, string_agg(parent_id, ';' ORDER BY n) FILTER (n <= 2) AS options FROM ranked GROUP BY query_id),
+      unclear AS (SELECT * FROM two WHERE (a - b) / a < 0.05)
+      SELECT h.query_id, coalesce(u.options, '') AS options, h.chunk_id, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank) AS rank
+      FROM named h LEFT JOIN unclear u ON u.query_id = h.query_id WHERE u.query_id IS NULL OR h.parent_id = u.reply""",
+    "routed": """WITH v AS (SELECT vec_id, CAST(label AS VARCHAR) AS workspace_id, embedding FROM embeddings), scores AS (SELECT q.vec_id AS query_id, c.workspace_id, c.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS score
+        FROM v q, v c WHERE q.vec_id % 20 = 0), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, workspace_id ORDER BY score DESC, chunk_id) AS n FROM scores),
+      sums AS (SELECT query_id, workspace_id, sum(score) AS score FROM best WHERE n <= 5 GROUP BY ALL)
+      SELECT query_id, workspace_id, round(score, 6) AS score FROM sums QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, workspace_id) = 1""",
 }

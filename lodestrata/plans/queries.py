@@ -5,12 +5,12 @@ from __future__ import annotations
 import uuid
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
 from lodestrata.functions.vectors import norm
-from lodestrata.operators import diff, embed, evaluate, jobs, order, registry, retrieve, segment, sync
+from lodestrata.operators import diff, embed, evaluate, impacts, jobs, order, registry, retrieve, segment, sessions, sync
 from lodestrata.settings import Settings
 from lodestrata.sources import files
 from lodestrata.sources.convert import convert_contents, convert_text
@@ -376,11 +376,61 @@ def sync_progress(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("workspace", "seq", "state", "done", "total", "documents")
 
 
+BLOCK = 16
+
+
+def _by_blocks(spark: SparkSession, d: str) -> impacts.Found:
+    folder = f"{storage.shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    chunks = t.spread(t.files(spark, d)).select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("workspace_id"), "text")
+    impacts.write_index(chunks, folder, block=BLOCK)
+    return impacts.top_k(_questions(spark, d), impacts.read_index(spark, folder), SETTINGS.top_k, SETTINGS)
+
+
+def block_topk(spark: SparkSession, d: str) -> DataFrame:
+    """What ``bm25_topk`` finds, from a written index of which most blocks are skipped."""
+    return _by_blocks(spark, d).hits.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def block_work(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks that hold a term of each query, how many of them are probed, and whether every one was probed, read or skipped."""
+    work = _by_blocks(spark, d).work
+    return work.select("query_id", "blocks", "probed", (F.col("probed") + F.col("read") + F.col("skipped") == F.col("blocks")).alias("accounted"))
+
+
+def session_memory(spark: SparkSession, d: str) -> DataFrame:
+    """What each turn of the conversations may refer to: four turns at most, none from before a new start."""
+    turns = t.load(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
+    starts = turns.where("(session_id + turn) % 5 = 3").select("session_id", "turn")
+    out = sessions.with_memory(turns, starts, 4)
+    return out.select("session_id", "turn", F.size("memory").cast("long").alias("remembered"), F.array_join(F.transform("memory", lambda m: F.concat_ws(":", m["role"], m["text"])), "\n").alias("memory"))
+
+
+def clarified(spark: SparkSession, d: str) -> DataFrame:
+    """Queries whose best two parents are too close wait, with these as options; the reply is always the last option, and the
+    search goes on with the hits of that parent."""
+    queries, chunks, _, _ = _asked(spark, d)
+    hits = retrieve.dense_top_k(queries, chunks, SETTINGS.top_k).join(chunks.select("chunk_id", "parent_id"), "chunk_id")
+    hits = storage.stored(hits.where(F.col("chunk_id") != F.col("query_id")), "hits")
+    on, wait = sessions.questions_back(queries.select("query_id"), hits, 0.05, 2)
+    after = sessions.resumed(wait, wait.select("query_id", F.element_at("options", -1).alias("parent_id")), hits)
+    rows = hits.join(on, "query_id").withColumn("options", F.lit("")).select("query_id", "options", "chunk_id", "rank")
+    rows = rows.unionByName(after.join(wait.select("query_id", F.array_join("options", ";").alias("options")), "query_id").select("query_id", "options", "chunk_id", "rank"))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return rows.select("query_id", "options", "chunk_id", F.row_number().over(order).cast("long").alias("rank"))
+
+
+def routed(spark: SparkSession, d: str) -> DataFrame:
+    """The workspace that each query belongs to by its nearest vectors, asked in none."""
+    queries, vectors = _vectors(spark, d)
+    return retrieve.route_workspace(queries.select("query_id", "dense"), vectors, SETTINGS.top_k).select("query_id", "workspace_id", F.round("score", 6).alias("score"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
         latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages, folder_files, sync_progress,
+        block_topk, block_work, session_memory, clarified, routed,
     )
 }

@@ -78,7 +78,7 @@ def test_names_that_are_no_text_and_links_to_nothing_are_rows(spark, tmp_path):
 
 
 def test_places_by_ranges_are_those_of_one_sort(spark):
-    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("scope"), F.lit("x").alias("extra"))
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("scope"), *[F.lit("x").alias(c) for c in ("_at", "_PART", "_first", "_n", "_run")])
     got = [tuple(r) for r in order.placed(rows, ("v",), ("scope",), "place").select("scope", "v", "place").collect()]
     by = {}
     for scope, v, _ in got:
