@@ -22,15 +22,19 @@ WHITE = "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0
 
 
 def strip(c: Column | str) -> Column:
-    """Without Unicode white space at either end."""
-    return F.btrim(_col(c), F.lit(WHITE))
+    """Without Unicode white space at either end. Trimming a set of characters on the right goes over the whole text, so that
+    is left out where the last character asks for none."""
+    left = F.ltrim(_col(c), F.lit(WHITE))
+    return F.when(F.lit(WHITE).contains(F.substr(left, F.lit(-1))), F.rtrim(left, F.lit(WHITE))).otherwise(left)
 
 
 def lines(c: Column | str) -> Column:
     """The lines of a text at any Unicode line boundary. An end of line at the very end leaves an empty last item."""
-    c = _col(c)
+    c, odd = _col(c), F.lit(False)
+    for end in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":  # each a plain search for bytes, which a class of a regex is not
+        odd |= c.contains(end)
     # plain newlines split without a regex
-    return F.when(c.rlike(r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"), F.split(c, _LINE_END)).otherwise(F.split(c, "\n"))
+    return F.when(odd, F.split(c, _LINE_END)).otherwise(F.split(c, "\n"))
 
 
 def unix_newlines(c: Column | str) -> Column:
