@@ -4,12 +4,13 @@ Pass one scatters records to memory-sized buckets by a seeded hash of key and te
 puts it in canonical order (key, checksum, size, a hash of all columns; what ties then are equal rows), applies a
 Fisher-Yates shuffle seeded by the bucket, and writes. The global order is bucket after bucket; with the bucket counts'
 prefix sums each record knows its position, and position modulo the number of shards deals records out so that counts
-differ by one at most (law ``rows``). A rerun or a lost executor gives the same result.
+differ by one at most (law ``rows``). A rerun, a lost executor or another partitioning of the input gives the same result.
 
-The number of buckets follows the bytes: ``total / bucket_bytes``. A bucket that is over ``CROWDED`` times that size without
-its largest row means that rows repeat in key and text; all rows then are written once and scattered by their place in that
-table too, so that no bucket holds more than its share (and a rerun is the same for the same partitions). Bucket counts are a table of their own: prefix sums run in parts of
-``RUN`` buckets, and only one number for each part comes to the driver.
+The number of buckets follows the bytes: ``total / bucket_bytes``. Rows that repeat both key and text, and would fill more
+than a ``HOT``-th of a bucket with that, are scattered by all their columns and the number of the copy. Copies are the same
+in whatever order, so that they are counted rather than numbered: a group is one row with its count, made in part before
+the shuffle, and then copied out. Bucket counts are a table of their own: prefix sums run in parts of ``RUN`` buckets, and
+only one number for each part comes to the driver.
 
 Null texts have size 1 and crc 0. Rows without a key, and rows that repeat one, get places of their own. An empty table
 gives no rows; other columns ride along untouched, in their own types. Where one has the name of an added column, that one
@@ -27,10 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, stored, table, tune, utf8
+from .common import free_name, scratch, stored, table, tune, utf8
 
 SHARDS, SEED, BUCKET_BYTES = 8, 20240607, 16 << 20
-CROWDED, RUN = 4, 4096
+HOT, FEW_HOT, RUN = 8, 100_000, 4096
+
+
+def _hashable(field: T.StructField) -> Column:
+    """The column, or its JSON where it has a kind of value that can't be hashed."""
+    kind = field.dataType.simpleString()
+    return F.to_json(F.struct(F.col(f"`{field.name}`"))) if "map<" in kind or "variant" in kind else F.col(f"`{field.name}`")
 
 
 def fisher_yates(n: int, seed: int) -> np.ndarray:
@@ -65,18 +72,25 @@ def external_shuffle(df: DataFrame, key: str = "doc_id", text: str = "text", sha
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     n_buckets = max(1, -(-(df.agg(F.sum(size)).first()[0] or 0) // bucket_bytes))
 
-    def scattered(rows: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame]:
-        dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text), *more), F.lit(n_buckets)))
-        return dealt, stored(dealt.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"), F.max(size).alias("most")), "buckets")
-
-    dealt, sizes = scattered(df)
-    if not sizes.where(F.col("bytes") - F.col("most") > CROWDED * bucket_bytes).isEmpty():
-        rows = stored(df, "records")
-        place = F.xxhash64(F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1), F.col("_metadata.row_index"))
-        dealt, sizes = scattered(rows.withColumn(salt, place), F.col(salt))
-    hashable = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    starts = stored(_positions(sizes), "starts").select(F.col("bucket").alias(bucket), F.col("first").alias(first))
-    ready = dealt.withColumn(tie, F.xxhash64(*hashable)).join(starts, bucket).select(*[F.col(f"`{n}`") for n in names], bucket, first, tie)
+    with scratch(df.sparkSession) as keep:
+        hashed = [F.xxhash64(F.lit(k), F.col(key), F.col(text)) for k in (0, 1)]
+        groups = df.select(hashed[0].alias("a"), hashed[1].alias("b"), size.alias("size")).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+        hot = stored(groups.where((F.col("n") > 1) & (F.col("n") * F.col("size") * HOT > bucket_bytes)).select(F.col("a").alias(bucket), F.col("b").alias(first)), "hot")
+        n_hot = hot.limit(FEW_HOT + 1).count()
+        if n_hot:
+            hot = F.broadcast(hot) if n_hot <= FEW_HOT else hot
+            own = (hashed[0] == F.col(bucket)) & (hashed[1] == F.col(first))
+            copies = df.join(hot, own, "left_semi").groupBy(*[F.col(f"`{n}`") for n in names]).agg(F.count("*").alias(salt))
+            copies = copies.withColumn(salt, F.explode(F.sequence(F.lit(1).cast("long"), F.col(salt))))
+            scatter = F.xxhash64(F.lit(seed), *[_hashable(f) for f in df.schema], F.col(salt))
+            dealt = df.join(hot, own, "left_anti").withColumn(bucket, F.xxhash64(F.lit(seed), F.col(key), F.col(text))).unionByName(copies.withColumn(bucket, scatter).drop(salt))
+        else:
+            dealt = df.withColumn(bucket, F.xxhash64(F.lit(seed), F.col(key), F.col(text)))
+        dealt = dealt.withColumn(bucket, F.pmod(F.col(bucket), F.lit(n_buckets)))
+        sizes = stored(dealt.groupBy(F.col(bucket).alias("bucket")).agg(F.count("*").alias("n")), "buckets")
+        starts = stored(_positions(sizes), "starts").select(F.col("bucket").alias(bucket), F.col("first").alias(first))
+        tied = dealt.withColumn(tie, F.xxhash64(*[_hashable(f) for f in df.schema]))
+        ready = keep(tied.join(starts, bucket).select(*[F.col(f"`{n}`") for n in names], bucket, first, tie))
 
     def shuffle_bucket(group: tuple, rows: pyarrow.Table) -> pyarrow.Table:
         raw = utf8(rows[text].combine_chunks())

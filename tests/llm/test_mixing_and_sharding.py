@@ -83,6 +83,8 @@ def test_hot_rows_are_split_and_types_survive(spark):
     assert sorted((str(r.doc_id), r.text, str(r.rider), str(r.m)) for r in found) == sorted((str(i), t, str(x), str(m)) for i, t, x, m in rows)
     assert sorted(r.position for r in found) == list(range(len(rows)))
     assert all((r.shard, r.slot) == (r.position % 8, r.position // 8) for r in found)
+    places = lambda df: sorted((str(r.doc_id), r.text, r.position, r.shard, r.slot) for r in sharding.external_shuffle(df, bucket_bytes=1500).collect())
+    assert places(docs.repartition(2)) == places(docs.repartition(7)) == places(docs.orderBy("text").coalesce(1))  # data alone decide
     same = sorted(r.position for r in found if r.text.startswith("same"))
     assert max(b - a for a, b in zip(same, same[1:])) < 100  # spread over all buckets
 
