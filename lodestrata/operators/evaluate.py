@@ -68,3 +68,20 @@ def over_cap(documents: DataFrame, settings: Settings = Settings()) -> DataFrame
     """workspace_id, files, pages, warning: whether a workspace outgrew its soft caps."""
     live = documents.where(F.col("status") != "removed").groupBy("workspace_id").agg(F.count("*").alias("files"), F.coalesce(F.sum("page_count"), F.lit(0)).alias("pages"))
     return live.withColumn("warning", (F.col("files") > settings.file_cap) | (F.col("pages") > settings.page_cap))
+
+
+#: Values that a sketch keeps of each of its levels: ranks are right to about a third of a percent.
+SKETCH_K = 800
+
+
+def latency_sketches(traces: DataFrame, by: tuple[str, ...], column: str = "seconds") -> DataFrame:
+    """Of each group (a day, say), n and a quantile sketch of ``column``: a few kilobytes, however many values there are,
+    to be stored and merged later. Nulls don't count."""
+    return traces.where(F.col(column).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(column).cast("double"), SKETCH_K).alias("sketch"))
+
+
+def merged_latency(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, median and p95 over the groups that share ``by``, from their sketches alone."""
+    merged = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    at = lambda q: F.kll_sketch_get_quantile_double("sketch", F.lit(q))
+    return merged.select(*by, "n", at(0.5).alias("median"), at(0.95).alias("p95"))

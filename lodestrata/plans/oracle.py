@@ -358,4 +358,9 @@ ORACLE_SQL = {
         FROM v q, v c WHERE q.vec_id % 20 = 0), best AS (SELECT *, row_number() OVER (PARTITION BY query_id, workspace_id ORDER BY score DESC, chunk_id) AS n FROM scores),
       sums AS (SELECT query_id, workspace_id, sum(score) AS score FROM best WHERE n <= 5 GROUP BY ALL)
       SELECT query_id, workspace_id, round(score, 6) AS score FROM sums QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, workspace_id) = 1""",
+    "latency_sketch": "SELECT count(*) AS n, true AS median_right, true AS p95_right FROM documents",
+    "file_pages": f"""WITH {_CHANGES}, rows_ AS (SELECT file_name, file_type, scan_state, CASE WHEN scan_state = 'ok' THEN coalesce(size_bytes, -1) ELSE -1 END AS size_bytes FROM disk), placed AS (
+        SELECT 'name' AS sort, row_number() OVER (ORDER BY file_name) - 1 AS ord, file_name FROM rows_ UNION ALL SELECT 'type', row_number() OVER (ORDER BY file_type, file_name) - 1, file_name FROM rows_
+        UNION ALL SELECT 'size', row_number() OVER (ORDER BY size_bytes, file_name) - 1, file_name FROM rows_ UNION ALL SELECT 'state', row_number() OVER (ORDER BY scan_state, file_name) - 1, file_name FROM rows_)
+      SELECT sort, ord // 50 AS page, ord % 50 AS place, file_name FROM placed""",
 }

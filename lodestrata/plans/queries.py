@@ -425,12 +425,36 @@ def routed(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.route_workspace(queries.select("query_id", "dense"), vectors, SETTINGS.top_k).select("query_id", "workspace_id", F.round("score", 6).alias("score"))
 
 
+def latency_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all times from sketches stored by day, and whether their ranks are right to a hundredth."""
+    times = t.load(spark, d, "documents").select(F.floor(F.col("doc_id") / 100).alias("day"), (F.col("n_chars") / 100.0).cast("double").alias("seconds"))
+    found = evaluate.merged_latency(storage.stored(evaluate.latency_sketches(times, ("day",)), "sketches"))
+    ranks = times.crossJoin(F.broadcast(found)).agg(  # one row of two numbers
+        F.count("*").alias("n"), *[F.avg((F.col("seconds") <= F.col(q)).cast("double")).alias(f"{q}_most") for q in ("median", "p95")], *[F.avg((F.col("seconds") < F.col(q)).cast("double")).alias(f"{q}_least") for q in ("median", "p95")],
+    )
+    right = lambda q, p: (F.col(f"{q}_least") <= p + 0.01) & (F.col(f"{q}_most") >= p - 0.01)
+    return ranks.select("n", right("median", 0.5).alias("median_right"), right("p95", 0.95).alias("p95_right"))
+
+
+PAGE, SORTS = 50, {"name": ("file_name",), "type": ("file_type", "file_name"), "size": ("size_bytes", "file_name"), "state": ("scan_state", "file_name")}
+
+
+def file_pages(spark: SparkSession, d: str) -> DataFrame:
+    """The file table in each of its orders: the page of ``PAGE`` rows that a file is on, and its place there."""
+    rows = t.on_disk(spark, d).select("file_name", "file_type", "scan_state", F.coalesce("size_bytes", F.lit(-1)).alias("size_bytes"))
+    out = None
+    for name, by in SORTS.items():
+        one = order.placed(rows, by).select(F.lit(name).alias("sort"), F.floor(F.col("ord") / PAGE).alias("page"), (F.col("ord") % PAGE).alias("place"), "file_name")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
         latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages, folder_files, sync_progress,
-        block_topk, block_work, session_memory, clarified, routed,
+        block_topk, block_work, session_memory, clarified, routed, latency_sketch, file_pages,
     )
 }

@@ -36,6 +36,14 @@ def test_caps_latency_and_details(spark):
     assert got == {"1": [("a", 1), ("b", 2)], "2": []}
 
 
+def test_percentiles_from_merged_sketches(spark):
+    times = spark.range(50_000).select((F.col("id") % 13).alias("day"), F.when(F.col("id") % 1000 > 0, (F.col("id") * 7919 % 50_000).cast("double")).alias("seconds"))
+    found = evaluate.merged_latency(evaluate.latency_sketches(times, ("day",))).first()
+    assert found.n == 49_950 and abs(found.median - 25_000) < 500 and abs(found.p95 - 47_500) < 500
+    empty = evaluate.merged_latency(evaluate.latency_sketches(times.limit(0), ("day",)), ("day",))
+    assert empty.count() == 0
+
+
 def test_reports_are_dated_files(spark, tmp_path):
     import json
 
