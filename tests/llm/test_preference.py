@@ -51,3 +51,10 @@ def test_a_very_long_text_is_one_turn(spark):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "word " * 400_000)]
     r = p.preference_pairs(turns(spark, rows), turns(spark, rows[:1])).first()
     assert r.chosen_mask[0].end - r.chosen_mask[0].start == 2_000_000 + len(p.END)
+
+
+def test_rows_without_a_pair_id_are_one_pair(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, None, None, None), (1, 0, "user", "a")]
+    got = {r.pair_id: r for r in p.preference_pairs(turns(spark, rows), turns(spark, rows[:2])).collect()}
+    assert set(got) == {None, 1} and got[None].n_prefix == 0  # a null turn comes first
+    assert got[None].chosen.count("<|im_end|>") == 3 and got[None].rejected.count("<|im_end|>") == 2
