@@ -28,13 +28,18 @@ def strip(c: Column | str) -> Column:
     return F.when(F.lit(WHITE).contains(F.substr(left, F.lit(-1))), F.rtrim(left, F.lit(WHITE))).otherwise(left)
 
 
-def lines(c: Column | str) -> Column:
-    """The lines of a text at any Unicode line boundary. An end of line at the very end leaves an empty last item."""
+def odd_lines(c: Column | str) -> Column:
+    """Whether a text has other line ends than plain newlines."""
     c, odd = _col(c), F.lit(False)
     for end in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029":  # each a plain search for bytes, which a class of a regex is not
         odd |= c.contains(end)
+    return odd
+
+
+def lines(c: Column | str) -> Column:
+    """The lines of a text at any Unicode line boundary. An end of line at the very end leaves an empty last item."""
     # plain newlines split without a regex
-    return F.when(odd, F.split(c, _LINE_END)).otherwise(F.split(c, "\n"))
+    return F.when(odd_lines(c), F.split(_col(c), _LINE_END)).otherwise(F.split(_col(c), "\n"))
 
 
 def unix_newlines(c: Column | str) -> Column:

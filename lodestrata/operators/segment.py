@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import parent_id
-from lodestrata.functions.text import heading, is_fence, lines, strip
+from lodestrata.functions.text import heading, is_fence, lines, odd_lines, strip
 from lodestrata.settings import Settings
 
 LABEL_RANGE = " ... "
@@ -30,42 +30,51 @@ def _empty(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
+#: White space before a heading, from a newline on, or at the end, in a text whose only line ends are newlines.
+_SPACE = r"[\s\x1c-\x1f]"
+_BEFORE_HEADING = rf"(?U)\n(?:{_SPACE}*\n)?(?=#{{1,3}}[\s\x1c-\x1f&&[^\n]]+[^\s\x1c-\x1f])|\n{_SPACE}*\z"
+
+
 def sections(markdown: Column) -> Column:
     """array<struct<label, text>>: the document cut at headings of level one to three outside fences.
 
     Fences toggle, whatever their kind; one that never closes swallows the rest. A heading stays as the label alone.
-    Sections without text vanish, and text before the first heading has no label.
+    Sections without text vanish, and text before the first heading has no label. Texts without fences and without other
+    line ends than newlines, which are most, are split by one regex; others go line by line.
     """
-    def cut(every: Column) -> Column:
-        # the label of each line that is a heading outside fences, and an empty string for all other lines
-        named = F.transform(every, lambda x: F.when(x.startswith("#"), heading(x)).otherwise(""))
-        return _let(F.when(F.exists(every, _may_fence), F.zip_with(named, _fenced(every), lambda x, inside: F.when(inside, "").otherwise(x))).otherwise(named), lambda labels: split(every, labels))
+    def plain(piece: Column) -> Column:
+        first = F.substring_index(piece, "\n", 1)
+        return _let(F.when(piece.startswith("#"), heading(first)).otherwise(""), lambda label: F.struct(F.when(label != "", label).alias("label"), strip(F.when(label != "", F.substr(piece, F.length(first) + 2)).otherwise(piece)).alias("text")))
 
-    def split(every: Column, labels: Column) -> Column:
-        n = F.size(every)
-        heads = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(labels, i) != "")
-        return _let(heads, lambda h: F.transform(F.concat(F.array(F.lit(-1)), h), lambda at, k: section(every, labels, at, F.coalesce(F.get(h, k), n))))
+    by_line = F.when(_may_fence(markdown) | odd_lines(markdown), _let(lines(markdown), _cut_lines)).otherwise(F.transform(F.split(markdown, _BEFORE_HEADING), plain))
+    return F.when(markdown.isNull(), _empty(_SECTIONS)).otherwise(F.filter(by_line, lambda x: x["text"] != ""))
 
-    def section(every: Column, labels: Column, at: Column, end: Column) -> Column:
-        label = F.when(at >= 0, F.get(labels, F.greatest(at, F.lit(0))))
-        return F.struct(label.alias("label"), strip(F.array_join(F.slice(every, at + 2, end - at - 1), "\n")).alias("text"))
 
-    return F.when(markdown.isNull(), _empty(_SECTIONS)).otherwise(F.filter(_let(lines(markdown), cut), lambda x: x["text"] != ""))
+def _cut_lines(every: Column) -> Column:
+    """The sections of a document's lines."""
+    n = F.size(every)
+
+    def split(labels: Column) -> Column:
+        # in order: places of headings, and -1 for each fence. Only these few are folded, not all lines
+        marks = F.filter(F.transform(every, lambda x, i: F.when(F.get(labels, i) != "", i).when(_may_fence(x) & is_fence(x), -1)), lambda m: m.isNotNull())
+        start = F.struct(F.lit(False).alias("inside"), _empty("array<int>").alias("heads"))
 
+        def step(s: Column, m: Column) -> Column:
+            kept = F.when((m >= 0) & ~s["inside"], F.concat(s["heads"], F.array(m))).otherwise(s["heads"])
+            return F.struct((s["inside"] != (m < 0)).alias("inside"), kept.alias("heads"))
 
-def _may_fence(line: Column) -> Column:
-    return line.contains("```") | line.contains("~~~")
+        heads = F.aggregate(marks, start, step, lambda s: s["heads"])
+        return _let(heads, lambda h: F.transform(F.concat(F.array(F.lit(-1)), h), lambda at, k: section(labels, at, F.coalesce(F.get(h, k), n))))
 
+    def section(labels: Column, at: Column, end: Column) -> Column:
+        label = F.when(at >= 0, F.get(labels, F.greatest(at, F.lit(0))))
+        return F.struct(label.alias("label"), strip(F.array_join(F.slice(every, at + 2, end - at - 1), "\n")).alias("text"))
 
-def _fenced(every: Column) -> Column:
-    """Whether each line lies inside a fence; only worked out for documents that have fences."""
-    start = F.struct(F.lit(False).alias("inside"), _empty("array<boolean>").alias("all"))
+    return _let(F.transform(every, lambda x: F.when(x.startswith("#"), heading(x)).otherwise("")), split)
 
-    def step(s: Column, line: Column) -> Column:
-        turn = F.when(_may_fence(line), is_fence(line)).otherwise(False)
-        return F.struct(F.when(turn, ~s["inside"]).otherwise(s["inside"]).alias("inside"), F.concat(s["all"], F.array(s["inside"])).alias("all"))
 
-    return F.aggregate(every, start, step, lambda s: s["all"])
+def _may_fence(text: Column) -> Column:
+    return text.contains("```") | text.contains("~~~")
 
 
 def merged_label(labels: Column) -> Column:
@@ -78,24 +87,27 @@ def merged_label(labels: Column) -> Column:
 def merged(secs: Column, merge_below: int) -> Column:
     """Sections joined from left to right until a group has ``merge_below`` characters, separators not counted. A short
     rest joins the last group, or stands alone where there is none."""
-    group = "array<struct<label:string,text:string>>"
-    start = F.struct(_empty(f"array<{group}>").alias("groups"), _empty(group).alias("open"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), _empty("array<int>").alias("ends"))
 
-    def step(s: Column, x: Column) -> Column:
-        more, n = F.concat(s["open"], F.array(x)), s["n"] + F.length(x["text"])
+    def step(s: Column, length: Column) -> Column:
+        n, at = s["n"] + length, s["at"] + 1
         full = n >= merge_below
-        return F.struct(
-            F.when(full, F.concat(s["groups"], F.array(more))).otherwise(s["groups"]).alias("groups"),
-            F.when(full, _empty(group)).otherwise(more).alias("open"), F.when(full, F.lit(0)).otherwise(n).alias("n"),
-        )
-
-    def finish(s: Column) -> Column:
-        n = F.size(s["groups"])
-        grown = F.concat(F.slice(s["groups"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(F.concat(F.get(s["groups"], n - 1), s["open"])))
-        every = F.when(F.size(s["open"]) == 0, s["groups"]).when(n == 0, F.array(s["open"])).otherwise(grown)
-        return F.transform(every, lambda g: F.struct(merged_label(F.transform(g, lambda x: x["label"])).alias("label"), F.array_join(F.transform(g, lambda x: x["text"]), PARAGRAPH).alias("text")))
-
-    return F.aggregate(secs, start, step, finish)
+        return F.struct(at.alias("at"), F.when(full, 0).otherwise(n).alias("n"), F.when(full, F.concat(s["ends"], F.array(at))).otherwise(s["ends"]).alias("ends"))
+
+    # numbers alone are folded: the ends of groups, of which the last one reaches the end
+    ends = F.aggregate(F.transform(secs, lambda x: F.length(x["text"])), start, step, lambda s: F.concat(F.slice(s["ends"], F.lit(1), F.greatest(F.size(s["ends"]) - 1, F.lit(0))), F.array(s["at"])))
+
+    def joined(group: Column) -> Column:
+        return F.struct(merged_label(F.transform(group, lambda x: x["label"])).alias("label"), F.array_join(F.transform(group, lambda x: x["text"]), PARAGRAPH).alias("text"))
+
+    def cut(every: Column) -> Column:
+        def group(end: Column, k: Column) -> Column:
+            begin = F.when(k > 0, F.get(every, k - 1)).otherwise(0)
+            return _let(F.slice(secs, begin + 1, end - begin), joined)
+
+        return F.transform(every, group)
+
+    return F.when(F.size(secs) > 0, _let(ends, cut)).otherwise(_empty(_SECTIONS))
 
 
 def packed(text: Column, split_above: int) -> Column:

@@ -136,3 +136,26 @@ def test_chunk_gives_stable_ids_and_rebuilds_parents(spark):
 def test_settings_that_make_no_sense(bad):
     with pytest.raises(InvalidSettings):
         Settings(**bad).checked()
+
+
+def test_plain_texts_are_cut_as_by_lines(spark):
+    rng = random.Random(5)
+    parts = ["#", "##", "####", " ", "\t", "\n", "\n\n", "\n# ", "\n## b", "a", " ", "　", "b c", "\n#\n", "\n### \n"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_line = F.filter(segment._cut_lines(F.split("t", "\n")), lambda x: x["text"] != "")
+    odd = df.select("t", segment.sections(F.col("t")).alias("a"), by_line.alias("b")).where("a <> b").collect()
+    assert not odd
+
+
+def test_fences_fold_over_marks_alone(spark):
+    text = "# a\nx\n```\n# in\ny\n~~~\n# b\nz\n```\n# lost\nw"  # the third fence never closes
+    got = spark.createDataFrame([(text,)], "t string").select(segment.sections(F.col("t")).alias("s")).first()["s"]
+    assert [(r.label, r.text) for r in got] == [("a", "x\n```\n# in\ny\n~~~"), ("b", "z\n```\n# lost\nw")]
+
+
+@pytest.mark.parametrize(("lengths", "groups"), [([], []), ([5], [1]), ([10, 10], [1, 1]), ([4, 6, 3], [3]), ([4, 6, 9, 1, 2], [2, 3]), ([1, 2], [2])])
+def test_groups_of_sections(spark, lengths, groups):
+    rows = [(f"l{i}", "x" * n) for i, n in enumerate(lengths)]
+    got = spark.createDataFrame([(rows,)], "s array<struct<label:string,text:string>>").select(segment.merged(F.col("s"), 10).alias("m")).first()["m"]
+    assert [len(r.text.split("\n\n")) for r in got] == groups
