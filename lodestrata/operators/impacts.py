@@ -30,21 +30,34 @@ BLOCK, PROBES, SLACK = 128, 2, 1e-9
 @dataclass
 class BlockIndex:
     """``blocks``: workspace_id, term, block, df, most_tf, least_length, postings (array of chunk_id, tf, length), in order
-    of workspace, term and block. ``sizes``: workspace_id, n, mean."""
+    of workspace, term and block. ``sizes``: workspace_id, n, mean. Where blocks hold postings that are void, ``dead``
+    (workspace_id, part, chunk_id) says which, by the blocks' own column ``part``, and ``df`` (workspace_id, term, df) gives
+    the frequencies, as numbers to sum up. Void postings only raise bounds, so results stay exact."""
 
     blocks: DataFrame
     sizes: DataFrame
+    df: DataFrame | None = None
+    dead: DataFrame | None = None
 
 
 def _block_rows(chunks: DataFrame, text: str, block: int) -> tuple[DataFrame, DataFrame]:
     tokens = chunks.select("workspace_id", "chunk_id", retrieve.terms(F.col(text)).alias("t"))
-    numbered = placed(tokens, ("chunk_id",), ("workspace_id",), "_place")
-    sizes = numbered.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    each = numbered.select("workspace_id", "chunk_id", F.floor(F.col("_place") / block).alias("block"), F.size("t").alias("length"), F.explode("t").alias("term"))
+    placed_ = numbered(tokens)
+    sizes = placed_.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    return block_rows(placed_, block), sizes
+
+
+def numbered(tokens: DataFrame) -> DataFrame:
+    """``tokens`` (workspace_id, chunk_id, t) with each chunk's ``_place`` in its workspace."""
+    return placed(tokens, ("chunk_id",), ("workspace_id",), "_place")
+
+
+def block_rows(chunks: DataFrame, block: int) -> DataFrame:
+    """The blocks of numbered chunks."""
+    each = chunks.select("workspace_id", "chunk_id", F.floor(F.col("_place") / block).alias("block"), F.size("t").alias("length"), F.explode("t").alias("term"))
     counted = each.groupBy("workspace_id", "term", "block", "chunk_id", "length").agg(F.count("*").alias("tf"))
     posting = F.struct("chunk_id", "tf", "length")
-    rows = counted.groupBy("workspace_id", "term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.sort_array(F.collect_list(posting)).alias("postings"))
-    return rows, sizes  # a block's postings of a term are ``block`` at most
+    return counted.groupBy("workspace_id", "term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.sort_array(F.collect_list(posting)).alias("postings"))  # ``block`` at most
 
 
 def write_index(chunks: DataFrame, folder: str, text: str = "text", block: int = BLOCK) -> None:
@@ -85,7 +98,8 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
         rows = rows.where(F.col("term").between(*bounds_of_terms))
     heads = rows.select("workspace_id", "term", "block", "df", "most_tf", "least_length").join(small(wanted), ["workspace_id", "term"], "left_semi")
     heads = stored(heads, "heads")  # without postings
-    idf = heads.groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).join(index.sizes, "workspace_id")
+    frequencies = heads if index.df is None else index.df.join(small(wanted), ["workspace_id", "term"], "left_semi")
+    idf = frequencies.groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).where("df > 0").join(index.sizes, "workspace_id")
     idf = idf.select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weighed = stored(asked.join(idf, ["workspace_id", "term"]), "asked")  # terms that are there, with their statistics
     bound = _weight(F.col("idf"), F.col("most_tf"), F.col("least_length"), F.col("mean"), settings)
@@ -98,7 +112,11 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
         terms = some.join(weighed, ["query_id", "workspace_id"])
         need = terms.select("workspace_id", "term", "block").distinct()
         met = rows.join(need, ["workspace_id", "term", "block"], "left_semi").join(terms, ["workspace_id", "term", "block"])
-        each = met.select("query_id", "idf", "mean", F.explode("postings").alias("p"))
+        if index.dead is None:
+            each = met.select("query_id", "idf", "mean", F.explode("postings").alias("p"))
+        else:
+            each = met.select("query_id", "idf", "mean", "workspace_id", "part", F.explode("postings").alias("p")).withColumn("chunk_id", F.col("p.chunk_id"))
+            each = each.join(index.dead, ["workspace_id", "part", "chunk_id"], "left_anti").select("query_id", "idf", "mean", "p")
         weight = _weight(F.col("idf"), F.col("p.tf"), F.col("p.length"), F.col("mean"), settings)
         return each.select("query_id", F.col("p.chunk_id").alias("chunk_id"), weight.alias("w")).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 

@@ -13,7 +13,7 @@ A sync run is open until it has a ``finished_at``. Whoever works at it renews a
 has run out, or that never had one and is older than ``run_expiry_s``, has died and stands in nobody's way.
 
 Besides the six tables that users see, ``chunk_file`` says which version of the chunk store holds each file's rows, so that
-store and registry switch by the same pointer.
+store and registry switch by the same pointer; ``index_part`` names the parts of each workspace's block index.
 """
 
 from __future__ import annotations
@@ -91,15 +91,16 @@ TABLES = {
     "eval_run": _schema("id string!, workspace_id string!, run_at timestamp!, groundedness double, relevancy double, refusal_pass int!, refusal_total int!, passed boolean!, report_path string"),
     "eval_result": _schema("id string!, eval_run_id string!, question_id string!, kind string!, groundedness double, relevancy double, passed boolean!"),
     "chunk_file": _schema("id string!, workspace_id string!, source_file string!, version string!"),
+    "index_part": _schema("id string!, workspace_id string!, number int!, level int!"),
 }
 #: Folders that a table may consist of before it is written anew.
 PARTS = 16
-UNIQUE = {"workspace": [["id"], ["name"]], "document": [["id"], ["workspace_id", "file_name"]], "chunk_file": [["id"], ["workspace_id", "source_file"]], **{t: [["id"]] for t in ("sync_run", "sync_item", "eval_run", "eval_result")}}
+UNIQUE = {"workspace": [["id"], ["name"]], "document": [["id"], ["workspace_id", "file_name"]], "chunk_file": [["id"], ["workspace_id", "source_file"]], "index_part": [["id"], ["workspace_id", "number"]], **{t: [["id"]] for t in ("sync_run", "sync_item", "eval_run", "eval_result")}}
 #: child table, column, parent table, and whether the child goes with its parent (else the column becomes null)
 EDGES = [
     ("document", "workspace_id", "workspace", True), ("sync_run", "workspace_id", "workspace", True), ("eval_run", "workspace_id", "workspace", True),
     ("sync_item", "sync_run_id", "sync_run", True), ("eval_result", "eval_run_id", "eval_run", True), ("sync_item", "document_id", "document", False),
-    ("chunk_file", "workspace_id", "workspace", True),
+    ("chunk_file", "workspace_id", "workspace", True), ("index_part", "workspace_id", "workspace", True),
 ]
 ALLOWED = {
     ("document", "status"): ("active", "failed", "skipped", "removed"), ("sync_item", "result"): _COUNTERS, ("eval_result", "kind"): ("in_scope", "out_of_scope"),
@@ -235,7 +236,8 @@ class Registry:
         pointer = self._pointer()
         if pointer is None:
             raise RegistryNotFound(f"there is no registry in {self.path}; a first write creates one")
-        return {t: self.spark.read.schema(s).parquet(*pointer[t]) for t, s in TABLES.items()}
+        # a registry that an earlier release wrote has fewer tables
+        return {t: self.spark.read.schema(s).parquet(*pointer[t]) if t in pointer else self.spark.createDataFrame([], s) for t, s in TABLES.items()}
 
     def table(self, name: str) -> DataFrame:
         return self.tables()[name]
@@ -306,7 +308,7 @@ class Registry:
             draft = Draft(self.tables() if pointer else {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()})
             with Lease(self._fs, lock, self.settings.lock_expiry_s, lambda: self._owns(lock, token)):
                 yield draft
-                changed = list(TABLES) if pointer is None else draft.changed()
+                changed = list(dict.fromkeys([*draft.changed(), *[t for t in TABLES if t not in (pointer or {})]])) if draft.changed() or pointer is None else []
                 if changed:
                     self._store(draft, changed, dict(pointer or {}), made, lambda: self._owns(lock, token))
         except BaseException:

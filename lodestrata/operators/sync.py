@@ -39,21 +39,25 @@ class ChunkStore:
         at = self.registry.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return at, at.getFileSystem(self.registry.spark._jsc.hadoopConfiguration())
 
-    def _read(self, name: str, workspace_id: str) -> DataFrame:
+    def rows(self, name: str, workspace_id: str, files: DataFrame) -> DataFrame:
+        """Rows of the versions that ``files`` (workspace_id, source_file, version) name."""
         spark = self.registry.spark
         at, fs = self._folder(name)
         if not fs.exists(at):
             rows = spark.createDataFrame([], STORED[name])
         else:
             rows = spark.read.schema(STORED[name]).parquet(f"{self.path}/{name}").where(F.col("workspace_id") == workspace_id)
+        return rows.join(files, ["workspace_id", "source_file", "version"], "left_semi")
+
+    def _current(self, name: str, workspace_id: str) -> DataFrame:
         files = self.registry.table("chunk_file").where(F.col("workspace_id") == workspace_id).select("workspace_id", "source_file", "version")
-        return rows.join(files, ["workspace_id", "source_file", "version"], "left_semi").drop("version")
+        return self.rows(name, workspace_id, files).drop("version")
 
     def parents(self, workspace_id: str) -> DataFrame:
-        return self._read("parents", workspace_id)
+        return self._current("parents", workspace_id)
 
     def children(self, workspace_id: str) -> DataFrame:
-        return self._read("children", workspace_id)
+        return self._current("children", workspace_id)
 
     def write(self, parents: DataFrame, children: DataFrame, version: str) -> DataFrame:
         """Store rows as ``version``, which nothing points to yet: id, workspace_id, source_file, version of the files that
@@ -131,11 +135,14 @@ def _closed(draft, run_id: str) -> DataFrame:
     return run.select(*TABLES["sync_run"].names)
 
 
-def sync(registry: Registry, store: ChunkStore, workspace_id: str, encoder=None, settings: Settings = Settings(), readers=READERS) -> str:
+def sync(registry: Registry, store: ChunkStore, workspace_id: str, encoder=None, settings: Settings = Settings(), readers=READERS, index=None) -> str:
     """Run one sync and give its id. Files whose bytes didn't change are neither converted nor segmented again. A second
-    sync of a workspace while one is under way is refused. :mod:`lodestrata.operators.jobs` runs one in the background."""
+    sync of a workspace while one is under way is refused. :mod:`lodestrata.operators.jobs` runs one in the background.
+    An ``index`` (:class:`lodestrata.operators.upkeep.LiveIndex`) then catches up; if that fails, the next sync does it."""
     run_id = open_run(registry, workspace_id, settings)
     run(registry, store, workspace_id, run_id, encoder, settings, readers)
+    if index is not None:
+        index.update(workspace_id)
     return run_id
 
 

@@ -344,6 +344,9 @@ ORACLE_SQL = {
         FROM (SELECT lang AS workspace_id, text, (row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 16 AS block FROM files)),
       asked AS (SELECT DISTINCT item_id || '/' || lang AS query_id, lang AS workspace_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM benchmark, (SELECT unnest(['de', 'en', 'es', 'fr']) AS lang))
       SELECT query_id, count(DISTINCT block) AS blocks, least(2, count(DISTINCT block)) AS probed, true AS accounted FROM asked JOIN held USING (workspace_id, term) GROUP BY query_id""",
+    "index_upkeep": f"""WITH {_FILES}, versions AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' again' WHEN doc_id % 3 = 0 THEN left(text, length(text) // 2) WHEN doc_id % 3 = 2 THEN text END AS text FROM files),
+      chunks AS (SELECT doc_id AS chunk_id, 'w' AS workspace_id, text FROM versions WHERE text IS NOT NULL), questions AS (SELECT item_id AS query_id, 'w' AS workspace_id, text FROM benchmark), {_bm25(5)}
+      SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM sparse""",
     "session_memory": """WITH starts AS (SELECT *, count(*) FILTER ((conv_id + turn) % 5 = 3) OVER (PARTITION BY conv_id ORDER BY turn) AS epoch FROM conversations),
       seen AS (SELECT conv_id, turn, list(concat_ws(':', role, text)) OVER (PARTITION BY conv_id, epoch ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS memory FROM starts)
       SELECT conv_id AS session_id, turn, CAST(coalesce(len(memory), 0) AS BIGINT) AS remembered, coalesce(array_to_string(memory, chr(10)), '') AS memory FROM seen""",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
 from lodestrata.functions.vectors import norm
-from lodestrata.operators import diff, embed, evaluate, impacts, jobs, order, registry, retrieve, segment, sessions, sync
+from lodestrata.operators import diff, embed, evaluate, impacts, jobs, order, registry, retrieve, segment, sessions, sync, upkeep
 from lodestrata.settings import Settings
 from lodestrata.sources import files
 from lodestrata.sources.convert import convert_contents, convert_text
@@ -397,6 +397,33 @@ def block_work(spark: SparkSession, d: str) -> DataFrame:
     return work.select("query_id", "blocks", "probed", (F.col("probed") + F.col("read") + F.col("skipped") == F.col("blocks")).alias("accounted"))
 
 
+def index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """What the items find in an index that followed a store through three versions: all documents; then a third shorter and a
+    third gone; then a fifth written anew, also of those that were gone. Each document is one chunk."""
+    folder = f"{storage.shared_folder(spark)}/upkeep-{uuid.uuid4().hex}"
+    reg = registry.Registry(spark, f"{folder}/registry", SETTINGS)
+    store = sync.ChunkStore(reg, f"{folder}/store")
+    space = F.lit(reg.create_workspace("w", "/w")).alias("workspace_id")
+    index = upkeep.LiveIndex(store, f"{folder}/index", fanout=2, block=BLOCK)
+    docs = t.spread(t.files(spark, d)).select("doc_id", F.col("file_name").alias("source_file"), "text")
+    half = F.substr("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
+    third = F.pmod(F.col("doc_id"), F.lit(3))
+    second = docs.where(third < 2)
+    versions = (
+        ("1", docs, docs), ("2", second, second.where(third == 0).withColumn("text", half)),
+        ("3", docs.where(F.pmod(F.col("doc_id"), F.lit(5)) == 0), docs.where(F.pmod(F.col("doc_id"), F.lit(5)) == 0).withColumn("text", F.concat("text", F.lit(" again")))),
+    )
+    for version, touched, left in versions:
+        parents_ = left.select(space, "source_file", F.lit(0).alias("parent_index"), F.format_string("%012d", "doc_id").alias("parent_id"), F.lit(None).cast("string").alias("section_label"), "text")
+        made = store.write(parents_, parents_.withColumn("child_index", F.lit(0)), version)
+        with reg.transaction() as draft:
+            draft["chunk_file"] = store.switched(draft["chunk_file"], touched.select(space, "source_file"), made)
+        index.update(reg.list_workspaces().first().id)
+    asked = t.load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), space, "text")
+    hits = impacts.top_k(asked, index.read(), SETTINGS.top_k, SETTINGS).hits
+    return hits.select("query_id", F.split("chunk_id", "/")[0].cast("long").alias("chunk_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def session_memory(spark: SparkSession, d: str) -> DataFrame:
     """What each turn of the conversations may refer to: four turns at most, none from before a new start."""
     turns = t.load(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", "text")
@@ -455,6 +482,6 @@ QUERIES = {
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
         latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages, folder_files, sync_progress,
-        block_topk, block_work, session_memory, clarified, routed, latency_sketch, file_pages,
+        block_topk, block_work, index_upkeep, session_memory, clarified, routed, latency_sketch, file_pages,
     )
 }

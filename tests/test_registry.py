@@ -56,7 +56,7 @@ def test_cascade_set_null_and_isolation(reg):
     items = {i.document_id for i in reg.table("sync_item").collect()}
     assert len(items) == 2 and None in items
     reg.delete_workspace(w)
-    assert {t: reg.table(t).count() for t in r.TABLES} == {"workspace": 1, "document": 0, "sync_run": 1, "sync_item": 1, "eval_run": 1, "eval_result": 1, "chunk_file": 0}
+    assert {t: reg.table(t).count() for t in r.TABLES} == {"workspace": 1, "document": 0, "sync_run": 1, "sync_item": 1, "eval_run": 1, "eval_result": 1, "chunk_file": 0, "index_part": 0}
     with pytest.raises(r.WorkspaceNotFound):
         reg.delete_workspace(w)
 
