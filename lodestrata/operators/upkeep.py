@@ -115,7 +115,6 @@ class LiveIndex:
         self._write(made[0], "chunks", chunks)
         chunks, void = self._read(made, "chunks"), stored(live.join(gone, key, "left_semi"), "void")
         self._write(made[0], "dead", void.select("workspace_id", "part", "chunk_id"))
-        self._write(made[0], "blocks", self._blocks(chunks, number))
         both = chunks.withColumn("_by", F.lit(1)).unionByName(void.withColumn("_by", F.lit(-1)))
         self._write(made[0], "df", both.select("workspace_id", "_by", F.explode(F.array_distinct("t")).alias("term")).groupBy("workspace_id", "term").agg(F.sum("_by").alias("df")).where("df <> 0"))
         self._write(made[0], "sizes", both.select("workspace_id", F.col("_by").alias("n"), F.when(F.col("t").isNotNull(), F.col("_by")).otherwise(0).alias("texts"), F.when(F.col("t").isNotNull(), F.col("_by") * F.size("t")).otherwise(0).alias("total")).groupBy("workspace_id").agg(*_sums()))
@@ -123,6 +122,8 @@ class LiveIndex:
         if together:
             made.append(Part(uuid.uuid4().hex, number + 1, level))
             self._merge(together, [p for p in (*parts, made[0]) if p not in together], made[-1])
+        if made[0] not in together:  # else nobody will ever search it
+            self._write(made[0], "blocks", self._blocks(chunks, number))
         self._switch(workspace_id, listed, made, together)
         return True
 
