@@ -6,16 +6,16 @@ their first four, five and seven bytes, hashed to 2**18 features. The score is
 interactions, so that two terms can mean more, or less, together than apart (an insult next to a group's name).
 
 Terms that take part: those in ``min_rows`` training rows or more whose label counts are ``least_surprise`` standard
-errors or more from chance, and those of surprising pairs, however neutral each is alone. Pairs are tested among the
-``pair_terms`` commonest terms: what the first terms' weights alone leave unexplained, summed over the rows that hold both
-terms, is ``pair_surprise`` standard errors or more from chance. All terms that take part have weights and factors; the
-others would only add noise.
+errors or more from chance, and those of surprising pairs, however neutral each is alone. A pair is surprising if what the
+first terms' weights alone leave unexplained, summed over the rows that hold both terms, is ``pair_surprise`` standard errors
+or more from chance. All pairs are tested, but for terms for which no choice whatsoever among their rows gives such a sum:
+these can't be in such a pair. All terms that take part have weights and factors; the others would only add noise.
 
 Training: at most ``max_rows`` labelled rows, those with the least seeded hash of doc_id (so the sample is uniform,
 repeatable and bounded whatever the size), reduced to hashed terms on the executors; of rows with equal terms one is
 used, or a copied document would teach its own words, and of rows that repeat a doc_id the one whose terms come first.
-Only hashed terms and labels come to the driver, ``max_terms`` terms of a row at most (those with the least hashes), so
-what it holds is bounded in rows and bytes; scoring uses all terms. The driver fits by AdaGrad. Rows of each class weigh so
+Only hashed terms and labels come to the driver, of whole rows, in the order of the seeded hashes while they make no more
+than ``max_bytes``, so what it holds is bounded in rows and bytes. The driver fits by AdaGrad. Rows of each class weigh so
 classes balance; the intercept is then set so that 0.5 is the cut with the best F1 of the sample's rows as scored by
 machines fitted without them (``FOLDS`` parts).
 
@@ -41,8 +41,8 @@ FEATURES, FACTORS = 1 << 18, 4
 #: Besides whole words, their first so many bytes are terms: insults are inflected and compounded.
 HEADS = (4, 5, 7)
 MAX_ROWS, MIN_ROWS, SEED = 12_000, 4, 7
-#: Terms of a training row, terms among which pairs are tested, steps of fitting, and parts that find the cut.
-MAX_TERMS, PAIR_TERMS, STEPS, FOLDS = 4096, 2048, 720, 4
+#: Bytes of the training rows' terms, steps of fitting, and parts that find the cut.
+MAX_BYTES, STEPS, FOLDS = 64 << 20, 720, 4
 
 _U = np.uint64
 
@@ -86,7 +86,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.raw(rows), -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, min_rows: int = MIN_ROWS, least_surprise: float = 5.5, pair_surprise: float = 8.0, pair_terms: int = PAIR_TERMS, steps: int = STEPS, seed: int = SEED) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, min_rows: int = MIN_ROWS, least_surprise: float = 5.5, pair_surprise: float = 8.0, steps: int = STEPS, seed: int = SEED) -> Machine:
     """AdaGrad on the logistic loss, rows of both classes weighing the same in sum."""
     rng = np.random.default_rng(seed)
     if not len(labels) or labels.min() == labels.max():
@@ -101,8 +101,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
     every, fold = np.arange(len(rows)), rng.integers(0, FOLDS, len(rows))
     linear = _fitted([r[keep[r]] for r in rows], labels, every, Machine(0.0, np.zeros(features), np.zeros((features, 1))), rng, steps)
     linear.intercept -= np.log((1 - base) / base)  # classes were balanced
-    some = np.argsort(-common, kind="stable")[:pair_terms]
-    keep[_paired(rows, labels - linear.scores([r[keep[r]] for r in rows]), some[common[some] >= max(min_rows, 20)], features, pair_surprise)] = True
+    rest = labels - linear.scores([r[keep[r]] for r in rows])
+    keep[_paired(rows, rest, _pairable(rows, rest, features, pair_surprise), features, pair_surprise)] = True
     rows = [r[keep[r]] for r in rows]
     first = np.where(keep[:, None], rng.normal(0, 0.05, (features, factors)), 0.0)
     grown = lambda which: _fitted(rows, labels, which, Machine(0.0, np.zeros(features), first.copy()), rng, steps)
@@ -118,6 +118,25 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
     return machine
 
 
+def _pairable(rows: list[np.ndarray], rest: np.ndarray, features: int, least: float) -> np.ndarray:
+    """The terms that have rows whose sum of ``rest`` is surprising, were a pair in just these. Of all choices among rows of
+    one sign, the best are the first so many in the order of size: a row is worth choosing if it is under some bound."""
+    found, ids, rest = np.zeros(features, bool), np.concatenate([*rows, np.zeros(0, np.int32)]), np.repeat(rest, [len(r) for r in rows])
+    step = max(1, features >> 4)
+    for at in range(0, features, step):  # by blocks of terms, which bounds the memory
+        own = (ids >= at) & (ids < at + step)
+        for sign in (1.0, -1.0):
+            some = own & (sign * rest > 0)
+            i, x = ids[some], sign * rest[some]
+            order = np.lexsort((x, i))
+            i, x = i[order], x[order]
+            head = np.flatnonzero(np.diff(i, prepend=-1))
+            size = np.diff(np.append(head, len(i)))
+            sums, squares = (np.cumsum(c) - np.repeat(np.cumsum(c)[head] - c[head], size) for c in (x, x**2))
+            found[i[sums >= least * np.sqrt(squares + 0.25) * (1 - 1e-9)]] = True
+    return np.flatnonzero(found)
+
+
 def _paired(rows: list[np.ndarray], rest: np.ndarray, some: np.ndarray, features: int, least: float) -> np.ndarray:
     """The terms among ``some`` that form a pair with a surprising sum of ``rest`` over the rows that hold both."""
     place = np.full(features, -1)
@@ -181,27 +200,35 @@ def _held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def _hashed(texts: DataFrame, max_terms: int) -> DataFrame:
+def _hashed(texts: DataFrame) -> DataFrame:
     """doc_id, text, label -> doc_id, label, terms (little-endian int32 bytes)."""
 
     def reduce(batches):
         for batch in batches:
-            yield record_batch(doc_id=batch["doc_id"], label=batch["label"], terms=pyarrow.array([t[:max_terms].astype("<i4").tobytes() for t in terms(utf8(batch["text"]))], pyarrow.binary()))
+            yield record_batch(doc_id=batch["doc_id"], label=batch["label"], terms=pyarrow.array([t.astype("<i4").tobytes() for t in terms(utf8(batch["text"]))], pyarrow.binary()))
 
     return texts.select("doc_id", "label", "text").mapInArrow(frugal(reduce), "doc_id long, label int, terms binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Machine:
-    """A machine from labelled rows whose crc32(doc_id) modulo 5 isn't 0, ``max_rows`` at most. A doc_id with several
-    labels counts as toxic if one of them says so."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Machine:
+    """A machine from labelled rows whose crc32(doc_id) modulo 5 isn't 0, ``max_rows`` and ``max_bytes`` of terms at most. A
+    doc_id with several labels counts as toxic if one of them says so."""
     tune(docs.sparkSession)
     wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
-    wanted = wanted.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(max_rows)
+    seeded = F.xxhash64(F.lit(SEED), "doc_id")
+    wanted = wanted.orderBy(seeded, "doc_id").limit(max_rows)
     # max_rows ids at most: small whatever the tables hold
-    found = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id"), max_terms)
+    found = _hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id"))
     # one row for each id, then one for each set of terms: partial sums before anything is sent
-    found = found.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")).groupBy("terms").agg(F.min(F.struct("doc_id", "label")).alias("m")).select("m.doc_id", "m.label", "terms").toPandas().sort_values("doc_id")
-    return fit([np.frombuffer(x, "<i4") for x in found["terms"]], found["label"].to_numpy(np.float64))
+    found = found.groupBy("doc_id", "label").agg(F.min("terms").alias("terms")).groupBy("terms").agg(F.min(F.struct("doc_id", "label")).alias("m")).select("m.doc_id", "m.label", "terms")
+    rows, held = [], 0
+    for r in found.orderBy(seeded, "doc_id").toLocalIterator():
+        held += len(r.terms)
+        if held > max_bytes:
+            break
+        rows.append((r.doc_id, r.label, np.frombuffer(bytes(r.terms), "<i4")))
+    rows.sort(key=lambda r: r[0])
+    return fit([r[2] for r in rows], np.array([r[1] for r in rows], np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, name: str = "toxicity") -> DataFrame:

@@ -187,5 +187,45 @@ def test_a_very_long_text_is_scored_whole(spark):
     docs = frame(spark, [(1, text), (2, text + " insult"), (3, None)])
     got = {r.doc_id: r.toxicity >= 0.5 for r in toxicity.scored(docs, machine).collect()}
     assert got == {1: False, 2: True, 3: False}
-    # what training takes of a row is bounded; scoring isn't
-    assert toxicity._hashed(docs.withColumn("label", F.lit(1)), 100).select(F.max(F.length("terms"))).first()[0] == 400
+    # training takes whole rows too
+    assert toxicity._hashed(docs.withColumn("label", F.lit(1))).where("doc_id = 2").select(F.length("terms")).first()[0] == 4 * len(toxicity.terms([(text + " insult").encode()])[0])
+
+
+def test_terms_left_out_of_the_pair_search_have_no_surprising_pair():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.zipf(1.3, rng.integers(1, 60)) % 300).astype(np.int32) for _ in range(1500)]
+    for least in (3.0, 6.0):
+        rest = np.where(rng.random(1500) < 0.2, 0.9, -0.1) + 0.3 * np.array([(7 in r) and (9 in r) for r in rows])
+        every = toxicity._paired(rows, rest, np.arange(300), 300, least)
+        some = toxicity._pairable(rows, rest, 300, least)
+        assert set(every) <= set(some) and len(some) < 300
+        assert toxicity._paired(rows, rest, some, 300, least).tolist() == every.tolist()
+    assert len(every) and not len(toxicity._pairable([], rest[:0], 300, 3.0))
+
+
+def test_a_rare_pair_beyond_thousands_of_common_terms_is_found():
+    rng = np.random.default_rng(4)
+    insult, group = 5000, 5001
+    rows, labels = [], []
+    for k in range(4000):
+        words = rng.choice(3000, 150, replace=False)  # each of 3000 terms is in some 200 rows
+        both = k % 20 == 0
+        extra = [insult, group] if both else [insult] if k % 20 in (1, 2) else [group] if k % 20 in (3, 4) else []
+        rows.append(np.unique(np.append(words, extra)).astype(np.int32))
+        labels.append(float(both or k % 97 == 0))
+    machine = toxicity.fit(rows, np.array(labels), features=8192, least_surprise=1e9, steps=200)
+    assert machine.factors[insult] @ machine.factors[group] > 0.1
+    alone, pair = machine.scores([np.array([insult]), np.array([insult, group])])
+    assert pair > 0.5 > alone
+
+
+def test_training_rows_are_whole_and_bounded_by_bytes(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda rows, labels: seen.update(rows=rows, labels=labels))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    toxicity.train(docs, labels)
+    whole = seen["rows"]
+    toxicity.train(docs, labels, max_bytes=sum(4 * len(r) for r in whole) // 2)
+    assert 0 < len(seen["rows"]) < len(whole) and len(seen["rows"]) == len(seen["labels"])
+    assert {r.tobytes() for r in seen["rows"]} <= {r.tobytes() for r in whole}
