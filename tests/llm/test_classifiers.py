@@ -136,6 +136,109 @@ def test_near_misses_are_unknown(model, name):
     assert found and found[0] == licenses.UNKNOWN
 
 
+#: Notices as people write them, and what they say.
+PROBES = [
+    ("Licensed under the GNU General Public License v3.0", "gpl-3.0"),
+    ("Distributed under the GPL, version 3 or later", "gpl-3.0"),
+    ("Released under GPLv3", "gpl-3.0"),
+    ("GNU GPL version 2 or later", "unknown"),
+    ("Apache License 2.0", "apache-2.0"),
+    ("SPDX-License-Identifier: MIT", "mit"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "unknown"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "unknown"),
+    ("Dual licensed under the MIT license and the Apache License 2.0", "unknown"),
+    ("Copyright 2020 Foo. All rights reserved. Licensed under the MIT License.", "mit"),
+    ("(c) 2021 Acme Inc. All rights reserved.", "proprietary"),
+    ("This program is licensed under LGPL v2.1", "lgpl-2.1"),
+    ("Released under CC0 1.0 Universal", "public-domain"),
+    ("Licensed under the ISC License", "unknown"),
+    ("The driver showed his license to the police, and all rights were reserved for the public", None),
+    ("She renewed her license at the office before the version expired", None),
+    ("His poetic license was too free for the general public", None),
+    ("He was licensed to fly under the old rules", None),
+    ("The board granted permission to build on the site free of charge", None),
+    ("The gun license was valid for a year and all conditions were met", None),
+    ("A new version of the software was released to the public under the name Phoenix", None),
+]
+
+
+@pytest.mark.parametrize("text,want", PROBES)
+def test_short_names_identifiers_and_everyday_words(model, text, want):
+    assert text not in licenses.EVERYDAY
+    found = model.judge(licenses.words(text))
+    assert (found and found[0]) == want
+
+
+def test_versions_are_one_word():
+    for text in ("GPLv3", "GPL v3.0", "GPL version 3", "gpl-3.0", "GPL 3"):
+        assert licenses.words(text) == ["gpl", "3"]
+    assert licenses.words("CC0 1.0 v2.1 version of x9") == ["cc0", "1", "2.1", "version", "of", "x9"]
+    assert licenses.words("") == [] and licenses.words("3.0") == ["3"] and licenses.words("version v") == ["version", "v"]
+
+
+def test_licences_that_were_never_trained_on_are_not_named():
+    every = sorted({licence for kind, licence, _ in licenses.notices() if kind == licenses.UNKNOWN})
+    plain = ["\n".join(f"the work of x{i} under law and y{i * 7 % 50} in the city" for i in range(k, k + 20)) for k in range(0, 400, 20)]
+    named, missed, n = 0, 0, 0
+    for part in range(3):
+        out = frozenset(every[part::3])
+        model = licenses.train(plain, without=out)
+        held = [t for kind, licence, t in licenses.notices() if kind == licenses.UNKNOWN and licence in out]
+        assert not {tuple(t) for t in held} & {tuple(t) for *_, t in licenses.notices(out)}
+        n += len(held)
+        found = [model.judge(t) for t in held]
+        named += sum(f is not None and f[0] != licenses.UNKNOWN for f in found)
+        missed += sum(f is None and len(t) > 4 for f, t in zip(found, held, strict=True))  # a bare name says nothing
+    assert n > 250 and named <= 0.01 * n and missed <= 0.05 * n, (named, missed, n)
+
+
+def test_shared_clauses_need_the_rest_of_the_document(model):
+    opening, third = licenses.SHARED["bsd-3-clause"][1], licenses.TEMPLATES["bsd-3-clause"][0]
+    assert model.judge(licenses.words(opening))[0] == licenses.UNKNOWN
+    family = lambda lines: [(h[0], h[1]) for h in model.document(lines)]
+    assert family([opening, "x1 x2"]) == [(0, "unknown")]
+    assert family([opening, "x1 x2", third]) == [(0, "bsd-3-clause"), (2, "bsd-3-clause")]
+    assert family([opening, licenses.TEMPLATES["mit"][0]]) == [(0, "unknown"), (1, "mit")]
+    assert family(["BSD 2-Clause License", *licenses.SHARED["bsd-3-clause"][1:]]) == [(k, "unknown") for k in range(4)]
+
+
+def test_the_query_equals_a_plain_version(spark, tmp_path):
+    rng = random.Random(5)
+    plain = [" ".join(rng.choice(["the", "of", "license", "rights", "public", *(f"x{k}" for k in range(60))]) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    some = [t for t, _ in PROBES] + list(NEAR.values()) + [t for by in (licenses.TEMPLATES, licenses.SHARED) for ts in by.values() for t in ts]
+    texts = ["\n".join(rng.choice(some) if rng.random() < 0.2 else rng.choice(plain) for _ in range(rng.randint(1, 9))) for _ in range(120)]
+    rows = [*enumerate(texts), (500, None), (501, ""), (502, " \n\n"), (7, texts[7]), (None, some[0]), (503, f"{some[0]}\n{some[0]}")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    model = licenses.trained(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    names = [*model.families, "unknown", "none"]
+    grams = {g: [float(x) for x in model.weights[i]] for g, i in model.features.items()}
+
+    def judged(line):  # each n-gram of the vocabulary is looked for, and the probabilities are added up one by one
+        own = licenses.words(line)
+        has = {g for n in (1, 2, 3) for g in (tuple(own[i : i + n]) for i in range(len(own) - n + 1)) if g in grams}
+        if not has:
+            return None
+        raw = [(float(model.weights[-1][k]) + sum(grams[g][k] for g in has)) / model.temperature for k in range(len(names))]
+        p = [1 / sum(np.exp(b - a) for b in raw) for a in raw]
+        if p[-1] >= 0.5:
+            return None
+        k = max(range(len(model.families)), key=lambda k: (p[k], -k))
+        agrees, like, shared = licenses.confirmed(own, names[k], model.likeness)
+        return names[k] if agrees and p[k] > model.least and p[k] >= p[-2] else "unknown", names[k], p[k], like, shared
+
+    want = []
+    for i, text in rows:
+        lines = (text or "").split("\n")
+        hits = [(k, *found) for k, line in enumerate(lines) if (found := judged(line))]
+        named = {h[1] for h in hits if not h[5]}
+        hits = [(k, "unknown" if shared and f not in named else f, p, like) for k, f, _, p, like, shared in hits]
+        best = min(hits, key=lambda h: (h[1] == "unknown", -h[2], h[0]), default=(None, "none", None, None))
+        want.append((str(i), sum(1 for x in lines if x.strip()), len(hits), best[1], str(best[0]), round(best[2] or 0, 4), round(best[3] or 0, 4)))
+    got = [(str(r.doc_id), r.n_paragraphs, r.n_licence_paragraphs, r.family, str(r.paragraph), round(r.probability or 0, 4), round(r.likeness or 0, 4)) for r in licenses.query(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert len({w[3] for w in want}) > 8
+
+
 @pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
 def test_each_line_that_is_a_template_is_named(spark, sf):
     docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
