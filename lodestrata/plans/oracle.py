@@ -254,6 +254,13 @@ good AS (SELECT query_id, attempt, 's' || CAST(floor(chunk_id / 100) AS BIGINT)
 firsts AS (SELECT query_id, min(attempt) AS attempt FROM good GROUP BY query_id),
 named AS (SELECT query_id, string_agg(source, ';' ORDER BY rank, source) AS sources FROM good JOIN firsts USING (query_id, attempt) GROUP BY query_id)"""
 
+_FEEDBACK = """said AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS question FROM conversations),
+  replies AS (SELECT conv_id || ':' || turn AS answer_id, 'w' || (conv_id % 4) AS workspace_id, question FROM said WHERE role = 'assistant'),
+  marks AS (SELECT user_id || ':1' AS answer_id, 'u' || (event_id % 7) AS user_id, CASE WHEN event_type IN ('purchase', 'click') THEN 'up' WHEN event_type = 'error' THEN 'down' WHEN event_type = 'view' THEN 'none' ELSE event_type END AS mark,
+    CASE WHEN event_id % 3 > 0 THEN props ELSE ' ' END AS comment, ts FROM events),
+  checked AS (SELECT *, CASE WHEN answer_id NOT IN (SELECT answer_id FROM replies) THEN 'no such answer' WHEN mark NOT IN ('up', 'down', 'none') THEN 'not a mark' END AS reason FROM marks),
+  current_marks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY answer_id, user_id ORDER BY ts DESC, mark DESC, comment DESC) AS k FROM checked WHERE reason IS NULL) WHERE k = 1 AND mark <> 'none')"""
+
 ORACLE_SQL = {
     "child_windows": f"WITH {_FILES}, cut AS (SELECT doc_id, {_WINDOWS} AS w FROM files WHERE text <> '') SELECT doc_id, CAST(generate_subscripts(w, 1) - 1 AS BIGINT) AS child_index, unnest(w) AS text FROM cut",
     "parent_ids": f"WITH {_FILES}, hashed AS (SELECT doc_id, i AS parent_index, {_SHA % ('file_name', 'i')} AS h FROM files, (SELECT unnest(range(12)) AS i)) SELECT doc_id, parent_index, {_UUID} AS parent_id FROM hashed",
@@ -366,4 +373,11 @@ ORACLE_SQL = {
         SELECT 'name' AS sort, row_number() OVER (ORDER BY file_name) - 1 AS ord, file_name FROM rows_ UNION ALL SELECT 'type', row_number() OVER (ORDER BY file_type, file_name) - 1, file_name FROM rows_
         UNION ALL SELECT 'size', row_number() OVER (ORDER BY size_bytes, file_name) - 1, file_name FROM rows_ UNION ALL SELECT 'state', row_number() OVER (ORDER BY scan_state, file_name) - 1, file_name FROM rows_)
       SELECT sort, ord // 50 AS page, ord % 50 AS place, file_name FROM placed""",
+    "feedback_refused": f"WITH {_FEEDBACK} SELECT reason, count(*) AS n FROM checked WHERE reason IS NOT NULL GROUP BY reason",
+    "feedback_review": f"""WITH {_FEEDBACK} SELECT workspace_id, answer_id, question, user_id, comment FROM current_marks JOIN replies USING (answer_id) WHERE mark = 'down' AND trim(comment, ' ') <> ''""",
+    "feedback_rates": f"""WITH {_FEEDBACK}, counts AS (SELECT answer_id, count(*) FILTER (mark = 'up') AS up, count(*) FILTER (mark = 'down') AS down FROM current_marks GROUP BY answer_id),
+      sums AS (SELECT workspace_id, count(*) AS answers, count(up) AS marked, CAST(coalesce(sum(up), 0) AS BIGINT) AS up, CAST(coalesce(sum(down), 0) AS BIGINT) AS down FROM replies LEFT JOIN counts USING (answer_id) GROUP BY workspace_id),
+      shares AS (SELECT *, up + down AS n, down / nullif(up + down, 0) AS p FROM sums), spreads AS (SELECT *, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))::DOUBLE AS s FROM shares)
+      SELECT workspace_id, answers, marked, up, down, round(p, 6) AS share_down, round((p + 1.96::DOUBLE * 1.96 / (2 * n) - s) / (1 + 1.96::DOUBLE * 1.96 / n), 6) AS low,
+             round((p + 1.96::DOUBLE * 1.96 / (2 * n) + s) / (1 + 1.96::DOUBLE * 1.96 / n), 6) AS high FROM spreads""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
 from lodestrata.functions.vectors import norm
-from lodestrata.operators import diff, embed, evaluate, impacts, jobs, order, registry, retrieve, segment, sessions, sync, upkeep
+from lodestrata.operators import diff, embed, evaluate, feedback, impacts, jobs, order, registry, retrieve, segment, sessions, sync, upkeep
 from lodestrata.settings import Settings
 from lodestrata.sources import files
 from lodestrata.sources.convert import convert_contents, convert_text
@@ -476,12 +476,45 @@ def file_pages(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _marked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns as answers to the turns before them, and events as marks on users' first answers."""
+    turn = Window.partitionBy("conv_id").orderBy("turn")
+    said = t.load(spark, d, "conversations").withColumn("question", F.lag("text").over(turn)).where("role = 'assistant'")
+    replies = said.select(F.concat_ws(":", "conv_id", "turn").alias("answer_id"), F.concat(F.lit("w"), F.pmod(F.col("conv_id"), F.lit(4))).alias("workspace_id"), "question")
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "up").when(F.col("event_type") == "error", "down").when(F.col("event_type") == "view", "none").otherwise(F.col("event_type"))
+    said = F.when(F.col("event_id") % 3 > 0, F.col("props")).otherwise(F.lit(" "))
+    marks = t.load(spark, d, "events").select(
+        F.concat(F.col("user_id"), F.lit(":1")).alias("answer_id"), F.concat(F.lit("u"), F.col("event_id") % 7).alias("user_id"), kind.alias("mark"), said.alias("comment"), F.col("ts").cast("timestamp").alias("at")
+    )
+    return replies, marks
+
+
+def feedback_refused(spark: SparkSession, d: str) -> DataFrame:
+    """How many marks aren't kept, by reason."""
+    answers_, marks = _marked(spark, d)
+    return feedback.checked(marks, answers_).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def feedback_review(spark: SparkSession, d: str) -> DataFrame:
+    """Questions whose answers users mark down, with their comments."""
+    answers_, marks = _marked(spark, d)
+    return feedback.review(answers_, feedback.checked(marks, answers_).where("reason IS NULL")).drop("at")
+
+
+def feedback_rates(spark: SparkSession, d: str) -> DataFrame:
+    """By workspace, the share of marks that are down and its interval."""
+    answers_, marks = _marked(spark, d)
+    out = feedback.rates(answers_, feedback.checked(marks, answers_).where("reason IS NULL"))
+    return out.select("workspace_id", "answers", "marked", "up", "down", *[F.round(c, 6).alias(c) for c in ("share_down", "low", "high")])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         child_windows, parent_ids, sections, merged_sections, packed_pieces, parents, children, fingerprints, type_gate, conversion_outcomes, change_report, change_counts, removed_sweep, sync_items,
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
         latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages, folder_files, sync_progress,
-        block_topk, block_work, index_upkeep, session_memory, clarified, routed, latency_sketch, file_pages,
+        block_topk, block_work, index_upkeep, session_memory, clarified, routed, latency_sketch, file_pages, feedback_refused, feedback_review,
+        feedback_rates,
     )
 }
