@@ -380,4 +380,9 @@ ORACLE_SQL = {
       shares AS (SELECT *, up + down AS n, down / nullif(up + down, 0) AS p FROM sums), spreads AS (SELECT *, 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n))::DOUBLE AS s FROM shares)
       SELECT workspace_id, answers, marked, up, down, round(p, 6) AS share_down, round((p + 1.96::DOUBLE * 1.96 / (2 * n) - s) / (1 + 1.96::DOUBLE * 1.96 / n), 6) AS low,
              round((p + 1.96::DOUBLE * 1.96 / (2 * n) + s) / (1 + 1.96::DOUBLE * 1.96 / n), 6) AS high FROM spreads""",
+    "written_answers": f"""WITH {_DENSE}, good AS (SELECT query_id, 's' || CAST(floor(chunk_id / 100) AS BIGINT) AS source, vectors.label AS label, min(rank) AS rank FROM dense JOIN vectors ON vectors.vec_id = dense.query_id WHERE score > 0.45 AND chunk_id <> query_id GROUP BY ALL),
+      named AS (SELECT query_id, string_agg(upper(source) || ': ' || label || '/' || source, chr(10) ORDER BY rank) AS text FROM good GROUP BY query_id)
+      SELECT v.vec_id AS query_id, CASE WHEN text IS NULL THEN 'refusal' ELSE 'answer' END AS kind,
+             coalesce(text, 'Nothing in this workspace answers the question. Searched for: ' || v.vec_id || '. Ask with words that the documents use, or in another workspace.') AS text
+      FROM vectors v LEFT JOIN named n ON n.query_id = v.vec_id WHERE v.vec_id % 20 = 0""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import ids, text
 from lodestrata.functions.vectors import norm
-from lodestrata.operators import diff, embed, evaluate, feedback, impacts, jobs, order, registry, retrieve, segment, sessions, sync, upkeep
+from lodestrata.operators import compose, diff, embed, evaluate, feedback, impacts, jobs, order, registry, retrieve, segment, sessions, sync, upkeep
 from lodestrata.settings import Settings
 from lodestrata.sources import files
 from lodestrata.sources.convert import convert_contents, convert_text
@@ -476,6 +476,15 @@ def file_pages(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def written_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers written from the passages of good hits, here by quoting them; refusals list what was searched for."""
+    queries, chunks, parents, spaces = _asked(spark, d)
+    found = retrieve.with_parents(storage.stored(_good_hits(retrieve.dense_top_k(queries, chunks, SETTINGS.top_k)), "good"), chunks, parents)
+    replies = retrieve.answers(queries, found, queries.select("query_id", F.lit(0).alias("attempt"), F.col("text").alias("search")), spaces)
+    quote = lambda c: c.select("query_id", F.array_join(F.transform("passages", lambda p: F.concat_ws(": ", p["section_label"], p["text"])), "\n").alias("text"))
+    return compose.written(replies, compose.contexts(queries, found), quote).select("query_id", "kind", "text")
+
+
 def _marked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Assistant turns as answers to the turns before them, and events as marks on users' first answers."""
     turn = Window.partitionBy("conv_id").orderBy("turn")
@@ -515,6 +524,6 @@ QUERIES = {
         run_rollup, run_history, run_detail, cascade_delete, set_null, upsert, workspace_names, prefixed, dense_topk, bm25_topk, hybrid_topk, parent_fetch, answers, evaluation_summary, release_gate,
         latency, workspace_cap, rough_sections, text_files, pdf_files, change_list, scan_list, retried_answers, traces, evaluation_reports, registry_state, stale_tail, embedded_passages, folder_files, sync_progress,
         block_topk, block_work, index_upkeep, session_memory, clarified, routed, latency_sketch, file_pages, feedback_refused, feedback_review,
-        feedback_rates,
+        feedback_rates, written_answers,
     )
 }
