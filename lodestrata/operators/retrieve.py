@@ -1,8 +1,7 @@
 """Top-k retrieval inside workspaces: dense, sparse and hybrid, then the parents that hits stand for.
 
-Queries are a stated, small set against large tables of chunks. A set that was counted as small goes to the chunks; a
-larger one meets them on (workspace, salt), so that a workspace with a third of all chunks is dealt over many tasks. In
-both cases each task keeps its k best before anything is shuffled by query. Nothing ever crosses a workspace.
+Queries and chunks meet by blocks (:mod:`nearest`), so that a workspace with a third of all chunks is dealt over many tasks,
+and each task keeps its k best before anything is shuffled by query. Nothing ever crosses a workspace.
 """
 
 from __future__ import annotations
@@ -17,6 +16,8 @@ from lodestrata.functions.vectors import dot
 from lodestrata.plans.storage import stored
 from lodestrata.settings import Settings
 
+from . import nearest
+
 FEW_QUERIES, FEW_TERMS, SALTS = 256, 100_000, 64
 
 
@@ -38,13 +39,28 @@ def top(hits: DataFrame, k: int, by: Column, tie: str, salt: str | None = None)
     return hits.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
 
 
+def _nearest(queries: DataFrame, chunks: DataFrame, k: int, within: bool = True) -> DataFrame:
+    """query_id, workspace_id, chunk_id, score: rows among which are the ``k`` best of each query in its workspace, or in each.
+    Vectors of another width than most, with nulls, or with numbers that aren't finite are met one by one."""
+    q, c = queries.select("query_id", "workspace_id", "dense") if within else queries.select("query_id", "dense"), chunks.select("chunk_id", "workspace_id", "dense")
+    if within:
+        q, c = (x.where(F.col("workspace_id").isNotNull()) for x in (q, c))
+    some = c.where(F.size("dense") > 0).select(F.size("dense")).first()
+    good = nearest.plain(F.col("dense"), some[0] if some else -1)
+    (n_q, odd_q), (n_c, odd_c) = (x.agg(F.count("*"), F.count_if(~good)).first() for x in (q, c))
+    plain_q, plain_c = q.where(good), c.where(good)
+    out = nearest.dense(plain_q, plain_c, k, n_q - odd_q, n_c - odd_c, within)
+    for few, many in ([(q.where(~good), c)] if odd_q else []) + ([(plain_q, c.where(~good))] if odd_c else []):
+        met = _met(few.withColumnRenamed("dense", "_q"), many, "chunk_id", ("workspace_id",) if within else ())
+        scored = met.select(F.struct("query_id", "workspace_id").alias("query_id"), "chunk_id", "_salt", dot(F.col("_q"), F.col("dense")).alias("score"))
+        out = out.unionByName(top(scored, k, F.col("score"), "chunk_id", "_salt").select("query_id.*", "chunk_id", "score"))
+    return out
+
+
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """``queries`` (query_id, workspace_id, dense), ``chunks`` (chunk_id, workspace_id, dense, ...) -> query_id,
     chunk_id, score, rank. Vectors are of unit length, so the score is the cosine."""
-    q = queries.select("query_id", "workspace_id", F.col("dense").alias("_q"))
-    c = chunks.select("chunk_id", "workspace_id", "dense")
-    scored = _met(q, c, "chunk_id").select("query_id", "chunk_id", "_salt", dot(F.col("_q"), F.col("dense")).alias("score"))
-    return top(scored, k, F.col("score"), "chunk_id", "_salt")
+    return top(_nearest(queries, chunks, k).select("query_id", "chunk_id", "score"), k, F.col("score"), "chunk_id")
 
 
 def terms(text: Column) -> Column:
@@ -53,7 +69,7 @@ def terms(text: Column) -> Column:
 
 @dataclass
 class SparseIndex:
-    """What sparse search needs of its chunks: ``tokens`` (workspace_id, chunk_id, length, term, tf: the postings) and
+    """What sparse search needs of its chunks: ``postings`` (workspace_id, chunk_id, length, term, tf: one for each term) and
     ``sizes`` (workspace_id, n, mean). A written index also has the terms' ``bucket``, by which a query's terms are read."""
 
     postings: DataFrame
@@ -65,7 +81,7 @@ class SparseIndex:
         rows = self.postings
         if self.written:  # only the folders of the terms' buckets are read; there are BUCKETS at most
             rows = rows.where(F.col("bucket").isin([r[0] for r in wanted.select(_bucket(F.col("term"))).distinct().collect()]))
-        return rows.join(wanted, ["workspace_id", "term"], "left_semi").groupBy("workspace_id", "chunk_id", "term", "length").agg(F.sum("tf").alias("tf"))
+        return rows.join(wanted, ["workspace_id", "term"], "left_semi")
 
 
 BUCKETS = 64
@@ -75,19 +91,30 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def counted(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """workspace_id, chunk_id, length, terms (distinct), tfs of each row. Terms are counted within the row, by the runs of its
+    sorted terms: no task holds a table of the terms of all its rows."""
+    words = chunks.select("workspace_id", "chunk_id", F.sort_array(terms(F.col(text))).alias("t"))
+    runs = words.select("*", F.size("t").alias("length"), F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))).alias("starts"))
+    ends = F.transform("starts", lambda s, i: (F.coalesce(F.try_element_at("starts", i + 2), F.col("length") + 1) - s).cast("long"))
+    return runs.select("workspace_id", "chunk_id", "length", F.transform("starts", lambda s: F.element_at("t", s)).alias("terms"), ends.alias("tfs"))
+
+
 def sparse_index(chunks: DataFrame, text: str = "text") -> SparseIndex:
-    """The index of ``chunks`` (workspace_id, chunk_id, text) for the queries at hand: texts are cut into terms once, and
-    terms are only counted for chunks that a query's terms pick."""
-    tokens = stored(chunks.select("workspace_id", "chunk_id", terms(F.col(text)).alias("t")), "tokens")
-    sizes = tokens.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
-    return SparseIndex(tokens.select("workspace_id", "chunk_id", F.size("t").alias("length"), F.explode("t").alias("term"), F.lit(1).cast("long").alias("tf")), sizes)
+    """The index of ``chunks`` (workspace_id, chunk_id, text) for the queries at hand: texts are cut into terms once."""
+    rows = stored(counted(chunks, text), "tokens")
+    sizes = rows.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    key = ["workspace_id", "chunk_id", "length"]
+    postings = rows.select(*key, F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(*key, "p.terms", "p.tfs").toDF(*key, "term", "tf")
+    if not rows.groupBy(*key).count().where("count > 1").isEmpty():  # rows that repeat a chunk_id and have as many terms add up
+        postings = postings.groupBy(*key, "term").agg(F.sum("tf").alias("tf"))
+    return SparseIndex(postings, sizes)
 
 
 def write_index(chunks: DataFrame, folder: str, text: str = "text") -> None:
     """Write the postings of ``chunks`` below ``folder``, by buckets of terms, for any number of later queries."""
     index = sparse_index(chunks, text)
-    counted = index.postings.groupBy("workspace_id", "chunk_id", "length", "term").agg(F.sum("tf").alias("tf"))
-    counted.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    index.postings.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
     index.sizes.write.parquet(f"{folder}/sizes")
 
 
@@ -101,15 +128,18 @@ def bm25_top_k(queries: DataFrame, chunks: DataFrame | SparseIndex, k: int, sett
     common term are no hits. Only postings of terms that some query asks for go on to the joins."""
     k1, b = settings.bm25_k1, settings.bm25_b
     index = chunks if isinstance(chunks, SparseIndex) else sparse_index(chunks)
-    asked = queries.select("query_id", "workspace_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    asked = queries.where("workspace_id IS NOT NULL").select("query_id", "workspace_id", F.array_distinct(terms(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    asked = asked.groupBy("query_id", "workspace_id").agg(F.flatten(F.collect_list("terms")).alias("terms"))
+    wanted = asked.select("workspace_id", F.explode("terms").alias("term")).distinct()
     # a hot term's postings stay where they are if what is asked for was counted as small; else they are dealt by term
-    small = F.broadcast if asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS else lambda df: df
-    found = index.of(small(asked.select("workspace_id", "term").distinct()))
+    small = F.broadcast if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS else lambda df: df
+    found = index.of(small(wanted))
     frequency = found.groupBy("workspace_id", "term").agg(F.count("*").alias("df"))
     idf = frequency.join(index.sizes, "workspace_id").select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    parts = found.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "term", "chunk_id", weight.alias("w")).join(small(asked), ["workspace_id", "term"])
-    return top(parts.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score")), k, F.round("score", 9), "chunk_id")
+    parts = found.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "term", "chunk_id", weight.alias("w"))
+    hits = nearest.sparse(asked, parts, k, asked.count(), index.sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return top(hits, k, F.round("score", 9), "chunk_id")
 
 
 def fused_top_k(dense: DataFrame, sparse: DataFrame, k: int, settings: Settings = Settings()) -> DataFrame:
@@ -189,8 +219,6 @@ def ask(
 
 def route_workspace(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The workspace whose ``k`` best chunks have the largest sum of scores, for queries (query_id, dense) without one."""
-    q = queries.select(F.col("query_id").alias("_id"), F.col("dense").alias("_q"))
-    met = _met(q, chunks.select("chunk_id", "workspace_id", "dense"), "chunk_id", ())
-    scored = met.select(F.struct(F.col("_id").alias("query_id"), "workspace_id").alias("query_id"), "chunk_id", "_salt", dot(F.col("_q"), F.col("dense")).alias("score"))
-    sums = top(scored, k, F.col("score"), "chunk_id", "_salt").groupBy("query_id").agg(F.sum("score").alias("score")).select("query_id.*", "score")
+    scored = _nearest(queries, chunks, k, within=False).select(F.struct("query_id", "workspace_id").alias("query_id"), "chunk_id", "score")
+    sums = top(scored, k, F.col("score"), "chunk_id").groupBy("query_id").agg(F.sum("score").alias("score")).select("query_id.*", "score")
     return top(sums, 1, F.round("score", 9), "workspace_id").select("query_id", "workspace_id", "score")

@@ -178,7 +178,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    chunks = t.embedded(spark, d)
+    chunks = storage.stored(t.embedded(spark, d), "embedded")
     queries = chunks.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "workspace_id", "text", "dense")
     return queries, chunks, retrieve.hybrid_top_k(queries, chunks, settings=SETTINGS)
 
