@@ -6,9 +6,9 @@ an upper bound that holds for any corpus statistics: a frequency that is as grea
 less. So bounds need no renewal when a corpus grows.
 
 A query goes three ways through the index. First the bounds alone are summed up by block. Then each query's ``PROBES``
-blocks of the greatest bounds are scored; its k-th best score there is a score that its k best reach. Last, the other blocks
-whose bounds reach that score are scored too; all others are skipped, since no chunk in them can be among the k best, ties
-included. Results are those of :func:`retrieve.bm25_top_k`. Bounds are compared with a slack for rounding.
+blocks of the greatest bounds are scored; its k-th best score there is a score that its k best reach. Last, the blocks whose
+bounds reach that score for some query are read, each once, and scored as in :mod:`nearest`; for the query all others are
+skipped, since no chunk in them can be among the k best, ties included. Results are those of :func:`retrieve.bm25_top_k`. Bounds are compared with a slack for rounding.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestrata.plans.storage import stored
 from lodestrata.settings import Settings
 
-from . import retrieve
+from . import nearest, retrieve
 from .order import placed
 
 BLOCK, PROBES, SLACK = 128, 2, 1e-9
@@ -29,8 +29,8 @@ BLOCK, PROBES, SLACK = 128, 2, 1e-9
 
 @dataclass
 class BlockIndex:
-    """``blocks``: workspace_id, term, block, df, most_tf, least_length, postings (array of chunk_id, tf, length), in order
-    of workspace, term and block. ``sizes``: workspace_id, n, mean. Where blocks hold postings that are void, ``dead``
+    """``blocks``: workspace_id, term, block, df, most_tf, least_length, postings (array of chunk_id, tf, length), each
+    file in order of workspace, term and block. ``sizes``: workspace_id, n, mean. Where blocks hold postings that are void, ``dead``
     (workspace_id, part, chunk_id) says which, by the blocks' own column ``part``, and ``df`` (workspace_id, term, df) gives
     the frequencies, as numbers to sum up. Void postings only raise bounds, so results stay exact."""
 
@@ -53,19 +53,19 @@ def numbered(tokens: DataFrame) -> DataFrame:
 
 
 def block_rows(chunks: DataFrame, block: int) -> DataFrame:
-    """The blocks of numbered chunks."""
-    each = chunks.select("workspace_id", "chunk_id", F.floor(F.col("_place") / block).alias("block"), F.size("t").alias("length"), F.explode("t").alias("term"))
-    counted = each.groupBy("workspace_id", "term", "block", "chunk_id", "length").agg(F.count("*").alias("tf"))
+    """The blocks of numbered chunks. Chunks go to where their block is, once; all that follows stays there."""
+    dealt = retrieve.runs(chunks.select("workspace_id", "chunk_id", F.floor(F.col("_place") / block).alias("block"), "t")).repartition("workspace_id", "block")
+    each = dealt.select("workspace_id", "chunk_id", "block", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
+    counted = each.select("workspace_id", F.col("p.terms").alias("term"), "block", "chunk_id", "length", F.col("p.tfs").alias("tf")).groupBy("workspace_id", "term", "block", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
     posting = F.struct("chunk_id", "tf", "length")
     return counted.groupBy("workspace_id", "term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.sort_array(F.collect_list(posting)).alias("postings"))  # ``block`` at most
 
 
 def write_index(chunks: DataFrame, folder: str, text: str = "text", block: int = BLOCK) -> None:
-    """Write the index of ``chunks`` (workspace_id, chunk_id, text) below ``folder``, sorted over all files, so that the
-    ranges of workspace and term in the files' footers say which of them a query needs."""
+    """Write the index of ``chunks`` (workspace_id, chunk_id, text) below ``folder``. A block is in one file, and files are
+    sorted, so that the ranges of workspace and term in their row groups and pages say which of them a query needs."""
     rows, sizes = _block_rows(chunks, text, block)
-    order = ("workspace_id", "term", "block")
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{folder}/blocks")
+    rows.sortWithinPartitions("workspace_id", "term", "block").write.parquet(f"{folder}/blocks")
     sizes.write.parquet(f"{folder}/sizes")
 
 
@@ -100,34 +100,42 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
     heads = stored(heads, "heads")  # without postings
     frequencies = heads if index.df is None else index.df.join(small(wanted), ["workspace_id", "term"], "left_semi")
     idf = frequencies.groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).where("df > 0").join(index.sizes, "workspace_id")
-    idf = idf.select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = stored(idf.select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
     weighed = stored(asked.join(idf, ["workspace_id", "term"]), "asked")  # terms that are there, with their statistics
     bound = _weight(F.col("idf"), F.col("most_tf"), F.col("least_length"), F.col("mean"), settings)
-    bounds = heads.join(small(weighed), ["workspace_id", "term"]).groupBy("query_id", "workspace_id", "block").agg(F.sum(bound).alias("bound"))
+    # dealt by block first: what a block's terms add up to for each query then needs no shuffle
+    bounds = heads.repartition("workspace_id", "block").join(small(weighed), ["workspace_id", "term"]).groupBy("query_id", "workspace_id", "block").agg(F.sum(bound).alias("bound"))
     by_bound = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
     bounds = stored(bounds.withColumn("_r", F.row_number().over(by_bound)), "bounds")
 
-    def scored(some: DataFrame) -> DataFrame:
-        """Scores of all chunks of the blocks ``some`` (query_id, workspace_id, block)."""
-        terms = some.join(weighed, ["query_id", "workspace_id"])
-        need = terms.select("workspace_id", "term", "block").distinct()
-        met = rows.join(need, ["workspace_id", "term", "block"], "left_semi").join(terms, ["workspace_id", "term", "block"])
+    def postings(some: DataFrame, key: list[str]) -> DataFrame:
+        """workspace_id, block, term, chunk_id, w: what lives in the blocks ``some``."""
+        met = rows.join(small(wanted), ["workspace_id", "term"], "left_semi").join(some, key, "left_semi")
         if index.dead is None:
-            each = met.select("query_id", "idf", "mean", F.explode("postings").alias("p"))
+            each = met.select("workspace_id", "block", "term", F.explode("postings").alias("p"))
         else:
-            each = met.select("query_id", "idf", "mean", "workspace_id", "part", F.explode("postings").alias("p")).withColumn("chunk_id", F.col("p.chunk_id"))
-            each = each.join(index.dead, ["workspace_id", "part", "chunk_id"], "left_anti").select("query_id", "idf", "mean", "p")
+            each = met.select("workspace_id", "block", "term", "part", F.explode("postings").alias("p")).withColumn("chunk_id", F.col("p.chunk_id"))
+            each = each.join(index.dead, ["workspace_id", "part", "chunk_id"], "left_anti")
         weight = _weight(F.col("idf"), F.col("p.tf"), F.col("p.length"), F.col("mean"), settings)
-        return each.select("query_id", F.col("p.chunk_id").alias("chunk_id"), weight.alias("w")).groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
+        return each.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "block", "term", F.col("p.chunk_id").alias("chunk_id"), weight.alias("w"))
+
+    def probed(some: DataFrame) -> DataFrame:
+        """Scores of all chunks of the blocks ``some`` (query_id, workspace_id, block), a few for each query."""
+        terms, on = some.join(weighed.select("query_id", "workspace_id", "term"), ["query_id", "workspace_id"]), ["workspace_id", "block", "term"]
+        met = postings(small(terms.select(*on).distinct()), on).join(small(terms), on)
+        return met.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("score"))
 
     best = lambda hits: retrieve.top(hits, k, F.round("score", 9), "chunk_id")
     key = ["query_id", "workspace_id", "block"]
-    first = stored(best(scored(bounds.where(F.col("_r") <= probes).select(*key))).drop("rank"), "probed")
+    first = stored(best(probed(bounds.where(F.col("_r") <= probes).select(*key))).drop("rank"), "probed")
     floor = first.groupBy("query_id").agg(F.count("*").alias("_n"), F.min("score").alias("_least"))
     rest = bounds.where(F.col("_r") > probes).join(floor, "query_id", "left")
     reaches = (F.coalesce("_n", F.lit(0)) < k) | (F.col("bound") * (1 + SLACK) + SLACK >= F.round("_least", 9))
     marked = stored(rest.select(*key, reaches.alias("reaches")), "rest")
-    hits = best(first.unionByName(scored(marked.where("reaches").select(*key))))
+    # a block that some query needs is read once, for all queries of its workspace: that adds scores, which are right too
+    need = bounds.where(F.col("_r") <= probes).select(*key).unionByName(marked.where("reaches").select(*key)).select("workspace_id", "block").distinct()
+    lists = weighed.groupBy("query_id", "workspace_id").agg(F.collect_list("term").alias("terms"))
+    hits = best(nearest.sparse(lists, postings(need, ["workspace_id", "block"]), k, lists.count(), index.sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     counts = bounds.groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("_r") <= probes).alias("probed"))
     later = marked.groupBy("query_id").agg(F.count_if("reaches").alias("read"))
     work = counts.join(later, "query_id", "left").withColumn("read", F.coalesce("read", F.lit(0)))

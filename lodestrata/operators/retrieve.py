@@ -94,10 +94,16 @@ def _bucket(term: Column) -> Column:
 def counted(chunks: DataFrame, text: str = "text") -> DataFrame:
     """workspace_id, chunk_id, length, terms (distinct), tfs of each row. Terms are counted within the row, by the runs of its
     sorted terms: no task holds a table of the terms of all its rows."""
-    words = chunks.select("workspace_id", "chunk_id", F.sort_array(terms(F.col(text))).alias("t"))
-    runs = words.select("*", F.size("t").alias("length"), F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))).alias("starts"))
+    return runs(chunks.select("workspace_id", "chunk_id", terms(F.col(text)).alias("t")))
+
+
+def runs(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with length, terms and tfs in the place of their array ``t``."""
+    had = [c for c in tokens.columns if c != "t"]
+    rows = tokens.select(*had, F.sort_array("t").alias("t"))
+    rows = rows.select("*", F.size("t").alias("length"), F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))).alias("starts"))
     ends = F.transform("starts", lambda s, i: (F.coalesce(F.try_element_at("starts", i + 2), F.col("length") + 1) - s).cast("long"))
-    return runs.select("workspace_id", "chunk_id", "length", F.transform("starts", lambda s: F.element_at("t", s)).alias("terms"), ends.alias("tfs"))
+    return rows.select(*had, "length", F.transform("starts", lambda s: F.element_at("t", s)).alias("terms"), ends.alias("tfs"))
 
 
 def sparse_index(chunks: DataFrame, text: str = "text") -> SparseIndex:

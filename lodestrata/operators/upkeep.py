@@ -134,7 +134,7 @@ class LiveIndex:
     def _blocks(self, chunks: DataFrame, number: int) -> DataFrame:
         rows = impacts.block_rows(impacts.numbered(chunks.select("workspace_id", "chunk_id", "t")), self.block)
         order = ("workspace_id", "term", "block")
-        return rows.withColumn("part", F.lit(number)).withColumn("block", F.col("block") + F.lit(number * _PART)).repartitionByRange(*order).sortWithinPartitions(*order)
+        return rows.withColumn("part", F.lit(number)).withColumn("block", F.col("block") + F.lit(number * _PART)).sortWithinPartitions(*order)
 
     def _due(self, parts: list[Part]) -> tuple[list[Part], int]:
         """The parts that are to become one, and its level; none where no level is full."""

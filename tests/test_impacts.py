@@ -38,3 +38,9 @@ def test_an_empty_index(spark, tmp_path):
     impacts.write_index(corpus(spark).limit(0), str(tmp_path / "i"))
     found = impacts.top_k(queries, impacts.read_index(spark, str(tmp_path / "i")), 5)
     assert found.hits.count() == 0 and found.work.count() == 0
+
+
+def test_what_is_in_a_block_is_not_shuffled(spark):
+    rows, _ = impacts._block_rows(corpus(spark), "text", 16)
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("hashpartitioning(workspace_id") == 1 and "hashpartitioning(workspace_id" in plan and "term#" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line)
