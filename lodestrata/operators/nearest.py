@@ -63,9 +63,14 @@ def _firsts(row: np.ndarray, k: int) -> np.ndarray:
 _LARGE = 1e100
 
 
+def finite(vector: Column) -> Column:
+    """Whether a vector has numbers, all of them finite and none huge."""
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, lambda x: F.coalesce(F.abs(x) < _LARGE, F.lit(False))), F.lit(False))
+
+
 def plain(vector: Column, width: int) -> Column:
-    """Whether a vector has ``width`` numbers, all of them finite and none huge."""
-    return F.coalesce(vector.isNotNull() & (F.size(vector) == width) & F.forall(vector, lambda x: F.coalesce(F.abs(x) < _LARGE, F.lit(False))), F.lit(False))
+    """Whether a vector is :func:`finite` and has ``width`` numbers."""
+    return F.coalesce((F.size(vector) == width) & finite(vector), F.lit(False))
 
 
 def _distinct(x: np.ndarray, k: int) -> np.ndarray:
@@ -97,28 +102,88 @@ def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in column.chunks]).reshape(len(column), -1)
 
 
-def dense(queries: DataFrame, chunks: DataFrame, k: int, n_queries: int, n_chunks: int, within: bool = True) -> DataFrame:
+def dense(queries: DataFrame, chunks: DataFrame, k: int, n_queries: int, n_chunks: int, within: bool = True, odd: bool = False) -> DataFrame:
     """query_id, workspace_id (of the chunk), chunk_id, score: rows among which are the ``k`` best of each query in its
-    workspace, or (not ``within``) in every workspace. Vectors have the same number of plain numbers."""
+    workspace, or (not ``within``) in every workspace. Vectors have the same number of plain numbers, or (``odd``) are any."""
     kind = dict(chunks.dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, workspace_id {kind['workspace_id']}, chunk_id {kind['chunk_id']}, score double"
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        asked, places, scores = ([np.zeros(0, t)] for t in (int, int, float))
+        asked, places, scores, unknown = ([np.zeros(0, t)] for t in (int, int, float, bool))
         c = c.take(pc.sort_indices(c, sort_keys=[("chunk_id", "ascending")], null_placement="at_start"))
         if len(q) and len(c):
-            y, x = _vectors(q["asked_dense"]), _vectors(c["dense"])
+            of = _Ragged if odd else _vectors
+            y, x = of(q["asked_dense"]), of(c["dense"])
             for own, some in _by_workspace(q, c, within):
-                for row, col, score in best_vectors(y[some], x[own], k):
-                    asked.append(some[row]), places.append(own[col]), scores.append(score)
-        asked, places, scores = (np.concatenate(a) for a in (asked, places, scores))
+                for row, col, score, null in best_ragged(y, x, some, own, k) if odd else ((*best, None) for best in best_vectors(y[some], x[own], k)):
+                    asked.append(some[row]), places.append(own[col]), scores.append(score), unknown.append(np.zeros(len(row), bool) if null is None else null)
+        asked, places, scores, unknown = (np.concatenate(a) for a in (asked, places, scores, unknown))
         q, c = q["asked_query_id"].take(pa.array(asked)), c.select(["workspace_id", "chunk_id"]).take(pa.array(places))
-        return pa.table({"query_id": q, "workspace_id": c["workspace_id"], "chunk_id": c["chunk_id"], "score": scores})
+        return pa.table({"query_id": q, "workspace_id": c["workspace_id"], "chunk_id": c["chunk_id"], "score": pa.array(scores, mask=unknown)})
 
     columns = ["query_id", "workspace_id", "dense"] if within else ["query_id", "dense"]
     return _met(queries.select(*columns), chunks.select("workspace_id", "chunk_id", "dense"), "chunk_id", n_queries, n_chunks, VECTORS, meet, schema)
 
 
+# vectors of any kind
+
+
+class _Ragged:
+    """Vectors of any widths; the width of those that give no product, as they are null or hold a null, is -1."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = column.combine_chunks()
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        values = lists.flatten()
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int)
+        self.start, self.width = np.cumsum(size) - size, size.copy()
+        self.width[pc.is_null(lists).to_numpy(zero_copy_only=False)] = -1
+        self.width[np.repeat(np.arange(len(size)), size)[pc.is_null(values).to_numpy(zero_copy_only=False)]] = -1
+        self.values = values.to_numpy(zero_copy_only=False).astype(float)
+
+    def of(self, places: np.ndarray, width: int) -> np.ndarray:
+        return self.values[self.start[places][:, None] + np.arange(width)]
+
+
+def _in_order(score: np.ndarray) -> np.ndarray:
+    """Integers in the order of numbers as Spark sorts them: zeros are equal, and what is no number is the largest."""
+    bits = (score + 0.0).view(np.int64)
+    return np.where(np.isnan(score), np.iinfo(np.int64).max, bits ^ ((bits >> 63) & np.iinfo(np.int64).max))
+
+
+def best_ragged(y: _Ragged, x: _Ragged, some: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the vectors ``some`` of ``y`` the ``k`` of ``own`` of ``x`` with the largest inner products, of equal ones the
+    first: places in ``some`` and ``own``, products, and whether a product is null (these come last). Products are summed up
+    from left to right; those of vectors of other widths are null."""
+    for width in np.unique(y.width[some]):
+        rows = np.flatnonzero(y.width[some] == width)
+        fit = x.width[own] == width if width >= 0 else np.zeros(len(own), bool)
+        cols, rest = np.flatnonzero(fit), np.flatnonzero(~fit)
+        rest = rest[: max(0, k - len(cols))]
+        yield np.repeat(rows, len(rest)), np.tile(rest, len(rows)), np.zeros(len(rows) * len(rest)), np.ones(len(rows) * len(rest), bool)
+        if not len(cols):
+            continue
+        across = np.ascontiguousarray(x.of(own[cols], width).T)
+        for at in range(0, len(rows), AT_ONCE // 4):
+            part = rows[at : at + AT_ONCE // 4]
+            left, score = y.of(some[part], width), np.zeros((len(part), len(cols)))
+            with np.errstate(invalid="ignore", over="ignore"):
+                for j in range(width):
+                    score += left[:, j, None] * across[j]
+            row, col = np.nonzero(_most(_in_order(score), k))
+            yield part[row], cols[col], score[row, col], np.zeros(len(row), bool)
+
+
+def _most(key: np.ndarray, k: int) -> np.ndarray:
+    """Which are the ``k`` largest of each row, of equal ones the first."""
+    n = key.shape[1]
+    if n <= k:
+        return np.ones(key.shape, bool)
+    least = np.partition(key, n - k, axis=1)[:, n - k, None]
+    above, equal = key > least, key == least
+    return above | (equal & (np.cumsum(equal, axis=1, dtype=np.int32) <= k - above.sum(1)[:, None]))
+
+
 # terms
 
 

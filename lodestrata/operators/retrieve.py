@@ -12,22 +12,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.functions.vectors import dot
 from lodestrata.plans.storage import stored
 from lodestrata.settings import Settings
 
 from . import nearest
 
-FEW_QUERIES, FEW_TERMS, SALTS = 256, 100_000, 64
-
-
-def _met(queries: DataFrame, chunks: DataFrame, salt_on: str, keys: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
-    """Every query with every chunk of equal ``keys``; ``_salt`` spreads the chunks, and what follows."""
-    salted = chunks.withColumn("_salt", F.pmod(F.xxhash64(salt_on), F.lit(SALTS)).cast("int"))
-    spread = queries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    if queries.limit(FEW_QUERIES + 1).count() <= FEW_QUERIES:
-        spread = F.broadcast(spread)
-    return salted.join(spread, [*keys, "_salt"])
+#: Nothing reads FEW_QUERIES any more; it stays for callers that set it.
+FEW_QUERIES, FEW_TERMS = 256, 100_000
 
 
 def top(hits: DataFrame, k: int, by: Column, tie: str, salt: str | None = None) -> DataFrame:
@@ -41,19 +32,21 @@ def top(hits: DataFrame, k: int, by: Column, tie: str, salt: str | None = None)
 
 def _nearest(queries: DataFrame, chunks: DataFrame, k: int, within: bool = True) -> DataFrame:
     """query_id, workspace_id, chunk_id, score: rows among which are the ``k`` best of each query in its workspace, or in each.
-    Vectors of another width than most, with nulls, or with numbers that aren't finite are met one by one."""
+    Vectors of another width than most, with nulls, or with numbers that aren't finite meet by blocks of their own."""
     q, c = queries.select("query_id", "workspace_id", "dense") if within else queries.select("query_id", "dense"), chunks.select("chunk_id", "workspace_id", "dense")
     if within:
         q, c = (x.where(F.col("workspace_id").isNotNull()) for x in (q, c))
-    some = c.where(F.size("dense") > 0).select(F.size("dense")).first()
-    good = nearest.plain(F.col("dense"), some[0] if some else -1)
-    (n_q, odd_q), (n_c, odd_c) = (x.agg(F.count("*"), F.count_if(~good)).first() for x in (q, c))
+    widths = c.groupBy(F.size("dense").alias("width")).agg(F.count("*").alias("n"), F.count_if(nearest.finite(F.col("dense"))).alias("fit"))
+    n_c, most = widths.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max(F.struct("fit", "width"))).first()
+    fit, width = most if most else (0, -1)
+    good = nearest.plain(F.col("dense"), width)
+    n_q, odd_q = q.agg(F.count("*"), F.count_if(~good)).first()
     plain_q, plain_c = q.where(good), c.where(good)
-    out = nearest.dense(plain_q, plain_c, k, n_q - odd_q, n_c - odd_c, within)
-    for few, many in ([(q.where(~good), c)] if odd_q else []) + ([(plain_q, c.where(~good))] if odd_c else []):
-        met = _met(few.withColumnRenamed("dense", "_q"), many, "chunk_id", ("workspace_id",) if within else ())
-        scored = met.select(F.struct("query_id", "workspace_id").alias("query_id"), "chunk_id", "_salt", dot(F.col("_q"), F.col("dense")).alias("score"))
-        out = out.unionByName(top(scored, k, F.col("score"), "chunk_id", "_salt").select("query_id.*", "chunk_id", "score"))
+    out = nearest.dense(plain_q, plain_c, k, n_q - odd_q, fit, within)
+    if odd_q:
+        out = out.unionByName(nearest.dense(q.where(~good), c, k, odd_q, n_c, within, odd=True))
+    if n_c > fit and n_q > odd_q:
+        out = out.unionByName(nearest.dense(plain_q, c.where(~good), k, n_q - odd_q, n_c - fit, within, odd=True))
     return out
 
 

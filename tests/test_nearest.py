@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from lodestrata.functions.vectors import dot
 from lodestrata.operators import nearest, retrieve
 
 HITS = "query_id long, workspace_id string, dense array<float>"
@@ -49,6 +50,38 @@ def test_blocks_find_what_all_products_give(spark, monkeypatch):
     assert got == whole(queries, chunks, 5, within=False)
 
 
+def test_odd_vectors_meet_by_blocks(spark, monkeypatch):
+    """Any vectors give what a join of all pairs gives, without one, and what goes on is k rows a query and block."""
+    rng = random.Random(8)
+    inf, nan, wide = float("inf"), float("nan"), lambda n: [float(np.float32(rng.gauss(0, 1))) for _ in range(n)]
+    kinds = [lambda: None, lambda: [], lambda: [1.0, None, 2.0, 0.5], lambda: [nan, *wide(3)], lambda: [inf, *wide(3)], lambda: [-inf, *wide(3)], lambda: [1e38] * 4, lambda: [0.0] * 4, lambda: [-0.0] * 4, lambda: wide(3), lambda: [0.0, inf, 1.0, 1.0]]
+    rows = [(i, rng.choice("ab"), rng.choice(kinds)() if rng.random() < 0.5 else wide(4)) for i in range(600)] + [(900, "c", None), (901, "c", wide(4)), (902, "c", [nan] * 4), (903, None, wide(4)), (None, "c", wide(4))]
+    asked = [(i, rng.choice("abcd"), kinds[i % len(kinds)]() if i % 2 else wide(4)) for i in range(60)] + [(99, None, wide(4))]
+    q, c = spark.createDataFrame(asked, HITS), spark.createDataFrame(rows, HITS).withColumnRenamed("query_id", "chunk_id")
+    pairs = q.withColumnRenamed("dense", "y").join(c, "workspace_id").select("query_id", "chunk_id", dot(F.col("y"), F.col("dense")).alias("score"))
+    show = lambda df: [str(tuple(r)) for r in df.select("query_id", "rank", "chunk_id", F.col("score") + 0.0).orderBy("query_id", "rank").collect()]
+    want = show(retrieve.top(pairs, 5, F.col("score"), "chunk_id"))
+    for name, n in (("QUERIES", 20), ("VECTORS", 90), ("AT_ONCE", 16)):
+        monkeypatch.setattr(nearest, name, n)
+    assert show(retrieve.dense_top_k(q, c, 5)) == want
+    crossed = q.select("query_id", F.col("dense").alias("y")).crossJoin(c).select(F.struct("query_id", "workspace_id").alias("query_id"), "chunk_id", dot(F.col("y"), F.col("dense")).alias("score"))
+    met = retrieve._nearest(q, c, 5, within=False)
+    assert "Join" not in met._jdf.queryExecution().toString()
+    assert show(retrieve.top(met.select(F.struct("query_id", "workspace_id").alias("query_id"), "chunk_id", "score"), 5, F.col("score"), "chunk_id")) == show(retrieve.top(crossed, 5, F.col("score"), "chunk_id"))
+
+
+def test_width_is_that_of_most(spark, monkeypatch):
+    """One short vector, read first, doesn't make all others odd."""
+    vector = lambda n: F.array(*[F.rand(i).cast("float") for i in range(n)])
+    rows = lambda at, to, n: spark.range(at, to, 1, 1).select(F.col("id").alias("chunk_id"), F.lit("w").alias("workspace_id"), vector(n).alias("dense"))
+    chunks = rows(0, 1, 2).unionByName(rows(1, 2001, 4))
+    asked = chunks.where("chunk_id % 50 = 1").withColumnRenamed("chunk_id", "query_id")
+    calls, dense = [], nearest.dense
+    monkeypatch.setattr(nearest, "dense", lambda *a, **b: calls.append(a[3:5]) or dense(*a, **b))
+    assert retrieve._nearest(asked, chunks, 3).where("chunk_id > 0").count() >= 40 * 3
+    assert calls == [(40, 2000), (40, 1)]
+
+
 def test_pairs_are_not_shuffled(spark):
     """What goes on from a block of chunks is k rows a query, whatever the block holds."""
     asked = spark.range(40).select(F.col("id").alias("query_id"), F.lit("w").alias("workspace_id"), F.array(*[F.rand(i).cast("float") for i in range(4)]).alias("dense"))
