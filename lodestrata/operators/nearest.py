@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 #: Queries and rows in a block, queries scored at once, chunks whose postings are a matrix, and its most terms.
 QUERIES, VECTORS, CHUNKS, AT_ONCE, NARROW, HOT = 32_768, 32_768, 8192, 256, 4096, 2048
-#: Rows that are too few for a block of their own, however many cores there are.
-LEAST = 256
+#: Rows that are too few for a block of their own, however many cores there are; products in a group of which one is kept at first.
+LEAST, GROUP = 256, 32
 
 
 def _met(queries: DataFrame, rows: DataFrame, tie: str, n_queries: int, n_rows: int, size: int, meet, schema: str) -> DataFrame:
@@ -88,16 +88,32 @@ def best_vectors(y: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[np.ndar
     kept = _distinct(x, k)
     x = x[kept]
     slack = 8 * x.shape[1] * np.finfo(float).eps * np.sqrt((x**2).sum(1).max()) * np.sqrt((y**2).sum(1))
-    for at in range(0, len(y), AT_ONCE):
-        rough = y[at : at + AT_ONCE] @ x.T
-        least = np.partition(rough, len(x) - k, axis=1)[:, len(x) - k] - slack[at : at + AT_ONCE] if len(x) > k else np.full(len(rough), -np.inf)
-        row, col = np.nonzero(rough >= least[:, None])
+    step = max(1, AT_ONCE // 4)
+    products = np.empty((min(step, len(y)), len(x)))
+    for at in range(0, len(y), step):
+        part = y[at : at + step]
+        rough = np.matmul(part, x.T, out=products[: len(part)])
+        row, col = np.divmod(np.flatnonzero(rough >= (_reached(rough, k) - slack[at : at + step])[:, None]), len(x))
         score = np.concatenate([np.zeros(0), *(np.cumsum(y[at + row[i : i + 65536]] * x[col[i : i + 65536]], axis=1)[:, -1] for i in range(0, len(row), 65536))])
         order = np.lexsort((col, -score, row))
         order = order[_firsts(row[order], k)]
         yield at + row[order], kept[col[order]], score[order]
 
 
+def _reached(score: np.ndarray, k: int) -> np.ndarray:
+    """For each row a number that ``k`` of its numbers reach at least, and no more than the greatest ``GROUP * k`` but for equal
+    ones: the ``k``-th of the greatest of groups, as reading all numbers once takes less than parting them."""
+    n = score.shape[1]
+    if n <= k:
+        return np.full(len(score), -np.inf)
+    groups = max(8 * k, -(-n // GROUP))
+    most = score[:, :groups].copy()
+    for a in range(groups, n, groups):
+        part = score[:, a : a + groups]
+        np.maximum(most[:, : part.shape[1]], part, out=most[:, : part.shape[1]])
+    return np.partition(most, most.shape[1] - k, axis=1)[:, most.shape[1] - k]
+
+
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(float) for c in column.chunks]).reshape(len(column), -1)
 

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -91,6 +92,24 @@ def test_pairs_are_not_shuffled(spark):
     assert met.count() <= 40 * 3 * blocks < 40 * 2000 / 10
 
 
+def test_best_products_are_picked_by_groups():
+    """The best of all products, ties and copies included, whatever the groups are, from the products of few queries at once."""
+    rng = np.random.default_rng(2)
+    for n, k in ((1, 5), (5, 5), (41, 5), (700, 1), (1300, 20)):
+        x, y = (rng.integers(-1, 2, (m, 6)).astype(float) for m in (n, 70))
+        x[n // 2 :] = x[: n - n // 2]
+        found = [np.concatenate(f) for f in zip(*nearest.best_vectors(y, x, k))]
+        all_ = (y[:, None] * x[None]).sum(2)
+        want = [(i, j, all_[i, j]) for i in range(70) for j in np.argsort(-all_[i], kind="stable")[:k]]
+        assert list(zip(*found)) == want
+    x, y = rng.normal(size=(20_000, 8)), rng.normal(size=(256, 8))
+    tracemalloc.start()
+    found = sum(len(row) for row, _, _ in nearest.best_vectors(y, x, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 256 * 5 and peak < 30e6
+
+
 def test_sums_of_terms_by_blocks(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(300)]
