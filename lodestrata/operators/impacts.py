@@ -1,7 +1,7 @@
 """Sparse search by blocks: only blocks of chunks that can hold one of a query's best are read.
 
 Chunks are numbered in each workspace and cut into blocks of ``BLOCK``. A row of the index holds the postings of one term in
-one block, and beside them the block's greatest term frequency and least length. With these, a term's weight in a block has
+a run of blocks, and beside them each block's greatest term frequency and least length. With these, a term's weight in a block has
 an upper bound that holds for any corpus statistics: a frequency that is as great, in a chunk that is as short, can't weigh
 less. So bounds need no renewal when a corpus grows.
 
@@ -13,8 +13,12 @@ skipped, since no chunk in them can be among the k best, ties included. Results
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,16 +29,20 @@ from . import nearest, retrieve
 from .order import placed
 
 BLOCK, PROBES, SLACK = 128, 2, 1e-9
+#: Terms that a task counts at once, but for what one more block, or chunk, may hold.
+TOKENS = 1 << 21
+LISTS = "term string, df bigint, block array<bigint>, most_tf array<int>, least_length array<int>, at array<bigint>, tf array<int>, length array<int>"
 
 
 @dataclass
 class BlockIndex:
-    """``blocks``: workspace_id, term, block, df, most_tf, least_length, postings (array of chunk_id, tf, length), each
-    file in order of workspace, term and block. ``sizes``: workspace_id, n, mean. Where blocks hold postings that are void, ``dead``
-    (workspace_id, part, chunk_id) says which, by the blocks' own column ``part``, and ``df`` (workspace_id, term, df) gives
-    the frequencies, as numbers to sum up. Void postings only raise bounds, so results stay exact."""
+    """``lists``: workspace_id, term, df (all for a run of blocks), then arrays: block, most_tf and least_length of each block,
+    and ``at`` (its block), chunk_id, tf and length of each posting; rows follow each other by workspace and term, in each file
+    or in each run of blocks. ``sizes``: workspace_id, n, mean. Where lists hold postings that are void, ``dead`` (workspace_id,
+    part, chunk_id) says which, by the lists' own column ``part``, and ``df`` (workspace_id, term, df) gives the frequencies, as
+    numbers to sum up. Void postings only raise bounds, so results stay exact."""
 
-    blocks: DataFrame
+    lists: DataFrame
     sizes: DataFrame
     df: DataFrame | None = None
     dead: DataFrame | None = None
@@ -52,25 +60,131 @@ def numbered(tokens: DataFrame) -> DataFrame:
     return placed(tokens, ("chunk_id",), ("workspace_id",), "_place")
 
 
-def block_rows(chunks: DataFrame, block: int) -> DataFrame:
-    """The blocks of numbered chunks. Chunks go to where their block is, once; all that follows stays there."""
-    dealt = retrieve.runs(chunks.select("workspace_id", "chunk_id", F.floor(F.col("_place") / block).alias("block"), "t")).repartition("workspace_id", "block")
-    each = dealt.select("workspace_id", "chunk_id", "block", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("p"))
-    counted = each.select("workspace_id", F.col("p.terms").alias("term"), "block", "chunk_id", "length", F.col("p.tfs").alias("tf")).groupBy("workspace_id", "term", "block", "chunk_id", "length").agg(F.sum("tf").alias("tf"))
-    posting = F.struct("chunk_id", "tf", "length")
-    return counted.groupBy("workspace_id", "term", "block").agg(F.count("*").alias("df"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.sort_array(F.collect_list(posting)).alias("postings"))  # ``block`` at most
+def block_rows(chunks: DataFrame, block: int, first: int = 0) -> DataFrame:
+    """The lists of numbered chunks, whose blocks count from ``first``. Chunks go to where their block is, once; all that follows stays there."""
+    dealt = chunks.select("workspace_id", (F.floor(F.col("_place") / block) + F.lit(first)).alias("block"), "chunk_id", "t").repartition("workspace_id", "block")
+    return in_blocks(dealt.sortWithinPartitions("workspace_id", "block", "chunk_id"))
+
+
+def in_blocks(chunks: DataFrame) -> DataFrame:
+    """The lists of ``chunks`` (workspace_id, block, chunk_id, t), of which those of a block follow each other in a part. Terms
+    are counted in runs of whole blocks, by sorting numbers; a row is a term in a run, as most blocks hold a rare term once at
+    most. Rows of a block that repeat a chunk_id and have as many terms add up."""
+    kind = dict(chunks.dtypes)
+    schema = f"workspace_id {kind['workspace_id']}, {LISTS}, chunk_id array<{kind['chunk_id']}>"
+    return chunks.select("workspace_id", F.col("block").cast("long").alias("block"), "chunk_id", "t").mapInArrow(lambda batches: map(_counted, _whole(batches)), schema)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(int)
+
+
+def _sizes(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int)
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(columns[0]) else np.zeros(0, int)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows again, in tables of whole blocks."""
+    held: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        heads = _heads(_codes(rows["workspace_id"]), rows["block"].to_numpy())
+        if not len(heads):
+            continue
+        for a, b in _cuts(rows, heads[:-1], heads[-1]):
+            yield rows.slice(a, b - a)
+        held = rows.slice(heads[-1])  # may go on in the next batch
+    if held is not None:
+        yield held
+
+
+def _cuts(rows: pa.Table, heads: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows from one head to another, up to ``end``, of ``TOKENS`` terms and one run more at most."""
+    if len(heads):
+        bounds, before = np.append(heads, end), np.append(0, np.cumsum(_sizes(rows["t"])))
+        for i, j in nearest.slices(np.diff(before[bounds]).cumsum(), TOKENS):
+            yield bounds[i], bounds[j]
+
+
+def _sorted(lists: pa.Array, row: np.ndarray, space: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """The distinct pairs of a term and a ``row`` of the lists, in order of both: places in the terms, rows, how often, terms.
+    With ``space`` the terms are in order too, and pairs in that of their rows' spaces first."""
+    words, size = lists.flatten().dictionary_encode(), _sizes(lists)
+    n, code, terms = max(len(lists), 1), words.indices.to_numpy(zero_copy_only=False).astype(int), words.dictionary
+    if space is not None:
+        order = pc.sort_indices(terms).to_numpy()
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        code, terms = place[code] + np.repeat(space * len(order), size), terms.take(pa.array(order))
+    key = code * n + np.repeat(row, size)
+    key.sort()
+    heads = _heads(key)
+    code, row = np.divmod(key[heads], n)
+    return code % max(len(terms), 1), row, np.diff(np.append(heads, len(key))), terms
+
+
+def _lists(heads: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
+    """``values`` as lists that begin at ``heads``; ``n``: how many values there are."""
+    return pa.ListArray.from_arrays(pa.array(np.append(heads, n), pa.int32()), values)
+
+
+def _counted(rows: pa.Table) -> pa.RecordBatch:
+    """The lists of whole blocks."""
+    space, block, ids, lists = (rows[c].combine_chunks() for c in ("workspace_id", "block", "chunk_id", "t"))
+    length, spaces = _sizes(lists), _codes(rows["workspace_id"])
+    heads = _heads(spaces, block.to_numpy())
+    own = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
+    name = np.stack([own, _codes(rows["chunk_id"]), length])
+    order = np.lexsort(name[::-1])
+    first = _heads(*name[:, order])
+    row = np.empty(len(rows), int)  # of rows that repeat a chunk, the first
+    row[order] = np.repeat(order[first], np.diff(np.append(first, len(rows))))
+    term, row, tf, words = _sorted(lists, row, spaces)
+    starts, size = _heads(term, own[row]), length[row]  # of what a term has in a block
+    of = row[starts]
+    tops = _heads(term[starts], spaces[of])
+    most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(size, starts)) if len(starts) else (tf, size)
+    each = np.append(starts, len(row))[np.append(tops, len(starts))]  # where the postings of a row begin
+    heads, postings = (lambda values: _lists(tops, len(starts), values)), (lambda values: _lists(each[:-1], len(row), values))
+    return pa.RecordBatch.from_pydict({
+        "workspace_id": space.take(pa.array(of[tops])), "term": words.take(pa.array(term[starts[tops]])), "df": pa.array(np.diff(each), pa.int64()),
+        "block": heads(block.take(pa.array(of))), "most_tf": heads(pa.array(most, pa.int32())), "least_length": heads(pa.array(least, pa.int32())),
+        "at": postings(block.take(pa.array(row))), "tf": postings(pa.array(tf, pa.int32())), "length": postings(pa.array(size, pa.int32())), "chunk_id": postings(ids.take(pa.array(row))),
+    })
+
+
+def tallied(chunks: DataFrame) -> DataFrame:
+    """workspace_id, term, df: numbers to sum up, of ``chunks`` (workspace_id, t)."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            for a, b in _cuts(whole, np.arange(len(whole)), len(whole)):
+                rows = whole.slice(a, b - a).combine_chunks()
+                spaces = _codes(rows["workspace_id"])
+                term, row, _, words = _sorted(rows["t"].combine_chunks(), np.arange(len(rows)), spaces)
+                heads = _heads(term, spaces[row])
+                yield pa.RecordBatch.from_pydict({"workspace_id": rows["workspace_id"].combine_chunks().take(pa.array(row[heads])), "term": words.take(pa.array(term[heads])), "df": pa.array(np.diff(np.append(heads, len(row))), pa.int64())})
+
+    return chunks.select("workspace_id", "t").mapInArrow(of, f"workspace_id {dict(chunks.dtypes)['workspace_id']}, term string, df bigint")
 
 
 def write_index(chunks: DataFrame, folder: str, text: str = "text", block: int = BLOCK) -> None:
     """Write the index of ``chunks`` (workspace_id, chunk_id, text) below ``folder``. A block is in one file, and files are
     sorted, so that the ranges of workspace and term in their row groups and pages say which of them a query needs."""
     rows, sizes = _block_rows(chunks, text, block)
-    rows.sortWithinPartitions("workspace_id", "term", "block").write.parquet(f"{folder}/blocks")
+    rows.sortWithinPartitions("workspace_id", "term").write.parquet(f"{folder}/lists")
     sizes.write.parquet(f"{folder}/sizes")
 
 
 def read_index(spark: SparkSession, folder: str) -> BlockIndex:
-    return BlockIndex(spark.read.parquet(f"{folder}/blocks"), spark.read.parquet(f"{folder}/sizes"))
+    return BlockIndex(spark.read.parquet(f"{folder}/lists"), spark.read.parquet(f"{folder}/sizes"))
 
 
 def _weight(idf: Column, tf: Column, length: Column, mean: Column, settings: Settings) -> Column:
@@ -92,13 +206,14 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
     asked = queries.select("query_id", "workspace_id", F.explode(F.array_distinct(retrieve.terms(F.col("text")))).alias("term"))
     wanted = asked.select("workspace_id", "term").distinct()
     small = F.broadcast if asked.limit(retrieve.FEW_TERMS + 1).count() <= retrieve.FEW_TERMS else lambda df: df
-    rows = index.blocks
+    rows = index.lists
     bounds_of_terms = wanted.agg(F.min("term"), F.max("term")).first()
     if bounds_of_terms[0] is not None:  # prunes files and row groups
         rows = rows.where(F.col("term").between(*bounds_of_terms))
-    heads = rows.select("workspace_id", "term", "block", "df", "most_tf", "least_length").join(small(wanted), ["workspace_id", "term"], "left_semi")
+    rows = rows.join(small(wanted), ["workspace_id", "term"], "left_semi")
+    heads = rows.select("workspace_id", "term", F.inline(F.arrays_zip("block", "most_tf", "least_length")))
     heads = stored(heads, "heads")  # without postings
-    frequencies = heads if index.df is None else index.df.join(small(wanted), ["workspace_id", "term"], "left_semi")
+    frequencies = rows if index.df is None else index.df.join(small(wanted), ["workspace_id", "term"], "left_semi")
     idf = frequencies.groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).where("df > 0").join(index.sizes, "workspace_id")
     idf = stored(idf.select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
     weighed = stored(asked.join(idf, ["workspace_id", "term"]), "asked")  # terms that are there, with their statistics
@@ -110,14 +225,12 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
 
     def postings(some: DataFrame, key: list[str]) -> DataFrame:
         """workspace_id, block, term, chunk_id, w: what lives in the blocks ``some``."""
-        met = rows.join(small(wanted), ["workspace_id", "term"], "left_semi").join(some, key, "left_semi")
-        if index.dead is None:
-            each = met.select("workspace_id", "block", "term", F.explode("postings").alias("p"))
-        else:
-            each = met.select("workspace_id", "block", "term", "part", F.explode("postings").alias("p")).withColumn("chunk_id", F.col("p.chunk_id"))
+        had = ["workspace_id", "term"] if index.dead is None else ["workspace_id", "term", "part"]
+        each = rows.select(*had, F.inline(F.arrays_zip("at", "chunk_id", "tf", "length"))).withColumnRenamed("at", "block").join(some, key, "left_semi")
+        if index.dead is not None:
             each = each.join(index.dead, ["workspace_id", "part", "chunk_id"], "left_anti")
-        weight = _weight(F.col("idf"), F.col("p.tf"), F.col("p.length"), F.col("mean"), settings)
-        return each.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "block", "term", F.col("p.chunk_id").alias("chunk_id"), weight.alias("w"))
+        weight = _weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean"), settings)
+        return each.join(small(idf), ["workspace_id", "term"]).select("workspace_id", "block", "term", "chunk_id", weight.alias("w"))
 
     def probed(some: DataFrame) -> DataFrame:
         """Scores of all chunks of the blocks ``some`` (query_id, workspace_id, block), a few for each query."""

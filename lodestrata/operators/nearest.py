@@ -231,7 +231,7 @@ def best_sums(asks: tuple[np.ndarray, np.ndarray], postings: tuple[np.ndarray, n
             sums = np.bincount(q[own] * len(hot) + place[u[own]], minlength=m * len(hot)).reshape(m, len(hot)).astype(float) @ matrix
             q, u = q[~own], u[~own]
             step = np.cumsum(df[u])
-            for i, j in _slices(step, 1 << 22):
+            for i, j in slices(step, 1 << 22):
                 size = df[u[i:j]]
                 at_ = np.repeat(head[u[i:j]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
                 sums += np.bincount(np.repeat(q[i:j], size) * n + c[at_], w[at_], m * n).reshape(m, n)
@@ -243,7 +243,7 @@ def best_sums(asks: tuple[np.ndarray, np.ndarray], postings: tuple[np.ndarray, n
             yield at + row[order], low + col[order], score[order]
 
 
-def _slices(step: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def slices(step: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of what has the running sums ``step``, of ``most`` and one more at most."""
     i = 0
     while i < len(step):

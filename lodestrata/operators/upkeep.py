@@ -4,7 +4,7 @@ The index of a workspace is a few parts; the registry's ``index_part`` names the
 a folder of
 
 * ``chunks``: the chunks it brought, with their tokens, the file and the file's version,
-* ``blocks``: their postings, as in :mod:`impacts`,
+* ``lists``: their postings by blocks, as in :mod:`impacts`,
 * ``dead``: chunks of other parts that it makes void (tombstones),
 * ``df`` and ``sizes``: by how much it changes the terms' document frequencies, and the chunks' number and length. What it
   makes void counts negative, so the sums over all parts are those of the live chunks.
@@ -37,16 +37,42 @@ FANOUT, RETIRED = 4, -1
 #: A block's number starts with its part's.
 _PART = 1 << 32
 PART = {
-    "chunks": "workspace_id string, part int, source_file string, version string, chunk_id string, t array<string>",
-    "blocks": "workspace_id string, part int, term string, block bigint, df bigint, most_tf bigint, least_length int, postings array<struct<chunk_id:string,tf:bigint,length:int>>",
+    "chunks": "workspace_id string, part int, source_file string, version string, chunk_id string, length int, t array<string>",
+    "lists": f"workspace_id string, part int, {impacts.LISTS}, chunk_id array<string>",
     "dead": "workspace_id string, part int, chunk_id string", "df": "workspace_id string, term string, df bigint", "sizes": "workspace_id string, n bigint, texts bigint, total bigint",
 }
 
 
+_DF = ["workspace_id", "term", "df"]
+
+
 def _sums() -> list[Column]:
     return [F.sum(c).alias(c) for c in ("n", "texts", "total")]
 
 
+def _sizes(chunks: DataFrame) -> DataFrame:
+    """Of ``chunks`` (by, workspace_id, length), each of which counts ``by`` times."""
+    by, has = F.col("by"), F.col("length").isNotNull()
+    rows = chunks.select("workspace_id", by.alias("n"), F.when(has, by).otherwise(0).alias("texts"), F.when(has, by * F.col("length").cast("long")).otherwise(0).alias("total"))
+    return rows.groupBy("workspace_id").agg(*_sums())
+
+
+def _repeat(chunks: DataFrame) -> bool:
+    """Whether rows repeat a chunk_id."""
+    return not chunks.groupBy("workspace_id", "chunk_id").count().where("count > 1").isEmpty()
+
+
+def _counts(chunks: DataFrame, by: int) -> DataFrame:
+    """``by`` for each chunk that holds a term; as in lists, rows that repeat a chunk_id and have as many terms are one."""
+    if _repeat(chunks):
+        chunks = chunks.groupBy("workspace_id", "chunk_id", "length").agg(F.flatten(F.collect_list("t")).alias("t"))
+    return impacts.tallied(chunks).withColumn("df", F.lit(by) * F.col("df"))
+
+
+def _frequencies(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+
+
 @dataclass
 class Part:
     id: str
@@ -89,7 +115,7 @@ class LiveIndex:
         """What :func:`impacts.top_k` searches: the live chunks as of the last catch-up."""
         parts = self.parts(workspace_id)
         sizes = self._read(parts, "sizes").groupBy("workspace_id").agg(*_sums()).where("texts > 0")
-        return impacts.BlockIndex(self._read(parts, "blocks"), sizes.select("workspace_id", "n", (F.col("total") / F.col("texts")).alias("mean")), self._read(parts, "df"), self._read(parts, "dead"))
+        return impacts.BlockIndex(self._read(parts, "lists"), sizes.select("workspace_id", "n", (F.col("total") / F.col("texts")).alias("mean")), self._read(parts, "df"), self._read(parts, "dead"))
 
     def _live(self, parts: list[Part], dead: DataFrame | None = None) -> DataFrame:
         dead = self._read(parts, "dead") if dead is None else dead
@@ -110,20 +136,23 @@ class LiveIndex:
             return False
         rows = self.store.rows("children", workspace_id, fresh)
         chunk_id = F.concat_ws("/", "parent_id", F.col("child_index").cast("string"))
-        chunks = rows.select("workspace_id", F.lit(number).alias("part"), "source_file", "version", chunk_id.alias("chunk_id"), retrieve.terms(F.col("text")).alias("t"))
+        chunks = rows.select("workspace_id", F.lit(number).alias("part"), "source_file", "version", chunk_id.alias("chunk_id"), retrieve.terms(F.col("text")).alias("t")).withColumn("length", F.when(F.col("t").isNotNull(), F.size("t")))
         made = [Part(uuid.uuid4().hex, number, 0)]
         self._write(made[0], "chunks", chunks)
         chunks, void = self._read(made, "chunks"), stored(live.join(gone, key, "left_semi"), "void")
         self._write(made[0], "dead", void.select("workspace_id", "part", "chunk_id"))
-        both = chunks.withColumn("_by", F.lit(1)).unionByName(void.withColumn("_by", F.lit(-1)))
-        self._write(made[0], "df", both.select("workspace_id", "_by", F.explode(F.array_distinct("t")).alias("term")).groupBy("workspace_id", "term").agg(F.sum("_by").alias("df")).where("df <> 0"))
-        self._write(made[0], "sizes", both.select("workspace_id", F.col("_by").alias("n"), F.when(F.col("t").isNotNull(), F.col("_by")).otherwise(0).alias("texts"), F.when(F.col("t").isNotNull(), F.col("_by") * F.size("t")).otherwise(0).alias("total")).groupBy("workspace_id").agg(*_sums()))
         together, level = self._due([*parts, made[0]])
+        others = [p for p in (*parts, made[0]) if p not in together]
         if together:
             made.append(Part(uuid.uuid4().hex, number + 1, level))
-            self._merge(together, [p for p in (*parts, made[0]) if p not in together], made[-1])
-        if made[0] not in together:  # else nobody will ever search it
-            self._write(made[0], "blocks", self._blocks(chunks, number))
+        if others:  # if all become one, what lives is all that counts
+            if made[0] in others:
+                self._write(made[0], "lists", self._blocks(chunks, number))
+            own = self._read(made[:1], "lists") if made[0] in others else _counts(chunks, 1)
+            self._write(made[0], "df", _frequencies(own.select(*_DF).unionByName(_counts(void, -1))))
+            self._write(made[0], "sizes", chunks.withColumn("by", F.lit(1)).select("by", "workspace_id", "length").unionByName(void.select(F.lit(-1).alias("by"), "workspace_id", "length")).transform(_sizes))
+        if together:
+            self._merge(together, others, made[-1])
         self._switch(workspace_id, listed, made, together)
         return True
 
@@ -132,9 +161,17 @@ class LiveIndex:
         rows.select(*columns).to(self.registry.spark.createDataFrame([], PART[what]).schema).write.parquet(f"{self.path}/{part.id}/{what}")
 
     def _blocks(self, chunks: DataFrame, number: int) -> DataFrame:
-        rows = impacts.block_rows(impacts.numbered(chunks.select("workspace_id", "chunk_id", "t")), self.block)
-        order = ("workspace_id", "term", "block")
-        return rows.withColumn("part", F.lit(number)).withColumn("block", F.col("block") + F.lit(number * _PART)).sortWithinPartitions(*order)
+        """The blocks of a part's own chunks. They are cut where the chunks are read, without moving them: any chunks may be a
+        block. Only rows that repeat a chunk_id have to meet."""
+        own = chunks.select("workspace_id", "chunk_id", "t")
+        if not _repeat(own):
+            place = F.shiftleft(F.shiftright("_at", 33), 20) + F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / self.block)
+            # beyond 4096 tasks, or a million blocks in one, blocks share a number: bounds add up, and both are read
+            rows = impacts.in_blocks(own.withColumn("_at", F.monotonically_increasing_id()).withColumn("block", F.pmod(place, F.lit(_PART)) + F.lit(number * _PART)))
+        else:
+            places = impacts.numbered(own.select("workspace_id", "chunk_id").distinct())
+            rows = impacts.block_rows(own.join(places, ["workspace_id", "chunk_id"]), self.block, number * _PART)
+        return rows.withColumn("part", F.lit(number))
 
     def _due(self, parts: list[Part]) -> tuple[list[Part], int]:
         """The parts that are to become one, and its level; none where no level is full."""
@@ -153,11 +190,15 @@ class LiveIndex:
     def _merge(self, together: list[Part], others: list[Part], into: Part) -> None:
         dead = self._read([*together, *others], "dead")
         self._write(into, "chunks", self._live(together, dead).withColumn("part", F.lit(into.number)))
-        self._write(into, "blocks", self._blocks(self._read([into], "chunks"), into.number))
+        self._write(into, "lists", self._blocks(self._read([into], "chunks"), into.number))
         left = F.col("part").isin([p.number for p in others])
         self._write(into, "dead", self._read(together, "dead").where(left).distinct())
-        self._write(into, "df", self._read(together, "df").groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).where("df <> 0"))
-        self._write(into, "sizes", self._read(together, "sizes").groupBy("workspace_id").agg(*_sums()))
+        if others:
+            self._write(into, "df", _frequencies(self._read(together, "df")))
+            self._write(into, "sizes", self._read(together, "sizes").groupBy("workspace_id").agg(*_sums()))
+        else:
+            self._write(into, "df", _frequencies(self._read([into], "lists").select(*_DF)))
+            self._write(into, "sizes", _sizes(self._read([into], "chunks").withColumn("by", F.lit(1))))
 
     def _switch(self, workspace_id: str, listed: list[Part], made: list[Part], gone: list[Part]) -> None:
         """Point the registry to the new state, if the one it was made from is still there."""
