@@ -29,29 +29,33 @@ from . import nearest, retrieve
 from .order import placed
 
 BLOCK, PROBES, SLACK = 128, 2, 1e-9
-#: Terms that a task counts at once, but for what one more block, or chunk, may hold.
-TOKENS = 1 << 21
-LISTS = "term string, df bigint, block array<bigint>, most_tf array<int>, least_length array<int>, at array<bigint>, tf array<int>, length array<int>"
+#: Bytes of terms that a task counts at once, but for what one more block, or chunk, may hold.
+BYTES = 1 << 24
+#: Bytes, as most of a list's blocks hold one chunk: arrays of so many numbers take several times as long to write.
+LISTS = "term string, df bigint, heads binary, postings binary, names binary"
+HEAD = np.dtype([("block", "<i8"), ("df", "<i4"), ("most_tf", "<i4"), ("least_length", "<i4")])
+POSTING = np.dtype([("tf", "<i4"), ("length", "<i4"), ("name", "<i4")])  # name: the length of its id, -1 if that is null
 
 
 @dataclass
 class BlockIndex:
-    """``lists``: workspace_id, term, df (all for a run of blocks), then arrays: block, most_tf and least_length of each block,
-    and ``at`` (its block), chunk_id, tf and length of each posting; rows follow each other by workspace and term, in each file
-    or in each run of blocks. ``sizes``: workspace_id, n, mean. Where lists hold postings that are void, ``dead`` (workspace_id,
-    part, chunk_id) says which, by the lists' own column ``part``, and ``df`` (workspace_id, term, df) gives the frequencies, as
-    numbers to sum up. Void postings only raise bounds, so results stay exact."""
+    """``lists``: workspace_id, term, df (all for a run of blocks), and as bytes ``heads``, a ``HEAD`` of each block, ``postings``,
+    a ``POSTING`` of each chunk in these, and ``names``, the chunks' ids one after another; rows follow each other by workspace
+    and term, in each file or in each run of blocks. ``sizes``: workspace_id, n, mean. Where lists hold postings that are void,
+    ``dead`` (workspace_id, part, chunk_id) says which, by the lists' own column ``part``, and ``df`` (workspace_id, term, df)
+    gives the frequencies, as numbers to sum up. Void postings only raise bounds, so results stay exact. ``kind``: the type of ids."""
 
     lists: DataFrame
     sizes: DataFrame
     df: DataFrame | None = None
     dead: DataFrame | None = None
+    kind: str = "string"
 
 
 def _block_rows(chunks: DataFrame, text: str, block: int) -> tuple[DataFrame, DataFrame]:
-    tokens = chunks.select("workspace_id", "chunk_id", retrieve.terms(F.col(text)).alias("t"))
+    tokens = chunks.select("workspace_id", "chunk_id", retrieve.words(F.col(text)).alias("t"))
     placed_ = numbered(tokens)
-    sizes = placed_.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
+    sizes = placed_.groupBy("workspace_id").agg(F.count("*").alias("n"), F.avg(retrieve.n_words(F.col("t"))).alias("mean"), F.max("chunk_id").alias("last_id"))
     return block_rows(placed_, block), sizes
 
 
@@ -67,22 +71,26 @@ def block_rows(chunks: DataFrame, block: int, first: int = 0) -> DataFrame:
 
 
 def in_blocks(chunks: DataFrame) -> DataFrame:
-    """The lists of ``chunks`` (workspace_id, block, chunk_id, t), of which those of a block follow each other in a part. Terms
+    """The lists of ``chunks`` (workspace_id, block, chunk_id, t: as of :func:`retrieve.words`), of which those of a block follow each other in a part. Terms
     are counted in runs of whole blocks, by sorting numbers; a row is a term in a run, as most blocks hold a rare term once at
     most. Rows of a block that repeat a chunk_id and have as many terms add up."""
-    kind = dict(chunks.dtypes)
-    schema = f"workspace_id {kind['workspace_id']}, {LISTS}, chunk_id array<{kind['chunk_id']}>"
-    return chunks.select("workspace_id", F.col("block").cast("long").alias("block"), "chunk_id", "t").mapInArrow(lambda batches: map(_counted, _whole(batches)), schema)
+    schema = f"workspace_id {dict(chunks.dtypes)['workspace_id']}, {LISTS}"
+    return chunks.select("workspace_id", F.col("block").cast("long").alias("block"), F.col("chunk_id").cast("string").alias("chunk_id"), "t").mapInArrow(lambda batches: map(_counted, _whole(batches)), schema)
 
 
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return pc.fill_null(column.combine_chunks().dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(int)
 
 
-def _sizes(lists: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _sizes(lists: pa.ListArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(int)
 
 
+def _terms(words: pa.ChunkedArray) -> pa.ListArray:
+    words = words.combine_chunks()
+    return pc.split_pattern(pc.if_else(pc.equal(words, ""), pa.scalar(None, pa.string()), words), " ")
+
+
 def _heads(*columns: np.ndarray) -> np.ndarray:
     """Where runs of equal rows begin."""
     return np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0))) if len(columns[0]) else np.zeros(0, int)
@@ -105,10 +113,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _cuts(rows: pa.Table, heads: np.ndarray, end: int) -> Iterator[tuple[int, int]]:
-    """Ranges of rows from one head to another, up to ``end``, of ``TOKENS`` terms and one run more at most."""
+    """Ranges of rows from one head to another, up to ``end``, of ``BYTES`` of terms and one run more at most."""
     if len(heads):
-        bounds, before = np.append(heads, end), np.append(0, np.cumsum(_sizes(rows["t"])))
-        for i, j in nearest.slices(np.diff(before[bounds]).cumsum(), TOKENS):
+        bounds, before = np.append(heads, end), np.append(0, np.cumsum(pc.fill_null(pc.binary_length(rows["t"]), 0).to_numpy().astype(int)))
+        for i, j in nearest.slices(np.diff(before[bounds]).cumsum(), BYTES):
             yield bounds[i], bounds[j]
 
 
@@ -129,14 +137,28 @@ def _sorted(lists: pa.Array, row: np.ndarray, space: np.ndarray | None = None) -
     return code % max(len(terms), 1), row, np.diff(np.append(heads, len(key))), terms
 
 
-def _lists(heads: np.ndarray, n: int, values: pa.Array) -> pa.ListArray:
-    """``values`` as lists that begin at ``heads``; ``n``: how many values there are."""
-    return pa.ListArray.from_arrays(pa.array(np.append(heads, n), pa.int32()), values)
+def _bytes(ends: np.ndarray, data: pa.Buffer) -> pa.Array:
+    """``data`` cut at ``ends``, which begin with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), data])
+
+
+def _records(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), kind)
+    for name, column in zip(kind.names, columns, strict=True):
+        out[name] = column
+    return out
+
+
+def _read(column: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """How many bytes each value has, and all of them."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(ends), memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
 
 
 def _counted(rows: pa.Table) -> pa.RecordBatch:
     """The lists of whole blocks."""
-    space, block, ids, lists = (rows[c].combine_chunks() for c in ("workspace_id", "block", "chunk_id", "t"))
+    space, block, ids = (rows[c].combine_chunks() for c in ("workspace_id", "block", "chunk_id"))
+    lists = _terms(rows["t"])
     length, spaces = _sizes(lists), _codes(rows["workspace_id"])
     heads = _heads(spaces, block.to_numpy())
     own = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
@@ -150,15 +172,50 @@ def _counted(rows: pa.Table) -> pa.RecordBatch:
     of = row[starts]
     tops = _heads(term[starts], spaces[of])
     most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(size, starts)) if len(starts) else (tf, size)
-    each = np.append(starts, len(row))[np.append(tops, len(starts))]  # where the postings of a row begin
-    heads, postings = (lambda values: _lists(tops, len(starts), values)), (lambda values: _lists(each[:-1], len(row), values))
+    tops = np.append(tops, len(starts))
+    each = np.append(starts, len(row))[tops]  # where the postings of a row begin
+    names = ids.take(pa.array(row))
+    ends = np.frombuffer(names.buffers()[1], np.int32)[: len(names) + 1] if len(names) else np.zeros(1, np.int32)
+    name = np.where(names.is_valid().to_numpy(zero_copy_only=False), np.diff(ends), -1)
+    heads, postings = _records(HEAD, block.to_numpy()[of], np.diff(np.append(starts, len(row))), most, least), _records(POSTING, tf, size, name)
     return pa.RecordBatch.from_pydict({
-        "workspace_id": space.take(pa.array(of[tops])), "term": words.take(pa.array(term[starts[tops]])), "df": pa.array(np.diff(each), pa.int64()),
-        "block": heads(block.take(pa.array(of))), "most_tf": heads(pa.array(most, pa.int32())), "least_length": heads(pa.array(least, pa.int32())),
-        "at": postings(block.take(pa.array(row))), "tf": postings(pa.array(tf, pa.int32())), "length": postings(pa.array(size, pa.int32())), "chunk_id": postings(ids.take(pa.array(row))),
+        "workspace_id": space.take(pa.array(of[tops[:-1]])), "term": words.take(pa.array(term[starts[tops[:-1]]])), "df": pa.array(np.diff(each), pa.int64()),
+        "heads": _bytes(tops * HEAD.itemsize, pa.py_buffer(heads)), "postings": _bytes(each * POSTING.itemsize, pa.py_buffer(postings)), "names": _bytes(ends[each], names.buffers()[2] or pa.py_buffer(b"")),
     })
 
 
+def _unpacked(lists: DataFrame, whole: bool, kind: str = "string") -> DataFrame:
+    """A row for each block of ``lists``: what else they hold, block, most_tf, least_length; or (``whole``) for each posting:
+    block, tf, length, chunk_id."""
+    bytes_ = ("heads", "postings", "names")
+    had = [c for c in lists.columns if c not in (*bytes_, "df")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, data = _read(batch["heads"])
+            head, row = np.frombuffer(data, HEAD), np.repeat(np.arange(len(size)), size // HEAD.itemsize)
+            if whole:
+                posting, at = np.frombuffer(_read(batch["postings"])[1], POSTING), np.repeat(np.arange(len(head)), head["df"])
+                row, ends = row[at], np.append(0, np.cumsum(np.maximum(posting["name"], 0)))
+                names = _read(batch["names"])[1]
+            for i in range(0, len(row), 1 << 18):
+                j = min(len(row), i + (1 << 18))
+                out = {c: batch[c].take(pa.array(row[i:j])) for c in had}
+                if whole:
+                    out |= {"block": pa.array(head["block"][at[i:j]]), **{c: pa.array(posting[c][i:j]) for c in ("tf", "length")}}
+                    text = pa.Array.from_buffers(pa.string(), j - i, [None, pa.py_buffer((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.py_buffer(names[ends[i] : ends[j]])])
+                    null = pa.array(posting["name"][i:j] < 0)
+                    out["chunk_id"] = pc.if_else(null, pa.scalar(None, pa.string()), text) if null.true_count else text
+                else:
+                    out |= {c: pa.array(head[c][i:j]) for c in ("block", "most_tf", "least_length")}
+                yield pa.RecordBatch.from_pydict(out)
+
+    types = dict(lists.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in had) + (", block bigint, tf int, length int, chunk_id string" if whole else ", block bigint, most_tf int, least_length int")
+    rows = lists.select(*had, *(bytes_ if whole else ["heads"])).mapInArrow(of, schema)
+    return rows.withColumn("chunk_id", F.col("chunk_id").cast(kind)) if whole and kind != "string" else rows
+
+
 def tallied(chunks: DataFrame) -> DataFrame:
     """workspace_id, term, df: numbers to sum up, of ``chunks`` (workspace_id, t)."""
 
@@ -168,7 +225,7 @@ def tallied(chunks: DataFrame) -> DataFrame:
             for a, b in _cuts(whole, np.arange(len(whole)), len(whole)):
                 rows = whole.slice(a, b - a).combine_chunks()
                 spaces = _codes(rows["workspace_id"])
-                term, row, _, words = _sorted(rows["t"].combine_chunks(), np.arange(len(rows)), spaces)
+                term, row, _, words = _sorted(_terms(rows["t"]), np.arange(len(rows)), spaces)
                 heads = _heads(term, spaces[row])
                 yield pa.RecordBatch.from_pydict({"workspace_id": rows["workspace_id"].combine_chunks().take(pa.array(row[heads])), "term": words.take(pa.array(term[heads])), "df": pa.array(np.diff(np.append(heads, len(row))), pa.int64())})
 
@@ -184,7 +241,8 @@ def write_index(chunks: DataFrame, folder: str, text: str = "text", block: int =
 
 
 def read_index(spark: SparkSession, folder: str) -> BlockIndex:
-    return BlockIndex(spark.read.parquet(f"{folder}/lists"), spark.read.parquet(f"{folder}/sizes"))
+    sizes = spark.read.parquet(f"{folder}/sizes")
+    return BlockIndex(spark.read.parquet(f"{folder}/lists"), sizes.drop("last_id"), kind=dict(sizes.dtypes)["last_id"])
 
 
 def _weight(idf: Column, tf: Column, length: Column, mean: Column, settings: Settings) -> Column:
@@ -211,8 +269,7 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
     if bounds_of_terms[0] is not None:  # prunes files and row groups
         rows = rows.where(F.col("term").between(*bounds_of_terms))
     rows = rows.join(small(wanted), ["workspace_id", "term"], "left_semi")
-    heads = rows.select("workspace_id", "term", F.inline(F.arrays_zip("block", "most_tf", "least_length")))
-    heads = stored(heads, "heads")  # without postings
+    heads = stored(_unpacked(rows.select("workspace_id", "term", "heads"), False), "heads")  # without postings
     frequencies = rows if index.df is None else index.df.join(small(wanted), ["workspace_id", "term"], "left_semi")
     idf = frequencies.groupBy("workspace_id", "term").agg(F.sum("df").alias("df")).where("df > 0").join(index.sizes, "workspace_id")
     idf = stored(idf.select("workspace_id", "term", "mean", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")), "idf")
@@ -225,8 +282,7 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
 
     def postings(some: DataFrame, key: list[str]) -> DataFrame:
         """workspace_id, block, term, chunk_id, w: what lives in the blocks ``some``."""
-        had = ["workspace_id", "term"] if index.dead is None else ["workspace_id", "term", "part"]
-        each = rows.select(*had, F.inline(F.arrays_zip("at", "chunk_id", "tf", "length"))).withColumnRenamed("at", "block").join(some, key, "left_semi")
+        each = _unpacked(rows, True, index.kind).join(some, key, "left_semi")
         if index.dead is not None:
             each = each.join(index.dead, ["workspace_id", "part", "chunk_id"], "left_anti")
         weight = _weight(F.col("idf"), F.col("tf"), F.col("length"), F.col("mean"), settings)

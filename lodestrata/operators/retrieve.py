@@ -60,6 +60,15 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
+def words(text: Column) -> Column:
+    """What :func:`terms` finds, with a space between terms: a string is written and read in a fraction of an array's time."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def n_words(words_: Column) -> Column:
+    return F.when(words_ == "", 0).otherwise(F.length(words_) - F.length(F.replace(words_, F.lit(" "), F.lit(""))) + 1)
+
+
 @dataclass
 class SparseIndex:
     """What sparse search needs of its chunks: ``postings`` (workspace_id, chunk_id, length, term, tf: one for each term) and

@@ -37,8 +37,8 @@ FANOUT, RETIRED = 4, -1
 #: A block's number starts with its part's.
 _PART = 1 << 32
 PART = {
-    "chunks": "workspace_id string, part int, source_file string, version string, chunk_id string, length int, t array<string>",
-    "lists": f"workspace_id string, part int, {impacts.LISTS}, chunk_id array<string>",
+    "chunks": "workspace_id string, part int, source_file string, version string, chunk_id string, length int, t string",
+    "lists": f"workspace_id string, part int, {impacts.LISTS}",
     "dead": "workspace_id string, part int, chunk_id string", "df": "workspace_id string, term string, df bigint", "sizes": "workspace_id string, n bigint, texts bigint, total bigint",
 }
 
@@ -65,7 +65,7 @@ def _repeat(chunks: DataFrame) -> bool:
 def _counts(chunks: DataFrame, by: int) -> DataFrame:
     """``by`` for each chunk that holds a term; as in lists, rows that repeat a chunk_id and have as many terms are one."""
     if _repeat(chunks):
-        chunks = chunks.groupBy("workspace_id", "chunk_id", "length").agg(F.flatten(F.collect_list("t")).alias("t"))
+        chunks = chunks.groupBy("workspace_id", "chunk_id", "length").agg(F.trim(F.array_join(F.collect_list("t"), " ")).alias("t"))
     return impacts.tallied(chunks).withColumn("df", F.lit(by) * F.col("df"))
 
 
@@ -136,7 +136,7 @@ class LiveIndex:
             return False
         rows = self.store.rows("children", workspace_id, fresh)
         chunk_id = F.concat_ws("/", "parent_id", F.col("child_index").cast("string"))
-        chunks = rows.select("workspace_id", F.lit(number).alias("part"), "source_file", "version", chunk_id.alias("chunk_id"), retrieve.terms(F.col("text")).alias("t")).withColumn("length", F.when(F.col("t").isNotNull(), F.size("t")))
+        chunks = rows.select("workspace_id", F.lit(number).alias("part"), "source_file", "version", chunk_id.alias("chunk_id"), retrieve.words(F.col("text")).alias("t")).withColumn("length", retrieve.n_words(F.col("t")))
         made = [Part(uuid.uuid4().hex, number, 0)]
         self._write(made[0], "chunks", chunks)
         chunks, void = self._read(made, "chunks"), stored(live.join(gone, key, "left_semi"), "void")

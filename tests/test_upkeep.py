@@ -111,3 +111,25 @@ def test_a_registry_without_the_table_gets_it(spark, tmp_path):
     store.registry.delete_workspace(space)
     assert index.parts() == []
     assert index.vacuum() == 0 and index.vacuum(-1.0) == 1  # the folder of the lost workspace
+
+
+def test_a_catch_up_cuts_blocks_where_chunks_are(spark, tmp_path):
+    store, index, space = made(spark, tmp_path)
+    put(spark, store, space, "1", {f"f{i}": ["one two", "two"] for i in range(9)})
+    assert index.update(space)
+    rows = index._blocks(index._read(index.parts(space), "chunks"), 3)
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.term: r.df for r in rows.groupBy("term").agg(F.sum("df").alias("df")).collect()} == {"one": 9, "two": 18}
+
+
+def test_rows_that_repeat_a_chunk(spark, tmp_path):
+    store, index, space = made(spark, tmp_path, block=2)
+    twice = {"f0": ["one w1", "w1 w2", "w1 w2 w2", ""]}
+    rows = [("f0", k // 2, f"f0-{k // 2}", None, text, space) for k, text in enumerate(twice["f0"])] + [("f1", 0, "f1-0", None, "w2 rare", space)]
+    for version, some in (("1", rows), ("2", rows[3:])):
+        parents = spark.createDataFrame(some, CHUNK)
+        written = store.write(parents, parents.withColumn("child_index", F.lit(0)), version)
+        with store.registry.transaction() as draft:
+            draft["chunk_file"] = store.switched(draft["chunk_file"], spark.createDataFrame([(space, "f0"), (space, "f1")], "workspace_id string, source_file string"), written)
+        assert index.update(space)
+        assert agrees(spark, store, index, space)
