@@ -303,6 +303,7 @@ def top_k(queries: DataFrame, index: BlockIndex, k: int, settings: Settings = Se
     marked = stored(rest.select(*key, reaches.alias("reaches")), "rest")
     # a block that some query needs is read once, for all queries of its workspace: that adds scores, which are right too
     need = bounds.where(F.col("_r") <= probes).select(*key).unionByName(marked.where("reaches").select(*key)).select("workspace_id", "block").distinct()
+    need = stored(need, "need")  # few and small, so that postings aren't shuffled to be met by them
     lists = weighed.groupBy("query_id", "workspace_id").agg(F.collect_list("term").alias("terms"))
     hits = best(nearest.sparse(lists, postings(need, ["workspace_id", "block"]), k, lists.count(), index.sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]))
     counts = bounds.groupBy("query_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("_r") <= probes).alias("probed"))
